@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from revscope.llm import media, sharding
+from revscope.llm import media, packing, sharding, token_files
 
-MODULES = [sharding, media]
+MODULES = [sharding, token_files, media, packing]
 
 
 def queries() -> dict:
