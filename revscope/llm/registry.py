@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from revscope.llm import media, packing, sharding, token_files
+from revscope.llm import bpe, media, packing, sharding, token_files
 
-MODULES = [sharding, token_files, media, packing]
+MODULES = [sharding, bpe, token_files, media, packing]
 
 
 def queries() -> dict:
