@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from revscope.llm import bpe, media, packing, sharding, token_files
+from revscope.llm import bpe, language_id, lm_score, media, packing, sharding, token_files
 
-MODULES = [sharding, bpe, token_files, media, packing]
+MODULES = [sharding, bpe, token_files, lm_score, media, language_id, packing]
 
 
 def queries() -> dict:
