@@ -1,89 +1,54 @@
-"""Whole texts to token ids with a byte-level BPE of the tokenizers library, remembering what repeats.
+"""Whole texts to token ids with a byte-level BPE file of the tokenizers library.
 
-A text is cut where one space or line feed stands between two other characters
-that are no white space: no token crosses such a place. The pieces are looked up
-in a bounded memo; new ones are encoded by the library, many in one call, with a
-line feed between them. A text with any other white space, or with a special
-token's string, goes to the library as a whole.
+Both installed libraries apply such a vocabulary with the same result: a merge's
+rank is the id of what it makes. For texts of Latin letters the merges are left
+to tiktoken, which is more than twice as fast on words that it has not met; texts
+with other characters, where the libraries' Unicode tables could differ, and
+texts with a special token's string go to the tokenizers library itself.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
+from pathlib import Path
 
-import numpy as np
+from revscope.llm.bpe import byte_symbols
 
-_PIECE = re.compile(r"[ \n]?[^ \n]+")
-_OTHER_SPACE = re.compile(r".\s", re.DOTALL)
+_NOT_LATIN = re.compile("[^\x00-ɏ]")
 _encoders: dict[str, ByteLevelEncoder] = {}
 
 
 class ByteLevelEncoder:
-    def __init__(self, path: str, memo_size: int = 300_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        breaks = self.library.encode("\n", add_special_tokens=False).ids
-        #: The id of a line feed, where it has one of its own; without it nothing is cut.
-        self.feed = breaks[0] if len(breaks) == 1 else None
-        self.memo: dict[str, bytes | None] = {}
-        self.memo_size = memo_size
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, pieces: set[str]) -> None:
-        plain: list[str] = []
-        for p in pieces:
-            if _OTHER_SPACE.search(p) or (p[0].isspace() and p[0] not in " \n"):
-                self.memo[p] = None
-            elif p[0] == "\n":
-                self.memo[p] = self._whole(p)
-            else:
-                plain.append(p)
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            ids = np.array(self.library.encode("\n".join(part), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self.feed), len(ids))
-            if len(ends) != len(part):
-                for p in part:
-                    self.memo[p] = self._whole(p)
-                continue
-            raw, start = ids.tobytes(), 0
-            for p, end in zip(part, ends.tolist(), strict=True):
-                self.memo[p] = raw[4 * start : 4 * end]
-                start = end + 1
+        byte_of = {c: b for b, c in enumerate(byte_symbols())}
+        vocab = json.loads(Path(path).read_text())["model"]["vocab"]
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in self.special}
+        self.quick = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        cut: list[list[str] | None] = []
-        for text in texts:
-            pieces = None
-            if self.feed is not None and not any(s in text for s in self.special):
-                pieces = _PIECE.findall(text)
-                if sum(map(len, pieces)) != len(text):
-                    pieces = None
-            cut.append(pieces)
-        known = self.memo
-        if new := set().union(*(p for p in cut if p)).difference(known):
-            if len(known) + len(new) > self.memo_size:
-                known.clear()
-                new = set().union(*(p for p in cut if p))
-            self._learn(new)
         out = []
-        for text, pieces in zip(texts, cut, strict=True):
-            parts = None if pieces is None else [known[p] for p in pieces]
-            out.append(self._whole(text) if parts is None or None in parts else b"".join(parts))
+        for text in texts:
+            plain = not _NOT_LATIN.search(text) and not any(s in text for s in self.special)
+            ids = self.quick.encode_ordinary(text) if plain else self.library.encode(text, add_special_tokens=False).ids
+            out.append(array("I", ids).tobytes())
         return out
 
 
 def encoder(path: str) -> ByteLevelEncoder:
-    """One encoder for each vocabulary file and worker process; its memo outlives a task."""
+    """One encoder for each vocabulary file and worker process."""
     if path not in _encoders:
         _encoders[path] = ByteLevelEncoder(path)
     return _encoders[path]
