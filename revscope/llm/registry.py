@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from revscope.llm import bpe, language_id, lm_score, media, packing, sharding, token_files, topk
+from revscope.llm import bpe, language_id, lm_score, media, packing, sharding, suffix_dedup, token_files, topk
 
-MODULES = [sharding, bpe, topk, token_files, lm_score, media, language_id, packing]
+MODULES = [sharding, bpe, topk, token_files, suffix_dedup, lm_score, media, language_id, packing]
 
 
 def queries() -> dict:
