@@ -108,8 +108,8 @@ def warm_threshold(max_ect: Column) -> Column:
     return F.when(max_ect > 140, 160.0).otherwise(max_ect - 10)
 
 
-def gear_ratio(rpm: Column, mph: Column) -> Column:
-    return F.when((mph >= 2) & (rpm >= 400), half_up(rpm / mph))
+def gear_ratio(rpm: Column, mph: Column, vss: Column) -> Column:
+    return F.when((vss >= 2) & (rpm >= 400), rpm / mph)
 
 
 def nearest_gear(ratio: Column) -> Column:

@@ -6,11 +6,20 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from revscope.functions import scalars as S
 
-LOG = Window.partitionBy("log_id")
-ORDER = LOG.orderBy("row_idx")
+
+
+def LOG() -> WindowSpec:  # noqa: N802 - windows need a session, so they are made when asked for
+    return Window.partitionBy("log_id")
+
+
+def ORDER() -> WindowSpec:  # noqa: N802
+    return LOG().orderBy("row_idx")
+
+
 REGIONS = ["cruise", "transient", "wot", "idle"]
 SEGMENTS = ["idle", "cruise", "wot", "decel", "other"]
 TRIMS = ["stft_b1", "ltft_b1", "stft_b2", "ltft_b2"]
@@ -27,7 +36,7 @@ def channel(df: DataFrame, name: str) -> Column:
 def vss_units(df: DataFrame) -> DataFrame:
     """Per log the upper median of RPM over road speed in steady cruise, and the factor that makes the speed mph."""
     rpm, vss, tps = F.col("rpm"), F.col("vss"), channel(df, "tps")
-    step = F.coalesce(F.abs(vss - F.lag("vss").over(ORDER)), F.lit(99.0))
+    step = F.coalesce(F.abs(vss - F.lag("vss").over(ORDER())), F.lit(99.0))
     steady = (vss >= 5) & (tps.isNull() | tps.between(8, 35)) & (step < 1.5) & (rpm > 1200) & (rpm < 2800)
     rows = df.select("log_id", F.when(steady, rpm / vss).alias("ratio"))
     return (
@@ -41,7 +50,7 @@ def vss_units(df: DataFrame) -> DataFrame:
 def with_features(df: DataFrame) -> DataFrame:
     """Add prev_tps, prev_map, region, segment, is_idle, warm_at, is_warm and engine_on. One window, one shuffle."""
     rpm, tps, map_, vss, ect = (channel(df, c) for c in ("rpm", "tps", "map", "vss", "ect"))
-    out = df.withColumn("prev_tps", F.lag(tps).over(ORDER)).withColumn("prev_map", F.lag(map_).over(ORDER)).withColumn("warm_at", S.warm_threshold(F.max(ect).over(LOG)))
+    out = df.withColumn("prev_tps", F.lag(tps).over(ORDER())).withColumn("prev_map", F.lag(map_).over(ORDER())).withColumn("warm_at", S.warm_threshold(F.max(ect).over(LOG())))
     return (
         out.withColumn("region", S.region(rpm, tps, map_, F.col("prev_tps"), F.col("prev_map")))
         .withColumn("segment", S.segment(rpm, tps, vss))
@@ -65,7 +74,7 @@ def gate_counts(features: DataFrame) -> DataFrame:
 def trim_styles(rows: DataFrame, trims: Iterable[str] = TRIMS) -> DataFrame:
     """Per log the encoding of each trim channel, from the upper median of its first values."""
     trims = [t for t in trims if t in rows.columns]
-    head = ORDER.rowsBetween(Window.unboundedPreceding, 0)
+    head = ORDER().rowsBetween(Window.unboundedPreceding, 0)
     counted = rows.select("log_id", *trims, *(F.count(t).over(head).alias(f"{t}_n") for t in trims))
     first = [S.upper_median(F.collect_list(F.when(F.col(f"{t}_n") <= STYLE_SAMPLE, F.col(t)))).alias(t) for t in trims]
     return counted.groupBy("log_id").agg(*first).select("log_id", *(S.trim_style(F.col(t)).alias(f"{t}_style") for t in trims))
@@ -86,7 +95,7 @@ def with_cell(rows: DataFrame) -> DataFrame:
 def kr_scales(df: DataFrame) -> DataFrame:
     """Per log whether knock retard is in raw counts (its first positive values are all whole) and its scale."""
     positive = F.when(F.col("kr") > 0, F.col("kr"))
-    nth = F.count(positive).over(ORDER.rowsBetween(Window.unboundedPreceding, 0))
+    nth = F.count(positive).over(ORDER().rowsBetween(Window.unboundedPreceding, 0))
     rows = df.select("log_id", F.when(nth <= KR_SAMPLE, positive).alias("v"))
     whole = F.coalesce(F.bool_and(F.col("v") == F.floor("v")), F.lit(False))
     return rows.groupBy("log_id").agg(whole.alias("raw_counts")).withColumn("scale", F.when(F.col("raw_counts"), S.KR_RAW_TO_DEG).otherwise(1.0))
@@ -95,4 +104,5 @@ def kr_scales(df: DataFrame) -> DataFrame:
 def with_gears(features: DataFrame) -> DataFrame:
     """Add mph, ratio and the nearest gear of each row (no debouncing)."""
     scaled = features.join(vss_units(features).select("log_id", "to_mph"), "log_id").withColumn("mph", F.col("vss") * F.col("to_mph"))
-    return scaled.withColumn("ratio", S.gear_ratio(F.col("rpm"), F.col("mph"))).withColumn("near_gear", S.nearest_gear(F.col("ratio")))
+    ratio = S.gear_ratio(F.col("rpm"), F.col("mph"), F.col("vss"))
+    return scaled.withColumn("ratio", S.half_up(ratio)).withColumn("near_gear", S.nearest_gear(ratio))

@@ -6,14 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from revscope.functions import scalars as S
 from revscope.operators import features as X
 from revscope.operators.features import LOG, ORDER
 
-TRUE, FALSE = F.lit(True), F.lit(False)
-
-
 def domain(df: DataFrame, name: str, values: list[str]) -> DataFrame:
     """Every log with every value of a fixed domain."""
     return df.select("log_id").distinct().withColumn(name, F.explode(F.array(*map(F.lit, values))))
@@ -21,8 +19,8 @@ def domain(df: DataFrame, name: str, values: list[str]) -> DataFrame:
 
 def islands(df: DataFrame, inside: Column) -> DataFrame:
     """Rows inside a predicate, numbered by the run that they belong to; a NULL ends a run."""
-    hit = F.coalesce(inside, FALSE)
-    marked = df.withColumn("_in", hit).withColumn("run", F.col("row_idx") - F.sum(hit.cast("long")).over(ORDER))
+    hit = F.coalesce(inside, F.lit(False))
+    marked = df.withColumn("_in", hit).withColumn("run", F.col("row_idx") - F.sum(hit.cast("long")).over(ORDER()))
     return marked.where("_in").drop("_in")
 
 
@@ -42,7 +40,7 @@ def segment_breakdown(f: DataFrame) -> DataFrame:
     bank = {b: S.trim_counts(F.col(f"stft_b{b}"), F.col(f"stft_b{b}_style")) + S.trim_counts(F.col(f"ltft_b{b}"), F.col(f"ltft_b{b}_style")) - 128 for b in (1, 2)}
     sums = styled.groupBy("log_id", "segment").agg(F.count("*").alias("n_rows"), *(S.half_up(F.avg(c), 1).alias(f"trim_b{b}") for b, c in bank.items()))
     full = domain(f, "segment", X.SEGMENTS).join(sums, ["log_id", "segment"], "left").fillna(0, ["n_rows"])
-    return full.withColumn("share_pct", S.half_up(100 * F.col("n_rows") / F.sum("n_rows").over(LOG), 1))
+    return full.withColumn("share_pct", S.half_up(100 * F.col("n_rows") / F.sum("n_rows").over(LOG()), 1))
 
 
 def _cells(f: DataFrame) -> DataFrame:
@@ -132,12 +130,13 @@ def _banks(f: DataFrame, keep: list[str]) -> DataFrame:
     return long.select("log_id", "row_idx", *keep, "x.bank", "x.mv").where("mv is not null")
 
 
-BANK_ORDER = Window.partitionBy("log_id", "bank").orderBy("row_idx")
+def BANK_ORDER() -> WindowSpec:  # noqa: N802
+    return Window.partitionBy("log_id", "bank").orderBy("row_idx")
 
 
 def o2_cross_counts(f: DataFrame) -> DataFrame:
     rows = _banks(X.gated(f).where(F.col("region").isin("cruise", "idle")), ["time_s"]).withColumn("above", F.col("mv") > 450)
-    rows = rows.withColumn("cross", F.coalesce(F.col("above") != F.lag("above").over(BANK_ORDER), FALSE))
+    rows = rows.withColumn("cross", F.coalesce(F.col("above") != F.lag("above").over(BANK_ORDER()), F.lit(False)))
     sums = rows.groupBy("log_id", "bank").agg(F.count("*").alias("samples"), F.count_if("cross").alias("crossings"), F.min_by("time_s", "row_idx").alias("t0"), F.max_by("time_s", "row_idx").alias("t1"))
     minutes = F.when(F.col("t1") > F.col("t0"), (F.col("t1") - F.col("t0")) / 60).otherwise(F.col("samples") / 600)
     rate = F.when(F.col("samples") > 30, S.half_up(F.col("crossings") / minutes))
@@ -185,7 +184,7 @@ def baro_check(f: DataFrame, altitude_ft: float = 900.0) -> DataFrame:
     sums = f.groupBy("log_id").agg(F.count(valid).alias("samples"), S.upper_median(F.collect_list(valid)).alias("mid"), F.min(valid).alias("low"), F.max(valid).alias("high"), F.count_if(full).alias("full_n"), F.max(F.when(full, F.col("map"))).alias("full_peak"))
     expected = S.baro_for_altitude(F.lit(altitude_ft))
     off = F.abs(F.col("mid") - expected)
-    flag = F.coalesce((F.col("full_n") >= 10) & (F.col("full_peak") > F.col("mid") + 5), FALSE)
+    flag = F.coalesce((F.col("full_n") >= 10) & (F.col("full_peak") > F.col("mid") + 5), F.lit(False))
     status = F.when(off >= 5, "fault").when((off >= 3) | flag, "warn").otherwise("ok")
     enough = F.col("samples") >= 10
     return sums.select(
@@ -197,9 +196,9 @@ def baro_check(f: DataFrame, altitude_ft: float = 900.0) -> DataFrame:
 def o2_health(f: DataFrame) -> DataFrame:
     """Switching rate and amplitude of each sensor, with a latch between 400 and 500 mV."""
     rows = _banks(f.where(F.col("ect").isNull() | (F.col("ect") > 160)), ["time_s"])
-    side = F.when(F.col("mv") > 500, TRUE).when(F.col("mv") < 400, FALSE)
-    held = rows.withColumn("side", side).withColumn("latch", F.last("side", ignorenulls=True).over(BANK_ORDER))
-    held = held.withColumn("switch", F.coalesce(F.col("latch") != F.lag("latch").over(BANK_ORDER), FALSE))
+    side = F.when(F.col("mv") > 500, F.lit(True)).when(F.col("mv") < 400, F.lit(False))
+    held = rows.withColumn("side", side).withColumn("latch", F.last("side", ignorenulls=True).over(BANK_ORDER()))
+    held = held.withColumn("switch", F.coalesce(F.col("latch") != F.lag("latch").over(BANK_ORDER()), F.lit(False)))
     sums = held.groupBy("log_id", "bank").agg(
         F.count("*").alias("samples"), F.count_if("switch").alias("switches"), F.avg(F.when(F.col("mv") > 500, F.col("mv"))).alias("hi"), F.avg(F.when(F.col("mv") < 400, F.col("mv"))).alias("lo"), F.min_by("time_s", "row_idx").alias("t0"), F.max_by("time_s", "row_idx").alias("t1")
     )
@@ -257,7 +256,7 @@ def idle_stability(f: DataFrame) -> DataFrame:
 def _duty(f: DataFrame) -> DataFrame:
     pulse = X.channel(f, "inj_pw") * F.col("rpm") / 1200
     rows = f.withColumn("duty", F.col("inj_dc") if "inj_dc" in f.columns else pulse).where("duty >= 0")
-    return rows.withColumn("duty", F.when(F.max("duty").over(LOG) <= 1.5, F.col("duty") * 100).otherwise(F.col("duty")))
+    return rows.withColumn("duty", F.when(F.max("duty").over(LOG()) <= 1.5, F.col("duty") * 100).otherwise(F.col("duty")))
 
 
 def injector_cells(f: DataFrame) -> DataFrame:
@@ -293,7 +292,7 @@ def health_issues(f: DataFrame) -> DataFrame:
     )
     flat = reduce(lambda e, kv: F.when((F.col("channel") == kv[0]) & (F.col("usable") >= 30) & (F.col("range") <= kv[1][0]), kv[1][1]).otherwise(e), SHOULD_MOVE.items(), F.lit(None).cast("string"))
     named = stats.select("log_id", "channel", F.explode(F.array(F.struct(F.lit("dropout").alias("code"), dropout.alias("severity")), F.struct(F.lit("flatline").alias("code"), flat.alias("severity")))).alias("x"))
-    timed = f.where("time_s is not null").withColumn("step", F.col("time_s") - F.lag("time_s").over(ORDER))
+    timed = f.where("time_s is not null").withColumn("step", F.col("time_s") - F.lag("time_s").over(ORDER()))
     steps = timed.groupBy("log_id").agg(F.count("*").alias("n"), F.count_if(F.col("step") <= 0).alias("backward"), S.upper_median(F.collect_list(F.when(F.col("step") > 0, F.col("step")))).alias("mid"), (F.max_by("time_s", "row_idx") - F.min_by("time_s", "row_idx")).alias("span"))
     gaps = timed.join(steps.select("log_id", "mid"), "log_id").where((F.col("step") > 3 * F.col("mid")) & (F.col("step") > 0.5)).groupBy("log_id").agg(F.count("*").alias("gaps"), F.max("step").alias("widest"))
     rate = F.col("span") / (F.col("n") - 1)
