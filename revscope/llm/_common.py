@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from revscope.cluster import ship_package, staged
 
-__all__ = ["arrow_map", "bytes_of", "documents", "hash_words", "keyed", "mix64", "share", "slices", "staged", "table_bytes"]
+__all__ = ["arrow_map", "bitmap_split", "bytes_of", "documents", "hash_words", "keyed", "mix64", "share", "slices", "staged", "table_bytes"]
 
 #: Multiplier of the polynomial hash of a word's bytes: any odd number serves, and it must stay fixed between tasks.
 _R = 0x9E3779B97F4A7C15
@@ -37,6 +37,20 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def bitmap_split(df: DataFrame, ids: DataFrame, key: str, bits: int = 1 << 23) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``key`` may be in ``ids``, and rows whose key is certainly not.
+
+    The test is a bitmap of hashed keys, broadcast as at most ``bits / 64`` rows
+    whatever the input, so that the texts of most rows need no shuffle for a join
+    with few ids. When the bitmap fills up it lets more rows pass, never fewer.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    marks = ids.select(place.alias("__b")).groupBy(F.floor(F.col("__b") / 64).alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(__b % 64 as int)))").alias("__bits"))
+    marked = df.withColumn("__b", place).join(F.broadcast(staged(marks, "bitmap")), F.floor(F.col("__b") / 64) == F.col("__word"), "left")
+    maybe = F.expr("coalesce((shiftright(__bits, cast(__b % 64 as int)) & 1L) = 1L, false)")
+    return marked.where(maybe).drop("__b", "__word", "__bits"), marked.where(~maybe).drop("__b", "__word", "__bits")
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``limit`` bytes of ``column``; a longer value stands alone."""
     values = batch.column(batch.schema.get_field_index(column))

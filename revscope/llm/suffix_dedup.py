@@ -6,8 +6,8 @@
    among the short word runs inside a window, so equal windows have equal
    minimizers). A window whose minimizer occurs in one text alone repeats nowhere.
 3. The remaining windows are suffixes of their texts, described by hashes of
-   prefixes of growing length. Suffixes are dealt out by a prefix: a short one,
-   or where too many suffixes begin with it, a longer one, up to the whole window.
+   prefixes of growing length. Suffixes are dealt to groups by a prefix: a short
+   one, or where a group would grow too large, a longer one, up to the whole window.
    Sorted by these hashes, the suffixes of a group are the leaves of a suffix tree
    cut off at window depth: suffixes equal to that depth hang below one deep node,
    the node of a maximal repeat (longer repeats are runs of such nodes). The
@@ -35,15 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revscope.llm._common import arrow_map, documents, hash_words, keyed, mix64, slices, staged, table_bytes
+from revscope.llm._common import arrow_map, bitmap_split, documents, hash_words, keyed, mix64, slices, staged, table_bytes
 
 WINDOW = 50
 #: Words of the runs that minimizers are chosen from.
 RUN = 20
 #: Depths, in words, of the prefixes that suffixes are dealt by.
 PREFIXES = (10, 25)
-#: A prefix with more suffixes than this is replaced by the next longer one.
-GROUP_ROWS = 200_000
+#: Suffixes of a group that prefixes are gathered in, on average; a group four times as large is cut by the next longer prefix.
+GROUP_ROWS = 50_000
 SLICE = 1 << 20
 LOWEST = -(2**63)
 _R = 0xD6E8FEB86659FD93
@@ -94,8 +94,8 @@ def _minimizers(words: np.ndarray, window: int, run: int) -> np.ndarray:
     return sliding_min(run_hashes(words, run), window - run + 1)
 
 
-def _shared_minimizers(texts: DataFrame, window: int, run: int) -> DataFrame:
-    """(doc_id, keys): the minimizers of each text that other texts have too."""
+def _shared_minimizers(texts: DataFrame, copies: DataFrame, window: int, run: int) -> DataFrame:
+    """(doc_order, keys): the minimizers of each text, copies aside, that other texts have too."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -108,7 +108,7 @@ def _shared_minimizers(texts: DataFrame, window: int, run: int) -> DataFrame:
                     docs.append(np.full(len(own), ids[row]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(docs))], names=["key", "doc_order"])
 
-    keys = staged(arrow_map(texts, emit, "key long, doc_order long"), "minimizers")
+    keys = staged(arrow_map(texts, emit, "key long, doc_order long").join(copies, "doc_order", "left_anti"), "minimizers")
     common = keys.groupBy("key").agg(F.min("doc_order").alias("least"), F.max("doc_order").alias("most")).where("least < most")
     return keys.join(common.select("key"), "key", "left_semi").groupBy("doc_order").agg(F.collect_list("key").alias("keys"))
 
@@ -148,13 +148,14 @@ def _suffixes(candidates: DataFrame, window: int, run: int) -> DataFrame:
 
 def _later_suffixes(suffixes: DataFrame, group_rows: int) -> DataFrame:
     """(doc_order, start) of the suffixes below a node that an earlier document has too."""
-    key = F.col("deep")
+    n_groups = max(1, -(-suffixes.count() // group_rows))
+    group = F.pmod(F.col("deep"), F.lit(n_groups)) + len(PREFIXES) * n_groups
     for k in reversed(range(len(PREFIXES))):
-        wide = suffixes.groupBy(f"p{k}").count().where(F.col("count") > group_rows).select(F.col(f"p{k}").alias(f"wide{k}"))
-        suffixes = suffixes.join(wide, F.col(f"p{k}") == F.col(f"wide{k}"), "left")
-        key = F.when(F.col(f"wide{k}").isNull(), F.col(f"p{k}")).otherwise(key)
-    prefixes = [f"p{k}" for k in range(len(PREFIXES))]
-    groups = suffixes.select(key.alias("prefix"), *prefixes, "deep", "doc_order", "start")
+        own = F.pmod(F.col(f"p{k}"), F.lit(n_groups)) + k * n_groups
+        # at most a quarter of the groups can be this full
+        full = [r.g for r in suffixes.groupBy(own.alias("g")).count().where(F.col("count") > 4 * group_rows).collect()]
+        group = F.when(own.isin(full), group).otherwise(own) if full else own
+    groups = suffixes.select(group.alias("prefix"), "deep", "doc_order", "start")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node_before, least_before = None, None
@@ -169,21 +170,20 @@ def _later_suffixes(suffixes: DataFrame, group_rows: int) -> DataFrame:
             late = pa.array(doc > least)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).filter(late) for c in ("doc_order", "start")], names=["doc_order", "start"])
 
-    return arrow_map(groups.repartition("prefix").sortWithinPartitions("prefix", *prefixes, "deep", "doc_order"), scan, "doc_order long, start int")
+    return arrow_map(groups.repartition("prefix").sortWithinPartitions("prefix", "deep", "doc_order"), scan, "doc_order long, start int")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, group_rows: int = GROUP_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_order, starts): where windows to be removed begin; ``starts`` is null where a whole earlier copy covers all windows."""
     if window < run:
         raise ValueError("a window holds at least one run")
-    rows = keyed(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_order"), "text").where(F.col("text").isNotNull())
-    names = rows.select("doc_order", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.octet_length("text"), "text").alias("h2"))
+    rows = keyed(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_order"), "text")
+    names = rows.where("text is not null").select("doc_order", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.octet_length("text"), "text").alias("h2"))
     first = names.groupBy("h1", "h2").agg(F.min("doc_order").alias("first"))
-    owners = staged(names.join(first, ["h1", "h2"]).select("doc_order", "first"), "owners")
-    copies = owners.where("first < doc_order").select("doc_order").distinct()
-    own = rows.join(copies, "doc_order", "left_anti")
-    shared = _shared_minimizers(own, window, run)
-    suffixes = staged(_suffixes(own.join(shared, "doc_order"), window, run), "suffixes")
+    copies = staged(names.join(first, ["h1", "h2"]).where("first < doc_order").select("doc_order").distinct(), "copies")
+    shared = staged(_shared_minimizers(rows, copies, window, run), "shared-minimizers")
+    near, _ = bitmap_split(rows, shared, "doc_order")
+    suffixes = staged(_suffixes(near.join(shared, "doc_order"), window, run), "suffixes")
     late = suffixes.where("repeat").select("doc_order", "start").unionByName(_later_suffixes(suffixes.where("not repeat").drop("repeat"), group_rows))
     found = late.groupBy("doc_order").agg(F.collect_set("start").alias("starts"))
     return found.unionByName(copies.select("doc_order", F.lit(None).cast("array<int>").alias("starts")))
@@ -202,9 +202,12 @@ def _covered(n: int, starts: list[int] | None, window: int) -> np.ndarray:
 
 
 def _with_repeats(docs: DataFrame, id_col: str, found: DataFrame) -> DataFrame:
+    """The documents with the columns ``__starts`` and ``__found``. Only texts that may have repeats are shuffled for the join."""
+    found = staged(found.select(F.col("doc_order").alias("__order"), F.col("starts").alias("__starts")), "repeats")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
-    marked = found.select(F.col("doc_order").alias("_order"), "starts", F.lit(True).alias("_found"))
-    return docs.withColumn("_key", key).join(marked, F.col("_key") == F.col("_order"), "left").drop("_key", "_order")
+    near, far = bitmap_split(docs.withColumn("__order", key), found, "__order")
+    joined = near.join(found.withColumn("__found", F.lit(True)), "__order", "left")
+    return joined.unionByName(far.withColumns({"__starts": F.lit(None).cast("array<int>"), "__found": F.lit(None).cast("boolean")})).drop("__order")
 
 
 def _kept(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int, int, int, bytes]]:
@@ -212,7 +215,7 @@ def _kept(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int, int, int, b
     raw, offsets = table_bytes(batch.column(batch.schema.get_field_index("text")))
     _, begins, ends, firsts = hash_words(raw, offsets, lower=False)
     text = raw.tobytes()
-    starts, found = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("starts", "_found"))
+    starts, found = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__starts", "__found"))
     for row in range(batch.num_rows):
         a, b = int(firsts[row]), int(firsts[row + 1])
         gone = _covered(b - a, starts[row], window) if found[row] else np.zeros(b - a, bool)
@@ -232,7 +235,7 @@ def removals(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text
                 n, gone, sums = zip(*out, strict=True) if out else ((), (), ())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sums, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    rows = _with_repeats(keyed(docs, id_col, text_col), "doc_id", found).select("doc_id", "text", "starts", "_found")
+    rows = _with_repeats(keyed(docs, id_col, text_col), "doc_id", found).select("doc_id", "text", "__starts", "__found")
     return arrow_map(rows, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
