@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revscope.llm._common import arrow_map, documents, hash_words, keyed, mix64, slices, staged, table_bytes
+from revscope.llm._common import arrow_map, bitmap_split, documents, hash_words, keyed, mix64, slices, staged, table_bytes
 from revscope.llm.suffix_dedup import run_hashes
 
 WORDS = 5
@@ -275,7 +275,8 @@ def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame
     """(a, b): a spanning forest of the links inside each candidate group."""
     wanted = groups.join(nodes.select("node", "doc_order", "n"), "node")
     tiles = wanted.groupBy("label").agg(F.ceil(F.sum("n") / TILE_SHINGLES).alias("tiles"))
-    texts = docs.join(wanted.select("doc_order", "node", "label"), "doc_order").select("text", "node", "label")
+    near, _ = bitmap_split(docs, wanted, "doc_order")
+    texts = near.join(wanted.select("doc_order", "node", "label"), "doc_order").select("text", "node", "label")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -329,8 +330,8 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The document with the smallest doc_id of each component, with all its columns; a doc_id must be unique."""
     names = docs.columns
-    kept = components_of(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(names)
+    kept = components_of(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__kept"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(names)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,8 +84,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents that have a language; those predicted ``und`` go. All columns are kept."""
     names = docs.columns
-    found = identify(docs).where(F.col("lang_pred") != UNKNOWN).select(F.col("doc_id").alias("_known")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_known"), "left_semi").select(names)
+    found = identify(docs).where(F.col("lang_pred") != UNKNOWN).select(F.col("doc_id").alias("__known")).distinct()
+    return docs.join(found, F.col("doc_id") == F.col("__known"), "left_semi").select(names)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
