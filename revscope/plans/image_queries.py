@@ -119,7 +119,7 @@ register(
 
 
 def _log0(rows: DataFrame) -> DataFrame:
-    return rows.where("mode = 'balanced' and log_id = 0")
+    return rows.where("mode = 'aggressive' and log_id = 0")
 
 
 def fuel_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +139,7 @@ def smooth_sql(targets: str, n_rows: int, n_cols: int, name: str, outer: bool) -
 
 AXES = f"xr AS (SELECT unnest({I.RPM17}) AS v, unnest(generate_series(0, 16)) AS i), xm AS (SELECT unnest({I.MAP13}) AS v, unnest(generate_series(0, 12)) AS i)"
 FUEL_TARGETS = """ft AS (SELECT xr.i AS "row", xm.i AS col, first(delta_pct ORDER BY abs(avg_trim) DESC, first_row) AS delta FROM fsg JOIN xr ON xr.v BETWEEN rpm_lo AND rpm_lo + 500 JOIN xm ON xm.v BETWEEN map_lo AND map_lo + 10
-  WHERE mode = 'balanced' AND log_id = 0 AND action <> 'none' AND table_name = 'Main VE' GROUP BY ALL)"""
+  WHERE mode = 'aggressive' AND log_id = 0 AND action <> 'none' AND table_name = 'Main VE' GROUP BY ALL)"""
 PATCH = "SELECT title, \"row\", col, address, size, raw AS old_value, greatest(0, least(CASE WHEN size = 2 THEN 65535 ELSE 255 END, {0})) AS new_value, {1} AS delta, smoothed FROM ta JOIN {2} s USING (\"row\", col) WHERE title = '{3}'"
 FUEL_PATCH = (MODES, FUEL, IMAGES, CAT, read_sql("ia", "ta"), AXES, FUEL_TARGETS, smooth_sql("ft", 17, 13, "fsm", True), f"fpt AS ({PATCH.format(hi('raw * (1 + delta / 100)'), hu('delta'), 'fsm', 'Main VE')})", "fpp AS (SELECT * FROM fpt WHERE old_value <> new_value)")
 register("apply_fuel", fuel_patches, with_(*FUEL_PATCH, "SELECT * FROM fpp"))
@@ -148,7 +148,7 @@ register(
     lambda spark, sf_dir: I.smoothed(I.fuel_targets(_log0(fuel(X.with_features(telemetry(spark, sf_dir)))).where("table_name = 'Main VE'"), I.RPM17, I.MAP13), 17, 13).withColumn("delta", I.S.half_up(F.col("delta"), 4)),
     with_(MODES, FUEL, AXES, FUEL_TARGETS, smooth_sql("ft", 17, 13, "fsm", True), f'SELECT "row", col, {hu("delta", 4)} AS delta, smoothed FROM fsm'),
 )
-SPARK_TARGETS = """st AS (SELECT "row", col, min(delta_deg) AS delta FROM ssg WHERE mode = 'balanced' AND log_id = 0 AND action <> 'none' GROUP BY "row", col)"""
+SPARK_TARGETS = """st AS (SELECT "row", col, min(delta_deg) AS delta FROM ssg WHERE mode = 'aggressive' AND log_id = 0 AND action <> 'none' GROUP BY "row", col)"""
 register(
     "apply_spark",
     spark_patches,
