@@ -146,7 +146,7 @@ def breakpoints(labels: Column) -> Column:
 
 def normalized_header(name: Column) -> Column:
     lowered = F.regexp_replace(F.lower(name), r"[_\-]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(lowered, r"[()\[\]%]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(lowered, r"[()\[\]%]", ""), r"\s+", " "))
 
 
 def raw_per_unit(equation: Column) -> Column:
