@@ -4,9 +4,10 @@ Method, with no link lost:
 
 1. Every text becomes its set of distinct 5-word shingle hashes. Texts with equal
    sets are copies of one another and go on as one representative.
-2. Sets that overlap enough share at least one of their smallest hashes (the
-   prefix, a quarter of the set). Sets that meet under a prefix hash form a block;
-   blocks with the same members count once.
+2. Sets that overlap enough share a hash of their prefixes, a quarter of each set
+   under any one order of hashes. The order puts shingles last that repeat often,
+   so that passages common to many texts rarely stand in a prefix. Sets that meet
+   under a prefix hash form a block; blocks with the same members count once.
 3. In a block the sets are points: shingles are hashed into groups and a point
    counts them per group. An R-tree packs the points by set size and keeps the
    coordinate maxima of each node; the summed minima of a query and a node bound
@@ -47,6 +48,12 @@ TILE_POINTS = 2048
 TILE_SHINGLES = 400_000
 #: Children of a node of the tree.
 FANOUT = 16
+#: A shingle counts as frequent from so many texts on, summed over the tasks in which it repeats.
+FREQUENT = 24
+#: Places of the bitmap that frequent shingles are marked in. Its size is fixed, and any marking gives a valid order.
+PLACES = 1 << 23
+#: Shingles gathered before repeats among them are counted.
+GATHER = 4 << 20
 LOWEST = -(2**63)
 
 
@@ -181,8 +188,46 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _describe(docs: DataFrame) -> DataFrame:
+def _frequent(docs: DataFrame) -> np.ndarray:
+    """A bitmap over the places of frequent shingles, ``PLACES`` bits whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def repeated() -> pa.RecordBatch:
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys[counts > 1].view(np.int64)), pa.array(counts[counts > 1])], names=["key", "n"])
+
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE):
+                held += shingle_sets(batch)
+                if sum(map(len, held)) > GATHER:
+                    yield repeated()
+        if held:
+            yield repeated()
+
+    counts = arrow_map(docs.select("doc_id", "text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    place = F.pmod("key", F.lit(PLACES))
+    words = counts.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).toPandas()
+    bitmap = np.zeros(PLACES // 64, np.uint64)
+    bitmap[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    return bitmap
+
+
+def prefix(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """The first hashes of a set in the common order: those not marked as frequent by value, then the marked ones."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    place = hashes & np.uint64(PLACES - 1)
+    marked = (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)
+    return np.concatenate([hashes[marked == 0], hashes[marked == 1]])[: n - -(-3 * n // 4) + 1]
+
+
+def _describe(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
     """Per text: set size, two fingerprints of the set, its count vector and its prefix."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -190,14 +235,14 @@ def _describe(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(batch)
                 sizes = [len(s) for s in sets]
                 marks = [fingerprint(s) for s in sets]
-                prefixes = [s[: len(s) - -(-3 * len(s) // 4) + 1].view(np.int64) for s in sets]
+                prefixes = [prefix(s, shared.value).view(np.int64) for s in sets]
                 columns = [
                     batch.column(0),
                     pa.array(sizes, pa.int64()),
                     pa.array([m[0] for m in marks], pa.int64()),
                     pa.array([m[1] for m in marks], pa.int64()),
                     pa.array([count_vector(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
-                    pa.array([p if n else np.zeros(0, np.int64) for p, n in zip(prefixes, sizes, strict=True)], pa.list_(pa.int64())),
+                    pa.array(prefixes, pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "mark", "mark2", "vector", "prefix"])
 
@@ -229,10 +274,10 @@ def _edges_of(tables: Iterator[pa.Table], forest: Callable[[pa.Table], list[tupl
 
 def _candidates(nodes: DataFrame) -> DataFrame:
     """(a, b): a spanning forest of the pairs of sets that survive the bound in some block."""
-    keys = nodes.select("node", F.explode("prefix").alias("key"))
+    keys = nodes.select("node", F.explode("prefix").alias("key")).where("key is not null")
     blocks = keys.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("block")).where("members > 1")
     members = keys.join(blocks, "key").groupBy("block", "node").agg(F.max("members").alias("members"))
-    tiles = members.withColumn("tiles", F.ceil(F.col("members") / TILE_POINTS)).join(nodes.select("node", "n", "vector"), "node")
+    tiles = members.withColumn("tiles", F.ceil(F.col("members") / TILE_POINTS)).join(nodes.select("node", "n", "vector").dropDuplicates(["node"]), "node")
 
     def forest(table: pa.Table) -> list[tuple[int, int]]:
         sizes = table.column("n").to_numpy()
@@ -273,7 +318,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
     """(a, b): a spanning forest of the links inside each candidate group."""
-    wanted = groups.join(nodes.select("node", "doc_order", "n"), "node")
+    wanted = staged(groups.join(nodes.select("node", "doc_order", "n").dropDuplicates(["node"]), "node"), "wanted")
     tiles = wanted.groupBy("label").agg(F.ceil(F.sum("n") / TILE_SHINGLES).alias("tiles"))
     near, _ = bitmap_split(docs, wanted, "doc_order")
     texts = near.join(wanted.select("doc_order", "node", "label"), "doc_order").select("text", "node", "label")
@@ -314,11 +359,15 @@ def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame
 def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     docs = keyed(docs, id_col, text_col)
-    sets = staged(_describe(docs), "shingle-sets")
     order = F.coalesce("doc_id", F.lit(LOWEST))
-    nodes = sets.where("n > 0").groupBy(F.col("mark").alias("node"), "mark2", "n").agg(F.min(order).alias("doc_order"))
-    own = sets.where("n > 0").withColumn("doc_order", order).select("mark", "mark2", "n", "doc_order", "vector", "prefix")
-    nodes = staged(nodes.withColumnRenamed("node", "mark").join(own, ["mark", "mark2", "n", "doc_order"]).dropDuplicates(["mark", "mark2", "n"]).withColumnRenamed("mark", "node").drop("mark2"), "sets")
+    sets = staged(_describe(docs, _frequent(docs)).withColumn("doc_order", order), "shingle-sets")
+    filled = sets.where("n > 0")
+    least = filled.groupBy("mark", "mark2", "n").agg(F.min("doc_order").alias("first"))
+    copies = staged(filled.select("mark", "mark2", "n", "doc_order").join(least, ["mark", "mark2", "n"]).where("first < doc_order").select("doc_order", "mark").distinct(), "set-copies")
+    # only sets that may be copies are shuffled to find out
+    near, far = bitmap_split(filled, copies, "doc_order")
+    own = near.join(copies, ["doc_order", "mark"], "left_anti").select(far.columns).unionByName(far)
+    nodes = own.select(F.col("mark").alias("node"), "n", "doc_order", "vector", "prefix")
     groups = staged(connected(_candidates(nodes)), "candidate-groups")
     plain = docs.withColumn("doc_order", order).drop("doc_id")
     labels = connected(_verified(plain, nodes, groups))
