@@ -11,7 +11,7 @@ from revscope.functions import scalars as S
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """Binary files as (image_id, offset, byte)."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("image_id"), F.hex("content").alias("hex"))
-    pairs = F.transform(F.sequence(F.lit(0), F.length("hex") / 2 - 1), lambda i: F.conv(F.col("hex").substr(i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), (F.length("hex") / 2 - 1).cast("int")), lambda i: F.conv(F.col("hex").substr((i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))
     return files.where(F.length("hex") > 0).select("image_id", F.posexplode(pairs).alias("offset", "byte"))
 
 
