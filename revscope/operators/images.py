@@ -55,11 +55,15 @@ def elements(tables: DataFrame) -> DataFrame:
 
 
 def read_tables(images: DataFrame, tables: DataFrame) -> DataFrame:
-    """Raw and decoded values of all tables in all images; big-endian, NULL beyond the image."""
+    """Raw and decoded values of all tables in all images; big-endian, NULL for an element cut by the image's end.
+
+    The elements of a catalog are bounded by the size of an image and are the
+    side that is broadcast; images may be any number. Elements wholly beyond an
+    image have no row.
+    """
     cells = elements(tables)
     byte_rows = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("k")).withColumn("offset", F.col("address") + F.col("k"))
-    ids = images.select("image_id").distinct()
-    joined = byte_rows.join(F.broadcast(ids), F.lit(True)).join(images, ["image_id", "offset"], "left")
+    joined = images.join(F.broadcast(byte_rows), "offset")
     keys = ["image_id", "title", "row", "col", "address", "size", "x_label", "y_label", "equation"]
     weight = F.when(F.col("k") == F.col("size") - 1, 1).otherwise(256)
     raw = joined.groupBy(*keys).agg(F.when(F.count("byte") == F.first("size"), F.sum(F.col("byte") * weight)).alias("raw"))
