@@ -298,16 +298,15 @@ def _candidates(nodes: DataFrame) -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of the component of every node that has an edge.
 
-    Alternating large-star and small-star steps; each step is written to the
-    shared folder, and ends when a step changes nothing.
+    Alternating large-star and small-star steps, each written to the shared
+    folder, until every node has one edge, to a node that has none.
     """
     e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
     while True:
-        state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if tuple(state) == before or state[0] == 0:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
-        before = tuple(state)
+        roots = e.select(F.col("b").alias("a")).distinct().withColumn("root", F.lit(1))
+        open_nodes = e.groupBy("a").agg(F.count("*").alias("n")).join(roots, "a", "left").where("n > 1 or root = 1")
+        if open_nodes.isEmpty():
+            return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
