@@ -48,10 +48,10 @@ TILE_POINTS = 2048
 TILE_SHINGLES = 400_000
 #: Children of a node of the tree.
 FANOUT = 16
-#: A shingle counts as frequent from so many texts on, summed over the tasks in which it repeats.
-FREQUENT = 24
 #: Places of the bitmap that frequent shingles are marked in. Its size is fixed, and any marking gives a valid order.
-PLACES = 1 << 23
+PLACES = 1 << 25
+#: The most frequent shingles are marked, as many as leave this part of the bitmap or more unmarked.
+UNMARKED = 7 / 8
 #: Shingles gathered before repeats among them are counted.
 GATHER = 4 << 20
 LOWEST = -(2**63)
@@ -189,7 +189,11 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
-    """A bitmap over the places of frequent shingles, ``PLACES`` bits whatever the input."""
+    """A bitmap over the places of the shingles that repeat most, ``PLACES`` bits whatever the input.
+
+    Repeats are counted inside tasks and summed. Shingles are marked from a count
+    on that is the least power of two whose shingles fit the bitmap.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -207,7 +211,10 @@ def _frequent(docs: DataFrame) -> np.ndarray:
         if held:
             yield repeated()
 
-    counts = arrow_map(docs.select("doc_id", "text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    counts = staged(arrow_map(docs.select("doc_id", "text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "shingle-counts")
+    powers = {r.power: r.keys for r in counts.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count("*").alias("keys")).collect()}
+    least = next(p for p in range(1, 65) if sum(keys for power, keys in powers.items() if power >= p) <= (1 - UNMARKED) * PLACES)
+    counts = counts.where(F.floor(F.log2("n")) >= least)
     place = F.pmod("key", F.lit(PLACES))
     words = counts.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).toPandas()
     bitmap = np.zeros(PLACES // 64, np.uint64)

@@ -179,7 +179,7 @@ def brute_components(texts):
 @pytest.mark.parametrize("tile", [2048, 3])
 def test_jaccard_components_equal_brute_force(docs, texts, tile, monkeypatch):
     monkeypatch.setattr(jaccard, "TILE_POINTS", tile)
-    monkeypatch.setattr(jaccard, "FREQUENT", 24 if tile > 3 else 2)
+    monkeypatch.setattr(jaccard, "UNMARKED", 7 / 8 if tile > 3 else 1)
     monkeypatch.setattr(jaccard, "TILE_SHINGLES", 400_000 if tile > 3 else 300)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components_of(docs).collect()}
     want = brute_components(texts)
