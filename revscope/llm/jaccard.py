@@ -324,10 +324,12 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
     """(a, b): a spanning forest of the links inside each candidate group."""
-    wanted = staged(groups.join(nodes.select("node", "doc_order", "n").dropDuplicates(["node"]), "node"), "wanted")
+    wanted = groups.join(nodes.select("node", "doc_order", "n").dropDuplicates(["node"]), "node")
     tiles = wanted.groupBy("label").agg(F.ceil(F.sum("n") / TILE_SHINGLES).alias("tiles"))
+    # the tiles are known before the texts move, so that sets are shuffled once
+    wanted = staged(wanted.join(tiles, "label"), "wanted")
     near, _ = bitmap_split(docs, wanted, "doc_order")
-    texts = near.join(wanted.select("doc_order", "node", "label"), "doc_order").select("text", "node", "label")
+    texts = near.join(wanted.select("doc_order", "node", "label", "tiles"), "doc_order").select("text", "node", "label", "tiles")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -335,7 +337,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame
                 sets = shingle_sets(batch)
                 node = batch.column(1).to_numpy()
                 own = [k for k, s in enumerate(sets) if fingerprint(s)[0] == node[k]]
-                yield pa.RecordBatch.from_arrays([pa.array(node[own]), batch.column(2).take(pa.array(own, pa.int64())), pa.array([len(sets[k]) for k in own], pa.int64()), pa.array([sets[k].tobytes() for k in own], pa.binary())], names=["node", "label", "n", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[own]), *(batch.column(c).take(pa.array(own, pa.int64())) for c in (2, 3)), pa.array([len(sets[k]) for k in own], pa.int64()), pa.array([sets[k].tobytes() for k in own], pa.binary())], names=["node", "label", "tiles", "n", "hashes"])
 
     def forest(table: pa.Table) -> list[tuple[int, int]]:
         sizes = table.column("n").to_numpy()
@@ -357,7 +359,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _edges_of(grouped(batches, ["label", "ti", "tj"]), forest)
 
-    sets = arrow_map(texts, gather, "node long, label long, n long, hashes binary").join(tiles, "label")
+    sets = arrow_map(texts, gather, "node long, label long, tiles long, n long, hashes binary")
     clustered = _tiled(sets, "label", "tiles", ["n", "node"])
     return arrow_map(clustered.select("label", "ti", "tj", "node", "n", "hashes"), run, "a long, b long").distinct()
 
