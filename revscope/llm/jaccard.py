@@ -90,6 +90,15 @@ def count_vector(hashes: np.ndarray) -> np.ndarray:
     return np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width).astype("<u2")
 
 
+def packed(vector: np.ndarray) -> bytes:
+    """A vector in one byte for each group where its counts allow, else in two."""
+    return (vector.astype("u1") if vector.max(initial=0) < 256 else vector).tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "u1" if len(data) == width_of(n) else "<u2").astype("<u2")
+
+
 def fold(vectors: np.ndarray, width: int) -> np.ndarray:
     while vectors.shape[-1] > width:
         half = vectors.shape[-1] // 2
@@ -248,7 +257,7 @@ def _describe(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
                     pa.array(sizes, pa.int64()),
                     pa.array([m[0] for m in marks], pa.int64()),
                     pa.array([m[1] for m in marks], pa.int64()),
-                    pa.array([count_vector(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
+                    pa.array([packed(count_vector(s)) if len(s) else b"" for s in sets], pa.binary()),
                     pa.array(prefixes, pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "mark", "mark2", "vector", "prefix"])
@@ -288,7 +297,7 @@ def _candidates(nodes: DataFrame) -> DataFrame:
 
     def forest(table: pa.Table) -> list[tuple[int, int]]:
         sizes = table.column("n").to_numpy()
-        vectors = [np.frombuffer(v.as_py(), "<u2") for v in table.column("vector")]
+        vectors = [unpacked(v.as_py(), n) for v, n in zip(table.column("vector"), sizes.tolist(), strict=True)]
         if len(sizes) == 2:
             width = min(map(len, vectors))
             bound = np.minimum(fold(vectors[0], width), fold(vectors[1], width)).sum(dtype=np.int64)

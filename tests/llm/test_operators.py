@@ -187,6 +187,14 @@ def test_jaccard_components_equal_brute_force(docs, texts, tile, monkeypatch):
     assert len({c for _, c in want.values()}) < len(want) - 10
 
 
+def test_count_vectors_survive_packing():
+    few = np.random.default_rng(3).integers(0, 2**63, 500).astype(np.uint64)
+    one_group = np.arange(600, dtype=np.uint64) << np.uint64(20)
+    for hashes in (few, one_group):
+        vector = jaccard.count_vector(hashes)
+        assert (jaccard.unpacked(jaccard.packed(vector), len(hashes)) == vector).all()
+
+
 def test_count_tree_bound_loses_no_pair():
     rng = np.random.default_rng(5)
     base = np.unique(rng.integers(0, 2**63, 90).astype(np.uint64))
