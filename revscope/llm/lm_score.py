@@ -1,11 +1,18 @@
 """Language-model scores: a byte model by partial matching, beside a word-count base.
 
-Training texts give two things: grams of bytes, from which a pruned context trie
-is built (see ``ppm``), and exact counts of words. Words are too many to send to
-every task, so the documents are dealt to chunks by a hash of doc_id; each chunk
-counts its words, the counts of a word are summed over all chunks, and a chunk
-gets back the totals of those of its words that other chunks have as well. A
-frequent word is one row for each chunk, however often it occurs.
+Training texts give two things: counts of all their strings of up to ``ORDER + 1``
+bytes, which make the context trie (see ``ppm``), and counts of words. Both grow
+with the corpus, and nothing is dropped from either. So the documents are dealt to
+chunks by a hash of doc_id, and each chunk asks for what its own texts need: it
+sends the distinct words and windows of its texts, with their counts in its
+training texts, to buckets. Windows meet in a bucket by the three bytes before the
+last one, so a bucket holds all strings of four bytes and more that bear on its
+windows; those of up to three bytes are bounded by the alphabet (2^24) and are
+broadcast. A bucket sums the counts and answers every chunk with the total of each
+word and the log probability of each window that it asked for.
+
+Questions and answers are one row for each chunk and bucket: sorted numbers, as
+differences, byte by byte (``_planes``), so that they compress.
 
 Defined results: a null text is empty and consists of the end alone; a null id is
 held out; with no training text the base is that of an empty table (N = 0, V = 0)
@@ -19,17 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revscope.cluster import ship_package
-from revscope.llm._common import documents, hash_words, keyed, slices, staged, table_bytes
-from revscope.llm.ppm import Model, Scorer, gram_counts, merged, model_of
+from revscope.llm._common import documents, hash_words, keyed, mix64, slices, staged, table_bytes
+from revscope.llm.ppm import Model, gram_counts, level_tables, merged, model_of, windows
 
 ORDER = 5
-BUDGET = 1 << 20
+#: Strings of up to so many bytes are broadcast, longer ones are asked for.
+SHORT = 3
 CHUNK_BYTES = 24 << 20
 SLICE = 1 << 20
+QUESTIONS = "chunk int, bucket int, words binary, word_counts binary, grams binary, gram_counts binary"
+ANSWERS = "chunk int, bucket int, totals binary, logs binary, n_all long, n_types long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -37,6 +47,31 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """64-bit numbers with their first bytes together, then their second bytes, and so on."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(planes: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
+
+
+def _sorted_planes(keys: np.ndarray) -> bytes:
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _sorted_numbers(planes: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(planes, np.uint64), dtype=np.uint64)
+
+
+def _word_bucket(words: np.ndarray, n_buckets: int) -> np.ndarray:
+    return ((words >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _gram_bucket(grams: np.ndarray, n_buckets: int) -> np.ndarray:
+    return _word_bucket(mix64((grams >> np.uint64(8)) & np.uint64(0xFFFFFF)), n_buckets)
+
+
 def _pieces(table: pa.Table) -> Iterator[pa.RecordBatch]:
     for whole in table.to_batches():
         yield from slices(whole, "text", SLICE)
@@ -47,52 +82,115 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes, firsts
 
 
-def _chunk_counts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct words of a chunk and their counts in its training texts."""
-    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+def _chunk_counts(table: pa.Table, order: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The distinct words and the distinct windows of a chunk, each with their counts in its training texts."""
+    parts = [[(np.zeros(0, np.uint64), np.zeros(0, np.int64))] for _ in range(2)]
     for batch in _pieces(table):
-        hashes, firsts = _words(batch.column(batch.schema.get_field_index("text")))
-        held = batch.column(batch.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False)
-        k, c = merged(hashes, np.repeat(~held, np.diff(firsts)).astype(np.int64))
-        keys.append(k)
-        counts.append(c)
-    return merged(np.concatenate(keys), np.concatenate(counts))
-
-
-def score(docs: DataFrame, order: int = ORDER, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+        texts = batch.column(batch.schema.get_field_index("text"))
+        trains = ~batch.column(batch.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False)
+        for part, (keys, firsts) in zip(parts, (_words(texts), windows(*table_bytes(texts), order)), strict=True):
+            part.append(merged(keys, np.repeat(trains, np.diff(firsts)).astype(np.int64)))
+    words, grams = (merged(*(np.concatenate(x) for x in zip(*part, strict=True))) for part in parts)
+    return words, grams
+
+
+def _slices_of(buckets: np.ndarray, n_buckets: int) -> list[slice]:
+    ends = np.searchsorted(buckets, np.arange(n_buckets + 1))
+    return [slice(a, b) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _by_bucket(grams: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts sorted windows bucket by bucket, and their buckets in that order."""
+    buckets = _gram_bucket(grams, n_buckets)
+    order = np.argsort(buckets, kind="stable")
+    return order, buckets[order]
+
+
+def questions(table: pa.Table, order: int, n_buckets: int) -> pa.Table:
+    """What a chunk asks of each bucket."""
+    chunk = table.column("chunk")[0].as_py()
+    (words, word_counts), (grams, gram_counts_) = _chunk_counts(table, order)
+    at, buckets = _by_bucket(grams, n_buckets)
+    grams, gram_counts_ = grams[at], gram_counts_[at]
+    rows = []
+    for k, (w, g) in enumerate(zip(_slices_of(_word_bucket(words, n_buckets), n_buckets), _slices_of(buckets, n_buckets), strict=True)):
+        if w.stop > w.start or g.stop > g.start:
+            rows.append((chunk, k, _sorted_planes(words[w]), _planes(word_counts[w]), _sorted_planes(grams[g]), _planes(gram_counts_[g])))
+    return _rows(rows, QUESTIONS)
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table({name: pa.array([r[k] for r in rows], kinds[kind]) for k, (name, kind) in enumerate(fields)})
+
+
+def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their summed counts, and the place of each given key among them."""
+    unique, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return unique, np.bincount(at, weights=np.concatenate(counts), minlength=len(unique)).astype(np.int64), at
+
+
+def answers(table: pa.Table, short: Model, order: int) -> pa.Table:
+    """What a bucket answers to each chunk."""
+    columns = {c: table.column(c).to_pylist() for c in table.column_names}
+    words = [_sorted_numbers(p) for p in columns["words"]]
+    grams = [_sorted_numbers(p) for p in columns["grams"]]
+    _, word_totals, word_at = _totals(words, [_numbers(p, np.int64) for p in columns["word_counts"]])
+    unique, gram_totals, gram_at = _totals(grams, [_numbers(p, np.int64) for p in columns["gram_counts"]])
+    seen = gram_totals > 0
+    long = [level_tables(unique[seen], gram_totals[seen], k) for k in range(short.order + 1, order + 1)]
+    model = Model(order, [*short.grams, *(g for g, _ in long)], [*short.contexts, *(c for _, c in long)])
+    logs = model.log10(unique).astype(np.float32)[gram_at]
+    word_totals_at = word_totals[word_at]
+    rows, w, g = [], 0, 0
+    for k, (chunk, bucket) in enumerate(zip(columns["chunk"], columns["bucket"], strict=True)):
+        mine, theirs = slice(w, w + len(words[k])), slice(g, g + len(grams[k]))
+        w, g = mine.stop, theirs.stop
+        # the sums of the bucket stand in its first row
+        rows.append((chunk, bucket, _planes(word_totals_at[mine]), logs[theirs].tobytes(), int(word_totals.sum()) if k == 0 else 0, int((word_totals > 0).sum()) if k == 0 else 0))
+    return _rows(rows, ANSWERS)
+
+
+def score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     ship_package(docs.sparkSession)
     rows = keyed(docs, id_col, text_col).withColumn("held_out", held_out())
     n_bytes, n_train = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum((~F.col("held_out")).cast("long")), F.lit(0))).first()
     n_chunks = max(1, -(-n_bytes // chunk_bytes))
     chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int"))
 
+    low = min(order, SHORT - 1)
     training = rows.where(~F.col("held_out")).select(F.lit("all").alias("model"), F.coalesce("text", F.lit("")).alias("text"))
-    models = model_of(staged(gram_counts(training, order), "lm-grams"), order, budget)
-
-    def count(table: pa.Table) -> pa.Table:
-        keys, counts = _chunk_counts(table)
-        return pa.table({"word": pa.array(keys.view(np.int64)), "chunk": pa.array(np.full(len(keys), table.column("chunk")[0].as_py(), np.int32)), "n": pa.array(counts)})
+    models = model_of(staged(gram_counts(training, low), "lm-grams"), low, None)
+    shared = docs.sparkSession.sparkContext.broadcast(models.get("all") or Model(low, *[[(np.zeros(0, np.uint64), np.zeros(0))] * (low + 1)] * 2))
 
-    words = chunked.groupBy("chunk").applyInArrow(count, "word long, chunk int, n long")
-    same = Window.partitionBy("word")
-    words = staged(words.select("word", "chunk", "n", F.sum("n").over(same).alias("total"), F.row_number().over(same.orderBy("chunk")).alias("nth")), "lm-words")
-    known = words.where("nth = 1 and total > 0").agg(F.count("*"), F.coalesce(F.sum("total"), F.lit(0))).first()
-    n_all, n_types = known[1] + n_train, known[0] + (1 if n_train else 0)
-    elsewhere = words.where("total > n").select("chunk", "word", "total")
-    shared = docs.sparkSession.sparkContext.broadcast(models.get("all") or Model(order, *[[(np.zeros(0, np.uint64), np.zeros(0))] * (order + 1)] * 2))
+    # a bucket holds about as many windows as a chunk, so there are as many of them
+    asked = chunked.groupBy("chunk").applyInArrow(lambda table: questions(table, order, n_chunks), QUESTIONS)
+    answered = staged(asked.groupBy("bucket").applyInArrow(lambda table: answers(table, shared.value, order), ANSWERS), "lm-answers")
+    known = answered.agg(F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("n_types"), F.lit(0))).first()
+    n_all, n_types = known[0] + n_train, known[1] + (1 if n_train else 0)
 
-    def evaluate(table: pa.Table, totals: pa.Table) -> pa.Table:
+    def evaluate(table: pa.Table, given: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()], strict=True)})
-        keys, counts = _chunk_counts(table)
-        counts[np.searchsorted(keys, totals.column("word").to_numpy().view(np.uint64))] = totals.column("total").to_numpy()
+        # words are in the order of buckets as they are; windows are brought back from it
+        given = given.sort_by("bucket")
+        counts = np.concatenate([_numbers(p, np.int64) for p in given.column("totals").to_pylist()])
+        logs = np.concatenate([np.frombuffer(p, np.float32) for p in given.column("logs").to_pylist()])
+        parts = []
+        for batch in _pieces(table):
+            texts = batch.column(batch.schema.get_field_index("text"))
+            packed, starts = windows(*table_bytes(texts), order)
+            unique, at = np.unique(packed, return_inverse=True)
+            parts.append((batch, *_words(texts), unique, at.astype(np.int32), starts))
+        keys = np.unique(np.concatenate([p[1] for p in parts]))
+        grams = np.unique(np.concatenate([p[3] for p in parts]))
+        values = np.zeros(len(grams))
+        values[_by_bucket(grams, n_chunks)[0]] = logs
         base = np.log10((counts + 0.1) / (n_all + 0.1 * (n_types + 1)))
         end = float(np.log10((n_train + 0.1) / (n_all + 0.1 * (n_types + 1))))
-        scorer = Scorer([shared.value], 1 << 21)
         out = []
-        for batch in _pieces(table):
-            texts = batch.column(batch.schema.get_field_index("text"))
-            hashes, firsts = _words(texts)
+        for batch, hashes, firsts, unique, windows_at, starts in parts:
             at = np.searchsorted(keys, hashes)
             sums, seen = (np.concatenate([[0.0], np.cumsum(x)]) for x in (base[at], counts[at] > 0))
             out.append(
@@ -102,15 +200,15 @@ def score(docs: DataFrame, order: int = ORDER, budget: int = BUDGET, id_col: str
                         "held_out": batch.column(batch.schema.get_field_index("held_out")),
                         "n_tokens": pa.array(np.diff(firsts) + 1),
                         "n_known": pa.array((seen[firsts[1:]] - seen[firsts[:-1]]).astype(np.int64) + (1 if n_train else 0)),
-                        "train_tokens": pa.array(np.full(len(texts), n_all, np.int64)),
+                        "train_tokens": pa.array(np.full(batch.num_rows, n_all, np.int64)),
                         "base_score": pa.array(sums[firsts[1:]] - sums[firsts[:-1]] + end),
-                        "score": pa.array(scorer.texts(*table_bytes(texts))[:, 0]),
+                        "score": pa.array(np.add.reduceat(values[np.searchsorted(grams, unique)][windows_at], starts[:-1])),
                     }
                 )
             )
         return pa.concat_tables(out)
 
-    return chunked.groupBy("chunk").cogroup(elsewhere.groupBy("chunk")).applyInArrow(evaluate, SCORES)
+    return chunked.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(evaluate, SCORES)
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,10 @@ context knows and r the count of those too rare to be held, and coding goes on i
 the next shorter context, where the symbols of the longer one are excluded. The last
 resort is a uniform choice among the bytes that no context knows.
 
-Strings are held from a count of ``total / budget`` on. A level of the trie has
-at most ``budget`` strings of that count, whatever the size of the corpus, so a
-model's size is bounded while its counts cover all training texts.
+``model_of`` with a budget holds strings from a count of ``total / budget`` on. A
+level of the trie has at most ``budget`` strings of that count, whatever the size
+of the corpus, so such a model's size is bounded while its counts cover all
+training texts. Without a budget every string is held.
 
 Texts stand between NUL bytes: ``order`` before the first byte, one after the
 last, which codes the end.
@@ -55,6 +56,13 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return unique, np.bincount(at, weights=counts, minlength=len(unique)).astype(np.int64)
 
 
+def level_tables(grams: np.ndarray, counts: np.ndarray, k: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The strings of k + 1 bytes that end windows with these counts, and their contexts of k bytes."""
+    strings, n = merged(grams & np.uint64((1 << (8 * (k + 1))) - 1), counts)
+    contexts, above = merged(strings >> np.uint64(8), n)
+    return (strings, n.astype(np.float64)), (contexts, above.astype(np.float64))
+
+
 def gram_counts(texts: DataFrame, order: int) -> DataFrame:
     """(model, gram, n) over texts with the columns model and text; grams are counted per task before they are shuffled."""
 
@@ -148,10 +156,10 @@ class Model:
         return out
 
 
-def model_of(counts: DataFrame, order: int, budget: int) -> dict[str | None, Model]:
-    """One model for each value of ``model`` in (model, gram, n). What reaches the driver is bounded by the budget."""
+def model_of(counts: DataFrame, order: int, budget: int | None) -> dict[str | None, Model]:
+    """One model for each value of ``model`` in (model, gram, n). What reaches the driver is bounded by the budget, or without one by the alphabet: 256^(order + 1) strings."""
     sizes = {r.model: r.n for r in counts.groupBy("model").agg(F.sum("n").alias("n")).collect()}
-    least = {m: max(1, -(-n // budget)) for m, n in sizes.items()}
+    least = {m: max(1, -(-n // budget)) if budget else 1 for m, n in sizes.items()}
     bound = F.lit(0)
     for m, n in least.items():
         bound = F.when(F.col("model").eqNullSafe(F.lit(m)), F.lit(n)).otherwise(bound)

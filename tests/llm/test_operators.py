@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -275,6 +276,24 @@ def test_base_scores_are_exact_and_the_model_learns(docs, texts):
     assert all(r.score > -len(texts[r.doc_id].encode()) * 1.4 for r in held)
 
 
+def test_every_string_of_a_larger_corpus_is_held(spark):
+    from revscope.llm.ppm import Model, level_tables, windows
+
+    rng = random.Random(5)
+    # more than 2^20 training positions, most of their longer strings rare
+    have = {i: " ".join("".join(rng.choices("abcdefghijklmnop\u00e9", k=rng.randint(2, 9))) for _ in range(1100)) for i in range(250)}
+    raw = [have[i].encode() for i in have if fixtures.crc(i) % 10]
+    keys, counts = np.unique(windows(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 5)[0], return_counts=True)
+    assert counts.sum() > 1 << 20 and (counts == 1).mean() > 0.5
+    model = Model(5, *zip(*(level_tables(keys, counts, k) for k in range(6)), strict=True))
+    docs = spark.createDataFrame(list(have.items()), "doc_id long, text string")
+    for chunk_bytes in (1 << 18, 1 << 30):
+        for r in lm_score.score(docs, chunk_bytes=chunk_bytes).collect():
+            own = have[r.doc_id].encode()
+            want = model.log10(windows(np.frombuffer(own, np.uint8), np.array([0, len(own)]), 5)[0]).sum()
+            assert math.isclose(r.score, want, rel_tol=1e-6)
+
+
 def test_model_probabilities_sum_to_one():
     from revscope.llm.ppm import Model, merged, windows
 
