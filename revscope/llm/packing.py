@@ -18,6 +18,8 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heappop, heappush
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,6 @@ SLICE = 2 << 20
 GROUP_ROWS = 20_000
 #: A bin with fewer free tokens than this part of its length is left closed between rounds.
 SLACK = 1 / 64
-#: Underfull bins that a round of the local search exchanges between.
-ROUND_BINS = 64
 #: Groupings in a row that may free no bin before the search ends.
 STALLS = 3
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -93,66 +93,119 @@ def best_fit(sizes: np.ndarray, length: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: np.ndarray, length: int, rounds: int = 10) -> list[list[int]]:
-    """Exchange between underfull bins while the sum of squared fills grows; empty bins go.
+class _Partners:
+    """Underfull bins, found by the sums that they can take.
 
-    For a donor bin, the least filled first, and every fuller underfull bin, the
-    search takes what raises the fuller bin's fill most: a move of one piece, one
-    piece for a smaller one, or two pieces for one smaller than both together.
-    Each round works on the ``ROUND_BINS`` least filled bins.
+    A bin with ``room`` takes a sum t and gives back a piece b, or nothing (b = 0),
+    if b < t <= b + room. The squared fills grow if what it gains is more than its
+    giver is fuller, that is if b + room < t + the giver's room. For each reach
+    b + room the index keeps the bins of that reach, those that give back least on
+    top; a minimum over a range of reaches finds the partner that gains most.
     """
+
+    def __init__(self, length: int):
+        self.none = length + 1
+        self.heaps: list[list[tuple[int, int, int]]] = [[] for _ in range(length + 1)]
+        self.least = np.full(length + 1, self.none)  # by reach: the smallest b
+        self.version: dict[int, int] = defaultdict(int)
+        self.held: dict[int, list[int]] = {}
+        self.levels: list[np.ndarray] = []  # minima over 1, 2, 4 ... reaches; none when out of date
+
+    def put(self, at: int, sizes: set[int], room: int) -> None:
+        self.held[at] = [b + room for b in (0, *sizes)]
+        for reach in self.held[at]:
+            heappush(self.heaps[reach], (reach - room, at, self.version[at]))
+            if reach - room < self.least[reach]:
+                self.least[reach] = reach - room
+                self.levels = []
+
+    def drop(self, at: int) -> None:
+        self.version[at] += 1
+        for reach in self.held.pop(at):
+            heap = self.heaps[reach]
+            while heap and heap[0][2] != self.version[heap[0][1]]:
+                heappop(heap)
+            least = heap[0][0] if heap else self.none
+            if least != self.least[reach]:
+                self.least[reach] = least
+                self.levels = []
+
+    def best(self, sums: np.ndarray, room: int) -> tuple[int, int, int]:
+        """The place of the sum that adds most to a bin, the size that this bin gives back, and the bin (-1: none); ``room`` is the giver's."""
+        n = len(self.least)
+        if not self.levels:
+            self.levels = [self.least]
+            while 2 << len(self.levels) <= 2 * n:
+                step = 1 << (len(self.levels) - 1)
+                self.levels.append(np.minimum(self.levels[-1][:-step], self.levels[-1][step:]))
+        fits = np.flatnonzero(sums < n)
+        first = sums[fits]
+        last = np.minimum(first + room, n)
+        level = np.frexp(last - first)[1] - 1
+        back = np.full(len(fits), self.none)
+        for k in np.unique(level).tolist():
+            own = level == k
+            back[own] = np.minimum(self.levels[k][first[own]], self.levels[k][last[own] - (1 << k)])
+        gain = first - back
+        k = int(gain.argmax()) if len(gain) else -1
+        if k < 0 or gain[k] <= 0:
+            return 0, 0, -1
+        reach = int(first[k]) + int(self.least[first[k] : last[k]].argmin())
+        return int(fits[k]), int(back[k]), self.heaps[reach][0][1]
+
+
+def local_search(bins: list[list[int]], sizes: np.ndarray, length: int) -> list[list[int]]:
+    """Exchange between underfull bins until no exchange raises the sum of squared fills; empty bins go.
+
+    Every underfull bin is a giver in turn, the least filled first, and all others
+    are its partners. A giver gives one piece or two and takes back none or one; of
+    all such exchanges that raise the squared fills the one is made that adds most
+    to its partner. The search ends with a pass without a change.
+    """
+    bins = [list(b) for b in bins]
     fill = [int(sizes[b].sum()) for b in bins]
-    for _ in range(rounds):
+    partners = _Partners(length)
+
+    def put(k: int) -> None:
+        if 0 < fill[k] < length:
+            partners.put(k, {int(sizes[i]) for i in bins[k]}, length - fill[k])
+
+    for k in range(len(bins)):
+        put(k)
+    changed = True
+    while changed:
         changed = False
-        under = sorted((k for k in range(len(bins)) if 0 < fill[k] < length), key=fill.__getitem__)[:ROUND_BINS]
-        for pos, donor in enumerate(under):
-            for other in reversed(under[pos + 1 :]):
-                if not bins[donor]:
+        for giver in sorted(partners.held, key=fill.__getitem__):
+            if giver not in partners.held:
+                continue
+            partners.drop(giver)
+            while fill[giver]:
+                sums, parts = _sums(bins[giver], sizes)
+                k, back, other = partners.best(sums, length - fill[giver])
+                if other < 0:
                     break
-                room = length - fill[other]
-                if room <= 0 or fill[other] < fill[donor]:
-                    continue
-                gain, take, give = _best_exchange(bins[donor], bins[other], sizes, room)
-                if gain <= 0:
-                    continue
-                for i in take:
-                    bins[donor].remove(i)
-                for i in give:
-                    bins[other].remove(i)
-                bins[donor] += give
-                bins[other] += take
-                fill[donor] -= gain
-                fill[other] += gain
+                take = parts[k]
+                give = [i for i in bins[other] if sizes[i] == back][:1] if back else []
+                partners.drop(other)
+                bins[giver] = [i for i in bins[giver] if i not in take] + give
+                bins[other] = [i for i in bins[other] if i not in give] + take
+                fill[giver] -= int(sums[k]) - back
+                fill[other] += int(sums[k]) - back
+                put(other)
                 changed = True
-        if not changed:
-            break
+            put(giver)
     return [b for b in bins if b]
 
 
-def _best_exchange(mine: list[int], theirs: list[int], sizes: np.ndarray, room: int) -> tuple[int, list[int], list[int]]:
-    """The exchange that adds most, but at most ``room``, to the other bin: (gain, pieces given to it, pieces taken back)."""
-    best: tuple[int, list[int], list[int]] = (0, [], [])
-    a = sizes[mine]
-    alone = np.where(a <= room, a, 0)
-    if alone.max(initial=0) > 0:
-        k = int(alone.argmax())
-        best = (int(alone[k]), [mine[k]], [])
-    if best[0] == room or not theirs:
-        return best
-    b = sizes[theirs]
-    swap = a[:, None] - b[None, :]
-    swap = np.where(swap <= room, swap, 0)
-    if swap.max() > best[0]:
-        i, j = np.unravel_index(int(swap.argmax()), swap.shape)
-        best = (int(swap[i, j]), [mine[i]], [theirs[j]])
-    if best[0] < room and len(mine) > 1:
-        x, y = np.triu_indices(len(mine), 1)
-        two = (a[x] + a[y])[:, None] - b[None, :]
-        two = np.where(two <= room, two, 0)
-        if two.max() > best[0]:
-            i, j = np.unravel_index(int(two.argmax()), two.shape)
-            best = (int(two[i, j]), [mine[x[i]], mine[y[i]]], [theirs[j]])
-    return best
+def _sums(mine: list[int], sizes: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+    """The sums of one piece or two of a bin, each of different sizes, and the pieces that make them."""
+    by_size: dict[int, list[int]] = defaultdict(list)
+    for i in mine:
+        by_size[int(sizes[i])].append(i)
+    parts = [[same[0]] for same in by_size.values()]
+    parts += [same[:2] for same in by_size.values() if len(same) > 1]
+    parts += [[a[0], b[0]] for a, b in combinations(by_size.values(), 2)]
+    return np.array([sum(int(sizes[i]) for i in p) for p in parts]), parts
 
 
 def _pack_groups(rows: DataFrame, length: int, n_groups: int, round_no: int) -> DataFrame:

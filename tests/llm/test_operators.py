@@ -387,6 +387,24 @@ def test_local_search_empties_bins():
     assert sorted(i for b in bins for i in b) == list(range(8)) and all(sizes[b].sum() <= 100 for b in bins) and len(bins) == 3
 
 
+def test_local_search_ends_when_no_exchange_is_left():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(600, 1100, 600)
+    start = packing.best_fit(sizes, 2048)
+    assert sum(sizes[b].sum() < 2048 for b in start) > 200
+    bins = packing.local_search(start, sizes, 2048)
+    assert sorted(i for b in bins for i in b) == list(range(600)) and len(bins) < len(start)
+    fill = [int(sizes[b].sum()) for b in bins]
+    assert max(fill) <= 2048
+    for d, mine in enumerate(bins):
+        own = sizes[mine]
+        sums = np.array([*own, *(own[x] + own[y] for x in range(len(own)) for y in range(x))])
+        for o, theirs in enumerate(bins):
+            if o != d:
+                gain = sums[:, None] - np.array([0, *sizes[theirs]])[None, :]
+                assert not ((gain > max(0, fill[d] - fill[o])) & (gain <= 2048 - fill[o])).any()
+
+
 def test_sequences_hold_the_tokens(docs):
     out = packing.sequences(docs).toPandas()
     assert all(len(r.ids) == 4 * r.n_tokens for r in out.itertuples()) and out["n_tokens"].max() <= 2048
