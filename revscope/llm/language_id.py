@@ -14,7 +14,7 @@ empty table gives no rows. Extra columns are dropped by ``identify``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,41 +51,63 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, order: int = OR
     return model_of(staged(gram_counts(rows.where(share(F.col("doc_id"), 5) < rate), order), "language-grams"), order, budget)
 
 
-def predict(docs: DataFrame, models: dict[str, Model]) -> DataFrame:
-    """lang_pred and score for every whole text of (doc_id, text)."""
+def _guesser(docs: DataFrame, models: dict[str, Model]) -> Callable[[pa.RecordBatch], Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]]:
+    """A function for tasks: slices of a batch, the language of each row by its column text, and the scores."""
     names = sorted(models)
     shared = docs.sparkSession.sparkContext.broadcast([models[n] for n in names])
+    scorers: list[Scorer] = []
+
+    def guess(whole: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
+        if names and not scorers:
+            scorers.append(Scorer(shared.value, 1 << 19))
+        for batch in slices(whole, "text", SLICE):
+            texts = batch.column(batch.schema.get_field_index("text"))
+            lettered = [bool(t and _LETTER.search(t)) for t in texts.to_pylist()]
+            langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            if scorers and any(lettered):
+                nats = scorers[0].texts(*table_bytes(texts)) * np.log(10)
+                best = nats.argmax(1)
+                certain = 1 / np.exp(nats - nats.max(1, keepdims=True)).sum(1)
+                langs = [names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered, strict=True)]
+                scores = np.where(lettered, certain, 0.0)
+            yield batch, langs, scores
+
+    return guess
+
+
+def predict(docs: DataFrame, models: dict[str, Model]) -> DataFrame:
+    """lang_pred and score for every whole text of (doc_id, text)."""
+    guess = _guesser(docs, models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value, 1 << 19) if names else None
         for whole in batches:
-            for batch in slices(whole, "text", SLICE):
-                texts = batch.column(1)
-                lettered = [bool(t and _LETTER.search(t)) for t in texts.to_pylist()]
-                langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-                if scorer and any(lettered):
-                    nats = scorer.texts(*table_bytes(texts)) * np.log(10)
-                    best = nats.argmax(1)
-                    certain = 1 / np.exp(nats - nats.max(1, keepdims=True)).sum(1)
-                    langs = [names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered, strict=True)]
-                    scores = np.where(lettered, certain, 0.0)
+            for batch, langs, scores in guess(whole):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
     return arrow_map(docs, run, "doc_id long, lang_pred string, score double")
 
 
+def _trained(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> dict[str, Model]:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    return train(rows.where(~held_out()), per_language)
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
     """Train on the rows that are not held out, predict all rows."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    models = train(rows.where(~held_out()), per_language)
-    return predict(keyed(rows), models).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    models = _trained(docs, id_col, text_col, lang_col, per_language)
+    return predict(keyed(docs, id_col, text_col), models).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents that have a language; those predicted ``und`` go. All columns are kept."""
-    names = docs.columns
-    found = identify(docs).where(F.col("lang_pred") != UNKNOWN).select(F.col("doc_id").alias("__known")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__known"), "left_semi").select(names)
+    """The documents that have a language; those predicted ``und`` go. All columns are kept, and each row is judged by itself."""
+    guess = _guesser(docs, _trained(docs, "doc_id", "text", "lang", PER_LANGUAGE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch, langs, _ in guess(whole):
+                yield batch.filter(pa.array([lang != UNKNOWN for lang in langs], pa.bool_()))
+
+    return arrow_map(docs, run, docs.schema)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

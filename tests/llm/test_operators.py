@@ -360,6 +360,12 @@ def test_language_stage_keeps_lettered_documents(docs, texts):
     assert {r.doc_id for r in kept.collect()} == {i for i, t in texts.items() if t and language_id._LETTER.search(t)}
 
 
+def test_language_stage_judges_each_row_by_itself(spark):
+    rows = [(None, "a clean text without an id", "en"), (None, "another one", "en"), (None, "123", "en"), (7, "words of a text", "en"), (7, "4 5 6", "en"), (8, "und noch ein Text", "de"), (8, None, "de")]
+    kept = language_id.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert Counter(tuple(r) for r in kept.collect()) == Counter(r for r in rows if r[1] and language_id._LETTER.search(r[1]))
+
+
 # -- 10 packing
 
 
