@@ -8,10 +8,9 @@
 3. The remaining windows are suffixes of their texts, described by hashes of
    prefixes of growing length. Suffixes are dealt to groups by a prefix: a short
    one, or where a group would grow too large, a longer one, up to the whole window.
-   Sorted by these hashes, the suffixes of a group are the leaves of a suffix tree
-   cut off at window depth: suffixes equal to that depth hang below one deep node,
-   the node of a maximal repeat (longer repeats are runs of such nodes). The
-   smallest doc_id below a node keeps its words.
+   A group is sorted by the hash of the whole window, and the smallest doc_id of
+   each hash keeps its words. No suffix tree is built: as windows have one length,
+   only nodes at that depth would be read from it.
 4. Of equal suffixes in a batch only those of the first document are sent; the
    others are repeats at once. So a passage in very many texts is one row for each
    batch of texts.
