@@ -5,7 +5,9 @@ the root is the leftmost pair of lowest rank. A merge changes three leaves (the
 pair itself, and those on its left and right) and repairs their paths to the
 root, a logarithmic number of nodes; it ends when the root holds no pair. The
 trees of all new words of a batch, grouped by size, are worked on at once as the
-rows of a numpy array. Words that repeat are remembered in a bounded memo.
+rows of a numpy array; a word of thousands of letters has a tree of its own. Long
+words are first cut between bytes that no merge of the vocabulary ever joins.
+Words that repeat are remembered in a bounded memo.
 
 Defined results: a null text is empty; an empty text has no ids and decodes to
 an empty text; strings of special tokens in a text become their ids, as in the
@@ -19,6 +21,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -33,6 +36,11 @@ SLICE = 2 << 20
 MEMO = 250_000
 CHUNK_ROWS = 1 << 15
 NO_PAIR = np.int64(1) << 62
+#: Bytes from which on a word is cut where no merge can join, and from which on it has a tree of its own.
+LONG_WORD = 64
+LONE_TREE = 2048
+#: Characters that all Unicode tables in use agree on; chunks with others are cut by the tokenizers library.
+_NOT_LATIN = re.compile("[^\x00-ɏ]")
 
 
 def byte_symbols() -> list[str]:
@@ -57,6 +65,12 @@ class SegmentTreeBpe:
         order = np.argsort(codes)
         self.codes, self.ranks = codes[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
+        self.rank_of = dict(zip(codes.tolist(), range(len(codes)), strict=True))
+        # joins[x, y]: some merge has a left part that ends with byte x and a right part that begins with byte y
+        byte_of = {c: b for b, c in enumerate(symbols)}
+        self.joins = np.zeros((256, 256), bool)
+        for a, b in merges:
+            self.joins[byte_of[a[-1]], byte_of[b[0]]] = True
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         code = a * self.size + b
@@ -65,26 +79,93 @@ class SegmentTreeBpe:
 
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word, words being not empty."""
+        parts: list[tuple[bytes, bool]] = []
+        counts = []
+        for word in words:
+            own = self._cut(word) if len(word) >= LONG_WORD else [word]
+            counts.append(len(own))
+            parts += [(p, k == len(own) - 1) for k, p in enumerate(own)]
+        ids = self._encode_parts([p for p, _ in parts], np.array([last for _, last in parts], dtype=bool))
+        ends = np.cumsum(counts)
+        return [ids[e - 1] if n == 1 else np.concatenate(ids[e - n : e]) for e, n in zip(ends.tolist(), counts, strict=True)]
+
+    def _cut(self, word: bytes) -> list[bytes]:
+        raw = np.frombuffer(word, np.uint8)
+        cuts = [0, *(np.flatnonzero(~self.joins[raw[:-1], raw[1:]]) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _encode_parts(self, words: list[bytes], last: np.ndarray) -> list[np.ndarray]:
+        """The ids of each part; ``last`` tells which of them end a word."""
         lengths = np.array([len(w) for w in words], dtype=np.int64)
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
         width = np.left_shift(1, np.ceil(np.log2(np.maximum(lengths, 2))).astype(np.int64))
         for w in np.unique(width).tolist():
             rows = np.flatnonzero(width == w)
+            if w >= LONE_TREE:
+                for k in rows.tolist():
+                    out[k] = self._encode_lone(words[k], bool(last[k]), w)
+                continue
             step = max(1, CHUNK_ROWS * 16 // w)
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
-                for k, ids in zip(part.tolist(), self._encode_equal([words[k] for k in part.tolist()], lengths[part], w), strict=True):
+                for k, ids in zip(part.tolist(), self._encode_equal([words[k] for k in part.tolist()], lengths[part], last[part], w), strict=True):
                     out[k] = ids
         return out
 
-    def _encode_equal(self, words: list[bytes], n: np.ndarray, width: int) -> list[np.ndarray]:
+    def _encode_lone(self, word: bytes, last: bool, width: int) -> np.ndarray:
+        """One long word; its tree is a flat array, and repairs stop at the first node that keeps its value."""
+        n, none, size, ranks = len(word), int(NO_PAIR), self.size, self.rank_of
+        symbols = self.inner[np.frombuffer(word, np.uint8)]
+        if last:
+            symbols[-1] = self.final[word[-1]]
+        tree = np.full(2 * width, NO_PAIR)
+        found = self._rank(symbols[:-1], symbols[1:])
+        tree[width : width + n - 1] = np.where(found < NO_PAIR, found * width + np.arange(n - 1), NO_PAIR)
+        level = width >> 1
+        while level:
+            tree[level : 2 * level] = np.minimum(tree[2 * level : 4 * level : 2], tree[2 * level + 1 : 4 * level : 2])
+            level >>= 1
+        nodes, symbol = array("q", tree.tobytes()), array("q", symbols.tobytes())
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+
+        def put(place: int, value: int) -> None:
+            node = place + width
+            nodes[node] = value
+            while node > 1:
+                value = min(value, nodes[node ^ 1])
+                node >>= 1
+                if nodes[node] == value:
+                    break
+                nodes[node] = value
+
+        while (root := nodes[1]) < none:
+            left = root % width
+            right = after[left]
+            new = int(self.merged[root // width])
+            symbol[left], symbol[right] = new, -1
+            nxt = after[left] = after[right]
+            put(right, none)
+            rank = none
+            if nxt < n:
+                before[nxt] = left
+                rank = ranks.get(new * size + symbol[nxt], none)
+            put(left, rank * width + left if rank < none else none)
+            prior = before[left]
+            if prior >= 0:
+                rank = ranks.get(symbol[prior] * size + new, none)
+                put(prior, rank * width + prior if rank < none else none)
+        out = np.frombuffer(symbol, np.int64)
+        return out[out >= 0]
+
+    def _encode_equal(self, words: list[bytes], n: np.ndarray, last: np.ndarray, width: int) -> list[np.ndarray]:
         count = len(words)
         raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(count, width)
         places = np.arange(width)
         inside = places < n[:, None]
         symbols = np.where(inside, self.inner[raw], -1)
         every = np.arange(count)
-        symbols[every, n - 1] = self.final[raw[every, n - 1]]
+        ends = raw[every, n - 1]
+        symbols[every, n - 1] = np.where(last, self.final[ends], self.inner[ends])
         after = np.where(places + 1 < n[:, None], places + 1, width)
         before = np.broadcast_to(places - 1, (count, width)).copy()
         tree = np.full((count, 2 * width), NO_PAIR)
@@ -138,10 +219,17 @@ class WordBpe:
     """A lower-casing BPE with word ends, read from a file of the tokenizers library.
 
     The file's normalizer (NFC, white space to one space, lower case), its
-    pattern and its special tokens are applied as the library does.
+    pattern and its special tokens are applied as the library does; for chunks with
+    letters beyond Latin ones the library's own normalizer and pre-tokenizer are
+    called, so that its Unicode tables hold. The merges are always the tree's.
     """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        self.normalize, self.pre_tokenize = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.byte_of = {c: b for b, c in enumerate(byte_symbols())}
         spec = json.loads(Path(path).read_text())
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
@@ -157,6 +245,8 @@ class WordBpe:
         self.memo: dict[str, bytes] = {}
 
     def _pieces(self, chunk: str) -> list[bytes]:
+        if _NOT_LATIN.search(chunk):
+            return [bytes([self.byte_of[c] for c in piece]) for piece, _ in self.pre_tokenize(self.normalize(chunk))]
         # the library lowers each character by itself, so a final sigma has no form of its own
         text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
         return [p.encode() for p in self.pattern.findall(text)]
