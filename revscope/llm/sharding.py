@@ -12,7 +12,8 @@ Only ranges, never keys of all rows, reach the driver: their number is about
 
 Defined results: a null text has size 1 and the checksum of nothing; null ids
 come first among equal texts; repeated rows count each; an empty table gives no
-rows. Extra columns are dropped by ``shard_plan`` and kept by ``write_shards``.
+rows; rows of one text and one doc_id cannot be told apart and stay in one range.
+Extra columns are dropped by ``shard_plan`` and kept by ``write_shards``.
 """
 
 from __future__ import annotations
@@ -50,7 +51,31 @@ def _quantiles(points: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
     return np.unique(points[np.minimum(at, len(points) - 1)])
 
 
-def _rank(boundaries: np.ndarray, h: np.ndarray, d: np.ndarray) -> np.ndarray:
+def splitters(keys: DataFrame, n: int, seed: int = 21) -> np.ndarray:
+    """About n - 1 boundaries (h, d), as the array's fields, that cut rows (h, d, size) into ranges of near-equal size.
+
+    The size-weighted sample is sorted by Spark and thinned inside its tasks; only the boundaries reach the driver.
+    """
+    if n < 2:
+        return np.zeros(0, dtype=[("h", "i8"), ("d", "i8")])
+    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    weight = F.col("size") * F.lit(OVERSAMPLE * n / max(total, 1))
+    drawn = keys.where(share(F.struct("h", "d", "size"), seed) < weight).select("h", "d", F.greatest(weight, F.lit(1.0)).alias("w"))
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0.0
+        for batch in batches:
+            ends = done + np.cumsum(batch.column(2).to_numpy())
+            steps = np.floor(np.concatenate([[done], ends]) / OVERSAMPLE)
+            yield batch.filter(pa.array(steps[1:] > steps[:-1])).select(["h", "d"])
+            done = float(ends[-1]) if len(ends) else done
+
+    found = arrow_map(drawn.repartitionByRange("h", "d").sortWithinPartitions("h", "d"), thin, "h long, d long").toPandas()
+    points = np.array(list(zip(found["h"], found["d"], strict=True)), dtype=[("h", "i8"), ("d", "i8")])
+    return np.unique(points)
+
+
+def range_of(boundaries: np.ndarray, h: np.ndarray, d: np.ndarray) -> np.ndarray:
     """How many boundaries are at most the key (h, d)."""
     lo = np.searchsorted(boundaries["h"], h, "left")
     hi = np.searchsorted(boundaries["h"], h, "right")
@@ -66,7 +91,7 @@ def _ranged(keys: DataFrame, boundaries: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, d = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("h", "doc_order"))
-            part = pa.array(_rank(shared.value, h, d), pa.int64())
+            part = pa.array(range_of(shared.value, h, d), pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, part], names=[*batch.schema.names, "part"])
 
     return arrow_map(keys, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema) + ", part long")
@@ -92,7 +117,7 @@ def shard_plan(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text
         # sample the overfull ranges again, denser, and cut each into as many parts as it is too large
         wide = ranged.where(F.col("part").isin(list(full))).select("h", F.col("doc_order").alias("doc_id"), "size")
         points, weights = _key_sample(wide, 4 * OVERSAMPLE * n_ranges / max(total, 1), 12)
-        owner = _rank(boundaries, points["h"], points["d"])
+        owner = range_of(boundaries, points["h"], points["d"])
         extra = [_quantiles(points[owner == k], weights[owner == k], int(np.ceil(b / fair)) + 1) for k, b in full.items()]
         boundaries = np.unique(np.concatenate([boundaries, *extra]))
         ranged = _ranged(keys, boundaries)

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from revscope.cluster import scratch_dir
 from revscope.llm._common import arrow_map, documents, keyed, slices
 from revscope.llm._tokens import byte_vocabulary, encoder
+from revscope.llm.sharding import range_of, splitters
 
 END_ID = 2
 SLICE = 2 << 20
@@ -166,15 +167,17 @@ def _file_rows(part: int, docs: list[int | None], tokens: list[np.ndarray]) -> I
 def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 24 << 20) -> None:
     """Encode whole texts and write their ids, each document's end id included, in ascending doc_id order.
 
-    Documents are dealt to files by ranges of doc_id, chosen from quantiles of
-    all ids so that a file holds about ``part_bytes`` of text.
+    Documents are dealt to files by ranges of (doc_id, hash of the text), cut at
+    sampled splitters so that a file holds about ``part_bytes`` of text, also where
+    an id is null or repeats.
     """
     vocabulary = vocabulary or byte_vocabulary()
     docs = keyed(docs, id_col, text_col)
     n_bytes, n_docs = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     n_parts = max(1, min(-(-n_bytes // part_bytes), n_docs))
-    at = [k / n_parts for k in range(1, n_parts)]
-    bounds = np.unique(np.array((docs.agg(F.percentile_approx("doc_id", at, max(10_000, 20 * n_parts))).first()[0] if at else None) or [], dtype=np.int64))
+    keys = docs.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("h"), F.xxhash64("text").alias("d"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"))
+    shared = docs.sparkSession.sparkContext.broadcast(splitters(keys, n_parts))
+    docs = docs.withColumn("d", F.xxhash64("text"))
 
     model = json.loads(Path(vocabulary).read_text())
     max_id = max([end_id, *model["model"]["vocab"].values(), *(t["id"] for t in model["added_tokens"])])
@@ -186,10 +189,10 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
                 ids = batch.column(0)
-                part = np.searchsorted(bounds, ids.fill_null(LOWEST).to_numpy(zero_copy_only=False), "right")
+                part = range_of(shared.value, ids.fill_null(LOWEST).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False))
                 rows = [b + end for b in encode([t or "" for t in batch.column(1).to_pylist()])]
                 narrow = [np.frombuffer(b, "<u4").astype("<u2").tobytes() if max_id < 65536 else b for b in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), ids, pa.array(narrow, pa.binary())], names=["part", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), ids, pa.array(narrow, pa.binary()), batch.column(2)], names=["part", "doc_id", "ids", "d"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, docs_of, tokens = None, [], []
@@ -206,8 +209,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
             for row in _file_rows(part, docs_of, tokens):
                 yield pa.RecordBatch.from_pylist([row], schema=BLOCKS)
 
-    dealt = arrow_map(docs, tokenize, "part int, doc_id long, ids binary").repartitionById(len(bounds) + 1, "part")
-    arrow_map(dealt.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first()), write, BLOCKS_DDL).write.option("compression", "none").parquet(path)
+    dealt = arrow_map(docs, tokenize, "part int, doc_id long, ids binary, d long").repartitionById(len(shared.value) + 1, "part")
+    arrow_map(dealt.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "d").drop("d"), write, BLOCKS_DDL).write.option("compression", "none").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
