@@ -3,8 +3,8 @@
 Each language has a variable-order tree of byte contexts with escape
 probabilities, frozen after training; a text's language is the one whose tree
 codes its bytes shortest. Trees are fitted on a sample of about ``per_language``
-labelled texts of each language, chosen by a hash of doc_id; whole texts are used
-both there and in prediction.
+labelled texts of each language, chosen by a hash of the row; whole texts are used
+both there and in prediction, and a tree holds every string of its sample.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter,
 and every text when nothing could be learned; ties go to the smaller name; rows
@@ -27,7 +27,6 @@ from revscope.llm.ppm import Model, Scorer, gram_counts, model_of
 
 UNKNOWN = "und"
 ORDER = 3
-BUDGET = 1 << 16
 #: The bound of the sample that the trees are fitted on: about so many texts of each language.
 PER_LANGUAGE = 2000
 SLICE = 1 << 20
@@ -39,7 +38,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER, budget: int = BUDGET) -> dict[str, Model]:
+def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER) -> dict[str, Model]:
     """A tree for each value of ``lang`` in rows (doc_id, text, lang)."""
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").alias("model"))
     sizes = rows.groupBy("model").count().collect()
@@ -48,7 +47,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, order: int = OR
     rate = F.lit(0.0)
     for r in sizes:
         rate = F.when(F.col("model") == r.model, F.lit(min(1.0, per_language / r["count"]))).otherwise(rate)
-    return model_of(staged(gram_counts(rows.where(share(F.col("doc_id"), 5) < rate), order), "language-grams"), order, budget)
+    return model_of(staged(gram_counts(rows.where(share(F.struct("doc_id", "text"), 5) < rate), order), "language-grams"), order)
 
 
 def _guesser(docs: DataFrame, models: dict[str, Model]) -> Callable[[pa.RecordBatch], Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]]:

@@ -161,7 +161,7 @@ def score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col:
 
     low = min(order, SHORT - 1)
     training = rows.where(~F.col("held_out")).select(F.lit("all").alias("model"), F.coalesce("text", F.lit("")).alias("text"))
-    models = model_of(staged(gram_counts(training, low), "lm-grams"), low, None)
+    models = model_of(staged(gram_counts(training, low), "lm-grams"), low)
     shared = docs.sparkSession.sparkContext.broadcast(models.get("all") or Model(low, *[[(np.zeros(0, np.uint64), np.zeros(0))] * (low + 1)] * 2))
 
     # a bucket holds about as many windows as a chunk, so there are as many of them

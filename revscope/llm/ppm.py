@@ -9,10 +9,7 @@ context knows and r the count of those too rare to be held, and coding goes on i
 the next shorter context, where the symbols of the longer one are excluded. The last
 resort is a uniform choice among the bytes that no context knows.
 
-``model_of`` with a budget holds strings from a count of ``total / budget`` on. A
-level of the trie has at most ``budget`` strings of that count, whatever the size
-of the corpus, so such a model's size is bounded while its counts cover all
-training texts. Without a budget every string is held.
+A model holds every string of its texts; none is dropped for being rare.
 
 Texts stand between NUL bytes: ``order`` before the first byte, one after the
 last, which codes the end.
@@ -156,20 +153,15 @@ class Model:
         return out
 
 
-def model_of(counts: DataFrame, order: int, budget: int | None) -> dict[str | None, Model]:
-    """One model for each value of ``model`` in (model, gram, n). What reaches the driver is bounded by the budget, or without one by the alphabet: 256^(order + 1) strings."""
-    sizes = {r.model: r.n for r in counts.groupBy("model").agg(F.sum("n").alias("n")).collect()}
-    least = {m: max(1, -(-n // budget)) if budget else 1 for m, n in sizes.items()}
-    bound = F.lit(0)
-    for m, n in least.items():
-        bound = F.when(F.col("model").eqNullSafe(F.lit(m)), F.lit(n)).otherwise(bound)
+def model_of(counts: DataFrame, order: int) -> dict[str | None, Model]:
+    """One model for each value of ``model`` in (model, gram, n). What reaches the driver is bounded by the texts counted, a bounded sample, or by the alphabet: 256^(order + 1) strings."""
+    names = [r.model for r in counts.select("model").distinct().collect()]
     levels = F.explode(F.array([F.struct(F.lit(k).alias("k"), (F.col("gram").bitwiseAND((1 << (8 * (k + 1))) - 1) if k < 7 else F.col("gram")).alias("g")) for k in range(order + 1)]))
     strings = counts.select("model", "n", levels.alias("x")).groupBy("model", "x.k", "x.g").agg(F.sum("n").alias("n"))
     parents = counts.select("model", "n", levels.alias("x")).groupBy("model", "x.k", F.shiftright("x.g", 8).alias("g")).agg(F.sum("n").alias("n"))
-    held = strings.where(F.col("n") >= bound).toPandas()
-    above = parents.where(F.col("n") >= bound).toPandas()
+    held, above = strings.toPandas(), parents.toPandas()
     out = {}
-    for m in sizes:
+    for m in names:
         tables = []
         for frame in (held, above):
             own = frame[frame["model"].isna() if m is None else frame["model"] == m].sort_values(["k", "g"])
