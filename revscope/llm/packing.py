@@ -1,7 +1,7 @@
 """Packing into sequences of bounded length: best fit, then a swap-based local search.
 
 Only documents longer than a sequence are cut, into full pieces behind a shorter
-first one. Pieces are dealt to groups by a hash and each group is packed by best
+first one. Every piece gets a number, pieces are dealt to groups by its hash and each group is packed by best
 fit over decreasing sizes; then moves, one-for-one and two-for-one exchanges
 between underfull bins raise the sum of squared fills, which empties bins. The
 bins that stay underfull in their groups are opened again and their pieces meet
@@ -9,7 +9,7 @@ in fewer groups, until one group holds them all or three groupings free no bin.
 No group or task holds more than about ``group_rows`` pieces, whatever the input.
 
 Defined results: a null text is empty and holds the end id alone; repeated rows
-are packed each; an empty table gives no rows; null ids are kept as they are.
+are packed each, whether their ids repeat or are null; an empty table gives no rows; null ids are kept as they are.
 Extra columns are dropped.
 """
 
@@ -39,6 +39,7 @@ SLACK = 1 / 64
 #: Groupings in a row that may free no bin before the search ends.
 STALLS = 3
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PLACED = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
 
 
 def cut_points(n: int, length: int) -> list[tuple[int, int]]:
@@ -215,7 +216,7 @@ def _pack_groups(rows: DataFrame, length: int, n_groups: int, round_no: int) ->
     def run(table: pa.Table) -> pa.Table:
         sizes = table.column("length").to_numpy()
         part = int(table.column("part")[0].as_py())
-        order = np.lexsort(tuple(table.column(c).fill_null(-1).to_numpy() for c in ("ids_crc32", "start", "piece", "doc_id")))
+        order = np.lexsort(tuple(table.column(c).fill_null(-1).to_numpy() for c in ("row", "ids_crc32", "start", "piece", "doc_id")))
         bins = local_search(best_fit(sizes[order], length), sizes[order], length)
         sequence, offset, fill = (np.zeros(len(sizes), np.int64) for _ in range(3))
         for k, members in enumerate(bins):
@@ -224,15 +225,27 @@ def _pack_groups(rows: DataFrame, length: int, n_groups: int, round_no: int) ->
             sequence[at], offset[at], fill[at] = (round_no << 56) | (part << 28) | k, ends - sizes[at], ends[-1]
         return table.drop_columns(["part"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).append_column("fill", pa.array(fill))
 
-    keys = F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(round_no))
-    return rows.withColumn("part", F.pmod(keys, F.lit(n_groups))).groupBy("part").applyInArrow(run, f"{PIECES}, sequence_id long, offset long, fill long")
+    keys = F.xxhash64("row", F.lit(round_no))
+    return rows.withColumn("part", F.pmod(keys, F.lit(n_groups))).groupBy("part").applyInArrow(run, f"row long, {PIECES}, sequence_id long, offset long, fill long")
 
 
 def pack(rows: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Place pieces (columns of ``pieces``, none longer than ``length``) in sequences: adds sequence_id and offset."""
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    """Place pieces (columns of ``pieces``, none longer than ``length``) in sequences: adds sequence_id and offset.
+
+    The pieces are staged with a number of their own, so that rows which repeat in
+    every column stay apart; a column ``ids`` is brought back by that number.
+    """
+    # numbered in the staged table: whatever attempt of a task wrote it, the numbers stay
+    whole = staged(rows.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    placed = _placed(whole.select(PLACED), length, group_rows)
+    if "ids" in rows.columns:
+        placed = placed.join(whole.select("row", "ids"), "row")
+    return placed.drop("row")
+
+
+def _placed(pieces_: DataFrame, length: int, group_rows: int) -> DataFrame:
     open_bins = F.col("fill") < length * (1 - SLACK)
-    todo, closed, kept, before, stalls = staged(rows.select(names), "pieces"), [], None, None, 0
+    todo, closed, kept, before, stalls = pieces_, [], None, None, 0
     for round_no in range(1, 64):
         n_groups = max(1, -(-todo.count() // group_rows))
         packed = staged(_pack_groups(todo, length, n_groups, round_no), "packed")
@@ -253,7 +266,7 @@ def pack(rows: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS) ->
         before = kept.select("sequence_id").distinct().count()
         if not before:
             break
-        todo = kept.select(names)
+        todo = kept.select(PLACED)
     else:
         closed.append(kept)
     out = closed[0]
@@ -263,12 +276,10 @@ def pack(rows: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS) ->
 
 
 def sequences(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
-    """The packed sequences themselves: sequence_id and its ids, pieces in the order of their offsets. Ids must be unique."""
-    whole = staged(pieces(docs, length, with_ids=True, **options), "pieces-with-ids")
-    placed = pack(whole, length)
-    joined = placed.join(whole.select("doc_id", "piece", "ids"), ["doc_id", "piece"])
+    """The packed sequences themselves: sequence_id and its ids, pieces in the order of their offsets."""
+    placed = pack(pieces(docs, length, with_ids=True, **options), length)
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    return joined.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.aggregate(parts, F.lit(b""), lambda acc, x: F.concat(acc, x["ids"])).alias("ids"))
+    return placed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.aggregate(parts, F.lit(b""), lambda acc, x: F.concat(acc, x["ids"])).alias("ids"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
