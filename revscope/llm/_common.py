@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from revscope.cluster import ship_package, staged
 
-__all__ = ["arrow_map", "bitmap_split", "bytes_of", "documents", "hash_words", "keyed", "mix64", "share", "slices", "staged", "table_bytes"]
+__all__ = ["arrow_map", "bitmap_split", "bytes_of", "documents", "grouped", "hash_words", "keyed", "mix64", "share", "slices", "staged", "table_bytes"]
 
 #: Multiplier of the polynomial hash of a word's bytes: any odd number serves, and it must stay fixed between tasks.
 _R = 0x9E3779B97F4A7C15
@@ -69,6 +69,26 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
         yield batch.slice(start)
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of equal keys in sorted batches, also across batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys])
+        cuts = [0, *(np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(columns[:, a])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def table_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string or binary column as one run of bytes and the offsets of its rows (null: empty)."""
     column = column.fill_null("" if pa.types.is_string(column.type) else b"") if column.null_count else column

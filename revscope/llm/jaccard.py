@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revscope.llm._common import arrow_map, bitmap_split, documents, hash_words, keyed, mix64, slices, staged, table_bytes
+from revscope.llm._common import arrow_map, bitmap_split, documents, grouped, hash_words, keyed, mix64, slices, staged, table_bytes
 from revscope.llm.suffix_dedup import run_hashes
 
 WORDS = 5
@@ -177,26 +177,6 @@ def spanning_forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> li
     return edges
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The runs of equal keys in sorted batches, also across batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys])
-        cuts = [0, *(np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            key = tuple(columns[:, a])
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _frequent(docs: DataFrame) -> np.ndarray:
     """A bitmap over the places of the shingles that repeat most, ``PLACES`` bits whatever the input.
 

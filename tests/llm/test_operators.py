@@ -237,13 +237,59 @@ def brute_repeats(texts, window):
     return out
 
 
-@pytest.mark.parametrize("group_rows", [50_000, 5])
-def test_substring_dedup_equals_brute_force(docs, texts, group_rows):
-    want = brute_repeats(texts, 50)
-    got = {r.doc_id: r for r in suffix_dedup.removals(docs, group_rows=group_rows).collect()}
-    assert sum(g for _, g, _ in want.values()) > 1000
+def assert_repeats(out, texts, window=50):
+    want = brute_repeats(texts, window)
+    got = {r.doc_id: r for r in out.collect()}
     for i, (n, gone, kept) in want.items():
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (n, gone, hashlib.sha256(kept.encode()).hexdigest()), i
+    return sum(g for _, g, _ in want.values())
+
+
+@pytest.mark.parametrize(("group_rows", "hot"), [(100_000, 5_000), (5, 5_000), (50, 2)])
+def test_substring_dedup_equals_brute_force(docs, texts, group_rows, hot):
+    assert assert_repeats(suffix_dedup.removals(docs, group_rows=group_rows, hot=hot), texts) > 1000
+
+
+@pytest.mark.parametrize("hot", [5_000, 3])
+def test_equal_hashes_remove_no_words_that_differ(docs, texts, hot):
+    # every run of words gets one hash: all suffixes are in one group, and only their words tell them apart
+    few = docs.where("doc_id < 60")
+    out = suffix_dedup.removals(few, hot=hot, hashes=lambda words, length: np.zeros(max(0, len(words) - length + 1), np.uint64))
+    assert assert_repeats(out, {i: t for i, t in texts.items() if i < 60}) > 100
+
+
+def test_the_nodes_of_the_tree_decide_what_repeats(docs):
+    class NoNodes(suffix_dedup.SuffixTree):
+        def nodes(self):
+            return np.arange(len(self.order))
+
+    alone = docs.where("doc_id % 9 = 0").repartition(13, "doc_id")
+    assert suffix_dedup.removals(alone).agg(F.sum("n_removed")).first()[0] > 300
+    assert suffix_dedup.removals(alone, tree=NoNodes).agg(F.sum("n_removed")).first()[0] < 300
+
+
+def test_suffix_tree_orders_leaves_and_measures_common_prefixes():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    runs = [[rng.choice("ab") for _ in range(rng.randint(7, 20))] for _ in range(40)]
+    tree = suffix_dedup.SuffixTree(pa.array([" ".join(r) for r in runs]), np.array([len(r) - 6 for r in runs]), 7)
+    leaves = [tuple(r[k : k + 7]) for r in runs for k in range(len(r) - 6)]
+    # a word sorts by when it was met first
+    number = {w: k for k, w in enumerate(dict.fromkeys(w for r in runs for w in r))}
+    ordered = [leaves[k] for k in tree.order]
+    assert ordered == sorted(leaves, key=lambda leaf: [number[w] for w in leaf])
+    assert tree.common.tolist() == [next((k for k in range(7) if a[k] != b[k]), 7) for a, b in zip(ordered, ordered[1:])]
+    docs = np.array([rng.randint(0, 9) for _ in leaves])
+    least = {leaf: min(d for d, x in zip(docs, leaves) if x == leaf) for leaf in set(leaves)}
+    assert tree.later(docs).tolist() == [d > least[leaf] for d, leaf in zip(docs, leaves)]
+
+
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    a, b = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    rows = [(1, a), (2, a), (2, b), (3, b + " " + a), (None, b), (None, b)]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in suffix_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 60, 0), (0, 60, 0), (1, 60, 0), (2, 60, 60), (2, 60, 60), (3, 120, 120)]
 
 
 def test_remove_repeats_leaves_clean_texts_alone(docs, texts):
