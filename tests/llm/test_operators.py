@@ -180,6 +180,7 @@ def brute_components(texts):
 @pytest.mark.parametrize("tile", [2048, 3])
 def test_jaccard_components_equal_brute_force(docs, texts, tile, monkeypatch):
     monkeypatch.setattr(jaccard, "TILE_POINTS", tile)
+    monkeypatch.setattr(jaccard, "PIVOTS", 8 if tile > 3 else 1)
     monkeypatch.setattr(jaccard, "UNMARKED", 7 / 8 if tile > 3 else 1)
     monkeypatch.setattr(jaccard, "TILE_SHINGLES", 400_000 if tile > 3 else 300)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components_of(docs).collect()}
@@ -188,6 +189,61 @@ def test_jaccard_components_equal_brute_force(docs, texts, tile, monkeypatch):
     assert len({c for _, c in want.values()}) < len(want) - 10
 
 
+def near_copies(n, words=60):
+    """Texts that differ from one base in a word each, but for the last few, which hang on the base by a chain."""
+    base = [f"w{k}" for k in range(words)]
+    out = {}
+    for i in range(n):
+        own = list(base)
+        own[i % words] = f"x{i}"
+        out[i] = " ".join(own)
+    for k in range(1, 5):
+        own = [*(f"t{j}" for j in range(6 * k)), *base[6 * k :]]
+        out[n + k] = " ".join(own)
+    return out
+
+
+def test_a_large_group_of_near_copies_moves_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE_POINTS", 40)
+    monkeypatch.setattr(jaccard, "TILE_SHINGLES", 2000)
+    moved = []
+    edges = jaccard._edges
+
+    def counted(rows, keys, forest):
+        moved.append(rows.count())
+        return edges(rows, keys, forest)
+
+    monkeypatch.setattr(jaccard, "_edges", counted)
+    texts = near_copies(600)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components_of(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute_components(texts)
+    # every set meets a tile in each of the two passes, and pivots meet all of them; all pairs of tiles would be 15 times as many rows
+    blocks = len({w for t in texts.values() for w in t.split()})
+    assert len(moved) >= 4 and sum(moved) < 40 * len(texts), (moved, blocks)
+
+
+def test_equal_sets_are_told_apart_by_two_fingerprints(spark, monkeypatch):
+    texts = {1: "a b c d e f", 2: "a b c d e f", 3: "g h i j k l", 4: "m n o p q r"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = jaccard._describe(docs.withColumn("text_key", F.lit(0).cast("long")), np.zeros(jaccard.PLACES // 64, np.uint64))
+    assert sets.select("mark").distinct().count() == sets.select("mark2").distinct().count() == 3
+    described = jaccard._describe
+    monkeypatch.setattr(jaccard, "_describe", lambda *a: described(*a).withColumn("mark", F.lit(7).cast("long")))
+    copies = jaccard._components(jaccard._with_keys(docs)).where("known")
+    assert sorted(r.doc_id for r in copies.collect()) == [1, 2]
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    rows = [(1, a, 1), (1, a, 1), (1, a + " end", 2), (2, a, 3), (1, b, 4), (None, b, 5), (None, b, 5), (None, "own words stand here alone", 6), (None, None, 7), (None, None, 7), (5, " ", 8), (5, " ", 8)]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, h long"))
+    assert kept.columns == ["doc_id", "text", "h"]
+    got = Counter(tuple(r) for r in kept.collect())
+    # of the rows of id 1 around text a one stays
+    assert sum(n for r, n in got.items() if r[1] and r[1].startswith("w0")) == 1
+    assert got - Counter(r for r in got if r[1] and r[1].startswith("w0")) == Counter([(1, b, 4), (None, "own words stand here alone", 6), (None, None, 7), (None, None, 7), (5, " ", 8), (5, " ", 8)])
+
+
 def test_count_vectors_survive_packing():
     few = np.random.default_rng(3).integers(0, 2**63, 500).astype(np.uint64)
     one_group = np.arange(600, dtype=np.uint64) << np.uint64(20)
@@ -198,17 +254,18 @@ def test_count_vectors_survive_packing():
 
 def test_count_tree_bound_loses_no_pair():
     rng = np.random.default_rng(5)
-    base = np.unique(rng.integers(0, 2**63, 90).astype(np.uint64))
-    sets = [np.unique(np.concatenate([base[rng.random(len(base)) < p], rng.integers(0, 2**63, int(rng.integers(0, 40))).astype(np.uint64)])) for p in rng.uniform(0.3, 1, 300)]
-    sets.sort(key=len)
+    bases = [np.unique(rng.integers(0, 2**63, 90).astype(np.uint64)) for _ in range(3)]
+    sets = [np.unique(np.concatenate([(base := bases[k % 3])[rng.random(len(base)) < p], rng.integers(0, 2**63, int(rng.integers(0, 40))).astype(np.uint64)])) for k, p in enumerate(rng.uniform(0.3, 1, 900))]
     sizes = np.array([len(s) for s in sets])
     tree = jaccard.CountTree(sizes, [jaccard.count_vector(s) for s in sets])
     free = np.ones(len(sets), bool)
-    for i in range(0, 300, 7):
+    for i in range(0, 900, 7):
         near = set(tree.near(i, free).tolist())
-        for j in range(300):
+        for j in range(900):
             if j != i and jaccard.linked(np.array(len(np.intersect1d(sets[i], sets[j]))), len(sets[i]), np.array(len(sets[j]))):
                 assert j in near
+    # the summed minima close most nodes: these points are three clouds of many sizes
+    assert tree.opened < 0.7 * tree.met
 
 
 def test_connected_components_of_chains(spark):
