@@ -111,12 +111,43 @@ def test_top_k_equals_brute_force(spark):
             best = sorted((-int(fit[q] @ v), i) for i, v in fit.items() if i != q)[:20]
             want[q] = [(i, -s) for s, i in best]
     got = defaultdict(list)
-    for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 20, block=64, query_block=8).orderBy("query_id", "rank").collect():
+    for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 20, block=64, batch_bytes=600).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     assert got == want
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_threshold_stop_leaves_far_vectors_unscored():
+    rng = np.random.default_rng(8)
+    centres = np.eye(16) * 300
+    rows = np.floor(np.concatenate([c + rng.normal(size=(500, 16)) * 4 for c in centres]))
+    ids, share_scored = np.arange(len(rows)), []
+    queries = np.floor(centres + rng.normal(size=(16, 16)) * 20)
+    scores = queries @ rows.T
+    for block in range(16):
+        at = slice(500 * block, 500 * block + 500)
+        floors = np.sort(scores, axis=1)[:, -20]
+        lists = topk.Lists(ids[at], rows[at])
+        q, v, s = lists.best(np.full(16, -1), queries, 20, floors)
+        for i in range(16):
+            want = sorted((-scores[i, j], j) for j in ids[at] if scores[i, j] >= floors[i])[:20]
+            assert [(-a, b) for a, b in zip(s[q == i], v[q == i], strict=True)] == want
+        share_scored.append(lists.scored / lists.pairs)
+    assert np.mean(share_scored) < 0.1
+
+
+def test_threshold_stop_reads_a_part_of_the_lists():
+    rng = np.random.default_rng(9)
+    rows = np.floor(rng.exponential(30, size=(4000, 3)))
+    lists = topk.Lists(np.arange(4000), rows)
+    query = np.array([[5.0, 3.0, -1.0]])
+    scores = rows @ query[0]
+    floor = np.sort(scores)[-20:][:1]
+    q, v, s = lists.best(np.array([-1]), query, 20, floor)
+    assert list(zip(-s, v, strict=True)) == sorted((-x, i) for i, x in enumerate(scores.tolist()))[:20]
+    assert 0 < lists.scored < 0.3 * lists.pairs
+
+
 # -- 4 token files
 
 
@@ -519,6 +550,14 @@ def test_sequences_hold_the_tokens(docs):
     assert all(len(r.ids) == 4 * r.n_tokens for r in out.itertuples()) and out["n_tokens"].max() <= 2048
 
 
+def test_packed_pieces_keep_their_ids_where_doc_ids_repeat(spark):
+    rows = [(None, "a b"), (None, "a b"), (None, "c"), (3, "d e f"), (3, "d e f"), (3, "g " * 3000)]
+    placed = packing.pack(packing.pieces(spark.createDataFrame(rows, "doc_id long, text string"), with_ids=True)).collect()
+    assert len(placed) == 5 + 2 and all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in placed)
+    places = [(r.sequence_id, r.offset + k) for r in placed for k in range(r.length)]
+    assert len(set(places)) == len(places)
+
+
 # -- all
 
 
