@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame. Between stages
 the documents are written as Parquet and read again, so a lost executor never
-costs more than the stage in hand. All stages but the last return the columns of
+costs more than the stage in hand. Rows are known by themselves, not by doc_id, so
+null and repeated ids lose nothing; an empty table gives no rows. All stages but the last return the columns of
 their input; what a stage drops or cuts is gone for those behind it.
 """
 
@@ -30,8 +31,8 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 2048 tokens."""
-    return packing.pack(packing.pieces(docs))
+    """The pieces of all documents with their token ids, and their places in sequences of 2048 tokens."""
+    return packing.pack(packing.pieces(docs, with_ids=True))
 
 
 STAGES = [("language_id", identified), ("jaccard_join", distinct), ("substring_dedup", unrepeated), ("best_fit_packing", packed)]
