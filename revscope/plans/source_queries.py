@@ -57,18 +57,18 @@ ORACLES["channel_map"] = with_(
 
 
 def merge_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log 0 without its sensor columns, then log 1 with them: one session."""
+    """The logs of even number without their sensor columns, then those of odd number with them: one session."""
     t = telemetry(spark, sf_dir)
-    a = t.where("log_id = 0").select("log_id", "row_idx", "rpm", "map", "tps")
-    b = t.where("log_id = 1").select("log_id", "row_idx", "rpm", "map", F.col("kr").cast("string").alias("kr"))
+    a = t.where("log_id % 2 = 0").select("log_id", "row_idx", "rpm", "map", "tps")
+    b = t.where("log_id % 2 = 1").select("log_id", "row_idx", "rpm", "map", F.col("kr").cast("string").alias("kr"))
     return M.merged([a, b])
 
 
 QUERIES["merge_logs"] = merge_logs
 ORACLES["merge_logs"] = with_(
     B.T,
-    "u AS (SELECT 0 AS s, row_idx AS r, rpm, map, tps, NULL AS kr FROM t WHERE log_id = 0 UNION ALL SELECT 1, row_idx, rpm, map, NULL, kr FROM t WHERE log_id = 1)",
-    "SELECT CAST(0 AS BIGINT) AS log_id, row_number() OVER (ORDER BY s, r) - 1 AS row_idx, rpm, map, tps, CAST(kr AS VARCHAR) AS kr, s AS _srclog FROM u",
+    "u AS (SELECT log_id % 2 AS s, log_id AS l, row_idx AS r, rpm, map, CASE WHEN log_id % 2 = 0 THEN tps END AS tps, CASE WHEN log_id % 2 = 1 THEN CAST(kr AS VARCHAR) END AS kr FROM t)",
+    "SELECT CAST(0 AS BIGINT) AS log_id, row_number() OVER (ORDER BY s, l, r) - 1 AS row_idx, rpm, map, tps, kr, CAST(s AS INTEGER) AS _srclog FROM u",
 )
 QUERIES["axis_coordinate"] = lambda spark, sf_dir: telemetry(spark, sf_dir).where("rpm is not null").select("log_id", "row_idx", U.S.half_up(U.S.axis_coordinate(U.axis(U.SPARK_RPM), F.col("rpm")), 4).alias("x"), U.S.half_up(U.S.axis_coordinate(U.axis(U.SPARK_MAP), F.col("map")), 4).alias("y"))
 ORACLES["axis_coordinate"] = with_(B.T, f"SELECT log_id, row_idx, {B.half_up('greatest(0, least(16, rpm / 400))', 4)} AS x, {B.half_up('greatest(0, least(16, (map - 20) / 5))', 4)} AS y FROM t WHERE rpm IS NOT NULL")

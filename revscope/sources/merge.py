@@ -33,7 +33,9 @@ def merged(tables: list[DataFrame], partition_by_log: bool = False) -> DataFrame
     """Union with provenance: one continuous session, unless each log is to stay its own.
 
     Missing channels are NULL, a channel that is text in any log is text in all,
-    and a column that already has the reserved name is kept under another.
+    and a column that already has the reserved name is kept under another. A table
+    may hold many logs, which follow one another in the order of log_id; one without
+    a log_id is one log.
     """
     parts = []
     text = {f.name for t in tables for f in t.schema if f.dataType.simpleString() == "string" and f.name != "log_id"}
@@ -44,10 +46,14 @@ def merged(tables: list[DataFrame], partition_by_log: bool = False) -> DataFrame
                 name, n = f"{SOURCE}_orig_{n}", n + 1
             t = t.withColumnRenamed(SOURCE, name)
         t = t.select(*(plain_text(F.col(f.name)).alias(f.name) if f.name in text and f.dataType.simpleString() != "string" else F.col(f.name) for f in t.schema))
+        t = t if "log_id" in t.columns else t.withColumn("log_id", F.lit(0).cast("long"))
         parts.append(t.withColumn(SOURCE, F.lit(k)))
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if partition_by_log:
         return out
-    order = Window.partitionBy("_session").orderBy(SOURCE, "row_idx")
-    session = out.withColumn("_session", F.lit(0)).withColumn("row_idx", (F.row_number().over(order) - 1).cast("long"))
-    return session.drop("_session").withColumn("log_id", F.lit(0).cast("long"))
+    # one small row for each log says how many rows stand before it; rows are numbered inside their logs
+    sizes = out.groupBy(SOURCE, "log_id").agg(F.count("*").alias("_size"))
+    before = sizes.select(SOURCE, "log_id", (F.sum("_size").over(Window.orderBy(SOURCE, "log_id")) - F.col("_size")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(SOURCE, "log_id").orderBy("row_idx")) - 1
+    numbered = out.withColumn("_own", own).join(before, [SOURCE, "log_id"])
+    return numbered.withColumns({"row_idx": F.col("_before") + F.col("_own"), "log_id": F.lit(0).cast("long")}).drop("_own", "_before")

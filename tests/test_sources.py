@@ -55,6 +55,14 @@ def test_merge_aligns_types_and_keeps_a_reserved_column(spark):
     assert merge.clashes([a.drop("rpm"), b.select("log_id", "row_idx", "kr")]) == ["no common channels"]
 
 
+def test_merged_tables_of_many_logs_are_one_session(spark):
+    a = spark.createDataFrame([(k, i, float(10 * k + i)) for k in (4, 2) for i in (5, 1, 3)], "log_id long, row_idx long, rpm double")
+    b = spark.createDataFrame([(7.0, 0), (8.0, 1)], "rpm double, row_idx long")
+    out = merge.merged([a, b]).orderBy("row_idx").collect()
+    assert [(r.row_idx, r.rpm, r._srclog) for r in out] == [(0, 21.0, 0), (1, 23.0, 0), (2, 25.0, 0), (3, 41.0, 0), (4, 43.0, 0), (5, 45.0, 0), (6, 7.0, 1), (7, 8.0, 1)]
+    assert {r.log_id for r in out} == {0}
+
+
 def test_binary_round_trip(spark, tmp_path):
     raw = bytes(range(256)) * 2
     (tmp_path / "image.bin").write_bytes(raw)
