@@ -1,23 +1,29 @@
 """Binary images as rows of bytes: reading tables, patching, verifying, comparing and auditing.
 
 An image is (image_id, offset, byte). Many images are handled at once; every
-join and window is keyed by image, and one image is 64 KiB.
+join and window is keyed by image, and one image is 64 KiB. Suggestions and patches
+carry ``KEYS``: the image that they are for, and the log and mode that they come
+from; a patched image carries them too, so that one plan patches for all logs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from revscope.cluster import staged
 from revscope.functions import scalars as S
 
 SIZE = 65536
+KEYS = ["image_id", "log_id", "mode"]
 RPM17 = [float(400 * k) for k in range(17)]
 MAP13 = [float(30 + 5 * k) for k in range(13)]
 MAP17 = [float(20 + 5 * k) for k in range(17)]
 MPH17 = [float(4 * k) for k in range(17)]
 TPS17 = [6.25 * k for k in range(17)]
-#: Geometry of the tables that patches touch: title, address, rows, cols, bits, column labels, row labels, equation.
+#: Titles that suggestions name, with our own geometry. Geometry of the tables that patches touch: title, address, rows, cols, bits, column labels, row labels, equation.
 TABLES = [
     ("Main VE", 0x1000, 17, 13, 16, [f"{v:g}" for v in MAP13], [f"{v:g}" for v in RPM17], "X"),
     ("Idle VE", 0x1200, 7, 13, 16, [f"{v:g}" for v in MAP13], [f"{v:g}" for v in RPM17[:7]], "X"),
@@ -59,12 +65,13 @@ def read_tables(images: DataFrame, tables: DataFrame) -> DataFrame:
 
     The elements of a catalog are bounded by the size of an image and are the
     side that is broadcast; images may be any number. Elements wholly beyond an
-    image have no row.
+    image have no row. An image is known by all columns but offset and byte.
     """
+    own = [c for c in images.columns if c not in ("offset", "byte")]
     cells = elements(tables)
     byte_rows = cells.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("k")).withColumn("offset", F.col("address") + F.col("k"))
     joined = images.join(F.broadcast(byte_rows), "offset")
-    keys = ["image_id", "title", "row", "col", "address", "size", "x_label", "y_label", "equation"]
+    keys = [*own, "title", "row", "col", "address", "size", "x_label", "y_label", "equation"]
     weight = F.when(F.col("k") == F.col("size") - 1, 1).otherwise(256)
     raw = joined.groupBy(*keys).agg(F.when(F.count("byte") == F.first("size"), F.sum(F.col("byte") * weight)).alias("raw"))
     return raw.withColumn("value", S.half_up(S.decoded(F.col("raw"), F.col("equation")), 4))
@@ -157,73 +164,85 @@ def image_gate(images: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def smoothed(targets: DataFrame, n_rows: int, n_cols: int, rings: tuple[tuple[int, float], ...] = ((1, 0.5), (2, 0.25))) -> DataFrame:
-    """Untouched cells take a part of the mean of the targeted cells near them; the inner ring wins. Rows: row, col, delta."""
-    out = targets.select("row", "col", "delta", F.lit(False).alias("smoothed"))
+    """Untouched cells take a part of the mean of the targeted cells near them; the inner ring wins. Rows: KEYS, row, col, delta."""
+    out = targets.select(*KEYS, "row", "col", "delta", F.lit(False).alias("smoothed"))
     reach = max(r for r, _ in rings)
-    near = targets.select(F.explode(F.sequence(F.col("row") - reach, F.col("row") + reach)).alias("r"), "row", "col", "delta").select("r", F.explode(F.sequence(F.col("col") - reach, F.col("col") + reach)).alias("c"), "row", "col", "delta")
+    near = targets.select(*KEYS, F.explode(F.sequence(F.col("row") - reach, F.col("row") + reach)).alias("r"), "row", "col", "delta").select(*KEYS, "r", F.explode(F.sequence(F.col("col") - reach, F.col("col") + reach)).alias("c"), "row", "col", "delta")
     near = near.where(F.col("r").between(0, n_rows - 1) & F.col("c").between(0, n_cols - 1)).withColumn("d", F.greatest(F.abs(F.col("r") - F.col("row")), F.abs(F.col("c") - F.col("col"))))
-    means = near.groupBy(F.col("r").alias("row"), F.col("c").alias("col")).agg(*(F.avg(F.when(F.col("d") <= r, F.col("delta"))).alias(f"m{r}") for r, _ in rings))
+    means = near.groupBy(*KEYS, F.col("r").alias("row"), F.col("c").alias("col")).agg(F.min("d").alias("nearest"), *(F.avg(F.when(F.col("d") <= r, F.col("delta"))).alias(f"m{r}") for r, _ in rings))
     value = F.coalesce(*(F.col(f"m{r}") * f for r, f in rings))
-    free = means.join(targets.select("row", "col"), ["row", "col"], "left_anti").select("row", "col", value.alias("delta"), F.lit(True).alias("smoothed"))
+    free = means.where("nearest > 0").select(*KEYS, "row", "col", value.alias("delta"), F.lit(True).alias("smoothed"))
     return out.unionByName(free)
 
 
+PATCH = [*KEYS, "title", "row", "col", "address", "size", "old_value", "new_value", "delta", "smoothed"]
+
+
 def _patches(cells: DataFrame, deltas: DataFrame, new: Column) -> DataFrame:
+    """Cells meet the deltas of their image; cells of patched images those of their log and mode too."""
     top = F.when(F.col("size") == 2, 65535).otherwise(255)
     value = F.greatest(F.lit(0), F.least(top, S.half_up_int(new)))
-    return cells.join(deltas, ["row", "col"]).select("title", "row", "col", "address", "size", F.col("raw").alias("old_value"), value.cast("long").alias("new_value"), S.half_up(F.col("delta")).alias("delta"), "smoothed").where("old_value <> new_value")
+    own = [c for c in KEYS if c in cells.columns]
+    joined = cells.join(deltas, [*own, "row", "col"])
+    return joined.select(*KEYS, "title", "row", "col", "address", "size", F.col("raw").alias("old_value"), value.cast("long").alias("new_value"), S.half_up(F.col("delta")).alias("delta"), "smoothed").where("old_value <> new_value")
 
 
 def fuel_targets(suggestions: DataFrame, rpm_axis: list[float], map_axis: list[float]) -> DataFrame:
-    """Breakpoints touched by fuel suggestions of one log and mode; the strongest trim wins where bins meet."""
+    """Breakpoints touched by fuel suggestions; the strongest trim wins where bins meet."""
     rows = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(rpm_axis)))
     cols = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(map_axis)))
-    act = suggestions.where("action <> 'none'").select("delta_pct", "avg_trim", "first_row", F.explode(F.filter(rows, lambda x: x["v"].between(F.col("rpm_lo"), F.col("rpm_lo") + 500))).alias("r"), F.filter(cols, lambda x: x["v"].between(F.col("map_lo"), F.col("map_lo") + 10)).alias("cs"))
-    hits = act.select("delta_pct", "avg_trim", "first_row", F.col("r.i").alias("row"), F.explode("cs").alias("c")).withColumn("col", F.col("c.i"))
-    return hits.groupBy("row", "col").agg(F.max_by("delta_pct", F.struct(F.abs("avg_trim"), -F.col("first_row"))).alias("delta"))
+    act = suggestions.where("action <> 'none'").select(*KEYS, "delta_pct", "avg_trim", "first_row", F.explode(F.filter(rows, lambda x: x["v"].between(F.col("rpm_lo"), F.col("rpm_lo") + 500))).alias("r"), F.filter(cols, lambda x: x["v"].between(F.col("map_lo"), F.col("map_lo") + 10)).alias("cs"))
+    hits = act.select(*KEYS, "delta_pct", "avg_trim", "first_row", F.col("r.i").alias("row"), F.explode("cs").alias("c")).withColumn("col", F.col("c.i"))
+    return hits.groupBy(*KEYS, "row", "col").agg(F.max_by("delta_pct", F.struct(F.abs("avg_trim"), -F.col("first_row"))).alias("delta"))
 
 
-def apply_fuel(image: DataFrame, tables: DataFrame, suggestions: DataFrame, title: str = "Main VE") -> DataFrame:
-    cells = read_tables(image, tables.where(F.col("title") == title))
+def apply_fuel(images: DataFrame, tables: DataFrame, suggestions: DataFrame, title: str = "Main VE") -> DataFrame:
+    cells = read_tables(images, tables.where(F.col("title") == title))
     return _patches(cells, smoothed(fuel_targets(suggestions.where(F.col("table_name") == title), RPM17, MAP13), 17, 13), F.col("raw") * (1 + F.col("delta") / 100))
 
 
-def apply_spark(image: DataFrame, tables: DataFrame, suggestions: DataFrame) -> DataFrame:
-    cells = read_tables(image, tables.where("title = 'Spark Advance'"))
-    targets = suggestions.where("action <> 'none'").groupBy("row", "col").agg(F.min("delta_deg").alias("delta"))
+def apply_spark(images: DataFrame, tables: DataFrame, suggestions: DataFrame) -> DataFrame:
+    cells = read_tables(images, tables.where("title = 'Spark Advance'"))
+    targets = suggestions.where("action <> 'none'").groupBy(*KEYS, "row", "col").agg(F.min("delta_deg").alias("delta"))
     step = S.half_up_int(F.col("delta") * S.raw_per_unit(F.col("equation")))
-    return _patches(cells.withColumn("raw", F.col("raw")), smoothed(targets, 17, 17, ((1, 0.5),)), F.col("raw") + step)
+    return _patches(cells, smoothed(targets, 17, 17, ((1, 0.5),)), F.col("raw") + step)
+
 
+def _for_sessions(cells: DataFrame, changes: DataFrame) -> DataFrame:
+    """Each cell for each change (KEYS and what it says) of its image."""
+    return cells.join(changes, [c for c in KEYS if c in cells.columns])
 
-def apply_scale(image: DataFrame, tables: DataFrame, titles: list[str], percent: Column, floor: int = 0) -> DataFrame:
-    """Scale whole tables by a percentage, raw values not below a floor unless they were."""
-    cells = read_tables(image, tables.where(F.col("title").isin(titles)))
+
+def apply_scale(images: DataFrame, tables: DataFrame, titles: list[str], changes: DataFrame, floor: int = 0) -> DataFrame:
+    """Scale whole tables by the percentages of ``changes`` (KEYS, percent), raw values not below a floor unless they were."""
+    cells = _for_sessions(read_tables(images, tables.where(F.col("title").isin(titles))), changes)
     top = F.when(F.col("size") == 2, 65535).otherwise(255)
-    value = F.least(top, F.greatest(F.least(F.col("raw"), F.lit(floor)), S.half_up_int(F.col("raw") * (1 + percent / 100))))
-    return cells.select("title", "row", "col", "address", "size", F.col("raw").alias("old_value"), value.cast("long").alias("new_value"), S.half_up(percent).alias("delta"), F.lit(False).alias("smoothed")).where("old_value <> new_value")
+    value = F.least(top, F.greatest(F.least(F.col("raw"), F.lit(floor)), S.half_up_int(F.col("raw") * (1 + F.col("percent") / 100))))
+    return cells.select(*KEYS, "title", "row", "col", "address", "size", F.col("raw").alias("old_value"), value.cast("long").alias("new_value"), S.half_up(F.col("percent")).alias("delta"), F.lit(False).alias("smoothed")).where("old_value <> new_value")
+
 
+TRANS_CHANGES = ["firm_pct", "firm_mph", "kick_pct", "kick_mph", "hunt_pct", "hunt_tps", "hunt_pair"]
 
-def apply_transmission(image: DataFrame, tables: DataFrame, firm: tuple[float, float] | None, kick: tuple[float, float] | None, hunt: tuple[float, float, str] | None) -> DataFrame:
-    """firm: (percent, mph); kick: (percent, mph); hunt: (percent, throttle, pair as '3-4')."""
-    cells = read_tables(image, tables.where("title like 'Line Pressure%' or title like 'Normal %'"))
+
+def apply_transmission(images: DataFrame, tables: DataFrame, changes: DataFrame) -> DataFrame:
+    """``changes``: KEYS and percentages with the speeds, the throttle and the pair of gears (as '3-4') around which they hold; a NULL makes no patch."""
+    cells = _for_sessions(read_tables(images, tables.where("title like 'Line Pressure%' or title like 'Normal %'")), changes)
     old, parts = F.col("raw"), []
 
-    def patch(rows: DataFrame, new: Column, percent: float) -> None:
-        parts.append(rows.select("title", "row", "col", "address", "size", old.alias("old_value"), new.cast("long").alias("new_value"), F.lit(float(percent)).alias("delta"), F.lit(False).alias("smoothed")))
-
-    if firm:
-        patch(cells.where(F.col("title").like("Line Pressure%") & (F.abs(S.number(F.col("x_label")) - firm[1]) <= 10)), F.least(F.lit(255), S.half_up_int(old * (1 + firm[0] / 100))), firm[0])
-    if kick:
-        up = cells.where("title = 'Normal Upshifts'").select("row", F.array_join(F.reverse(F.split("x_label", "-")), "-").alias("x_label"), F.col("raw").alias("up_raw"))
-        down = cells.where("title = 'Normal Downshifts'").where(F.abs(old / 2 - kick[1]) <= 15).join(up, ["row", "x_label"], "left")
-        cap = F.least(F.lit(255), S.half_up_int(old * 1.5), F.coalesce(F.floor(F.col("up_raw") * 0.9), F.lit(255)))
-        patch(down, F.greatest(old, F.least(cap, S.half_up_int(old * (1 + kick[0] / 100)))), kick[0])
-    if hunt:
-        percent, tps, pair = hunt
-        near = cells.where(F.abs(S.number(F.col("y_label")) - tps) <= 12.5)
-        back = "-".join(reversed(pair.split("-")))
-        patch(near.where((F.col("title") == "Normal Upshifts") & (F.col("x_label") == pair)), F.least(F.lit(255), S.half_up_int(old * (1 + percent / 100))), percent)
-        patch(near.where((F.col("title") == "Normal Downshifts") & (F.col("x_label") == back)), F.greatest(F.lit(0), S.half_up_int(old / (1 + percent / 100))), -percent)
+    def patch(rows: DataFrame, new: Column, percent: Column) -> None:
+        parts.append(rows.select(*KEYS, "title", "row", "col", "address", "size", old.alias("old_value"), new.cast("long").alias("new_value"), percent.alias("delta"), F.lit(False).alias("smoothed")).where(percent.isNotNull()))
+
+    scaled = lambda name: S.half_up_int(old * (1 + F.col(name) / 100))
+    firm = cells.where(F.col("title").like("Line Pressure%") & (F.abs(S.number(F.col("x_label")) - F.col("firm_mph")) <= 10))
+    patch(firm, F.least(F.lit(255), scaled("firm_pct")), F.col("firm_pct"))
+    up = cells.where("title = 'Normal Upshifts'").select(*KEYS, "row", F.array_join(F.reverse(F.split("x_label", "-")), "-").alias("x_label"), F.col("raw").alias("up_raw"))
+    down = cells.where("title = 'Normal Downshifts'").where(F.abs(old / 2 - F.col("kick_mph")) <= 15).join(up, [*KEYS, "row", "x_label"], "left")
+    cap = F.least(F.lit(255), S.half_up_int(old * 1.5), F.coalesce(F.floor(F.col("up_raw") * 0.9), F.lit(255)))
+    patch(down, F.greatest(old, F.least(cap, scaled("kick_pct"))), F.col("kick_pct"))
+    near = cells.where(F.abs(S.number(F.col("y_label")) - F.col("hunt_tps")) <= 12.5)
+    back = F.array_join(F.reverse(F.split("hunt_pair", "-")), "-")
+    patch(near.where((F.col("title") == "Normal Upshifts") & (F.col("x_label") == F.col("hunt_pair"))), F.least(F.lit(255), scaled("hunt_pct")), F.col("hunt_pct"))
+    patch(near.where((F.col("title") == "Normal Downshifts") & (F.col("x_label") == back)), F.greatest(F.lit(0), S.half_up_int(old / (1 + F.col("hunt_pct") / 100))), -F.col("hunt_pct"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -231,33 +250,66 @@ def apply_transmission(image: DataFrame, tables: DataFrame, firm: tuple[float, f
 
 
 def patch_bytes(patches: DataFrame) -> DataFrame:
-    """(title, address, offset, byte): the bytes that patches write."""
+    """(KEYS, title, address, offset, byte): the bytes that patches write."""
     k = F.explode(F.sequence(F.lit(0), F.col("size") - 1))
-    rows = patches.select("title", "address", "size", "new_value", k.alias("k"))
+    rows = patches.select(*KEYS, "title", "address", "size", "new_value", k.alias("k"))
     high = (F.col("size") == 2) & (F.col("k") == 0)
-    return rows.select("title", "address", (F.col("address") + F.col("k")).alias("offset"), F.when(high, F.floor(F.col("new_value") / 256)).otherwise(F.col("new_value") % 256).cast("int").alias("byte"))
+    return rows.select(*KEYS, "title", "address", (F.col("address") + F.col("k")).alias("offset"), F.when(high, F.floor(F.col("new_value") / 256)).otherwise(F.col("new_value") % 256).cast("int").alias("byte"))
+
 
+def patched(images: DataFrame, patches: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """The image of each session (KEYS; those that have patches unless given) with the bytes of its patches (disjoint; of several writers of a byte the highest address wins)."""
+    new = patch_bytes(patches).groupBy(*KEYS, "offset").agg(F.max_by("byte", "address").alias("new"))
+    if "log_id" not in images.columns:
+        images = images.join(sessions if sessions is not None else patches.select(*KEYS).distinct(), "image_id")
+    return images.join(new, [*KEYS, "offset"], "left").select(*KEYS, "offset", F.coalesce("new", "byte").alias("byte"))
 
-def patched(image: DataFrame, patches: DataFrame) -> DataFrame:
-    """The image with the bytes of the patches (disjoint; of several writers of a byte the highest address wins)."""
-    new = patch_bytes(patches).groupBy("offset").agg(F.max_by("byte", "address").alias("new"))
-    return image.join(new, "offset", "left").select("image_id", "offset", F.coalesce("new", "byte").alias("byte"))
+
+def within(images: DataFrame, tables: DataFrame) -> DataFrame:
+    """Only the bytes that tables cover; a catalog covers at most an image, so its offsets are broadcast."""
+    span = F.sequence(F.col("address"), F.col("address") + (F.greatest(F.col("n_rows"), F.lit(1)) * F.greatest(F.col("n_cols"), F.lit(1)) * F.col("bits") / 8).cast("int") - 1)
+    covered = tables.select(F.explode(span).alias("offset")).where(F.col("offset").between(0, SIZE - 1)).distinct()
+    return images.join(F.broadcast(covered), "offset", "left_semi")
+
+
+def chained(images: DataFrame, tables: DataFrame, sessions: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
+    """The patches of all stages (name, function of the images so far), each on top of the images that the stage before left.
+
+    The bytes that tables cover are staged between stages, one set for each session.
+    """
+    current, out = within(images, tables).join(sessions, "image_id").select(*KEYS, "offset", "byte"), None
+    for name, stage in stages:
+        current = staged(current, f"images-before-{name}")
+        patches = staged(stage(current).withColumn("stage", F.lit(name)), f"patches-{name}")
+        current = patched(current, patches)
+        out = patches if out is None else out.unionByName(patches)
+    return out
 
 
 def verify(before: DataFrame, after: DataFrame, patches: DataFrame, tables: DataFrame) -> DataFrame:
-    """One row for each failed check of a patch: range, table, old-value, conflict, value-range, read-back."""
-    spans = tables.select("title", F.col("address").alias("base"), (F.col("address") + F.greatest(F.col("n_rows"), F.lit(1)) * F.greatest(F.col("n_cols"), F.lit(1)) * F.col("bits") / 8).alias("stop"))
+    """One row for each failed check of a patch: range, table, old-value, conflict, value-range, read-back; overlap (of two tables' definitions) only warns.
+
+    ``before`` is known by image_id or by KEYS, ``after`` by KEYS.
+    """
+    spans = tables.select("title", F.col("address").alias("base"), (F.col("address") + F.greatest(F.col("n_rows"), F.lit(1)) * F.greatest(F.col("n_cols"), F.lit(1)) * F.col("bits") / 8).cast("int").alias("stop"))
     top = F.when(F.col("size") == 2, 65535).otherwise(255)
     outside = (F.col("address") < 0) | (F.col("address") + F.col("size") > SIZE)
+    spread = patches.select(*KEYS, "address", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("k")).withColumn("offset", F.col("address") + F.col("k")).distinct()
 
     def words(image: DataFrame, name: str) -> DataFrame:
-        inner = patches.where(~outside).select("address", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("k")).withColumn("offset", F.col("address") + F.col("k"))
+        own = [c for c in KEYS if c in image.columns]
         weight = F.when((F.col("size") == 2) & (F.col("k") == 0), 256).otherwise(1)
-        return inner.dropDuplicates(["address", "offset"]).join(image.select("offset", "byte"), "offset").groupBy("address").agg(F.sum(F.col("byte") * weight).alias(name))
-
-    shared = patch_bytes(patches).groupBy("offset").agg(F.count("*").alias("n"), F.min("address").alias("first")).where("n > 1").select(F.col("offset").alias("shared")).distinct()
-    clash = patch_bytes(patches).join(shared, F.col("offset") == F.col("shared")).select("address").distinct().withColumn("clash", F.lit(True))
-    rows = patches.join(spans, "title", "left").join(words(before, "was"), "address", "left").join(words(after, "now"), "address", "left").join(clash, "address", "left")
+        return spread.join(image.select(*own, "offset", "byte"), [*own, "offset"]).groupBy(*KEYS, "address").agg(F.sum(F.col("byte") * weight).alias(name))
+
+    written = patch_bytes(patches)
+    shared = written.groupBy(*KEYS, "offset").agg(F.count("*").alias("n")).where("n > 1").select(*KEYS, "offset")
+    clash = written.join(shared, [*KEYS, "offset"]).select(*KEYS, "address").distinct().withColumn("clash", F.lit(True))
+    # bytes that two definitions claim: a catalog covers at most an image
+    claims = spans.select(F.explode(F.sequence("base", F.col("stop") - 1)).alias("offset")).groupBy("offset").count().where("count > 1").select("offset")
+    doubly = spread.join(F.broadcast(claims), "offset").select(*KEYS, "address").distinct().withColumn("doubly", F.lit(True))
+    rows = patches.join(spans, "title", "left")
+    for part in (words(before, "was"), words(after, "now"), clash, doubly):
+        rows = rows.join(part, [*KEYS, "address"], "left")
     checks = {
         "range": outside,
         "table": ~outside & (F.col("base").isNull() | (F.col("address") < F.col("base")) | (F.col("address") + F.col("size") > F.col("stop"))),
@@ -265,21 +317,32 @@ def verify(before: DataFrame, after: DataFrame, patches: DataFrame, tables: Data
         "conflict": ~outside & F.coalesce("clash", F.lit(False)),
         "value-range": ~outside & ((F.col("new_value") < 0) | (F.col("new_value") > top)),
         "read-back": ~outside & ~F.col("now").eqNullSafe(F.col("new_value")),
+        "overlap": ~outside & F.coalesce("doubly", F.lit(False)),
     }
     named = F.array_compact(F.array(*(F.when(c, n) for n, c in checks.items())))
-    return rows.select("title", "address", F.explode(named).alias("failed"))
+    return rows.select(*KEYS, "title", "address", F.explode(named).alias("failed"))
 
 
 def uncovered(before: DataFrame, after: DataFrame, patches: DataFrame) -> DataFrame:
-    """Bytes that changed although no patch writes them."""
-    return differing(before, after).join(patch_bytes(patches).select("offset").distinct(), "offset", "left_anti").select("offset", F.col("old").alias("old_byte"), F.col("new").alias("new_byte"))
+    """Bytes of each session's image that changed although no patch writes them."""
+    old = before.select("image_id", "offset", F.col("byte").alias("old_byte"))
+    changed = after.withColumnRenamed("byte", "new_byte").join(old, ["image_id", "offset"]).where("old_byte <> new_byte")
+    return changed.join(patch_bytes(patches).select(*KEYS, "offset").distinct(), [*KEYS, "offset"], "left_anti").select(*KEYS, "offset", "old_byte", "new_byte")
 
 
 def before_after(before: DataFrame, after: DataFrame, tables: DataFrame) -> DataFrame:
-    """Every cell of every table before and after."""
-    side = lambda df, n: read_tables(df, tables).select("title", "row", "col", F.col("value").alias(n))
-    both = side(before, "before").join(side(after, "after"), ["title", "row", "col"])
-    return both.withColumn("change", S.half_up(F.col("after") - F.col("before"), 4))
+    """Every cell of every table of each session's image, before and after."""
+    cell = ["title", "row", "col"]
+    old = read_tables(before, tables).select("image_id", *cell, F.col("value").alias("before"))
+    both = read_tables(after, tables).select(*KEYS, *cell, F.col("value").alias("after")).join(old, ["image_id", *cell])
+    return both.select(*KEYS, *cell, "before", "after", S.half_up(F.col("after") - F.col("before"), 4).alias("change"))
+
+
+def biggest_moves(cells: DataFrame) -> DataFrame:
+    """Per session and table how many cells moved, and the one that moved most (the first by row and column of equals)."""
+    moved = cells.where("change <> 0")
+    most = F.max_by(F.struct("row", "col", "change"), F.struct(F.abs("change"), -F.col("row"), -F.col("col")))
+    return moved.groupBy(*KEYS, "title").agg(F.count("*").alias("changed"), most.alias("m")).select(*KEYS, "title", "changed", "m.row", "m.col", "m.change")
 
 
 def same_image(images: DataFrame) -> DataFrame:

@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revscope.cluster import staged
+from revscope.operators import events as E
 from revscope.operators import features as X
 from revscope.operators import images as I
+from revscope.operators import reports as R
+from revscope.operators import rules as U
 from revscope.plans.base_sql import half_up as hu
 from revscope.plans.base_sql import half_up_int as hi
 from revscope.plans.report_queries import with_
-from revscope.plans.rule_queries import FUEL, MODES, NEAREST, SPARK, fuel, spark_rows
+from revscope.plans import base_sql as B
+from revscope.plans.event_queries import TIPIN, TIPSUM, TRANS, recursive
+from revscope.plans.rule_queries import AESG, FUEL, MODES, NEAREST, PEEG, PESG, SPARK, TRSG, fuel, spark_rows
 from revscope.sources.telemetry import telemetry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,97 +124,186 @@ register(
 )
 
 
-def _log0(rows: DataFrame) -> DataFrame:
-    return rows.where("mode = 'aggressive' and log_id = 0")
+def _for_image(rows: DataFrame) -> DataFrame:
+    """Suggestions of all logs and modes, each log with image "a"."""
+    return rows.withColumn("image_id", F.lit("a"))
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.drop("image_id")
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.with_features(telemetry(spark, sf_dir))
 
 
 def fuel_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.apply_fuel(image(spark, "a"), I.catalog(spark), _log0(fuel(X.with_features(telemetry(spark, sf_dir)))))
+    return I.apply_fuel(image(spark, "a"), I.catalog(spark), _for_image(fuel(_features(spark, sf_dir))))
 
 
 def spark_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.apply_spark(image(spark, "a"), I.catalog(spark), _log0(spark_rows(X.with_features(telemetry(spark, sf_dir)))))
+    return I.apply_spark(image(spark, "a"), I.catalog(spark), _for_image(spark_rows(_features(spark, sf_dir))))
 
 
 def smooth_sql(targets: str, n_rows: int, n_cols: int, name: str, outer: bool) -> str:
     second = "avg(delta) FILTER (WHERE d <= 2) * 0.25e0" if outer else "NULL"
-    return f"""{name}n AS (SELECT r, c, t.delta, greatest(abs(r - t."row"), abs(c - t.col)) AS d FROM range({n_rows}) AS a(r), range({n_cols}) AS b(c), {targets} t WHERE abs(r - t."row") <= 2 AND abs(c - t.col) <= 2),
-{name}m AS (SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, coalesce(avg(delta) FILTER (WHERE d <= 1) * 0.5e0, {second}) AS delta FROM {name}n GROUP BY r, c HAVING min(d) > 0),
-{name} AS (SELECT CAST("row" AS INTEGER) AS "row", CAST(col AS INTEGER) AS col, delta, false AS smoothed FROM {targets} UNION ALL SELECT "row", col, delta, true FROM {name}m)"""
+    return f"""{name}n AS (SELECT t.log_id, t.mode, r, c, t.delta, greatest(abs(r - t."row"), abs(c - t.col)) AS d FROM range({n_rows}) AS a(r), range({n_cols}) AS b(c), {targets} t WHERE abs(r - t."row") <= 2 AND abs(c - t.col) <= 2),
+{name}m AS (SELECT log_id, mode, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, coalesce(avg(delta) FILTER (WHERE d <= 1) * 0.5e0, {second}) AS delta FROM {name}n GROUP BY log_id, mode, r, c HAVING min(d) > 0),
+{name} AS (SELECT log_id, mode, CAST("row" AS INTEGER) AS "row", CAST(col AS INTEGER) AS col, delta, false AS smoothed FROM {targets} UNION ALL SELECT log_id, mode, "row", col, delta, true FROM {name}m)"""
 
 
 AXES = f"xr AS (SELECT unnest({I.RPM17}) AS v, unnest(generate_series(0, 16)) AS i), xm AS (SELECT unnest({I.MAP13}) AS v, unnest(generate_series(0, 12)) AS i)"
-FUEL_TARGETS = """ft AS (SELECT xr.i AS "row", xm.i AS col, first(delta_pct ORDER BY abs(avg_trim) DESC, first_row) AS delta FROM fsg JOIN xr ON xr.v BETWEEN rpm_lo AND rpm_lo + 500 JOIN xm ON xm.v BETWEEN map_lo AND map_lo + 10
-  WHERE mode = 'aggressive' AND log_id = 0 AND action <> 'none' AND table_name = 'Main VE' GROUP BY ALL)"""
-PATCH = "SELECT title, \"row\", col, address, size, raw AS old_value, greatest(0, least(CASE WHEN size = 2 THEN 65535 ELSE 255 END, {0})) AS new_value, {1} AS delta, smoothed FROM ta JOIN {2} s USING (\"row\", col) WHERE title = '{3}'"
-FUEL_PATCH = (MODES, FUEL, IMAGES, CAT, read_sql("ia", "ta"), AXES, FUEL_TARGETS, smooth_sql("ft", 17, 13, "fsm", True), f"fpt AS ({PATCH.format(hi('raw * (1 + delta / 100)'), hu('delta'), 'fsm', 'Main VE')})", "fpp AS (SELECT * FROM fpt WHERE old_value <> new_value)")
-register("apply_fuel", fuel_patches, with_(*FUEL_PATCH, "SELECT * FROM fpp"))
+FUEL_TARGETS = """ft AS (SELECT log_id, mode, xr.i AS "row", xm.i AS col, first(delta_pct ORDER BY abs(avg_trim) DESC, first_row) AS delta FROM fsg JOIN xr ON xr.v BETWEEN rpm_lo AND rpm_lo + 500 JOIN xm ON xm.v BETWEEN map_lo AND map_lo + 10
+  WHERE action <> 'none' AND table_name = 'Main VE' GROUP BY ALL)"""
+PATCH = "SELECT log_id, mode, title, \"row\", col, address, size, raw AS old_value, greatest(0, least(CASE WHEN size = 2 THEN 65535 ELSE 255 END, {0})) AS new_value, {1} AS delta, smoothed FROM ta JOIN {2} s USING (\"row\", col) WHERE title = '{3}'"
+READ_A = (IMAGES, CAT, read_sql("ia", "ta"))
+FUEL_STEPS = (AXES, FUEL_TARGETS, smooth_sql("ft", 17, 13, "fsm", True), f"fpt AS ({PATCH.format(hi('raw * (1 + delta / 100)'), hu('delta'), 'fsm', 'Main VE')})", "fpp AS (SELECT * FROM fpt WHERE old_value <> new_value)")
+FUEL_PATCH = (MODES, FUEL, *READ_A, *FUEL_STEPS)
+register("apply_fuel", lambda spark, sf_dir: _shown(fuel_patches(spark, sf_dir)), with_(*FUEL_PATCH, "SELECT * FROM fpp"))
 register(
     "grid_smooth",
-    lambda spark, sf_dir: I.smoothed(I.fuel_targets(_log0(fuel(X.with_features(telemetry(spark, sf_dir)))).where("table_name = 'Main VE'"), I.RPM17, I.MAP13), 17, 13).withColumn("delta", I.S.half_up(F.col("delta"), 4)),
-    with_(MODES, FUEL, AXES, FUEL_TARGETS, smooth_sql("ft", 17, 13, "fsm", True), f'SELECT "row", col, {hu("delta", 4)} AS delta, smoothed FROM fsm'),
+    lambda spark, sf_dir: _shown(I.smoothed(I.fuel_targets(_for_image(fuel(_features(spark, sf_dir))).where("table_name = 'Main VE'"), I.RPM17, I.MAP13), 17, 13).withColumn("delta", I.S.half_up(F.col("delta"), 4))),
+    with_(MODES, FUEL, AXES, FUEL_TARGETS, smooth_sql("ft", 17, 13, "fsm", True), f'SELECT log_id, mode, "row", col, {hu("delta", 4)} AS delta, smoothed FROM fsm'),
 )
-SPARK_TARGETS = """st AS (SELECT "row", col, min(delta_deg) AS delta FROM ssg WHERE mode = 'aggressive' AND log_id = 0 AND action <> 'none' GROUP BY "row", col)"""
-register(
-    "apply_spark",
-    spark_patches,
-    with_(MODES, NEAREST, SPARK, IMAGES, CAT, read_sql("ia", "ta"), SPARK_TARGETS, smooth_sql("st", 17, 17, "ssm", False), f"p AS ({PATCH.format('raw + ' + hi('delta * (255 / 90e0)'), hu('delta'), 'ssm', 'Spark Advance')})", "SELECT * FROM p WHERE delta IS NOT NULL AND old_value <> new_value"),
+SPARK_STEPS = (
+    """st AS (SELECT log_id, mode, "row", col, min(delta_deg) AS delta FROM ssg WHERE action <> 'none' GROUP BY ALL)""",
+    smooth_sql("st", 17, 17, "ssm", False),
+    f"spt AS ({PATCH.format('raw + ' + hi('delta * (255 / 90e0)'), hu('delta'), 'ssm', 'Spark Advance')})",
+    "spp AS (SELECT * FROM spt WHERE delta IS NOT NULL AND old_value <> new_value)",
 )
+register("apply_spark", lambda spark, sf_dir: _shown(spark_patches(spark, sf_dir)), with_(MODES, NEAREST, SPARK, *READ_A, *SPARK_STEPS, "SELECT * FROM spp"))
 
 
-def scale_sql(titles: list[str], percent: float, floor: int = 0) -> str:
+def scale_sql(name: str, source: str, titles: list[str], percent: str, floor: int = 0) -> str:
     names = ", ".join(f"'{t}'" for t in titles)
-    return with_(
-        IMAGES, CAT, read_sql("ia", "ta"),
-        f'p AS (SELECT title, "row", col, address, size, raw AS old_value, least(255, greatest(least(raw, {floor}), {hi(f"raw * (1 + {percent}e0 / 100)")})) AS new_value, {percent}e0 AS delta, false AS smoothed FROM ta WHERE title IN ({names}))',
-        "SELECT * FROM p WHERE old_value <> new_value",
-    )
-
-
-for _name, _titles, _percent, _floor in (("apply_pe", ["Power Enrichment"], -6.0, 0), ("apply_ae", ["AE vs D-TPS", "AE vs D-MAP"], 16.0, 0), ("apply_pe_entry", ["PE Entry"], -10.0, 128)):
-    register(_name, lambda spark, sf_dir, t=_titles, p=_percent, f=_floor: I.apply_scale(image(spark, "a"), I.catalog(spark), t, F.lit(p), f), scale_sql(_titles, _percent, _floor))
-FIRM, KICK, HUNT = (8.0, 40.0), (8.0, 60.0), (5.0, 18.0, "3-4")
-TRANS_SQL = f"""tp AS (
- SELECT title, "row", col, address, size, raw AS old_value, least(255, {hi("raw * 1.08e0")}) AS new_value, 8e0 AS delta FROM ta WHERE title LIKE 'Line Pressure%' AND abs(CAST(x_label AS DOUBLE) - 40) <= 10
- UNION ALL SELECT d.title, d."row", d.col, d.address, d.size, d.raw, greatest(d.raw, least(255, {hi("d.raw * 1.5e0")}, coalesce(CAST(floor(u.raw * 0.9e0) AS BIGINT), 255), {hi("d.raw * 1.08e0")})), 8e0
-   FROM ta d LEFT JOIN ta u ON u.title = 'Normal Upshifts' AND u."row" = d."row" AND u.x_label = reverse(d.x_label) WHERE d.title = 'Normal Downshifts' AND abs(d.raw / 2 - 60) <= 15
- UNION ALL SELECT title, "row", col, address, size, raw, least(255, {hi("raw * 1.05e0")}), 5e0 FROM ta WHERE title = 'Normal Upshifts' AND x_label = '3-4' AND abs(CAST(y_label AS DOUBLE) - 18) <= 12.5
- UNION ALL SELECT title, "row", col, address, size, raw, greatest(0, {hi("raw / 1.05e0")}), -5e0 FROM ta WHERE title = 'Normal Downshifts' AND x_label = '4-3' AND abs(CAST(y_label AS DOUBLE) - 18) <= 12.5)"""
-register("apply_trans", lambda spark, sf_dir: I.apply_transmission(image(spark, "a"), I.catalog(spark), FIRM, KICK, HUNT), with_(IMAGES, CAT, read_sql("ia", "ta"), TRANS_SQL, "SELECT *, false AS smoothed FROM tp WHERE old_value <> new_value"))
-AFTER = """pw AS (SELECT address AS "offset", CASE WHEN size = 2 THEN new_value // 256 ELSE new_value END AS nb FROM fpp UNION ALL SELECT address + 1, new_value % 256 FROM fpp WHERE size = 2),
-pim AS (SELECT image_id, "offset", CAST(coalesce(nb, byte) AS INTEGER) AS byte FROM ia LEFT JOIN pw USING ("offset"))"""
+    return (
+        f'{name}0 AS (SELECT s.log_id, s.mode, title, "row", col, address, ta.size, raw AS old_value, least(255, greatest(least(raw, {floor}), {hi(f"raw * (1 + {percent} / 100)")})) AS new_value, {hu(percent)} AS delta, false AS smoothed '
+        f"FROM ta, {source} s WHERE s.action <> 'none' AND title IN ({names})), {name} AS (SELECT * FROM {name}0 WHERE old_value <> new_value)"
+    )
+
+
+def _percent(rows: DataFrame, sign: int = 1) -> DataFrame:
+    return _for_image(rows.where("action <> 'none'")).select(*I.KEYS, (sign * F.col("delta_pct")).alias("percent"))
+
+
+def pe_changes(f: DataFrame) -> DataFrame:
+    """Enrichment lowers the commanded air-fuel ratio."""
+    return _percent(U.pe_suggestions(R.lambda_by_region(f)), -1)
+
+
+def ae_changes(f: DataFrame) -> DataFrame:
+    return _percent(U.ae_suggestions(E.tip_in_summary(f, E.tip_ins(f)), R.o2_cross_counts(f)))
+
+
+def pe_entry_changes(f: DataFrame) -> DataFrame:
+    return _percent(U.pe_entry_suggestions(R.pe_entry(f)))
+
+
+def trans_changes(f: DataFrame) -> DataFrame:
+    report = staged(E.transmission(f), "transmission")
+    return _for_image(U.trans_changes(U.trans_suggestions(report), report))
+
+
+PE_TITLES, AE_TITLES, ENTRY_TITLES, ENTRY_FLOOR = ["Power Enrichment"], ["AE vs D-TPS", "AE vs D-MAP"], ["PE Entry"], 128
+SCALES = {"pep": ("pg", PE_TITLES, "-s.delta_pct", 0), "aep": ("ag", AE_TITLES, "s.delta_pct", 0), "enp": ("eg", ENTRY_TITLES, "s.delta_pct", ENTRY_FLOOR)}
+_beyond = lambda sql: sql.removeprefix(B.FEATURES).lstrip(",\n ")
+_scaled = lambda name: scale_sql(name, *SCALES[name])
+register("apply_pe", lambda spark, sf_dir: _shown(I.apply_scale(image(spark, "a"), I.catalog(spark), PE_TITLES, pe_changes(_features(spark, sf_dir)))), with_(MODES, PESG, *READ_A, _scaled("pep"), "SELECT * FROM pep"))
+register("apply_ae", lambda spark, sf_dir: _shown(I.apply_scale(image(spark, "a"), I.catalog(spark), AE_TITLES, ae_changes(_features(spark, sf_dir)))), recursive(with_(TIPIN, TIPSUM, MODES, AESG, *READ_A, _scaled("aep"), "SELECT * FROM aep")))
+register("apply_pe_entry", lambda spark, sf_dir: _shown(I.apply_scale(image(spark, "a"), I.catalog(spark), ENTRY_TITLES, pe_entry_changes(_features(spark, sf_dir)), ENTRY_FLOOR)), with_(MODES, PEEG, *READ_A, _scaled("enp"), "SELECT * FROM enp"))
+TRANS_STEPS = (
+    """tw AS (SELECT log_id, mode, max(delta_pct) FILTER (WHERE kind = 'trans-firmness') AS firm, max(delta_pct) FILTER (WHERE kind = 'trans-kickdown') AS kick, max(delta_pct) FILTER (WHERE kind = 'trans-hunting') AS hunt FROM trg WHERE action <> 'none' GROUP BY log_id, mode),
+tx AS (SELECT tw.*, worst_flare_mph, kickdown_mph, hunting_tps, hunting_pair FROM tw JOIN trn USING (log_id))""",
+    f"""tp AS (
+ SELECT log_id, mode, title, "row", col, address, size, raw AS old_value, least(255, {hi("raw * (1 + firm / 100)")}) AS new_value, firm AS delta FROM ta, tx WHERE title LIKE 'Line Pressure%' AND abs(CAST(x_label AS DOUBLE) - worst_flare_mph) <= 10 AND firm IS NOT NULL
+ UNION ALL SELECT log_id, mode, d.title, d."row", d.col, d.address, d.size, d.raw, greatest(d.raw, least(255, {hi("d.raw * 1.5e0")}, coalesce(CAST(floor(u.raw * 0.9e0) AS BIGINT), 255), {hi("d.raw * (1 + kick / 100)")})), kick
+   FROM tx, ta d LEFT JOIN ta u ON u.title = 'Normal Upshifts' AND u."row" = d."row" AND u.x_label = reverse(d.x_label) WHERE d.title = 'Normal Downshifts' AND abs(d.raw / 2 - kickdown_mph) <= 15 AND kick IS NOT NULL
+ UNION ALL SELECT log_id, mode, title, "row", col, address, size, raw, least(255, {hi("raw * (1 + hunt / 100)")}), hunt FROM ta, tx WHERE title = 'Normal Upshifts' AND x_label = hunting_pair AND abs(CAST(y_label AS DOUBLE) - hunting_tps) <= 12.5 AND hunt IS NOT NULL
+ UNION ALL SELECT log_id, mode, title, "row", col, address, size, raw, greatest(0, {hi("raw / (1 + hunt / 100)")}), -hunt FROM ta, tx WHERE title = 'Normal Downshifts' AND x_label = reverse(hunting_pair) AND abs(CAST(y_label AS DOUBLE) - hunting_tps) <= 12.5 AND hunt IS NOT NULL),
+trp AS (SELECT log_id, mode, title, "row", col, address, size, old_value, new_value, delta, false AS smoothed FROM tp WHERE old_value <> new_value)""",
+)
+register("apply_trans", lambda spark, sf_dir: _shown(I.apply_transmission(image(spark, "a"), I.catalog(spark), trans_changes(_features(spark, sf_dir)))), recursive(with_(TRANS, MODES, TRSG, *READ_A, *TRANS_STEPS, "SELECT * FROM trp")))
+
+
+def chained_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The patches of all kinds of suggestions of all logs and modes, each stage on the images that the stage before left."""
+    f, tables = _features(spark, sf_dir), I.catalog(spark)
+    modes = F.explode(F.array(*map(F.lit, U.MODES)))
+    sessions = _for_image(f.select("log_id").distinct().select("log_id", modes.alias("mode"))).select(*I.KEYS)
+    stages = [
+        ("fuel", lambda now: I.apply_fuel(now, tables, _for_image(fuel(f)))),
+        ("spark", lambda now: I.apply_spark(now, tables, _for_image(spark_rows(f)))),
+        ("pe", lambda now: I.apply_scale(now, tables, PE_TITLES, pe_changes(f))),
+        ("ae", lambda now: I.apply_scale(now, tables, AE_TITLES, ae_changes(f))),
+        ("pe-entry", lambda now: I.apply_scale(now, tables, ENTRY_TITLES, pe_entry_changes(f), ENTRY_FLOOR)),
+        ("trans", lambda now: I.apply_transmission(now, tables, trans_changes(f))),
+    ]
+    return I.chained(image(spark, "a"), tables, sessions, stages)
+
+
+CHAINED = (TRANS, _beyond(TIPIN), TIPSUM, MODES, FUEL, NEAREST, SPARK, PESG, AESG, PEEG, TRSG, *READ_A, *FUEL_STEPS, *SPARK_STEPS, *map(_scaled, SCALES), *TRANS_STEPS)
+#: Stages write to tables of their own, so each one's old values are those of the first image.
+register(
+    "chained_patches",
+    lambda spark, sf_dir: _shown(chained_patches(spark, sf_dir)),
+    recursive(with_(*CHAINED, " UNION ALL ".join(f"SELECT *, '{stage}' AS stage FROM {name}" for stage, name in (("fuel", "fpp"), ("spark", "spp"), ("pe", "pep"), ("ae", "aep"), ("pe-entry", "enp"), ("trans", "trp"))))),
+)
+AFTER = """pw AS (SELECT log_id, mode, address AS "offset", CASE WHEN size = 2 THEN new_value // 256 ELSE new_value END AS nb FROM fpp UNION ALL SELECT log_id, mode, address + 1, new_value % 256 FROM fpp WHERE size = 2),
+kk AS (SELECT DISTINCT log_id, mode FROM fpp),
+pim AS (SELECT log_id || '/' || mode AS image_id, "offset", CAST(coalesce(nb, byte) AS INTEGER) AS byte FROM kk CROSS JOIN ia LEFT JOIN pw USING (log_id, mode, "offset"))"""
 
 
 def _with_faults(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Image, patched image and patches, some of them broken on purpose."""
-    good = fuel_patches(spark, sf_dir)
-    before = image(spark, "a")
-    bad = good.withColumn("old_value", F.when(F.col("col") == 3, F.col("old_value") + 1).otherwise(F.col("old_value"))).withColumn("title", F.when(F.col("col") == 4, "Idle VE").otherwise(F.col("title"))).withColumn("new_value", F.when(F.col("col") == 5, F.lit(70000)).otherwise(F.col("new_value")))
-    return before, I.patched(before, good), bad
+    """Image, patched images and patches, some of them broken on purpose."""
+    good, before = staged(fuel_patches(spark, sf_dir), "patches"), image(spark, "a")
+    col = F.col("col")
+    bad = good.withColumns({
+        "old_value": F.when(col == 3, F.col("old_value") + 1).otherwise(F.col("old_value")), "title": F.when(col == 4, "Idle VE").otherwise(F.col("title")),
+        "new_value": F.when(col == 5, F.lit(70000)).otherwise(F.col("new_value")), "address": F.when(col == 7, F.col("address") + 65536).otherwise(F.col("address")),
+    })
+    twice = bad.where("col = 6").withColumn("delta", F.col("delta") + 1)
+    return before, I.patched(I.within(before, I.catalog(spark)), good), bad.unionByName(twice)
+
+
+def _claimed_twice(spark: SparkSession) -> DataFrame:
+    """The catalog with a second definition over the first bytes of the fuel table."""
+    extra = spark.createDataFrame([("Fuel Probe", 0x1000, 2, 1, 16, ["X"], ["0", "400"], "X")], I.CATALOG)
+    return I.catalog(spark).unionByName(extra)
 
 
 register(
     "verify_patches",
-    lambda spark, sf_dir: I.verify(*_with_faults(spark, sf_dir), I.catalog(spark)),
+    lambda spark, sf_dir: _shown(I.verify(*_with_faults(spark, sf_dir), _claimed_twice(spark))),
     with_(
         *FUEL_PATCH,
-        "SELECT title, address, 'old-value' AS failed FROM fpp WHERE col = 3 UNION ALL SELECT 'Idle VE', address, 'table' FROM fpp WHERE col = 4 UNION ALL SELECT title, address, 'value-range' FROM fpp WHERE col = 5 UNION ALL SELECT title, address, 'read-back' FROM fpp WHERE col = 5",
+        "SELECT log_id, mode, title, address, 'old-value' AS failed FROM fpp WHERE col = 3 UNION ALL SELECT log_id, mode, 'Idle VE', address, 'table' FROM fpp WHERE col = 4 UNION ALL SELECT log_id, mode, title, address, 'value-range' FROM fpp WHERE col = 5 UNION ALL SELECT log_id, mode, title, address, 'read-back' FROM fpp WHERE col = 5"
+        " UNION ALL SELECT log_id, mode, title, address, 'conflict' FROM fpp, range(2) WHERE col = 6 UNION ALL SELECT log_id, mode, title, address + 65536, 'range' FROM fpp WHERE col = 7 UNION ALL SELECT log_id, mode, title, address, 'overlap' FROM fpp WHERE address < 4100 AND col <> 7",
     ),
 )
 
 
 def _uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = fuel_patches(spark, sf_dir)
-    return I.uncovered(image(spark, "a"), I.patched(image(spark, "b"), good), good)
+    good = staged(fuel_patches(spark, sf_dir), "patches")
+    changed = image(spark, "b").withColumn("image_id", F.lit("a"))
+    return _shown(I.uncovered(image(spark, "a"), I.patched(changed, good), good))
 
 
 register(
     "uncovered_bytes",
     _uncovered,
-    with_(*FUEL_PATCH, AFTER, 'SELECT ia."offset", ia.byte AS old_byte, ib.byte AS new_byte FROM ia JOIN ib USING ("offset") WHERE ia.byte <> ib.byte AND "offset" NOT IN (SELECT "offset" FROM pw)'),
+    with_(*FUEL_PATCH, AFTER, 'SELECT log_id, mode, "offset", ia.byte AS old_byte, ib.byte AS new_byte FROM kk CROSS JOIN ia JOIN ib USING ("offset") ANTI JOIN pw USING (log_id, mode, "offset") WHERE ia.byte <> ib.byte'),
 )
+
+
+def _moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before, tables = I.within(image(spark, "a"), I.catalog(spark)), I.catalog(spark)
+    return I.before_after(before, I.patched(before, staged(fuel_patches(spark, sf_dir), "patches")), tables)
+
+
+MOVED = f'bf AS (SELECT CAST(split_part(tb.image_id, \'/\', 1) AS BIGINT) AS log_id, split_part(tb.image_id, \'/\', 2) AS mode, title, "row", col, ta.value AS before, tb.value AS after, {hu("tb.value - ta.value", 4)} AS change FROM ta JOIN tb USING (title, "row", col))'
+register("table_before_after", lambda spark, sf_dir: _shown(_moved(spark, sf_dir)), with_(*FUEL_PATCH, AFTER, read_sql("pim", "tb"), MOVED, "SELECT * FROM bf"))
 register(
-    "table_before_after",
-    lambda spark, sf_dir: I.before_after(image(spark, "a"), I.patched(image(spark, "a"), fuel_patches(spark, sf_dir)), I.catalog(spark)),
-    with_(*FUEL_PATCH, AFTER, read_sql("pim", "tb"), f'SELECT title, "row", col, ta.value AS before, tb.value AS after, {hu("tb.value - ta.value", 4)} AS change FROM ta JOIN tb USING (title, "row", col)'),
+    "biggest_moves",
+    lambda spark, sf_dir: _shown(I.biggest_moves(_moved(spark, sf_dir))),
+    with_(*FUEL_PATCH, AFTER, read_sql("pim", "tb"), MOVED, 'SELECT log_id, mode, title, count(*) AS changed, first("row" ORDER BY abs(change) DESC, "row", col) AS "row", first(col ORDER BY abs(change) DESC, "row", col) AS col, first(change ORDER BY abs(change) DESC, "row", col) AS change FROM bf WHERE change <> 0 GROUP BY log_id, mode, title'),
 )
