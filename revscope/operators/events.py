@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revscope.cluster import staged
 from revscope.functions import scalars as S
 from revscope.operators import features as X
 from revscope.operators import folds
@@ -14,17 +15,19 @@ from revscope.operators import reports as R
 from revscope.operators.features import ORDER
 
 SAMPLE_S = 0.145
-GEAR_ROWS = "log_id long, row_idx long, rpm double, tps double, vss double, mph double, ratio double, gear int"
+GEAR_ROWS = "log_id long, row_idx long, rpm double, tps double, vss double, mph double, ratio double"
 
 
 def gears(f: DataFrame) -> DataFrame:
     """The confirmed gear of every row (0: none)."""
-    rows = X.with_gears(f).select("log_id", "row_idx", "rpm", "tps", "vss", "mph", "ratio", F.coalesce("near_gear", F.lit(0)).alias("gear"), F.col("ratio").isNotNull().alias("valid"))
+    extra = ["tcc"] if "tcc" in f.columns else []
+    rows = X.with_gears(f).select("log_id", "row_idx", "rpm", "tps", "vss", "mph", "ratio", *extra, F.coalesce("near_gear", F.lit(0)).alias("gear"), F.col("ratio").isNotNull().alias("valid"))
 
     def fold(log: pd.DataFrame) -> pd.DataFrame:
         return log.assign(gear=folds.debounced_gears(log["valid"].to_numpy(), log["gear"].to_numpy())).drop(columns="valid")
 
-    return folds.per_log(rows, fold, GEAR_ROWS)
+    schema = ", ".join([GEAR_ROWS, *(f"{c} {f.schema[c].dataType.simpleString()}" for c in extra), "gear int"])
+    return folds.per_log(rows, fold, schema)
 
 
 def shifts(g: DataFrame) -> DataFrame:
@@ -60,6 +63,36 @@ def converter_events(g: DataFrame) -> DataFrame:
     return folds.per_log(hits.where("type is not null"), fold, "log_id long, row_idx long, type string, gear int")
 
 
+def channel_locked(f: DataFrame, name: str = "tcc") -> Column:
+    """Whether the converter channel says that it is locked: a duty of over 50, or a state in words. NULL where it says nothing."""
+    c = F.col(name)
+    if f.schema[name].dataType.simpleString() == "string":
+        return F.when(F.trim(c) != "", c.rlike("(?i)on|lock|engag"))
+    return F.when(c.isNotNull() & ~F.isnan(c.cast("double")), c > 50)
+
+
+#: Rows with a value from which on a log's converter channel is believed.
+CHANNEL_ROWS = 11
+
+
+def channel_converter_events(g: DataFrame, name: str = "tcc") -> DataFrame:
+    """Lock and unlock as the converter channel states them, with the gear of the row; logs with few values have none."""
+    rows = g.withColumn("locked", channel_locked(g, name)).where("locked is not null")
+    rows = rows.withColumn("before", F.lag("locked").over(ORDER())).withColumn("seen", F.count("*").over(X.LOG()))
+    hits = rows.where((F.col("seen") >= CHANNEL_ROWS) & (F.col("locked") != F.col("before")))
+    return hits.select("log_id", "row_idx", F.when(F.col("locked"), "apply").otherwise("release").alias("type"), F.when(F.col("gear") > 0, F.col("gear")).alias("gear"))
+
+
+def best_converter_events(g: DataFrame, name: str = "tcc") -> DataFrame:
+    """The channel's events of logs that carry it, the inferred ones of all others; ``source`` says which."""
+    inferred = converter_events(g).withColumn("source", F.lit("inferred"))
+    if name not in g.columns:
+        return inferred
+    stated = channel_locked(g, name)
+    believed = g.groupBy("log_id").agg(F.count(stated).alias("seen")).where(F.col("seen") >= CHANNEL_ROWS).select("log_id")
+    return inferred.join(believed, "log_id", "left_anti").unionByName(channel_converter_events(g, name).withColumn("source", F.lit("channel")))
+
+
 def converter_cycles(events: DataFrame) -> DataFrame:
     """How often a lock follows an unlock, or the other way, within 300 rows."""
     near = events.withColumn("cycle", F.coalesce((F.col("row_idx") - F.lag("row_idx").over(ORDER()) < 300) & (F.col("type") != F.lag("type").over(ORDER())), F.lit(False)))
@@ -140,22 +173,28 @@ def gear_histogram(g: DataFrame) -> DataFrame:
 
 
 def transmission(f: DataFrame) -> DataFrame:
-    """Counts of everything the transmission did."""
-    g = gears(f)
-    s = shifts(g)
-    kd = kickdowns(f, s)
-    counts = s.groupBy("log_id").agg(F.count("*").alias("shifts"), F.count_if(F.col("to_gear") > F.col("from_gear")).alias("upshifts"), F.count_if(F.col("to_gear") < F.col("from_gear")).alias("downshifts"), F.count_if("flared").alias("flared"))
-    kicks = kd.groupBy("log_id").agg(F.count("*").alias("kickdowns"), F.count_if(F.col("down_row").isNull()).alias("no_kickdown"), S.half_up(F.avg("delay_s")).alias("avg_kickdown_s"), S.upper_median(F.collect_list("mph")).alias("kickdown_mph"))
-    hunts = hunting(s).groupBy("log_id").agg(F.count("*").alias("hunting"))
+    """Counts of everything the transmission did, mean shift speeds, and where the worst of it happened.
+
+    Gears are folded once and written to the shared folder, as five reports read them.
+    """
+    g = staged(gears(f), "gears")
+    s = staged(shifts(g), "shifts")
+    up = F.col("to_gear") > F.col("from_gear")
+    means = [S.half_up_int(F.avg(F.when((F.col("from_gear") == k) & (F.col("to_gear") == k + 1), F.col("rpm_at")))).alias(f"shift_rpm_{k}{k + 1}") for k in (1, 2, 3)]
+    worst = F.max_by("mph", F.when(F.col("flared"), F.struct("flare_rpm", -F.col("row_idx")))).alias("worst_flare_mph")
+    counts = s.groupBy("log_id").agg(F.count("*").alias("shifts"), F.count_if(up).alias("upshifts"), F.count_if(F.col("to_gear") < F.col("from_gear")).alias("downshifts"), F.count_if("flared").alias("flared"), *means, worst)
+    kicks = kickdowns(f, s).groupBy("log_id").agg(F.count("*").alias("kickdowns"), F.count_if(F.col("down_row").isNull()).alias("no_kickdown"), S.half_up(F.avg("delay_s")).alias("avg_kickdown_s"), S.upper_median(F.collect_list("mph")).alias("kickdown_mph"))
+    pair = F.concat_ws("-", F.least("from_gear", "to_gear"), F.greatest("from_gear", "to_gear"))
+    hunts = hunting(s).groupBy("log_id").agg(F.count("*").alias("hunting"), F.min_by("tps", "row_idx").alias("hunting_tps"), F.min_by(pair, "row_idx").alias("hunting_pair"))
+    times = shift_times(f).groupBy("log_id").agg(*(S.upper_median(F.collect_list(F.when(F.col("pair") == p, F.col("time_s")))).alias(f"pcm_s_{p[0]}{p[2]}") for p in ("1-2", "2-3")))
     out = f.select("log_id").distinct()
-    for part in (counts, kicks, converter_cycles(converter_events(g)), hunts):
+    for part in (counts, kicks, converter_cycles(best_converter_events(g)), hunts, times):
         out = out.join(part, "log_id", "left")
     return out.fillna(0, ["shifts", "upshifts", "downshifts", "flared", "kickdowns", "no_kickdown", "tcc_applies", "tcc_releases", "tcc_cycles", "hunting"])
 
 
 def tip_ins(f: DataFrame) -> DataFrame:
     """Throttle stabs that hold, at most one in 20 rows, and how lean the sensor went after each."""
-    held = F.expr("1")
     ahead = F.collect_list("tps").over(ORDER().rowsBetween(1, 5))
     rows = f.withColumn("ahead", ahead).withColumn("min_o2", F.min("o2_b1").over(ORDER().rowsBetween(0, 7))).withColumn("o2_before", F.avg("o2_b1").over(ORDER().rowsBetween(-5, -1)))
     held = F.size(F.filter("ahead", lambda t: t >= F.col("prev_tps") + 5)) >= 3
@@ -190,13 +229,16 @@ def ae_trend(points: DataFrame) -> DataFrame:
 def cranks(f: DataFrame) -> DataFrame:
     """Starter runs over consecutive cold rows, with the flare and the trim after the start."""
     cold = f.where(~F.col("is_warm") & (F.col("region") != "transient"))
-    runs = R.islands(cold.withColumn("_r", F.col("row_idx")), (F.col("rpm") > 0) & (F.col("rpm") <= 450)).groupBy("log_id", "run").agg(F.min("row_idx").alias("start_row"), F.max("row_idx").alias("end_row"), F.count("*").alias("samples"), F.min_by("time_s", "row_idx").alias("t0"), F.max_by("time_s", "row_idx").alias("t1"))
+    runs = R.islands(cold, (F.col("rpm") > 0) & (F.col("rpm") <= 450)).groupBy("log_id", "run").agg(F.min("row_idx").alias("start_row"), F.max("row_idx").alias("end_row"), F.count("*").alias("samples"), F.min_by("time_s", "row_idx").alias("t0"), F.max_by("time_s", "row_idx").alias("t1"))
     caught = f.where("rpm > 400").select("log_id", F.col("row_idx").alias("go_row"), F.col("time_s").alias("go_s"))
     block = F.floor(F.col("end_row") / 200)
     near = runs.withColumn("block", F.explode(F.array(block, block + 1))).join(caught.withColumn("block", F.floor(F.col("go_row") / 200)), ["log_id", "block"])
     first = near.where(F.col("go_row").between(F.col("end_row") + 1, F.col("end_row") + 200)).groupBy("log_id", "run").agg(F.min_by("go_row", "go_row").alias("go_row"), F.min_by("go_s", "go_row").alias("go_s"))
     trims = X.with_bank_trims(f).select("log_id", F.col("row_idx").alias("row"), F.col("rpm").alias("rpm"), F.col("time_s").alias("at_s"), ((F.col("trim_b1") + F.col("trim_b2")) / 2).alias("trim"))
-    after = first.join(trims, "log_id").where((F.col("row") >= F.col("go_row")) & (F.col("at_s") - F.col("go_s") <= 30)).withColumn("dt", F.col("at_s") - F.col("go_s"))
+    # half a minute is at most so many blocks of time: the range becomes an equality
+    blocks = F.floor(F.col("go_s") / 30)
+    after = first.withColumn("block", F.explode(F.array(blocks, blocks + 1))).join(trims.withColumn("block", F.floor(F.col("at_s") / 30)), ["log_id", "block"])
+    after = after.where((F.col("row") >= F.col("go_row")) & (F.col("at_s") >= F.col("go_s")) & (F.col("at_s") - F.col("go_s") <= 30)).withColumn("dt", F.col("at_s") - F.col("go_s"))
     sums = after.groupBy("log_id", "run").agg(F.max(F.when(F.col("dt") <= 3, F.col("rpm"))).alias("top"), S.true_median(F.collect_list(F.when(F.col("dt") >= 10, F.col("rpm")))).alias("settled"), S.half_up(F.avg(F.when(F.col("dt") <= 20, F.col("trim")))).alias("trim_after"))
     out = runs.join(sums, ["log_id", "run"], "left")
     return out.select("log_id", "start_row", "samples", S.half_up(F.greatest(F.col("t1") - F.col("t0"), F.lit(0.0))).alias("duration_s"), S.half_up_int(F.col("top") - F.col("settled")).alias("rpm_flare"), "trim_after", F.col("top").isNotNull().alias("started"))

@@ -24,20 +24,26 @@ def debounced_gears(valid: np.ndarray, near: np.ndarray) -> np.ndarray:
     change but keeps the gear. Being outside every band is a state like a gear:
     it clears after three rows, or four when a change was pending.
     """
-    out = np.zeros(len(valid), dtype=np.int32)
-    outside = -1
+    n = len(valid)
+    out = np.zeros(n, dtype=np.int32)
+    outside, unknown = -1, -2
+    # rows of equal state form a run; within a run the state changes at most once
+    state = np.where(valid, np.where(near == 0, outside, near), unknown)
+    heads = np.flatnonzero(np.concatenate([[True], state[1:] != state[:-1]])) if n else np.zeros(0, np.int64)
+    ends = np.append(heads[1:], n)[: len(heads)]
     current, pending, seen = 0, outside, 0
-    for i, (ok, near_gear) in enumerate(zip(valid.tolist(), near.tolist(), strict=True)):
-        gear = near_gear or outside
-        if not ok or gear == current:
+    for begin, end, gear in zip(heads.tolist(), ends.tolist(), state[heads].tolist(), strict=True):
+        out[begin:end] = max(current, 0)
+        if gear in (unknown, current):
             pending, seen = outside, 0
-        elif gear == pending:
-            seen += 1
-            if seen >= CONFIRM:
-                current, pending, seen = gear, outside, 0
+            continue
+        first = seen + 1 if gear == pending else int(gear != outside)
+        change = begin + max(0, CONFIRM - first)
+        if change < end:
+            out[change:end] = max(gear, 0)
+            current, pending, seen = gear, outside, 0
         else:
-            pending, seen = gear, int(gear != outside)
-        out[i] = max(current, 0)
+            pending, seen = gear, first + end - begin - 1
     return out
 
 

@@ -332,13 +332,20 @@ def coverage_score(f: DataFrame) -> DataFrame:
     return scored.select("log_id", "idle", "cruise", "wot", "good_cells", "cells", F.when(capped, 59).otherwise(F.col("raw")).alias("score"), F.when(capped, "thin").otherwise(verdict).alias("verdict"))
 
 
-def compare_cells(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two sessions cell by cell on the scale where 128 is neutral: which cells came closer to it?"""
-
-    def cells(f: DataFrame, name: str) -> DataFrame:
-        return _cells(f).groupBy("rpm_lo", "map_lo").agg(F.count("*").alias(f"samples_{name}"), S.half_up(128 + F.avg("trim") * 1.28).alias(f"trim_{name}"))
-
-    both = cells(a, "a").join(cells(b, "b"), ["rpm_lo", "map_lo"], "full_outer")
+def with_earlier(rows: DataFrame, f: DataFrame) -> DataFrame:
+    """Add to rows of logs the number of the log before, whatever gaps the numbers have; a log table is one row for each log."""
+    logs = f.select("log_id").distinct()
+    return rows.join(logs.select("log_id", F.lag("log_id").over(Window.orderBy("log_id")).alias("earlier")), "log_id")
+
+
+def compare_cells(f: DataFrame) -> DataFrame:
+    """Each session with the one before, cell by cell, on the scale where 128 is neutral: which cells came closer to it?"""
+    cells = _cells(f).groupBy("log_id", "rpm_lo", "map_lo").agg(F.count("*").alias("samples"), S.half_up(128 + F.avg("trim") * 1.28).alias("trim"))
+    side = lambda df, n: df.select("log_id", "rpm_lo", "map_lo", F.col("samples").alias(f"samples_{n}"), F.col("trim").alias(f"trim_{n}"))
+    # the cells of a log are "a" of the log behind it and "b" of its own
+    follows = with_earlier(f.select("log_id").distinct(), f).where("earlier is not null")
+    old = side(cells.withColumnRenamed("log_id", "earlier").join(follows, "earlier"), "a")
+    both = old.join(side(cells.join(follows.select("log_id"), "log_id"), "b"), ["log_id", "rpm_lo", "map_lo"], "full_outer")
     delta = F.col("trim_b") - F.col("trim_a")
     verdict = (
         F.when(delta.isNull(), "single").when(F.abs(delta) < 1, "unchanged").when(F.abs(F.col("trim_b") - 128) < F.abs(F.col("trim_a") - 128), "improved").otherwise("worse")
@@ -351,9 +358,8 @@ def session_metrics(f: DataFrame) -> DataFrame:
     fuel = _cells(f).groupBy("log_id").agg(S.half_up(F.avg(F.abs("trim"))).alias("abs_trim"))
     figures = knock_summary(f).select("log_id", "knock_pct", "max_kr").join(fuel, "log_id", "left").join(lambda_error(f).select("log_id", "mean_abs_error"), "log_id", "left").join(coverage_score(f).select("log_id", F.col("score").alias("coverage")), "log_id")
     names = ["knock_pct", "max_kr", "abs_trim", "mean_abs_error", "coverage"]
-    # sessions are few for each log table, and their order is global by nature
-    earlier = figures.select((F.col("log_id") + 1).alias("log_id"), *(F.col(c).alias(f"prev_{c}") for c in names))
-    return figures.join(earlier, "log_id", "left")
+    # one row for each session: their order is global by nature
+    return figures.select("*", *(F.lag(c).over(Window.orderBy("log_id")).alias(f"prev_{c}") for c in names))
 
 
 def report_card(f: DataFrame) -> DataFrame:
@@ -362,11 +368,18 @@ def report_card(f: DataFrame) -> DataFrame:
     return o2.join(trims, "log_id", "left").join(knock_summary(f).select("log_id", "events", "max_kr"), "log_id")
 
 
-def convergence(before: DataFrame, after: DataFrame, patches: DataFrame) -> DataFrame:
-    """Did patched cells (rpm_lo, map_lo, delta_pct) come closer to zero trim? Needs the cells of both sessions."""
-    sums = patches.groupBy("rpm_lo", "map_lo").agg(F.sum("delta_pct").alias("delta_pct"))
-    side = lambda df, n: df.select("rpm_lo", "map_lo", F.col("avg_trim").alias(f"trim_{n}"), F.col("samples").alias(f"samples_{n}"))
-    joined = sums.join(side(before, "before"), ["rpm_lo", "map_lo"], "left").join(side(after, "after"), ["rpm_lo", "map_lo"], "left")
+def convergence(cells: DataFrame, patches: DataFrame, follows: DataFrame) -> DataFrame:
+    """Did patched cells (log_id, rpm_lo, map_lo, delta_pct) come closer to zero trim in the log behind?
+
+    Needs the cells of all sessions and, for each session, the one before it
+    (log_id, earlier). Rows carry the number of the later session.
+    """
+    key = ["log_id", "rpm_lo", "map_lo"]
+    sums = patches.groupBy(*key).agg(F.sum("delta_pct").alias("delta_pct"))
+    side = lambda df, n: df.select(*key, F.col("avg_trim").alias(f"trim_{n}"), F.col("samples").alias(f"samples_{n}"))
+    behind = follows.where("earlier is not null").select("earlier", F.col("log_id").alias("later"))
+    joined = sums.join(side(cells, "before"), key, "left").join(behind.withColumnRenamed("earlier", "log_id"), "log_id").drop("log_id").withColumnRenamed("later", "log_id")
+    joined = joined.join(side(cells, "after"), key, "left")
     b, a = F.col("trim_before"), F.col("trim_after")
     gain = F.abs(b) - F.abs(a)
     flipped = (b * a) < 0

@@ -108,15 +108,27 @@ def pe_entry_suggestions(entry: DataFrame) -> DataFrame:
 
 def trans_suggestions(report: DataFrame) -> DataFrame:
     """Firmness, kickdown, hunting and converter rows of each log."""
-    r = in_modes(report)
     zero, ten = F.lit(0.0), F.least(F.lit(10.0), F.col("trans_cap"))
     act = F.col("flared") >= 3
-    firm = r.where("upshifts >= 3 and flared > 0").select("mode", "log_id", F.lit("trans-firmness").alias("kind"), F.when(act, "increase").otherwise("none").alias("action"), F.when(act, ten).otherwise(zero).alias("delta_pct"), F.when(~act, "low").when(F.col("flared") >= 5, "high").otherwise("medium").alias("confidence"), F.col("upshifts").alias("samples"))
     slow = F.coalesce(F.col("avg_kickdown_s") > 1.5, F.lit(False)) | (F.col("no_kickdown") > 0)
-    kick = r.where((F.col("kickdowns") >= 3) & slow).select("mode", "log_id", F.lit("trans-kickdown").alias("kind"), F.lit("raise").alias("action"), ten.alias("delta_pct"), F.when(F.col("kickdowns") >= 6, "high").otherwise("medium").alias("confidence"), F.col("kickdowns").alias("samples"))
-    hunt = r.where("hunting >= 1").select("mode", "log_id", F.lit("trans-hunting").alias("kind"), F.lit("widen").alias("action"), F.least(F.lit(5.0), F.col("trans_cap")).alias("delta_pct"), F.lit("medium").alias("confidence"), F.col("shifts").alias("samples"))
-    lock = r.where("tcc_cycles >= 2").select("mode", "log_id", F.lit("trans-tcc").alias("kind"), F.lit("none").alias("action"), zero.alias("delta_pct"), F.lit("medium").alias("confidence"), (F.col("tcc_applies") + F.col("tcc_releases")).alias("samples"))
-    return firm.unionByName(kick).unionByName(hunt).unionByName(lock)
+    row = lambda kind, action, delta, confidence, samples: F.struct(F.lit(kind).alias("kind"), action.alias("action"), delta.alias("delta_pct"), confidence.alias("confidence"), samples.alias("samples"))
+    medium = F.lit("medium")
+    rows = [
+        F.when((F.col("upshifts") >= 3) & (F.col("flared") > 0), row("trans-firmness", F.when(act, "increase").otherwise("none"), F.when(act, ten).otherwise(zero), F.when(~act, "low").when(F.col("flared") >= 5, "high").otherwise("medium"), F.col("upshifts"))),
+        F.when((F.col("kickdowns") >= 3) & slow, row("trans-kickdown", F.lit("raise"), ten, F.when(F.col("kickdowns") >= 6, "high").otherwise("medium"), F.col("kickdowns"))),
+        F.when(F.col("hunting") >= 1, row("trans-hunting", F.lit("widen"), F.least(F.lit(5.0), F.col("trans_cap")), medium, F.col("shifts"))),
+        F.when(F.col("tcc_cycles") >= 2, row("trans-tcc", F.lit("none"), zero, medium, F.col("tcc_applies") + F.col("tcc_releases"))),
+    ]
+    return in_modes(report).select("mode", "log_id", F.explode(F.array_compact(F.array(*rows))).alias("r")).select("mode", "log_id", "r.*")
+
+
+def trans_changes(suggested: DataFrame, report: DataFrame) -> DataFrame:
+    """What the transmission suggestions change, and where: (mode, log_id, firm_pct, firm_mph, kick_pct, kick_mph, hunt_pct, hunt_tps, hunt_pair)."""
+    acting = suggested.where("action <> 'none'").groupBy("mode", "log_id")
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("delta_pct")))
+    wide = acting.agg(of("trans-firmness").alias("firm_pct"), of("trans-kickdown").alias("kick_pct"), of("trans-hunting").alias("hunt_pct"))
+    where = report.select("log_id", F.col("worst_flare_mph").alias("firm_mph"), F.col("kickdown_mph").alias("kick_mph"), F.col("hunting_tps").alias("hunt_tps"), F.col("hunting_pair").alias("hunt_pair"))
+    return wide.join(where, "log_id").select("mode", "log_id", "firm_pct", "firm_mph", "kick_pct", "kick_mph", "hunt_pct", "hunt_tps", "hunt_pair")
 
 
 def warmup_advice(slope: DataFrame, rich: DataFrame, crank: DataFrame) -> DataFrame:

@@ -81,6 +81,9 @@ tacc AS (SELECT log_id, row_idx, type FROM tc WHERE (log_id, row_idx) IN (SELECT
   UNION ALL SELECT log_id, m.row_idx, m.type FROM (SELECT a.log_id, min({'row_idx': c.row_idx, 'type': c.type}) AS m FROM tacc a JOIN tc c ON c.log_id = a.log_id AND c.row_idx - a.row_idx >= 40 AND c.type <> a.type GROUP BY a.log_id, a.row_idx) q),
 tcc AS (SELECT tacc.*, tc.gear FROM tacc JOIN tc USING (log_id, row_idx))"""
 )
+STATED = """cs AS (SELECT log_id, row_idx, tcc > 50 AS locked, lag(tcc > 50) OVER (PARTITION BY log_id ORDER BY row_idx) AS before, count(*) OVER (PARTITION BY log_id) AS seen, gear FROM gr WHERE tcc IS NOT NULL),
+cev AS (SELECT log_id, row_idx, CASE WHEN locked THEN 'apply' ELSE 'release' END AS type, CASE WHEN gear > 0 THEN gear END AS gear FROM cs WHERE seen > 10 AND locked <> before),
+tbest AS (SELECT log_id, row_idx, type, gear, 'inferred' AS source FROM tcc WHERE log_id NOT IN (SELECT log_id FROM cs WHERE seen > 10) UNION ALL SELECT *, 'channel' FROM cev)"""
 TIPIN = (
     B.FEATURES
     + """,
@@ -117,6 +120,7 @@ register("gear_inference", lambda f: E.gears(f).select("log_id", "row_idx", "rat
 register("gear_histogram", lambda f: E.gear_histogram(E.gears(f)), recursive(with_(GEAR, "SELECT log_id, gear, count(*) AS n_rows FROM gr WHERE gear > 0 GROUP BY log_id, gear")))
 register("shift_events", lambda f: E.shifts(E.gears(f)), recursive(with_(SHIFT, "SELECT * FROM sh")))
 register("tcc_events", lambda f: E.converter_events(E.gears(f)), recursive(with_(TCC, "SELECT log_id, row_idx, type, gear FROM tcc")))
+register("tcc_channel_events", lambda f: E.best_converter_events(E.gears(f)), recursive(with_(TCC, STATED, "SELECT log_id, row_idx, type, gear, source FROM tbest")))
 register("kickdown_events", lambda f: E.kickdowns(f, E.shifts(E.gears(f))), recursive(with_(KICK, "SELECT * FROM kick")))
 register("shift_hunting", lambda f: E.hunting(E.shifts(E.gears(f))), recursive(with_(HUNT, "SELECT * FROM hunt")))
 register("tipin_events", lambda f: E.tip_ins(f).drop("o2_before"), recursive(with_(TIPIN, "SELECT * EXCLUDE (o2_before) FROM tip")))
@@ -157,22 +161,37 @@ TRANS = (
     + HUNT.removeprefix(SHIFT).lstrip(",\n ")
     + ", "
     + TCC.removeprefix(GEAR).lstrip(",\n ")
+    + ", "
+    + STATED
     + f""",
-tn AS (SELECT log_id, count(*) FILTER (WHERE type = 'apply') AS tcc_applies, count(*) FILTER (WHERE type = 'release') AS tcc_releases, count(*) FILTER (WHERE c) AS tcc_cycles FROM (SELECT *, row_idx - lag(row_idx) OVER w < 300 AND type <> lag(type) OVER w AS c FROM tcc WINDOW w AS (PARTITION BY log_id ORDER BY row_idx)) GROUP BY log_id),
-sn AS (SELECT log_id, count(*) AS shifts, count(*) FILTER (WHERE to_gear > from_gear) AS upshifts, count(*) FILTER (WHERE to_gear < from_gear) AS downshifts, count(*) FILTER (WHERE flared) AS flared FROM sh GROUP BY log_id),
+tn AS (SELECT log_id, count(*) FILTER (WHERE type = 'apply') AS tcc_applies, count(*) FILTER (WHERE type = 'release') AS tcc_releases, count(*) FILTER (WHERE c) AS tcc_cycles FROM (SELECT *, row_idx - lag(row_idx) OVER w < 300 AND type <> lag(type) OVER w AS c FROM tbest WINDOW w AS (PARTITION BY log_id ORDER BY row_idx)) GROUP BY log_id),
+sn AS (SELECT log_id, count(*) AS shifts, count(*) FILTER (WHERE to_gear > from_gear) AS upshifts, count(*) FILTER (WHERE to_gear < from_gear) AS downshifts, count(*) FILTER (WHERE flared) AS flared,
+  {", ".join(f"{hi(f'avg(rpm_at) FILTER (WHERE from_gear = {k} AND to_gear = {k + 1})')} AS shift_rpm_{k}{k + 1}" for k in (1, 2, 3))}, first(mph ORDER BY flare_rpm DESC, row_idx) FILTER (WHERE flared) AS worst_flare_mph FROM sh GROUP BY log_id),
 kn AS (SELECT log_id, count(*) AS kickdowns, count(*) FILTER (WHERE down_row IS NULL) AS no_kickdown, {hu("avg(delay_s)")} AS avg_kickdown_s, list_sort(list(mph))[CAST(floor(count(mph) / 2) AS BIGINT) + 1] AS kickdown_mph FROM kick GROUP BY log_id),
-hn AS (SELECT log_id, count(*) AS hunting FROM hunt GROUP BY log_id),
-trn AS (SELECT log_id, coalesce(shifts, 0) AS shifts, coalesce(upshifts, 0) AS upshifts, coalesce(downshifts, 0) AS downshifts, coalesce(flared, 0) AS flared, coalesce(kickdowns, 0) AS kickdowns, coalesce(no_kickdown, 0) AS no_kickdown, avg_kickdown_s, kickdown_mph,
-  coalesce(tcc_applies, 0) AS tcc_applies, coalesce(tcc_releases, 0) AS tcc_releases, coalesce(tcc_cycles, 0) AS tcc_cycles, coalesce(hunting, 0) AS hunting
-  FROM (SELECT DISTINCT log_id FROM t) LEFT JOIN sn USING (log_id) LEFT JOIN kn USING (log_id) LEFT JOIN tn USING (log_id) LEFT JOIN hn USING (log_id))"""
+hn AS (SELECT log_id, count(*) AS hunting, first(tps ORDER BY row_idx) AS hunting_tps, first(least(from_gear, to_gear) || '-' || greatest(from_gear, to_gear) ORDER BY row_idx) AS hunting_pair FROM hunt GROUP BY log_id),
+{_times},
+pn AS (SELECT log_id, {", ".join(f"list_sort(list(time_s) FILTER (WHERE pair = '{q}'))[CAST(floor(count(*) FILTER (WHERE pair = '{q}') / 2) AS BIGINT) + 1] AS pcm_s_{q[0]}{q[2]}" for q in ("1-2", "2-3"))} FROM pt GROUP BY log_id),
+trn AS (SELECT log_id, coalesce(shifts, 0) AS shifts, coalesce(upshifts, 0) AS upshifts, coalesce(downshifts, 0) AS downshifts, coalesce(flared, 0) AS flared, shift_rpm_12, shift_rpm_23, shift_rpm_34, worst_flare_mph, coalesce(kickdowns, 0) AS kickdowns, coalesce(no_kickdown, 0) AS no_kickdown, avg_kickdown_s, kickdown_mph,
+  coalesce(tcc_applies, 0) AS tcc_applies, coalesce(tcc_releases, 0) AS tcc_releases, coalesce(tcc_cycles, 0) AS tcc_cycles, coalesce(hunting, 0) AS hunting, hunting_tps, hunting_pair, pcm_s_12, pcm_s_23
+  FROM (SELECT DISTINCT log_id FROM t) LEFT JOIN sn USING (log_id) LEFT JOIN kn USING (log_id) LEFT JOIN tn USING (log_id) LEFT JOIN hn USING (log_id) LEFT JOIN pn USING (log_id))"""
 )
 register("transmission_report", E.transmission, recursive(with_(TRANS, "SELECT * FROM trn")))
-register("crank_events", E.cranks, with_(B.FEATURES, "SELECT log_id, row_idx AS start_row, row_idx AS samples, 0e0 AS duration_s, row_idx AS rpm_flare, 0e0 AS trim_after, true AS started FROM f WHERE NOT is_warm AND region <> 'transient' AND rpm > 0 AND rpm <= 450"))
-register(
-    "crank_verdict",
-    E.crank_verdict,
-    with_(B.FEATURES, "SELECT log_id, count(*) FILTER (WHERE NOT is_warm AND region <> 'transient' AND rpm > 0 AND rpm <= 450) AS cranks, 'no-crank-detected' AS verdict FROM f GROUP BY log_id"),
-)
+CRANK = (
+    B.FEATURES
+    + ","
+    + B.styled("f", "ft")
+    + f""",
+cr0 AS (SELECT *, row_idx - row_number() OVER (PARTITION BY log_id ORDER BY row_idx) AS run FROM f WHERE NOT is_warm AND region <> 'transient' AND rpm > 0 AND rpm <= 450),
+cr AS (SELECT log_id, run, min(row_idx) AS start_row, max(row_idx) AS end_row, count(*) AS samples, max(time_s) - min(time_s) AS took FROM cr0 GROUP BY log_id, run),
+go AS (SELECT cr.log_id, cr.run, min(f.row_idx) AS go_row FROM cr JOIN f ON f.log_id = cr.log_id AND f.rpm > 400 AND f.row_idx BETWEEN end_row + 1 AND end_row + 200 GROUP BY cr.log_id, cr.run),
+aft AS (SELECT go.log_id, go.run, ft.rpm, (trim_b1 + trim_b2) / 2 AS trim, ft.time_s - g.time_s AS dt FROM go JOIN f g ON g.log_id = go.log_id AND g.row_idx = go_row JOIN ft ON ft.log_id = go.log_id AND ft.row_idx >= go_row AND ft.time_s - g.time_s <= 30),
+cs2 AS (SELECT log_id, run, max(rpm) FILTER (WHERE dt <= 3) AS top, median(rpm) FILTER (WHERE dt >= 10) AS settled, {hu("avg(trim) FILTER (WHERE dt <= 20)")} AS trim_after FROM aft GROUP BY log_id, run),
+crk AS (SELECT cr.log_id, start_row, samples, {hu("took")} AS duration_s, {hi("top - settled")} AS rpm_flare, trim_after, top IS NOT NULL AS started FROM cr LEFT JOIN cs2 USING (log_id, run)),
+cv2 AS (SELECT l.log_id, count(start_row) AS cranks, bool_or(started AND duration_s > 3) AS long, bool_or(started AND rpm_flare < 200) AS weak FROM (SELECT DISTINCT log_id FROM t) l LEFT JOIN crk ON crk.log_id = l.log_id GROUP BY l.log_id),
+crv AS (SELECT log_id, cranks, CASE WHEN cranks = 0 THEN 'no-crank-detected' WHEN long THEN 'long-crank' WHEN weak THEN 'weak-flare' ELSE 'healthy' END AS verdict FROM cv2)"""
+)
+register("crank_events", E.cranks, with_(CRANK, "SELECT * FROM crk"))
+register("crank_verdict", E.crank_verdict, with_(CRANK, "SELECT * FROM crv"))
 _KR = B.KR.removeprefix(B.FEATURES).lstrip(",\n ")
 register(
     "playback_events",
@@ -214,10 +233,10 @@ register("stride_sample", lambda f: E.stride_sample(f, "map"), with_(B.T, "s AS
 
 
 def _probes(f: DataFrame) -> DataFrame:
-    return E.as_of(f, f.where("row_idx % 100 = 7").select("log_id", (F.col("time_s") + 0.07).alias("at_s")))
+    return E.as_of(f, f.select("log_id", (F.col("time_s") + 0.07).alias("at_s")))
 
 
-register("asof_lookup", _probes, with_(B.T, "p AS (SELECT log_id, time_s + 0.07e0 AS at_s FROM t WHERE row_idx % 100 = 7)", "SELECT p.log_id, p.at_s, t.row_idx, t.rpm FROM p ASOF JOIN t ON p.log_id = t.log_id AND p.at_s >= t.time_s"))
+register("asof_lookup", _probes, with_(B.T, "p AS (SELECT log_id, time_s + 0.07e0 AS at_s FROM t)", "SELECT p.log_id, p.at_s, t.row_idx, t.rpm FROM p ASOF JOIN t ON p.log_id = t.log_id AND p.at_s >= t.time_s"))
 PE_TABLE = [(800.0 + 400 * k, 12.5 + 0.1 * (k % 3)) for k in range(17)]
 register(
     "wot_verify",

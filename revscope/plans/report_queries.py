@@ -269,38 +269,36 @@ cov AS (SELECT log_id, idle, cruise, wot, good_cells, cells, CASE WHEN wot = 0 A
 register("coverage_score", on_features(R.coverage_score), with_(COVERAGE, "SELECT * FROM cov"))
 
 
-def _compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = X.with_features(telemetry(spark, sf_dir))
-    return R.compare_cells(f.where("log_id = 0"), f.where("log_id = 1"))
-
-
-_side = f"SELECT rpm_lo, map_lo, count(*) AS samples_{{0}}, {hu('128 + avg(trim) * 1.28e0')} AS trim_{{0}} FROM c WHERE log_id = {{1}} GROUP BY rpm_lo, map_lo"
+EARLIER = "ea AS (SELECT log_id, lag(log_id) OVER (ORDER BY log_id) AS earlier FROM (SELECT DISTINCT log_id FROM t))"
 register(
     "compare_logs",
-    _compare,
+    on_features(R.compare_cells),
     with_(
         B.CELLS,
-        f"a AS ({_side.format('a', 0)})",
-        f"b AS ({_side.format('b', 1)})",
-        f"SELECT rpm_lo, map_lo, samples_a, trim_a, samples_b, trim_b, {hu('trim_b - trim_a')} AS delta, CASE WHEN trim_b - trim_a IS NULL THEN 'single' WHEN abs(trim_b - trim_a) < 1 THEN 'unchanged' WHEN abs(trim_b - 128) < abs(trim_a - 128) THEN 'improved' ELSE 'worse' END AS verdict FROM a FULL JOIN b USING (rpm_lo, map_lo)",
+        EARLIER,
+        f"s AS (SELECT log_id, rpm_lo, map_lo, count(*) AS n, {hu('128 + avg(trim) * 1.28e0')} AS tr FROM c GROUP BY ALL)",
+        "a AS (SELECT ea.log_id, rpm_lo, map_lo, n AS samples_a, tr AS trim_a FROM ea JOIN s ON s.log_id = ea.earlier)",
+        "b AS (SELECT log_id, rpm_lo, map_lo, n AS samples_b, tr AS trim_b FROM ea JOIN s USING (log_id) WHERE earlier IS NOT NULL)",
+        f"SELECT log_id, rpm_lo, map_lo, samples_a, trim_a, samples_b, trim_b, {hu('trim_b - trim_a')} AS delta, CASE WHEN trim_b - trim_a IS NULL THEN 'single' WHEN abs(trim_b - trim_a) < 1 THEN 'unchanged' WHEN abs(trim_b - 128) < abs(trim_a - 128) THEN 'improved' ELSE 'worse' END AS verdict FROM a FULL JOIN b USING (log_id, rpm_lo, map_lo)",
     ),
 )
 
 
-def _convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patches that take back half of log 0's trims, judged against log 1."""
-    cells = R.fuel_trim_cells(X.with_features(telemetry(spark, sf_dir)))
-    before, after = cells.where("log_id = 0"), cells.where("log_id = 1")
-    return R.convergence(before, after, before.where("samples >= 20").select("rpm_lo", "map_lo", (F.col("avg_trim") / 2).alias("delta_pct")))
+def _convergence(f: DataFrame) -> DataFrame:
+    """Patches that take back half of each log's trims, judged against the log behind it."""
+    cells = R.fuel_trim_cells(f)
+    patches = cells.where("samples >= 20").select("log_id", "rpm_lo", "map_lo", (F.col("avg_trim") / 2).alias("delta_pct"))
+    return R.convergence(cells, patches, R.with_earlier(f.select("log_id").distinct(), f))
 
 
 register(
     "convergence",
-    _convergence,
+    on_features(_convergence),
     with_(
         B.CELLS,
-        "p AS (SELECT rpm_lo, map_lo, avg_trim / 2 AS delta_pct FROM fuel WHERE log_id = 0 AND samples >= 20)",
-        "j AS (SELECT p.*, b.avg_trim AS trim_before, b.samples AS samples_before, a.avg_trim AS trim_after, a.samples AS samples_after FROM p LEFT JOIN (SELECT * FROM fuel WHERE log_id = 0) b USING (rpm_lo, map_lo) LEFT JOIN (SELECT * FROM fuel WHERE log_id = 1) a USING (rpm_lo, map_lo))",
+        EARLIER,
+        "p AS (SELECT ea.log_id, earlier, rpm_lo, map_lo, avg_trim / 2 AS delta_pct FROM fuel JOIN ea ON ea.earlier = fuel.log_id WHERE samples >= 20)",
+        "j AS (SELECT p.log_id, p.rpm_lo, p.map_lo, p.delta_pct, b.avg_trim AS trim_before, b.samples AS samples_before, a.avg_trim AS trim_after, a.samples AS samples_after FROM p JOIN fuel b ON b.log_id = p.earlier AND b.rpm_lo = p.rpm_lo AND b.map_lo = p.map_lo LEFT JOIN fuel a ON a.log_id = p.log_id AND a.rpm_lo = p.rpm_lo AND a.map_lo = p.map_lo)",
         f"k AS (SELECT *, {hu('abs(trim_before) - abs(trim_after)')} AS improvement, CASE WHEN trim_before IS NULL OR trim_after IS NULL OR samples_after < 20 THEN 'inconclusive' WHEN trim_before * trim_after < 0 AND abs(trim_after) < 3 THEN 'crossed' WHEN trim_before * trim_after < 0 THEN 'overshot' WHEN abs(trim_before) - abs(trim_after) >= 3 THEN 'closer' WHEN abs(trim_before) - abs(trim_after) <= -3 THEN 'further' ELSE 'unmoved' END AS detail FROM j)",
         "SELECT *, CASE WHEN detail = 'inconclusive' THEN detail WHEN detail IN ('crossed', 'closer') THEN 'converged' ELSE 'not-converged' END AS verdict FROM k",
     ),
@@ -318,7 +316,7 @@ register(
         f"fu AS (SELECT log_id, {hu('avg(abs(trim))')} AS abs_trim FROM c GROUP BY log_id)",
         f"la AS (SELECT log_id, {hu('avg(abs(err))', 3)} AS mean_abs_error FROM l GROUP BY log_id)",
         "m AS (SELECT log_id, knock_pct, max_kr, abs_trim, mean_abs_error, score AS coverage FROM ks LEFT JOIN fu USING (log_id) LEFT JOIN la USING (log_id) JOIN cov USING (log_id))",
-        "SELECT m.*, p.knock_pct AS prev_knock_pct, p.max_kr AS prev_max_kr, p.abs_trim AS prev_abs_trim, p.mean_abs_error AS prev_mean_abs_error, p.coverage AS prev_coverage FROM m LEFT JOIN m p ON p.log_id + 1 = m.log_id",
+        "SELECT *, " + ", ".join(f"lag({c}) OVER (ORDER BY log_id) AS prev_{c}" for c in ("knock_pct", "max_kr", "abs_trim", "mean_abs_error", "coverage")) + " FROM m",
     ),
 )
 register(

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revscope.cluster import staged
 from revscope.operators import events as E
 from revscope.operators import features as X
 from revscope.operators import reports as R
 from revscope.operators import rules as U
 from revscope.plans import base_sql as B
 from revscope.plans.base_sql import half_up as hu
-from revscope.plans.event_queries import TIPIN, TIPSUM, TRANS, recursive
+from revscope.plans.event_queries import CRANK, TIPIN, TIPSUM, TRANS, recursive
 from revscope.plans.report_queries import ORACLES as REPORTS
 from revscope.plans.report_queries import with_
 from revscope.sources.telemetry import telemetry
@@ -106,38 +107,44 @@ ag AS (SELECT mode, log_id, CASE WHEN idle THEN 'none' ELSE 'increase' END AS ac
 register("ae_suggestions", lambda f: U.ae_suggestions(E.tip_in_summary(f, E.tip_ins(f)), R.o2_cross_counts(f)), recursive(with_(TIPIN, TIPSUM, MODES, AESG, "SELECT * FROM ag")))
 PEEG = f"eg AS (SELECT mode, log_id, 'lower' AS action, -least(10e0, 2 * fuel_cap) AS delta_pct, CASE WHEN episodes >= 6 THEN 'high' ELSE 'medium' END AS confidence, episodes AS samples FROM {sub('pe_entry')}, md WHERE episodes >= 3 AND (engage_fraction < 0.5 OR coalesce(avg_delay_s > 2, false)))"
 register("pe_entry_suggestions", lambda f: U.pe_entry_suggestions(R.pe_entry(f)), with_(MODES, PEEG, "SELECT * FROM eg"))
-TRSG = """tg AS (SELECT mode, log_id, 'trans-firmness' AS kind, CASE WHEN flared >= 3 THEN 'increase' ELSE 'none' END AS action, CASE WHEN flared >= 3 THEN least(10e0, trans_cap) ELSE 0e0 END AS delta_pct, CASE WHEN flared < 3 THEN 'low' WHEN flared >= 5 THEN 'high' ELSE 'medium' END AS confidence, upshifts AS samples FROM trn, md WHERE upshifts >= 3 AND flared > 0
+TRSG = """trg AS (SELECT mode, log_id, 'trans-firmness' AS kind, CASE WHEN flared >= 3 THEN 'increase' ELSE 'none' END AS action, CASE WHEN flared >= 3 THEN least(10e0, trans_cap) ELSE 0e0 END AS delta_pct, CASE WHEN flared < 3 THEN 'low' WHEN flared >= 5 THEN 'high' ELSE 'medium' END AS confidence, upshifts AS samples FROM trn, md WHERE upshifts >= 3 AND flared > 0
  UNION ALL SELECT mode, log_id, 'trans-kickdown', 'raise', least(10e0, trans_cap), CASE WHEN kickdowns >= 6 THEN 'high' ELSE 'medium' END, kickdowns FROM trn, md WHERE kickdowns >= 3 AND (coalesce(avg_kickdown_s > 1.5, false) OR no_kickdown > 0)
  UNION ALL SELECT mode, log_id, 'trans-hunting', 'widen', least(5e0, trans_cap), 'medium', shifts FROM trn, md WHERE hunting >= 1
  UNION ALL SELECT mode, log_id, 'trans-tcc', 'none', 0e0, 'medium', tcc_applies + tcc_releases FROM trn, md WHERE tcc_cycles >= 2)"""
-register("trans_suggestions", lambda f: U.trans_suggestions(E.transmission(f)), recursive(with_(TRANS, MODES, TRSG, "SELECT * FROM tg")))
+register("trans_suggestions", lambda f: U.trans_suggestions(E.transmission(f)), recursive(with_(TRANS, MODES, TRSG, "SELECT * FROM trg")))
 register(
     "warmup_advice",
     lambda f: U.warmup_advice(R.warmup_slope(f), R.overfueling(f), E.crank_verdict(f)),
-    f"SELECT log_id, 'choke' AS topic, CASE verdict WHEN 'stuck-lean' THEN 'richer' ELSE 'leaner' END AS advice FROM {sub('warmup_slope')} WHERE verdict <> 'decaying-sensibly' UNION ALL SELECT log_id, 'cold enrichment', 'leaner' FROM {sub('overfueling')} WHERE flagged",
+    f"WITH {CRANK} SELECT log_id, 'choke' AS topic, CASE verdict WHEN 'stuck-lean' THEN 'richer' ELSE 'leaner' END AS advice FROM {sub('warmup_slope')} WHERE verdict <> 'decaying-sensibly' UNION ALL SELECT log_id, 'cold enrichment', 'leaner' FROM {sub('overfueling')} WHERE flagged UNION ALL SELECT log_id, 'crank fuel', 'richer' FROM crv WHERE verdict = 'long-crank' UNION ALL SELECT log_id, 'afterstart fuel', 'richer' FROM crv WHERE verdict = 'weak-flare'",
 )
 
 
 def suggestions(f: DataFrame) -> DataFrame:
-    return U.assembled(("fuel", fuel(f), "delta_pct"), ("spark", spark_rows(f), "delta_deg"), ("pe", U.pe_suggestions(R.lambda_by_region(f)), "delta_pct"), ("pe-entry", U.pe_entry_suggestions(R.pe_entry(f)), "delta_pct"))
+    """Everything that the rules suggest."""
+    return U.assembled(
+        ("fuel", fuel(f), "delta_pct"), ("spark", spark_rows(f), "delta_deg"), ("pe", U.pe_suggestions(R.lambda_by_region(f)), "delta_pct"), ("ae", U.ae_suggestions(E.tip_in_summary(f, E.tip_ins(f)), R.o2_cross_counts(f)), "delta_pct"),
+        ("pe-entry", U.pe_entry_suggestions(R.pe_entry(f)), "delta_pct"), ("trans", U.trans_suggestions(staged(E.transmission(f), "transmission")), "delta_pct"),
+    )
 
 
 ALL = (
     f"al AS (SELECT *, action <> 'none' AS actionable FROM (SELECT mode, log_id, 'fuel' AS kind, action, delta_pct AS delta, confidence, samples FROM fsg UNION ALL SELECT mode, log_id, 'spark', action, delta_deg, confidence, samples FROM ssg "
-    "UNION ALL SELECT mode, log_id, 'pe', action, delta_pct, confidence, samples FROM pg UNION ALL SELECT mode, log_id, 'pe-entry', action, delta_pct, confidence, samples FROM eg))"
+    "UNION ALL SELECT mode, log_id, 'pe', action, delta_pct, confidence, samples FROM pg UNION ALL SELECT mode, log_id, 'ae', action, delta_pct, confidence, samples FROM ag UNION ALL SELECT mode, log_id, 'pe-entry', action, delta_pct, confidence, samples FROM eg "
+    "UNION ALL SELECT mode, log_id, kind, action, delta_pct, confidence, samples FROM trg))"
 )
-_all = (MODES, FUEL, NEAREST, SPARK, PESG, PEEG, ALL)
-register("suggestion_counts", lambda f: U.suggestion_counts(suggestions(f)), with_(*_all, "SELECT mode, log_id, count(*) FILTER (WHERE actionable) AS actionable, count(*) FILTER (WHERE NOT actionable) AS blocked FROM al GROUP BY mode, log_id"))
+_beyond = lambda sql: sql.removeprefix(B.FEATURES).lstrip(",\n ")
+_all = (TRANS, _beyond(TIPIN), TIPSUM, MODES, FUEL, NEAREST, SPARK, PESG, AESG, PEEG, TRSG, ALL)
+register("suggestion_counts", lambda f: U.suggestion_counts(suggestions(f)), recursive(with_(*_all, "SELECT mode, log_id, count(*) FILTER (WHERE actionable) AS actionable, count(*) FILTER (WHERE NOT actionable) AS blocked FROM al GROUP BY mode, log_id")))
 register(
     "mode_compare",
     lambda f: U.mode_compare(suggestions(f)),
-    with_(
+    recursive(with_(
         *_all,
         "s AS (SELECT log_id, kind, mode, count(*) AS changes, first(delta ORDER BY abs(delta) DESC, delta DESC) AS largest FROM al WHERE actionable GROUP BY ALL)",
         "SELECT *, min(changes) OVER w <> max(changes) OVER w OR min(largest) OVER w <> max(largest) OVER w OR count(*) OVER w < 3 AS differs FROM s WINDOW w AS (PARTITION BY log_id, kind)",
-    ),
-)
-register("summary_lines", lambda f: U.summary_lines(suggestions(f)), with_(*_all, "SELECT mode, log_id, kind, printf('%d %s change(s), at most %.2f', count(*), kind, max(abs(delta))) AS line FROM al WHERE actionable GROUP BY mode, log_id, kind"))
+    )),
+)
+register("summary_lines", lambda f: U.summary_lines(suggestions(f)), recursive(with_(*_all, "SELECT mode, log_id, kind, printf('%d %s change(s), at most %.2f', count(*), kind, max(abs(delta))) AS line FROM al WHERE actionable GROUP BY mode, log_id, kind")))
 
 
 def _passes(f: DataFrame) -> DataFrame:

@@ -1,5 +1,9 @@
 """Drive logs derived from the ``events`` table by a fixed projection.
 
+Every log begins with twelve rows of cranking. One log in three runs lean while
+cold, one rich; one in three has throttle stabs that no downshift follows. Logs of
+odd numbers carry a converter duty channel, those of even numbers none but flares.
+
 The statement is valid in Spark and in DuckDB, so a query and the SQL that it is
 compared with read the same rows.
 """
@@ -21,15 +25,19 @@ WITH ph AS (SELECT * FROM (VALUES
  ) AS t(ph,rpm0,tps0,map0,vss0,o20)),
 b AS (SELECT event_id AS e, CAST(floor(event_id/2500) AS BIGINT) AS log_id,
   event_id % 2500 AS row_idx, CAST(floor(event_id/25) AS BIGINT) % 16 AS ph,
-  user_id AS u, CAST(floor(value*100+0.5) AS BIGINT) AS c FROM {events})
+  user_id AS u, CAST(floor(value*100+0.5) AS BIGINT) AS c,
+  CASE WHEN event_id%2500>=300 THEN 0 WHEN CAST(floor(event_id/2500) AS BIGINT)%3=1 THEN 16
+   WHEN CAST(floor(event_id/2500) AS BIGINT)%3=2 THEN -20 ELSE 0 END AS cold FROM {events})
 SELECT log_id, row_idx, row_idx*0.145e0 AS time_s,
- CASE WHEN c%307=0 THEN NULL ELSE rpm0+u%20 END AS rpm,
+ CASE WHEN row_idx<12 THEN 220e0+u%20 WHEN c%307=0 THEN NULL
+  WHEN b.ph=3 AND e%25=0 AND log_id%2=0 THEN 3060e0+u%20 ELSE rpm0+u%20 END AS rpm,
  map0+(c%50)/1e1 AS map,
- CASE WHEN c%211=0 THEN NULL ELSE tps0+(c%10)/2e1 END AS tps, vss0 AS vss,
+ CASE WHEN c%211=0 THEN NULL WHEN b.ph=5 AND e%25=10 AND log_id%3=1 THEN 58e0
+  ELSE tps0+(c%10)/2e1 END AS tps, vss0 AS vss,
  CASE WHEN c%61=0 THEN NULL WHEN row_idx<300 THEN 90e0+row_idx/4e0 ELSE 190e0+u%8 END AS ect,
  CASE WHEN b.ph IN (8,9) AND c%97<9 THEN (c%8+4)*0.175781e0 WHEN c%389=0 THEN 22.5e0 ELSE 0e0 END AS kr,
- 128e0+(c%21)-8 AS ltft_b1,
- 128e0+(c%21)-(CASE WHEN b.ph IN (4,5) THEN 18 ELSE 8 END) AS ltft_b2,
+ 128e0+(c%21)-8+cold AS ltft_b1,
+ 128e0+(c%21)-(CASE WHEN b.ph IN (4,5) THEN 18 ELSE 8 END)+cold AS ltft_b2,
  126e0+(u%5) AS stft_b1, 125e0+(u%7) AS stft_b2,
  o20+(c%300)-150+(CASE WHEN e%2=0 THEN 180 ELSE -180 END) AS o2_b1,
  o20+(c%280)-140+(CASE WHEN e%3=0 THEN 170 ELSE -160 END) AS o2_b2,
@@ -37,6 +45,7 @@ SELECT log_id, row_idx, row_idx*0.145e0 AS time_s,
  CASE WHEN b.ph IN (9,10) THEN 12.9e0+(c%7)/1e1 ELSE 14.7e0+(c%9)/1e1-0.4e0 END AS wb_afr,
  91e0+(u%3)*0.4e0 AS baro, 20e0+(c%16) AS iac,
  least(99e0, map0*0.9e0+(c%11)) AS inj_dc,
+ CASE WHEN log_id%2=0 OR c%53=0 THEN NULL WHEN b.ph IN (5,6,7,12) THEN 70e0+c%20 ELSE c%30+0e0 END AS tcc,
  0.68e0+(CAST(floor(e/400) AS BIGINT)%5)/1e2 AS shift_t12,
  0.35e0+(CAST(floor(e/300) AS BIGINT)%4)/1e2 AS shift_t23
 FROM b JOIN ph ON b.ph=ph.ph
