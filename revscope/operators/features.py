@@ -92,13 +92,18 @@ def with_cell(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("rpm").isNotNull() & F.col("map").isNotNull()).withColumn("rpm_lo", S.binned(F.col("rpm"), 500)).withColumn("map_lo", S.binned(F.col("map"), 10))
 
 
-def kr_scales(df: DataFrame) -> DataFrame:
-    """Per log whether knock retard is in raw counts (its first positive values are all whole) and its scale."""
+def with_kr_scale(df: DataFrame) -> DataFrame:
+    """Add raw_counts (a log's first positive knock values are all whole) and the scale that follows; windows of the log, no join."""
     positive = F.when(F.col("kr") > 0, F.col("kr"))
     nth = F.count(positive).over(ORDER().rowsBetween(Window.unboundedPreceding, 0))
-    rows = df.select("log_id", F.when(nth <= KR_SAMPLE, positive).alias("v"))
-    whole = F.coalesce(F.bool_and(F.col("v") == F.floor("v")), F.lit(False))
-    return rows.groupBy("log_id").agg(whole.alias("raw_counts")).withColumn("scale", F.when(F.col("raw_counts"), S.KR_RAW_TO_DEG).otherwise(1.0))
+    first = df.withColumn("_first", F.when(nth <= KR_SAMPLE, positive == F.floor(positive)))
+    whole = F.coalesce(F.bool_and("_first").over(LOG()), F.lit(False))
+    return first.withColumn("raw_counts", whole).drop("_first").withColumn("scale", F.when(F.col("raw_counts"), S.KR_RAW_TO_DEG).otherwise(1.0))
+
+
+def kr_scales(df: DataFrame) -> DataFrame:
+    """Per log whether knock retard is in raw counts and its scale."""
+    return with_kr_scale(df).groupBy("log_id").agg(F.first("raw_counts").alias("raw_counts"), F.first("scale").alias("scale"))
 
 
 def with_gears(features: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def trim_heatmap(f: DataFrame) -> DataFrame:
 
 def knock_events(f: DataFrame) -> DataFrame:
     """Runs of knock retard above half a degree, with the values at the peak and the region most rows are in."""
-    scaled = f.join(X.kr_scales(f).select("log_id", "scale"), "log_id").withColumn("deg", F.col("kr") * F.col("scale"))
+    scaled = X.with_kr_scale(f).withColumn("deg", F.col("kr") * F.col("scale"))
     rows = islands(scaled, F.col("deg") > 0.5)
     per_region = rows.groupBy("log_id", "run", "region").agg(F.count("*").alias("n"), F.min("row_idx").alias("first"))
     major = per_region.groupBy("log_id", "run").agg(F.max_by("region", F.struct("n", -F.col("first"))).alias("region"))
@@ -281,11 +281,14 @@ KEY_CHANNELS = ["rpm", "map", "tps", "o2_b1", "o2_b2", "ect", "spark_adv", "vss"
 def health_issues(f: DataFrame) -> DataFrame:
     """(log_id, severity, code, channel): dropouts, flat channels, time gaps and odd sample rates. One scan."""
     channels = [c for c in KEY_CHANNELS if c in f.columns]
-    long = f.select("log_id", "row_idx", F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("v")) for c in channels))).alias("x")).select("log_id", "row_idx", "x.channel", "x.v")
-    w = Window.partitionBy("log_id", "channel").orderBy("row_idx")
-    gap = long.withColumn("run", F.when(F.col("v").isNull(), F.col("row_idx") - F.sum(F.col("v").isNull().cast("long")).over(w)))
-    gap = gap.withColumn("run_length", F.when(F.col("v").isNull(), F.count("*").over(Window.partitionBy("log_id", "channel", "run"))))
-    stats = gap.groupBy("log_id", "channel").agg(F.count("*").alias("n"), F.count("v").alias("usable"), F.max("run_length").alias("longest"), (F.max("v") - F.min("v")).alias("range"))
+    spans = [x for c in channels for x in (F.count(c).alias(f"{c}_n"), (F.max(F.col(c).cast("double")) - F.min(F.col(c).cast("double"))).alias(f"{c}_range"))]
+    sums = f.groupBy("log_id").agg(F.count("*").alias("n"), *spans)
+    sums = sums.select("log_id", "n", F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), F.col(f"{c}_n").alias("usable"), F.col(f"{c}_range").alias("range")) for c in channels))).alias("x")).select("log_id", "n", "x.*")
+    # only missing values are looked at one by one, for their longest run
+    gaps = f.select("log_id", "row_idx", F.explode(F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in channels)))).alias("channel"))
+    gaps = gaps.withColumn("run", F.col("row_idx") - F.row_number().over(Window.partitionBy("log_id", "channel").orderBy("row_idx")))
+    longest = gaps.groupBy("log_id", "channel", "run").agg(F.count("*").alias("length")).groupBy("log_id", "channel").agg(F.max("length").alias("longest"))
+    stats = sums.join(longest, ["log_id", "channel"], "left")
     missing, key = 1 - F.col("usable") / F.col("n"), F.col("channel").isin("rpm", "map", "tps")
     dropout = (
         F.when((F.col("usable") == 0) & key, "block").when(F.col("usable") == 0, "warn").when((missing >= 0.5) & key, "block").when(missing >= 0.05, "warn").when((missing >= 0.01) | (F.col("longest") >= 10), "info")
@@ -293,10 +296,12 @@ def health_issues(f: DataFrame) -> DataFrame:
     flat = reduce(lambda e, kv: F.when((F.col("channel") == kv[0]) & (F.col("usable") >= 30) & (F.col("range") <= kv[1][0]), kv[1][1]).otherwise(e), SHOULD_MOVE.items(), F.lit(None).cast("string"))
     named = stats.select("log_id", "channel", F.explode(F.array(F.struct(F.lit("dropout").alias("code"), dropout.alias("severity")), F.struct(F.lit("flatline").alias("code"), flat.alias("severity")))).alias("x"))
     timed = f.where("time_s is not null").withColumn("step", F.col("time_s") - F.lag("time_s").over(ORDER()))
-    steps = timed.groupBy("log_id").agg(F.count("*").alias("n"), F.count_if(F.col("step") <= 0).alias("backward"), S.upper_median(F.collect_list(F.when(F.col("step") > 0, F.col("step")))).alias("mid"), (F.max_by("time_s", "row_idx") - F.min_by("time_s", "row_idx")).alias("span"))
-    gaps = timed.join(steps.select("log_id", "mid"), "log_id").where((F.col("step") > 3 * F.col("mid")) & (F.col("step") > 0.5)).groupBy("log_id").agg(F.count("*").alias("gaps"), F.max("step").alias("widest"))
+    ahead = F.collect_list(F.when(F.col("step") > 0, F.col("step")))
+    steps = timed.groupBy("log_id").agg(F.count("*").alias("n"), F.count_if(F.col("step") <= 0).alias("backward"), ahead.alias("ahead"), S.upper_median(ahead).alias("mid"), (F.max_by("time_s", "row_idx") - F.min_by("time_s", "row_idx")).alias("span"))
+    wide = F.filter("ahead", lambda x: (x > 3 * F.col("mid")) & (x > 0.5))
+    steps = steps.withColumns({"gaps": F.nullif(F.size(wide), F.lit(0)), "widest": F.array_max(wide)}).drop("ahead")
     rate = F.col("span") / (F.col("n") - 1)
-    clock = steps.join(gaps, "log_id", "left").select(
+    clock = steps.select(
         "log_id",
         F.lit("time_s").alias("channel"),
         F.explode(
