@@ -3,7 +3,7 @@
 Training texts give two things: counts of all their strings of up to ``ORDER + 1``
 bytes, which make the context trie (see ``ppm``), and counts of words. Both grow
 with the corpus, and nothing is dropped from either. So the documents are dealt to
-chunks by a hash of doc_id, and each chunk asks for what its own texts need: it
+chunks by a hash of doc_id and text, and each chunk asks for what its own texts need: it
 sends the distinct words and windows of its texts, with their counts in its
 training texts, to buckets. Windows meet in a bucket by the three bytes before the
 last one, so a bucket holds all strings of four bytes and more that bear on its
@@ -16,8 +16,8 @@ differences, byte by byte (``_planes``), so that they compress.
 
 Defined results: a null text is empty and consists of the end alone; a null id is
 held out; with no training text the base is that of an empty table (N = 0, V = 0)
-and the model is uniform over bytes; repeated rows are scored each; an empty
-table gives no rows. Extra columns are dropped.
+and the model is uniform over bytes; rows that repeat in both doc_id and text
+are in one chunk and are scored each; an empty table gives no rows. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -157,7 +157,7 @@ def score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col:
     rows = keyed(docs, id_col, text_col).withColumn("held_out", held_out())
     n_bytes, n_train = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum((~F.col("held_out")).cast("long")), F.lit(0))).first()
     n_chunks = max(1, -(-n_bytes // chunk_bytes))
-    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int"))
+    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int"))
 
     low = min(order, SHORT - 1)
     training = rows.where(~F.col("held_out")).select(F.lit("all").alias("model"), F.coalesce("text", F.lit("")).alias("text"))
