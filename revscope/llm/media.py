@@ -13,6 +13,7 @@ equal results; extra columns are kept by ``sniff`` and dropped by ``encode_wav``
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -114,12 +115,18 @@ def _bmp(b: bytes, at: int) -> int:
 
 
 def _pdf(b: bytes, at: int) -> int:
-    if not b[at + 5 : at + 6].isdigit() or b.find(b" obj", at) < 0 or (end := b.find(b"%%EOF", at)) < 0:
+    """Up to the last end mark (a file that was updated has several) before the next document."""
+    after = b.find(b"%PDF-", at + 5)
+    stop = len(b) if after < 0 else after
+    end = b.rfind(b"%%EOF", at, stop)
+    if not b[at + 5 : at + 6].isdigit() or end < 0 or b.find(b" obj", at, end) < 0:
         return 0
-    return end + 5 - at
+    place = re.search(rb"startxref\s+(\d+)\s+$", b[max(at, end - 64) : end])
+    return end + 5 - at if place and int(place[1]) < end - at else 0
 
 
 def _gzip(b: bytes, at: int) -> int:
+    """One member, inflated to its end: its own checksum and length are confirmed on the way."""
     if len(b) < at + 18 or b[at + 3] & 0xE0:
         return 0
     inflate = zlib.decompressobj(31)
@@ -138,17 +145,71 @@ def _gzip(b: bytes, at: int) -> int:
 
 
 def _zip(b: bytes, at: int) -> int:
+    """The directory at the end must list its entries one after the other, and each must be where it says."""
     end = b.find(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return 0
-    size, start, note = struct.unpack_from("<IIH", b, end + 12)
-    fits = at + start + size == end and b[at + start : at + start + 4] == b"PK\x01\x02"
-    return end + 22 + note - at if fits and end + 22 + note <= len(b) else 0
+    entries, size, start, note = struct.unpack_from("<HIIH", b, end + 10)
+    if at + start + size != end or end + 22 + note > len(b):
+        return 0
+    i = at + start
+    for _ in range(entries):
+        if b[i : i + 4] != b"PK\x01\x02" or i + 46 > end:
+            return 0
+        name, extra, comment = struct.unpack_from("<HHH", b, i + 28)
+        own = at + struct.unpack_from("<I", b, i + 42)[0]
+        if own >= at + start or b[own : own + 4] != b"PK\x03\x04":
+            return 0
+        i += 46 + name + extra + comment
+    return end + 22 + note - at if i == end else 0
+
+
+def _crc(data: bytes, poly: int, bits: int) -> int:
+    out = 0
+    for byte in data:
+        out ^= byte << (bits - 8)
+        for _ in range(8):
+            out = (out << 1) ^ (poly if out >> (bits - 1) else 0)
+            out &= (1 << bits) - 1
+    return out
+
+
+def _flac_frame(b: bytes, i: int) -> int:
+    """The length of a frame's header whose checksum holds, else 0."""
+    if i + 6 > len(b) or b[i] != 0xFF or b[i + 1] & 0xFE != 0xF8:
+        return 0
+    size, rate = b[i + 2] >> 4, b[i + 2] & 15
+    lead = b[i + 4]
+    number = 1 if lead < 0x80 else next((n for n in range(2, 8) if (lead << n) & 0xFF < 0x80), 0)
+    n = 4 + number + {6: 1, 7: 2}.get(size, 0) + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if not number or not size or rate == 15 or i + n >= len(b):
+        return 0
+    return n + 1 if _crc(b[i : i + n], 7, 8) == b[i + n] else 0
 
 
 def _flac(b: bytes, at: int) -> int:
-    fits = len(b) >= at + 42 and b[at + 4] & 0x7F == 0 and int.from_bytes(b[at + 5 : at + 8], "big") == 34
-    return len(b) - at if fits else 0
+    """Metadata blocks to the last one, then frames: a frame ends where its checksum holds before the next frame or the end of the value."""
+    i, last, first = at + 4, False, True
+    while not last:
+        if i + 4 > len(b):
+            return 0
+        last, kind, size = b[i] >> 7, b[i] & 0x7F, int.from_bytes(b[i + 1 : i + 4], "big")
+        if kind == 127 or first != (kind == 0) or (first and size != 34):
+            return 0
+        i, first = i + 4 + size, False
+    end = 0
+    while (header := _flac_frame(b, i)):
+        j = i + header
+        # the next frame begins behind two bytes of checksum over all bytes of this one
+        while True:
+            j = b.find(b"\xff", j + 1)
+            stop = len(b) if j < 0 else j
+            if (j < 0 or _flac_frame(b, j)) and _crc(b[i : stop - 2], 0x8005, 16) == int.from_bytes(b[stop - 2 : stop], "big"):
+                break
+            if j < 0:
+                return end and end - at
+        i = end = stop
+    return end and end - at
 
 
 def _ogg(b: bytes, at: int) -> int:
