@@ -410,6 +410,58 @@ def test_base_scores_are_exact_and_the_model_learns(docs, texts):
     assert all(r.score > -len(texts[r.doc_id].encode()) * 1.4 for r in held)
 
 
+class BrutePpm:
+    """The model by its definition: counts of symbols behind contexts, one byte at a time, in exact fractions of counts."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        self.seen = defaultdict(Counter)
+        for t in texts:
+            padded = b"\0" * order + t + b"\0"
+            for i in range(order, len(padded)):
+                for k in range(order + 1):
+                    self.seen[padded[i - k : i]][padded[i]] += 1
+
+    def log10(self, text):
+        padded, total = b"\0" * self.order + text + b"\0", 0.0
+        for i in range(self.order, len(padded)):
+            out: set = set()
+            for k in range(self.order, -1, -1):
+                symbols = self.seen.get(padded[i - k : i])
+                if not symbols:
+                    continue
+                fresh = {s: n for s, n in symbols.items() if s not in out}
+                mass = sum(fresh.values())
+                if padded[i] in fresh:
+                    total += math.log10((fresh[padded[i]] - 0.5) / mass)
+                    break
+                if mass:
+                    total += math.log10(len(fresh) / 2 / mass)
+                out |= symbols.keys()
+            else:
+                total -= math.log10(max(1, 256 - len(out)))
+        return total
+
+
+def test_scores_equal_a_brute_force_model(docs, texts):
+    model = BrutePpm([(t or "").encode() for i, t in texts.items() if fixtures.crc(i) % 10], lm_score.ORDER)
+    for chunk_bytes in (3000, 1 << 24):
+        for r in lm_score.score(docs, chunk_bytes=chunk_bytes).collect():
+            assert math.isclose(r.score, model.log10((texts[r.doc_id] or "").encode()), rel_tol=1e-5), r.doc_id
+
+
+def test_languages_equal_a_brute_force_model(docs, texts):
+    langs = {r[0]: r[2] for r in fixtures.rows()}
+    names = sorted({x for x in langs.values() if x})
+    models = [BrutePpm([t.encode() for i, t in texts.items() if fixtures.crc(i) % 4 != 2 and t is not None and langs[i] == n], language_id.ORDER) for n in names]
+    for r in language_id.identify(docs).collect():
+        t = texts[r.doc_id]
+        if t and language_id._LETTER.search(t):
+            nats = np.array([m.log10(t.encode()) * math.log(10) for m in models])
+            assert r.lang_pred == names[nats.argmax()]
+            assert abs(r.score - 1 / np.exp(nats - nats.max()).sum()) < 1e-3
+
+
 def test_every_string_of_a_larger_corpus_is_held(spark):
     from revscope.llm.ppm import Model, level_tables, windows
 
@@ -473,6 +525,30 @@ def test_sniffing_confirms_structure(spark):
     assert media.samples_of(media.wav(b"abc")) == b"abc"
 
 
+def test_validators_want_whole_structures():
+    import io
+    import zipfile
+
+    one_zip = io.BytesIO()
+    with zipfile.ZipFile(one_zip, "w") as z:
+        z.writestr("a.txt", "hello" * 20)
+        z.writestr("b.txt", "x")
+    zipped = one_zip.getvalue()
+    assert media._zip(b"__" + zipped + b"tail", 2) == len(zipped)
+    at = zipped.index(b"PK\x01\x02")
+    assert media._zip(zipped[:at] + b"PK\x01\x00" + zipped[at + 4 :], 0) == 0
+    pdf = b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\nstartxref\n9\n%%EOF\n2 0 obj\nendobj\nstartxref\n9\n%%EOF"
+    assert media._pdf(pdf + b"\nrest %PDF-1.7", 0) == len(pdf)
+    assert media._pdf(b"%PDF-1.4 1 0 obj some words %%EOF", 0) == 0
+    head = b"\xff\xf8\x69\x18\x00\x0f"  # one block of 16 samples
+    frame = head + bytes([media._crc(head, 7, 8)]) + b"\0" * 4
+    frame += media._crc(frame, 0x8005, 16).to_bytes(2, "big")
+    flac = b"fLaC" + b"\x80\0\0\x22" + b"\0" * 34 + frame + frame
+    assert media._flac(flac, 0) == len(flac)
+    assert media._flac(b"fLaC" + b"\x80\0\0\x22" + b"\0" * 34 + b"no frame here", 0) == 0
+    assert media._flac(flac[:-1] + b"\x00", 0) in (0, len(flac) - len(frame))
+
+
 # -- 9 language ID
 
 
