@@ -49,8 +49,8 @@ from revscope.llm.suffix_dedup import run_hashes
 WORDS = 5
 SLICE = 1 << 20
 #: Points of a tile of a block, and shingles of a tile of a candidate group.
-TILE_POINTS = 2048
-TILE_SHINGLES = 400_000
+TILE_POINTS = 512
+TILE_SHINGLES = 100_000
 #: Rows of a large block or group, about, that all of its tiles get.
 PIVOTS = 8
 #: Children of a node of the tree, and points of like size that are packed by their coordinates.
