@@ -234,7 +234,7 @@ def cranks(f: DataFrame) -> DataFrame:
     block = F.floor(F.col("end_row") / 200)
     near = runs.withColumn("block", F.explode(F.array(block, block + 1))).join(caught.withColumn("block", F.floor(F.col("go_row") / 200)), ["log_id", "block"])
     first = near.where(F.col("go_row").between(F.col("end_row") + 1, F.col("end_row") + 200)).groupBy("log_id", "run").agg(F.min_by("go_row", "go_row").alias("go_row"), F.min_by("go_s", "go_row").alias("go_s"))
-    trims = X.with_bank_trims(f).select("log_id", F.col("row_idx").alias("row"), F.col("rpm").alias("rpm"), F.col("time_s").alias("at_s"), ((F.col("trim_b1") + F.col("trim_b2")) / 2).alias("trim"))
+    trims = X.with_bank_trims(f).select("log_id", F.col("row_idx").alias("row"), F.col("rpm").alias("rpm"), F.col("time_s").alias("at_s"), "trim")
     # half a minute is at most so many blocks of time: the range becomes an equality
     blocks = F.floor(F.col("go_s") / 30)
     after = first.withColumn("block", F.explode(F.array(blocks, blocks + 1))).join(trims.withColumn("block", F.floor(F.col("at_s") / 30)), ["log_id", "block"])

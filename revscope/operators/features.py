@@ -74,17 +74,29 @@ def gate_counts(features: DataFrame) -> DataFrame:
 def trim_styles(rows: DataFrame, trims: Iterable[str] = TRIMS) -> DataFrame:
     """Per log the encoding of each trim channel, from the upper median of its first values."""
     trims = [t for t in trims if t in rows.columns]
+    if not trims:
+        return rows.select("log_id").distinct()
     head = ORDER().rowsBetween(Window.unboundedPreceding, 0)
     counted = rows.select("log_id", *trims, *(F.count(t).over(head).alias(f"{t}_n") for t in trims))
     first = [S.upper_median(F.collect_list(F.when(F.col(f"{t}_n") <= STYLE_SAMPLE, F.col(t)))).alias(t) for t in trims]
     return counted.groupBy("log_id").agg(*first).select("log_id", *(S.trim_style(F.col(t)).alias(f"{t}_style") for t in trims))
 
 
+def with_generic_trims(rows: DataFrame) -> DataFrame:
+    """Unbanked channels stft and ltft stand in for what banks lack: for missing sides of banks that report, or for bank 1 where none does."""
+    generic = [k for k in ("stft", "ltft") if k in rows.columns]
+    banks = [b for b in (1, 2) if any(f"{k}_b{b}" in rows.columns for k in ("stft", "ltft"))] or [1]
+    return rows.withColumns({f"{k}_b{b}": F.col(k) for k in generic for b in banks if f"{k}_b{b}" not in rows.columns})
+
+
 def with_bank_trims(rows: DataFrame) -> DataFrame:
-    """Add trim_b1 and trim_b2 in percent; a missing channel or value counts as 0."""
+    """Add trim_b1, trim_b2 and trim, the mean of the banks that the table carries, in percent; a missing channel or value counts as 0."""
+    rows = with_generic_trims(rows)
     styled = rows.join(trim_styles(rows), "log_id")
     pct = {t: S.trim_percent(F.col(t), F.col(f"{t}_style")) if t in rows.columns else F.lit(0.0) for t in TRIMS}
-    return styled.withColumn("trim_b1", pct["stft_b1"] + pct["ltft_b1"]).withColumn("trim_b2", pct["stft_b2"] + pct["ltft_b2"])
+    banks = [b for b in (1, 2) if any(f"{k}_b{b}" in rows.columns for k in ("stft", "ltft"))]
+    styled = styled.withColumn("trim_b1", pct["stft_b1"] + pct["ltft_b1"]).withColumn("trim_b2", pct["stft_b2"] + pct["ltft_b2"])
+    return styled.withColumn("trim", sum((F.col(f"trim_b{b}") for b in banks), F.lit(0.0)) / max(1, len(banks)))
 
 
 def with_cell(rows: DataFrame) -> DataFrame:

@@ -112,13 +112,44 @@ def entropy_windows(images: DataFrame, width: int = 256) -> DataFrame:
     return entropy(images.withColumn("window", F.floor(F.col("offset") / width).cast("int")), ["image_id", "window"])
 
 
+#: Byte counts of regions that are common sizes of tables.
+TABLE_SIZES = [16, 24, 32, 48, 64, 96, 128, 144, 192, 256, 288, 384, 512]
+
+
 def nway_regions(images: DataFrame, least: int = 4) -> DataFrame:
-    """Runs where any image differs from another, and what they look like."""
+    """Runs where any image differs from another, the mean entropy of the images' bytes there, and what they look like."""
     odd = images.groupBy("offset").agg(F.countDistinct("byte").alias("n")).where("n > 1").withColumn("all", F.lit(0))
     found = runs(odd.select("all", "offset"), ["all"]).where(F.col("length") >= least).drop("all")
+    spread = found.select("start_offset", F.explode(F.sequence("start_offset", "end_offset")).alias("offset"))
+    bits = entropy(images.join(spread, "offset"), ["image_id", "start_offset"]).groupBy("start_offset").agg(S.half_up(F.avg("entropy"), 4).alias("mean_entropy"))
     size = F.col("length")
-    kind = F.when(size.isin(16, 24, 32, 48, 64, 96, 128, 144, 192, 256, 288, 384, 512), "table-size").when((size >= 16) & (size % 16 == 0), "aligned-block").when(size <= 8, "scalar-or-code").when(size < 64, "small-block").otherwise("large-block")
-    return found.withColumn("kind", kind)
+    small = F.when(F.col("mean_entropy") > 4, "code-or-pointer").otherwise("scalar-or-flag")
+    kind = F.when(size.isin(TABLE_SIZES), "table-size").when((size >= 16) & (size % 16 == 0), "aligned-block").when(size <= 8, small).when(size < 64, "small-block").otherwise("large-block")
+    return found.join(bits, "start_offset").withColumn("kind", kind)
+
+
+def _spans(tables: DataFrame) -> DataFrame:
+    length = (F.greatest(F.col("n_rows"), F.lit(1)) * F.greatest(F.col("n_cols"), F.lit(1)) * F.col("bits") / 8).cast("int")
+    return tables.select("title", F.explode(F.sequence(F.col("address"), F.col("address") + length - 1)).alias("offset")).where(F.col("offset").between(0, SIZE - 1))
+
+
+def audit_gaps(images: DataFrame, tables: DataFrame, least: int = 16) -> DataFrame:
+    """Runs of bytes that no definition covers, the entropy of each image there, and what that suggests."""
+    free = tables.sparkSession.range(SIZE).select(F.col("id").cast("int").alias("offset")).join(_spans(tables).select("offset").distinct(), "offset", "left_anti").withColumn("all", F.lit(0))
+    gaps = runs(free, ["all"]).where(F.col("length") >= least).drop("all")
+    spread = gaps.select("start_offset", F.explode(F.sequence("start_offset", "end_offset")).alias("offset"))
+    bits = entropy(images.join(spread, "offset"), ["image_id", "start_offset"])
+    kind = F.when(F.col("entropy") < 1, "empty").when(F.col("entropy") < 5, "structured").otherwise("code")
+    return gaps.join(bits, "start_offset").select("image_id", "start_offset", "end_offset", "length", "entropy", kind.alias("kind"))
+
+
+def audit_overlaps(tables: DataFrame) -> DataFrame:
+    """Runs of bytes that several definitions claim, with the titles of all of them."""
+    claims = _spans(tables).groupBy("offset").agg(F.array_sort(F.collect_set("title")).alias("titles")).where(F.size("titles") > 1)
+    found = runs(claims.select(F.lit(0).alias("all"), "offset"), ["all"]).drop("all")
+    spread = found.select("start_offset", "end_offset", "length", F.explode(F.sequence("start_offset", "end_offset")).alias("offset"))
+    named = spread.join(claims, "offset").groupBy("start_offset", "end_offset", "length").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("titles")))).alias("titles"))
+    return named.withColumn("titles", F.array_join("titles", " / "))
 
 
 def audit(tables: DataFrame, size: int = SIZE, least_gap: int = 16) -> DataFrame:
@@ -146,21 +177,70 @@ def sha256(images: DataFrame) -> DataFrame:
     return images.groupBy("image_id").agg(F.sha2(F.unhex(text), 256).alias("sha256"))
 
 
+def _matched(images: DataFrame, expected: DataFrame) -> Column:
+    return S.half_up(100 * F.avg((F.col("byte") == F.col("expected")).cast("double")), 1)
+
+
 def fingerprint(images: DataFrame, known: DataFrame, stride: int = 97) -> DataFrame:
     """Share of sampled bytes that each image has in common with each known image."""
     expected = known.where(F.col("offset") % stride == 0).select(F.col("image_id").alias("known_id"), "offset", F.col("byte").alias("expected"))
-    hits = images.join(F.broadcast(expected), "offset").groupBy("image_id", "known_id")
-    return hits.agg(S.half_up(100 * F.avg((F.col("byte") == F.col("expected")).cast("double")), 1).alias("match_pct"))
+    return images.join(expected, "offset").groupBy("image_id", "known_id").agg(_matched(images, expected).alias("match_pct"))
+
+
+def discriminant_rank(images: DataFrame, known: DataFrame) -> DataFrame:
+    """Known images ranked by the bytes in which they differ from one another, and how sure the first one is."""
+    telling = known.groupBy("offset").agg(F.countDistinct("byte").alias("n")).where("n > 1").select("offset")
+    expected = known.join(telling, "offset").select(F.col("image_id").alias("known_id"), "offset", F.col("byte").alias("expected"))
+    scores = images.join(expected, "offset").groupBy("image_id", "known_id").agg(_matched(images, expected).alias("match_pct"))
+    order = Window.partitionBy("image_id").orderBy(F.desc("match_pct"), "known_id")
+    gap = F.col("match_pct") - F.coalesce(F.lead("match_pct").over(order), F.lit(0.0))
+    sure = F.when((F.col("match_pct") == 100) & (gap >= 0.5), "high").when((F.col("match_pct") >= 99) & (gap >= 0.25), "medium").otherwise("ambiguous")
+    ranked = scores.withColumn("rank", F.row_number().over(order)).withColumn("confidence", sure)
+    return ranked.withColumn("confidence", F.when(F.col("rank") == 1, F.col("confidence")))
+
+
+def consensus(known: DataFrame) -> DataFrame:
+    """(offset, expected): the bytes that all known images agree on."""
+    return known.groupBy("offset").agg(F.countDistinct("byte").alias("n"), F.min("byte").alias("expected")).where("n = 1").select("offset", "expected")
+
+
+def dense_match(images: DataFrame, known: DataFrame, step: int = 7) -> DataFrame:
+    """Share of densely sampled stable bytes that an image has as all known images do."""
+    expected = consensus(known).where(F.col("offset") % step == 0)
+    return images.join(expected, "offset").groupBy("image_id").agg(_matched(images, expected).alias("dense_pct"))
+
+
+def landmark_match(images: DataFrame, known: DataFrame, windows: DataFrame) -> DataFrame:
+    """Share of firmware windows (address, length) that an image has whole; windows in which known images differ do not count."""
+    spread = windows.select("address", "length", F.explode(F.sequence(F.col("address"), F.col("address") + F.col("length") - 1)).alias("offset"))
+    agreed = consensus(known).join(spread, "offset")
+    whole = agreed.groupBy("address", "length").count().where("count = length").select("address", "length")
+    hits = images.join(agreed.join(whole, ["address", "length"]), "offset").groupBy("image_id", "address", "length").agg(F.count_if(F.col("byte") == F.col("expected")).alias("hits"))
+    # a window beyond the end of an image has no row there, but counts
+    total = max(1, whole.count())
+    return hits.groupBy("image_id").agg(S.half_up(100 * F.count_if(F.col("hits") == F.col("length")) / total, 1).alias("landmark_pct"))
+
+
+def anchor_match(images: DataFrame, known: DataFrame, tables: DataFrame) -> DataFrame:
+    """Share of the first and last cells of all tables that hold the value which all known images hold there."""
+    ends = lambda df: read_tables(df, tables.select("*")).join(tables.select("title", (F.col("n_rows") - 1).alias("last_row"), (F.col("n_cols") - 1).alias("last_col")), "title").where("(row = 0 and col = 0) or (row = last_row and col = last_col)")
+    expected = ends(known).groupBy("title", "row", "col").agg(F.countDistinct("raw").alias("n"), F.min("raw").alias("expected")).where("n = 1")
+    own = ends(images).select("image_id", "title", "row", "col", "raw").join(expected, ["title", "row", "col"])
+    return own.groupBy("image_id").agg(S.half_up(100 * F.avg((F.col("raw") == F.col("expected")).cast("double")), 1).alias("anchor_pct"))
 
 
-def image_gate(images: DataFrame, known: DataFrame) -> DataFrame:
-    """May an image be patched: ok, warn or block?"""
+def image_gate(images: DataFrame, known: DataFrame, tables: DataFrame, windows: DataFrame) -> DataFrame:
+    """May an image be patched: ok, warn or block? The family decides between block and the rest, stock conformity between warn and ok."""
     shape = images.groupBy("image_id").agg(F.count("*").alias("size"), F.min("byte").alias("low"), F.max("byte").alias("high"))
-    best = fingerprint(images, known).groupBy("image_id").agg(F.max("match_pct").alias("match_pct"), F.max_by("known_id", "match_pct").alias("closest"))
+    family = fingerprint(images, known).groupBy("image_id").agg(F.max("match_pct").alias("match_pct"))
+    first = discriminant_rank(images, known).where("rank = 1").select("image_id", F.col("known_id").alias("closest"), "confidence")
     blank = (F.col("low") == F.col("high")) & F.col("low").isin(0, 255)
-    joined = shape.join(best, "image_id", "left")
-    level = F.when((F.col("size") != SIZE) | blank | F.coalesce(F.col("match_pct") < 90, F.lit(True)), "block").when(F.col("match_pct") < 99, "warn").otherwise("ok")
-    return joined.select("image_id", "size", "match_pct", "closest", level.alias("level"))
+    joined = shape
+    for part in (family, first, dense_match(images, known), landmark_match(images, known, windows), anchor_match(images, known, tables)):
+        joined = joined.join(part, "image_id", "left")
+    odd = F.coalesce((F.col("dense_pct") < 100) | (F.col("landmark_pct") < 100) | (F.col("anchor_pct") < 100), F.lit(False))
+    level = F.when((F.col("size") != SIZE) | blank | F.coalesce(F.col("match_pct") < 90, F.lit(True)), "block").when((F.col("match_pct") < 99) | odd, "warn").otherwise("ok")
+    return joined.select("image_id", "size", "match_pct", "closest", "confidence", "dense_pct", "landmark_pct", "anchor_pct", level.alias("level"))
 
 
 def smoothed(targets: DataFrame, n_rows: int, n_cols: int, rings: tuple[tuple[int, float], ...] = ((1, 0.5), (2, 0.25))) -> DataFrame:

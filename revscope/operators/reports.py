@@ -44,7 +44,7 @@ def segment_breakdown(f: DataFrame) -> DataFrame:
 
 
 def _cells(f: DataFrame) -> DataFrame:
-    return X.with_cell(X.with_bank_trims(X.gated(f))).withColumn("trim", (F.col("trim_b1") + F.col("trim_b2")) / 2)
+    return X.with_cell(X.with_bank_trims(X.gated(f)))
 
 
 def fuel_trim_cells(f: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def o2_health(f: DataFrame) -> DataFrame:
 
 def _cold(f: DataFrame) -> DataFrame:
     rows = f.where(~F.col("is_warm") & (F.col("region") != "transient"))
-    return X.with_bank_trims(rows).withColumn("trim", (F.col("trim_b1") + F.col("trim_b2")) / 2)
+    return X.with_bank_trims(rows)
 
 
 def warmup_bins(f: DataFrame) -> DataFrame:
@@ -374,22 +374,25 @@ def report_card(f: DataFrame) -> DataFrame:
 
 
 def convergence(cells: DataFrame, patches: DataFrame, follows: DataFrame) -> DataFrame:
-    """Did patched cells (log_id, rpm_lo, map_lo, delta_pct) come closer to zero trim in the log behind?
+    """Did patched cells come closer to zero trim in the log behind?
 
-    Needs the cells of all sessions and, for each session, the one before it
+    Patches are (log_id, kind, table_name, rpm_lo, map_lo, delta), one or more for
+    a cell; only those of kind fuel can be judged by trims, others are named as
+    such. Needs the cells of all sessions and, for each session, the one before it
     (log_id, earlier). Rows carry the number of the later session.
     """
     key = ["log_id", "rpm_lo", "map_lo"]
-    sums = patches.groupBy(*key).agg(F.sum("delta_pct").alias("delta_pct"))
+    sums = patches.groupBy("kind", "table_name", *key).agg(F.count("*").alias("patches"), F.sum("delta").alias("delta"))
     side = lambda df, n: df.select(*key, F.col("avg_trim").alias(f"trim_{n}"), F.col("samples").alias(f"samples_{n}"))
     behind = follows.where("earlier is not null").select("earlier", F.col("log_id").alias("later"))
     joined = sums.join(side(cells, "before"), key, "left").join(behind.withColumnRenamed("earlier", "log_id"), "log_id").drop("log_id").withColumnRenamed("later", "log_id")
     joined = joined.join(side(cells, "after"), key, "left")
+    fuel = F.col("kind") == "fuel"
     b, a = F.col("trim_before"), F.col("trim_after")
     gain = F.abs(b) - F.abs(a)
     flipped = (b * a) < 0
     detail = (
-        F.when(b.isNull() | a.isNull() | (F.col("samples_after") < 20), "inconclusive").when(flipped & (F.abs(a) < 3), "crossed").when(flipped, "overshot").when(gain >= 3, "closer").when(gain <= -3, "further").otherwise("unmoved")
+        F.when(~fuel, "not-judged-by-trims").when(b.isNull() | a.isNull() | (F.col("samples_after") < 20), "inconclusive").when(flipped & (F.abs(a) < 3), "crossed").when(flipped, "overshot").when(gain >= 3, "closer").when(gain <= -3, "further").otherwise("unmoved")
     )
-    verdict = F.when(detail == "inconclusive", detail).when(detail.isin("crossed", "closer"), "converged").otherwise("not-converged")
-    return joined.withColumn("improvement", S.half_up(gain)).withColumn("detail", detail).withColumn("verdict", verdict)
+    verdict = F.when(detail.isin("inconclusive", "not-judged-by-trims"), "inconclusive").when(detail.isin("crossed", "closer"), "converged").otherwise("not-converged")
+    return joined.withColumn("improvement", F.when(fuel, S.half_up(gain))).withColumn("detail", detail).withColumn("verdict", verdict)

@@ -193,7 +193,7 @@ def patch_impact(patches: DataFrame) -> DataFrame:
     """What a set of changes does to each kind's ledger: the largest change, the worst total, and its grade."""
     sums = ledger_cumulative(patches)
     latest = patches.groupBy("kind").agg(F.max(F.abs("delta")).alias("max_delta"), F.count("*").alias("patches"))
-    worst = sums.groupBy("kind").agg(F.max(F.abs("cumulative")).alias("worst"), F.first("max_change").alias("max_change"))
+    worst = sums.groupBy("kind").agg(F.max(F.abs("cumulative")).alias("worst"), F.max("max_change").alias("max_change"), F.min_by("cell", F.struct(-F.abs("cumulative"), F.col("cell"))).alias("worst_cell"))
     share = F.col("worst") / F.col("max_change")
     return latest.join(worst, "kind").withColumn("grade", F.when(share >= 1, "blocked").when(share >= 0.8, "warn").otherwise("ok"))
 
@@ -213,4 +213,7 @@ def cell_provenance(suggested: DataFrame, rpm_axis: list[float], map_axis: list[
     cells = grid.join(hits, ["log_id", "row", "col"], "left").join(measured, "log_id", "left")
     distance = F.array_min(F.transform("measured", lambda m: F.greatest(F.abs(m["row"] - F.col("row")), F.abs(m["col"] - F.col("col")))))
     confidence = F.when(F.col("samples") > 0, F.least(F.lit(1.0), F.col("samples") / full)).otherwise(F.coalesce(1 / (1 + distance), F.lit(0.0)))
-    return cells.select("log_id", "row", "col", "rpm", "map", F.coalesce("samples", F.lit(0)).alias("samples"), F.when(F.col("samples") > 0, "measured").otherwise("interpolated").alias("kind"), S.half_up(confidence, 3).alias("confidence"))
+    out = cells.select("log_id", "row", "col", "rpm", "map", F.coalesce("samples", F.lit(0)).alias("samples"), F.when(F.col("samples") > 0, "measured").otherwise("interpolated").alias("kind"), S.half_up(confidence, 3).alias("confidence"))
+    c = F.col("confidence")
+    measured = F.when(c >= 0.67, "high").when(c >= 0.34, "medium").otherwise("low")
+    return out.withColumn("tier", F.when(F.col("kind") == "measured", measured).otherwise(F.when(c >= 0.5, "near").when(c >= 0.25, "mid").otherwise("far")))

@@ -85,14 +85,53 @@ register(
     lambda spark, sf_dir: I.entropy_windows(three(spark)),
     with_(IMAGES, 'n AS (SELECT image_id, "offset" // 256 AS w, byte, count(*) AS n FROM im GROUP BY ALL)', "p AS (SELECT image_id, w, n / sum(n) OVER (PARTITION BY image_id, w) AS p FROM n)", f'SELECT image_id, CAST(w AS INTEGER) AS "window", {hu("-sum(p * log2(p))", 4)} AS entropy FROM p GROUP BY image_id, w'),
 )
+ENTROPY = """{0}n AS (SELECT image_id, start_offset, byte, count(*) AS n FROM im JOIN {1} r ON "offset" BETWEEN start_offset AND end_offset GROUP BY ALL),
+{0}p AS (SELECT image_id, start_offset, n / sum(n) OVER (PARTITION BY image_id, start_offset) AS p FROM {0}n),
+{0} AS (SELECT image_id, start_offset, {2} AS entropy FROM {0}p GROUP BY ALL)"""
 register(
     "nway_diff",
     lambda spark, sf_dir: I.nway_regions(three(spark), 2),
     with_(
         IMAGES,
         'od AS (SELECT "offset" FROM im GROUP BY "offset" HAVING count(DISTINCT byte) > 1)',
-        f"r AS ({RUNS.format('od')})",
-        "SELECT *, CASE WHEN length IN (16, 24, 32, 48, 64, 96, 128, 144, 192, 256, 288, 384, 512) THEN 'table-size' WHEN length >= 16 AND length % 16 = 0 THEN 'aligned-block' WHEN length <= 8 THEN 'scalar-or-code' WHEN length < 64 THEN 'small-block' ELSE 'large-block' END AS kind FROM r WHERE length >= 2",
+        f"r AS (SELECT * FROM ({RUNS.format('od')}) WHERE length >= 2)",
+        ENTROPY.format("ne", "r", hu("-sum(p * log2(p))", 4)),
+        f"me AS (SELECT start_offset, {hu('avg(entropy)', 4)} AS mean_entropy FROM ne GROUP BY start_offset)",
+        f"SELECT *, CASE WHEN length IN ({', '.join(map(str, I.TABLE_SIZES))}) THEN 'table-size' WHEN length >= 16 AND length % 16 = 0 THEN 'aligned-block' WHEN length <= 8 THEN CASE WHEN mean_entropy > 4 THEN 'code-or-pointer' ELSE 'scalar-or-flag' END WHEN length < 64 THEN 'small-block' ELSE 'large-block' END AS kind FROM r JOIN me USING (start_offset)",
+    ),
+)
+CLAIMED = "cat2 AS (SELECT title, address, n_rows, n_cols, bits FROM cat UNION ALL SELECT 'Fuel Probe', 4096, 2, 1, 16)"
+
+
+def _claimed_twice(spark: SparkSession) -> DataFrame:
+    """The catalog with a second definition over the first bytes of the fuel table."""
+    extra = spark.createDataFrame([("Fuel Probe", 0x1000, 2, 1, 16, ["X"], ["0", "400"], "X")], I.CATALOG)
+    return I.catalog(spark).unionByName(extra)
+
+
+register(
+    "definition_overlaps",
+    lambda spark, sf_dir: I.audit_overlaps(_claimed_twice(spark)),
+    with_(
+        CAT,
+        CLAIMED,
+        'cl AS (SELECT title, unnest(generate_series(address, address + n_rows * n_cols * bits // 8 - 1)) AS "offset" FROM cat2)',
+        'ov AS (SELECT "offset" FROM cl GROUP BY "offset" HAVING count(DISTINCT title) > 1)',
+        f"r AS ({RUNS.format('ov')})",
+        "SELECT CAST(start_offset AS INTEGER) AS start_offset, CAST(end_offset AS INTEGER) AS end_offset, length, string_agg(DISTINCT title, ' / ' ORDER BY title) AS titles FROM r JOIN cl ON \"offset\" BETWEEN start_offset AND end_offset GROUP BY ALL",
+    ),
+)
+register(
+    "definition_gaps",
+    lambda spark, sf_dir: I.audit_gaps(three(spark), I.catalog(spark)),
+    with_(
+        IMAGES,
+        CAT,
+        'cv AS (SELECT DISTINCT unnest(generate_series(address, address + n_rows * n_cols * bits // 8 - 1)) AS "offset" FROM cat)',
+        'fr AS (SELECT o."offset" FROM o ANTI JOIN cv USING ("offset"))',
+        f"g AS (SELECT * FROM ({RUNS.format('fr')}) WHERE length >= 16)",
+        ENTROPY.format("ge", "g", hu("-sum(p * log2(p))", 4)),
+        "SELECT image_id, start_offset, end_offset, length, entropy, CASE WHEN entropy < 1 THEN 'empty' WHEN entropy < 5 THEN 'structured' ELSE 'code' END AS kind FROM g JOIN ge USING (start_offset)",
     ),
 )
 register(
@@ -117,10 +156,45 @@ def _known(spark: SparkSession) -> DataFrame:
 
 
 register("fingerprint_match", lambda spark, sf_dir: I.fingerprint(three(spark), _known(spark)), with_(IMAGES, FINGER, "SELECT * FROM fp"))
+WINDOWS = [(0x0040, 16), (0x0460, 24), (0x07F8, 16), (0x8000, 32), (0x9C00, 16), (0xF000, 64)]
+
+
+def _windows(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(WINDOWS, "address int, length int")
+
+
+_share = lambda hit: hu(f"100 * avg(CASE WHEN {hit} THEN 1e0 ELSE 0e0 END)", 1)
+LAYERS = (
+    "kn AS (SELECT * FROM im WHERE image_id <> 'c')",
+    'ag AS (SELECT "offset", min(byte) AS expected FROM kn GROUP BY "offset" HAVING count(DISTINCT byte) = 1)',
+    'ds AS (SELECT m.image_id, k.image_id AS known_id, ' + _share("m.byte = k.byte") + ' AS match_pct FROM im m JOIN kn k USING ("offset") WHERE "offset" NOT IN (SELECT "offset" FROM ag) GROUP BY ALL)',
+    "dg AS (SELECT *, row_number() OVER w AS rank, match_pct - coalesce(lead(match_pct) OVER w, 0) AS gap FROM ds WINDOW w AS (PARTITION BY image_id ORDER BY match_pct DESC, known_id))",
+    "dr AS (SELECT image_id, known_id, match_pct, CAST(rank AS INTEGER) AS rank, CASE WHEN rank > 1 THEN NULL WHEN match_pct = 100 AND gap >= 0.5 THEN 'high' WHEN match_pct >= 99 AND gap >= 0.25 THEN 'medium' ELSE 'ambiguous' END AS confidence FROM dg)",
+    'dn AS (SELECT image_id, ' + _share("byte = expected") + ' AS dense_pct FROM im JOIN ag USING ("offset") WHERE "offset" % 7 = 0 GROUP BY image_id)',
+    f"wi AS (SELECT w.* FROM (VALUES {', '.join(map(str, WINDOWS))}) AS w(address, length) JOIN ag ON \"offset\" BETWEEN address AND address + length - 1 GROUP BY ALL HAVING count(*) = length)",
+    'lw AS (SELECT image_id, address, length, count(*) FILTER (WHERE byte = expected) AS hits FROM wi JOIN ag ON "offset" BETWEEN address AND address + length - 1 JOIN im USING ("offset") GROUP BY ALL)',
+    "lm AS (SELECT image_id, " + hu("100e0 * count(*) FILTER (WHERE hits = length) / (SELECT count(*) FROM wi)", 1) + " AS landmark_pct FROM lw GROUP BY image_id)",
+    read_sql("im", "tall"),
+    'en AS (SELECT t.* FROM tall t JOIN cat USING (title) WHERE ("row" = 0 AND col = 0) OR ("row" = n_rows - 1 AND col = n_cols - 1))',
+    """ex AS (SELECT title, "row", col, min(raw) AS expected FROM en WHERE image_id <> 'c' GROUP BY ALL HAVING count(DISTINCT raw) = 1)""",
+    'an AS (SELECT image_id, ' + _share("raw = expected") + ' AS anchor_pct FROM en JOIN ex USING (title, "row", col) GROUP BY image_id)',
+)
+register("discriminant_rank", lambda spark, sf_dir: I.discriminant_rank(three(spark), _known(spark)), with_(IMAGES, *LAYERS[:5], "SELECT * FROM dr"))
+register("dense_match", lambda spark, sf_dir: I.dense_match(three(spark), _known(spark)), with_(IMAGES, *LAYERS[:2], LAYERS[5], "SELECT * FROM dn"))
+register("landmark_match", lambda spark, sf_dir: I.landmark_match(three(spark), _known(spark), _windows(spark)), with_(IMAGES, *LAYERS[:2], *LAYERS[6:9], "SELECT * FROM lm"))
+register("anchor_match", lambda spark, sf_dir: I.anchor_match(three(spark), _known(spark), I.catalog(spark)), with_(IMAGES, CAT, *LAYERS[9:], "SELECT * FROM an"))
 register(
     "image_gate",
-    lambda spark, sf_dir: I.image_gate(three(spark), _known(spark)).drop("closest"),
-    with_(IMAGES, FINGER, "s AS (SELECT image_id, count(*) AS size FROM im GROUP BY image_id)", "SELECT image_id, size, max(match_pct) AS match_pct, CASE WHEN size <> 65536 OR max(match_pct) < 90 THEN 'block' WHEN max(match_pct) < 99 THEN 'warn' ELSE 'ok' END AS level FROM s JOIN fp USING (image_id) GROUP BY image_id, size"),
+    lambda spark, sf_dir: I.image_gate(three(spark), _known(spark), I.catalog(spark), _windows(spark)),
+    with_(
+        IMAGES,
+        CAT,
+        FINGER,
+        *LAYERS,
+        "s AS (SELECT image_id, count(*) AS size FROM im GROUP BY image_id)",
+        "fm AS (SELECT image_id, max(match_pct) AS match_pct FROM fp GROUP BY image_id)",
+        "SELECT image_id, size, fm.match_pct, known_id AS closest, confidence, dense_pct, landmark_pct, anchor_pct, CASE WHEN size <> 65536 OR fm.match_pct < 90 THEN 'block' WHEN fm.match_pct < 99 OR dense_pct < 100 OR landmark_pct < 100 OR anchor_pct < 100 THEN 'warn' ELSE 'ok' END AS level FROM s JOIN fm USING (image_id) JOIN (SELECT image_id, known_id, confidence FROM dr WHERE rank = 1) USING (image_id) LEFT JOIN dn USING (image_id) LEFT JOIN lm USING (image_id) LEFT JOIN an USING (image_id)",
+    ),
 )
 
 
@@ -265,12 +339,6 @@ def _with_faults(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return before, I.patched(I.within(before, I.catalog(spark)), good), bad.unionByName(twice)
 
 
-def _claimed_twice(spark: SparkSession) -> DataFrame:
-    """The catalog with a second definition over the first bytes of the fuel table."""
-    extra = spark.createDataFrame([("Fuel Probe", 0x1000, 2, 1, 16, ["X"], ["0", "400"], "X")], I.CATALOG)
-    return I.catalog(spark).unionByName(extra)
-
-
 register(
     "verify_patches",
     lambda spark, sf_dir: _shown(I.verify(*_with_faults(spark, sf_dir), _claimed_twice(spark))),

@@ -285,10 +285,11 @@ register(
 
 
 def _convergence(f: DataFrame) -> DataFrame:
-    """Patches that take back half of each log's trims, judged against the log behind it."""
+    """Patches that take back half of each log's trims, and one of a kind that trims cannot judge, against the log behind it."""
     cells = R.fuel_trim_cells(f)
-    patches = cells.where("samples >= 20").select("log_id", "rpm_lo", "map_lo", (F.col("avg_trim") / 2).alias("delta_pct"))
-    return R.convergence(cells, patches, R.with_earlier(f.select("log_id").distinct(), f))
+    fuel = cells.where("samples >= 20").select("log_id", F.lit("fuel").alias("kind"), F.lit("Main VE").alias("table_name"), "rpm_lo", "map_lo", (F.col("avg_trim") / 2).alias("delta"))
+    spark = f.select("log_id").distinct().select("log_id", F.lit("spark").alias("kind"), F.lit("Spark Advance").alias("table_name"), F.lit(2000).cast("long").alias("rpm_lo"), F.lit(50).cast("long").alias("map_lo"), F.lit(-1.0).alias("delta"))
+    return R.convergence(cells, fuel.unionByName(spark), R.with_earlier(f.select("log_id").distinct(), f))
 
 
 register(
@@ -297,10 +298,10 @@ register(
     with_(
         B.CELLS,
         EARLIER,
-        "p AS (SELECT ea.log_id, earlier, rpm_lo, map_lo, avg_trim / 2 AS delta_pct FROM fuel JOIN ea ON ea.earlier = fuel.log_id WHERE samples >= 20)",
-        "j AS (SELECT p.log_id, p.rpm_lo, p.map_lo, p.delta_pct, b.avg_trim AS trim_before, b.samples AS samples_before, a.avg_trim AS trim_after, a.samples AS samples_after FROM p JOIN fuel b ON b.log_id = p.earlier AND b.rpm_lo = p.rpm_lo AND b.map_lo = p.map_lo LEFT JOIN fuel a ON a.log_id = p.log_id AND a.rpm_lo = p.rpm_lo AND a.map_lo = p.map_lo)",
-        f"k AS (SELECT *, {hu('abs(trim_before) - abs(trim_after)')} AS improvement, CASE WHEN trim_before IS NULL OR trim_after IS NULL OR samples_after < 20 THEN 'inconclusive' WHEN trim_before * trim_after < 0 AND abs(trim_after) < 3 THEN 'crossed' WHEN trim_before * trim_after < 0 THEN 'overshot' WHEN abs(trim_before) - abs(trim_after) >= 3 THEN 'closer' WHEN abs(trim_before) - abs(trim_after) <= -3 THEN 'further' ELSE 'unmoved' END AS detail FROM j)",
-        "SELECT *, CASE WHEN detail = 'inconclusive' THEN detail WHEN detail IN ('crossed', 'closer') THEN 'converged' ELSE 'not-converged' END AS verdict FROM k",
+        "p AS (SELECT log_id AS old, 'fuel' AS kind, 'Main VE' AS table_name, rpm_lo, map_lo, avg_trim / 2 AS delta FROM fuel WHERE samples >= 20 UNION ALL SELECT log_id, 'spark', 'Spark Advance', 2000, 50, -1e0 FROM ea)",
+        "j AS (SELECT p.kind, p.table_name, ea.log_id, p.rpm_lo, p.map_lo, CAST(1 AS BIGINT) AS patches, p.delta, b.avg_trim AS trim_before, b.samples AS samples_before, a.avg_trim AS trim_after, a.samples AS samples_after FROM p JOIN ea ON ea.earlier = p.old LEFT JOIN fuel b ON b.log_id = p.old AND b.rpm_lo = p.rpm_lo AND b.map_lo = p.map_lo LEFT JOIN fuel a ON a.log_id = ea.log_id AND a.rpm_lo = p.rpm_lo AND a.map_lo = p.map_lo)",
+        f"k AS (SELECT *, CASE WHEN kind = 'fuel' THEN {hu('abs(trim_before) - abs(trim_after)')} END AS improvement, CASE WHEN kind <> 'fuel' THEN 'not-judged-by-trims' WHEN trim_before IS NULL OR trim_after IS NULL OR samples_after < 20 THEN 'inconclusive' WHEN trim_before * trim_after < 0 AND abs(trim_after) < 3 THEN 'crossed' WHEN trim_before * trim_after < 0 THEN 'overshot' WHEN abs(trim_before) - abs(trim_after) >= 3 THEN 'closer' WHEN abs(trim_before) - abs(trim_after) <= -3 THEN 'further' ELSE 'unmoved' END AS detail FROM j)",
+        "SELECT *, CASE WHEN detail IN ('inconclusive', 'not-judged-by-trims') THEN 'inconclusive' WHEN detail IN ('crossed', 'closer') THEN 'converged' ELSE 'not-converged' END AS verdict FROM k",
     ),
 )
 KNOCK_SUMMARY = f"ks AS (SELECT log_id, count(*) AS n_rows, coalesce(any_value(a), 0) AS active, coalesce(any_value(e), 0) AS events, {hu('100e0 * coalesce(any_value(a), 0) / count(*)')} AS knock_pct, {hu('coalesce(any_value(m), 0)')} AS max_kr FROM k1 LEFT JOIN (SELECT log_id, sum(samples) AS a, count(*) AS e, max(peak) AS m FROM ke GROUP BY log_id) USING (log_id) GROUP BY log_id)"

@@ -96,7 +96,8 @@ register(
         "h AS (SELECT log_id, ar.i AS r, am.i AS c, CAST(sum(samples) AS BIGINT) AS samples FROM fc JOIN ar ON ar.v BETWEEN rpm_lo AND rpm_lo + 500 JOIN am ON am.v BETWEEN map_lo AND map_lo + 10 GROUP BY ALL)",
         "g AS (SELECT log_id, ar.i AS r, am.i AS c, ar.v AS rpm, am.v AS map FROM (SELECT DISTINCT log_id FROM fc), ar, am)",
         "d AS (SELECT g.log_id, g.r, g.c, min(greatest(abs(g.r - h.r), abs(g.c - h.c))) AS d FROM g JOIN h ON h.log_id = g.log_id GROUP BY ALL)",
-        f"SELECT g.log_id, CAST(g.r AS INTEGER) AS \"row\", CAST(g.c AS INTEGER) AS col, g.rpm, g.map, coalesce(h.samples, 0) AS samples, CASE WHEN h.samples > 0 THEN 'measured' ELSE 'interpolated' END AS kind, {hu('CASE WHEN h.samples > 0 THEN least(1, h.samples / 100e0) ELSE coalesce(1 / (1e0 + d), 0) END', 3)} AS confidence FROM g LEFT JOIN h USING (log_id, r, c) LEFT JOIN d USING (log_id, r, c)",
+        f"pv AS (SELECT g.log_id, CAST(g.r AS INTEGER) AS \"row\", CAST(g.c AS INTEGER) AS col, g.rpm, g.map, coalesce(h.samples, 0) AS samples, CASE WHEN h.samples > 0 THEN 'measured' ELSE 'interpolated' END AS kind, {hu('CASE WHEN h.samples > 0 THEN least(1, h.samples / 100e0) ELSE coalesce(1 / (1e0 + d), 0) END', 3)} AS confidence FROM g LEFT JOIN h USING (log_id, r, c) LEFT JOIN d USING (log_id, r, c))",
+        "SELECT *, CASE WHEN kind = 'measured' THEN CASE WHEN confidence >= 0.67 THEN 'high' WHEN confidence >= 0.34 THEN 'medium' ELSE 'low' END WHEN confidence >= 0.5 THEN 'near' WHEN confidence >= 0.25 THEN 'mid' ELSE 'far' END AS tier FROM pv",
     ),
 )
 PESG = f"pg AS (SELECT mode, log_id, CASE WHEN samples < cell_samples THEN 'none' ELSE 'enrich' END AS action, CASE WHEN samples < cell_samples THEN 0e0 ELSE {hu('greatest(0, least(fuel_cap, avg_abs_error * 100))')} END AS delta_pct, CASE WHEN samples < cell_samples THEN 'low' ELSE 'medium' END AS confidence, samples FROM {sub('lambda_by_region')}, md WHERE region = 'wot' AND samples > 0 AND (samples < cell_samples OR avg_abs_error >= lambda_limit))"
@@ -163,7 +164,7 @@ register(
     with_(
         MODES, FUEL, NEAREST, SPARK, LEDGER,
         "a AS (SELECT kind, max(abs(delta)) AS max_delta, count(*) AS patches FROM ps GROUP BY kind)",
-        "b AS (SELECT kind, max(abs(cumulative)) AS worst, any_value(max_change) AS max_change FROM lc GROUP BY kind)",
+        "b AS (SELECT kind, max(abs(cumulative)) AS worst, any_value(max_change) AS max_change, first(cell ORDER BY abs(cumulative) DESC, cell) AS worst_cell FROM lc GROUP BY kind)",
         "SELECT *, CASE WHEN worst / max_change >= 1 THEN 'blocked' WHEN worst / max_change >= 0.8 THEN 'warn' ELSE 'ok' END AS grade FROM a JOIN b USING (kind)",
     ),
 )

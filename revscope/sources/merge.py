@@ -57,3 +57,9 @@ def merged(tables: list[DataFrame], partition_by_log: bool = False) -> DataFrame
     own = F.row_number().over(Window.partitionBy(SOURCE, "log_id").orderBy("row_idx")) - 1
     numbered = out.withColumn("_own", own).join(before, [SOURCE, "log_id"])
     return numbered.withColumns({"row_idx": F.col("_before") + F.col("_own"), "log_id": F.lit(0).cast("long")}).drop("_own", "_before")
+
+
+def repicked(logs: DataFrame, picked: DataFrame, name: str = "log_name") -> DataFrame:
+    """Logs picked again replace those of the same name, rows and all; others stay beside them."""
+    again = picked.select(name).distinct()
+    return logs.join(again, name, "left_anti").unionByName(picked, allowMissingColumns=True)

@@ -41,6 +41,18 @@ def test_imbalance_names_the_lean_bank(spark):
     assert [(r.bank1_avg, r.bank2_avg, r.lean_bank) for r in got] == [(12.0, 1.0, 1)]
 
 
+def test_generic_trims_stand_in_for_missing_banks(spark):
+    f = log(spark, [{"ltft_b1": 128 + 12.8, "stft_b1": 128.0}] * 30)
+    bare = f.drop("stft_b1", "ltft_b1", "stft_b2", "ltft_b2")
+    generic = bare.withColumns({"stft": F.lit(128.0), "ltft": F.lit(128 + 25.6)})
+    assert [(r.samples, r.avg_trim) for r in R.fuel_trim_cells(generic).collect()] == [(30, 20.0)]
+    # the short trim of the bank that reports comes from the generic channel
+    half = bare.withColumns({"ltft_b2": F.lit(128 + 12.8), "stft": F.lit(128 + 6.4), "ltft": F.lit(200.0)})
+    assert [r.avg_trim for r in R.fuel_trim_cells(half).collect()] == [15.0]
+    assert [r.avg_trim for r in R.fuel_trim_cells(bare).collect()] == [0.0]
+    assert [r.avg_trim for r in R.fuel_trim_cells(f).collect()] == [5.0]
+
+
 def test_knock_runs_break_at_missing_values(spark):
     rows = [{}] * 5 + [{"kr": 3.5, "rpm": 3000.0}, {"kr": 4.5, "rpm": 3100.0}, {"kr": None}, {"kr": 2.5}] + [{}] * 5
     got = R.knock_events(log(spark, rows)).orderBy("start_row").collect()
@@ -107,9 +119,12 @@ def test_convergence_verdicts(spark):
     before = [(2, k, 0, 8.0, 50) for k in range(5)]
     after = [(5, k, 0, t, n) for k, t, n in ((0, -1.0, 50), (1, -5.0, 50), (2, 4.0, 50), (3, 7.0, 50), (4, 1.0, 5))]
     cells = spark.createDataFrame(before + after, "log_id long, rpm_lo long, map_lo long, avg_trim double, samples long")
-    patches = spark.createDataFrame([(2, k, 0, 4.0) for k in range(6)], "log_id long, rpm_lo long, map_lo long, delta_pct double")
+    rows = [(2, "fuel", "Main VE", k, 0, 4.0) for k in range(6)] + [(2, "spark", "Spark Advance", 0, 0, -1.0)]
+    patches = spark.createDataFrame(rows, "log_id long, kind string, table_name string, rpm_lo long, map_lo long, delta double")
     follows = R.with_earlier(cells.select("log_id").distinct(), cells)
-    got = {(r.log_id, r.rpm_lo): r.detail for r in R.convergence(cells, patches, follows).collect()}
+    found = R.convergence(cells, patches, follows).collect()
+    assert [(r.detail, r.verdict) for r in found if r.kind == "spark"] == [("not-judged-by-trims", "inconclusive")]
+    got = {(r.log_id, r.rpm_lo): r.detail for r in found if r.kind == "fuel"}
     assert got == {(5, k): d for k, d in enumerate(["crossed", "overshot", "closer", "unmoved", "inconclusive", "inconclusive"])}
 
 
@@ -156,6 +171,17 @@ def test_converter_channel_in_words_and_as_a_duty(spark):
         assert E.channel_converter_events(g.where("row_idx < 8")).count() == 0
 
 
+def test_image_gate_sees_changes_between_the_sampled_bytes(spark):
+    known = I.formula_image(spark, "k1").unionByName(I.formula_image(spark, "k2", F.when(F.col("offset") % 4099 == 5, 1).otherwise(0)))
+    windows = spark.createDataFrame([(0x8000, 32)], "address int, length int")
+    # the change at 0x8001 is in a window, but at no place that the stride of 97 or the dense step of 7 samples
+    touched = I.formula_image(spark, "touched", F.when(F.col("offset") == 0x8001, 1).otherwise(0))
+    short = I.formula_image(spark, "short").where("offset < 60000")
+    images = known.where("image_id = 'k2'").unionByName(touched).unionByName(short)
+    got = {r.image_id: (r.level, r.closest, r.confidence) for r in I.image_gate(images, known, I.catalog(spark), windows).collect()}
+    assert got == {"k2": ("ok", "k2", "high"), "touched": ("warn", "k1", "high"), "short": ("block", "k1", "high")}
+
+
 def test_identical_images(spark):
     images = I.formula_image(spark, "a").unionByName(I.formula_image(spark, "b")).unionByName(I.formula_image(spark, "c", F.lit(1)))
     assert [(r.image_id, r.other_id) for r in I.same_image(images).collect()] == [("a", "b")]

@@ -63,6 +63,12 @@ def test_merged_tables_of_many_logs_are_one_session(spark):
     assert {r.log_id for r in out} == {0}
 
 
+def test_a_log_picked_again_replaces_the_first(spark):
+    logs = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 2.0), ("b", 0, 3.0)], "log_name string, row_idx long, rpm double")
+    again = spark.createDataFrame([("a", 0, 9.0, 50.0)], "log_name string, row_idx long, rpm double, map double")
+    assert sorted((r.log_name, r.rpm, r.map) for r in merge.repicked(logs, again).collect()) == [("a", 9.0, 50.0), ("b", 3.0, None)]
+
+
 def test_binary_round_trip(spark, tmp_path):
     raw = bytes(range(256)) * 2
     (tmp_path / "image.bin").write_bytes(raw)
