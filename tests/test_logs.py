@@ -173,7 +173,7 @@ def test_converter_channel_in_words_and_as_a_duty(spark):
 
 def test_image_gate_sees_changes_between_the_sampled_bytes(spark):
     known = I.formula_image(spark, "k1").unionByName(I.formula_image(spark, "k2", F.when(F.col("offset") % 4099 == 5, 1).otherwise(0)))
-    windows = spark.createDataFrame([(0x8000, 32)], "address int, length int")
+    windows = spark.createDataFrame([(0x8000, 16), (0x8000, 32)], "address int, length int")  # known images differ in the second
     # the change at 0x8001 is in a window, but at no place that the stride of 97 or the dense step of 7 samples
     touched = I.formula_image(spark, "touched", F.when(F.col("offset") == 0x8001, 1).otherwise(0))
     short = I.formula_image(spark, "short").where("offset < 60000")
