@@ -77,6 +77,20 @@ def read_tables(images: DataFrame, tables: DataFrame) -> DataFrame:
     return raw.withColumn("value", S.half_up(S.decoded(F.col("raw"), F.col("equation")), 4))
 
 
+def looked_up(points: DataFrame, cells: DataFrame, rows: list[float], cols: list[float], y: str = "rpm", x: str = "map") -> DataFrame:
+    """Add ``value``: a table (row, col, value) at (y, x), bilinear between the four cells around it and held at its ends.
+
+    A table is at most a few hundred cells: it travels as one map beside every row, and no row is shuffled.
+    """
+    grid = cells.agg(F.map_from_entries(F.collect_list(F.struct(F.col("row") * 1000 + F.col("col"), "value"))).alias("_grid"))
+    at = [S.axis_coordinate(F.array(*(F.lit(v) for v in axis)), F.col(name)) for axis, name in ((rows, y), (cols, x))]
+    r, c = (F.floor(v).cast("int") for v in at)
+    u, v = at[0] - r, at[1] - c
+    corner = lambda i, j: F.try_element_at("_grid", F.least(r + i, F.lit(len(rows) - 1)) * 1000 + F.least(c + j, F.lit(len(cols) - 1)))
+    value = corner(0, 0) * (1 - u) * (1 - v) + corner(1, 0) * u * (1 - v) + corner(0, 1) * (1 - u) * v + corner(1, 1) * u * v
+    return points.join(F.broadcast(grid), F.lit(True)).withColumn("value", value).drop("_grid")
+
+
 def runs(offsets: DataFrame, keys: list[str]) -> DataFrame:
     """Runs of consecutive offsets: start_offset, end_offset, length."""
     w = Window.partitionBy(*keys).orderBy("offset")

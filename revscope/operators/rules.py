@@ -66,13 +66,21 @@ def spark_suggestions(events: DataFrame, summary: DataFrame) -> DataFrame:
     )
 
 
-def knock_learning(events: DataFrame) -> DataFrame:
-    """One degree out of every spark cell that knocked cleanly in the latest session and in an earlier one."""
+def knock_learning(events: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """One degree out of every spark cell that knocked cleanly in the latest session and in an earlier one.
+
+    With a ledger (kind, cell as 'row/col', pass_no, delta) cells go that the degree would take beyond the ledger's limit.
+    """
     clean = events.where(~F.col("suspect_noise") & ~F.col("tip_out") & (F.col("region") != "transient") & F.col("rpm").isNotNull() & F.col("map").isNotNull())
     placed = clean.select("log_id", S.nearest_place(axis(SPARK_RPM), F.col("rpm")).alias("row"), S.nearest_place(axis(SPARK_MAP), F.col("map")).alias("col"))
     latest = events.agg(F.max("log_id").alias("latest"))
     per_cell = placed.join(F.broadcast(latest), F.lit(True)).groupBy("row", "col", "latest").agg(F.max("log_id").alias("last_seen"), F.countDistinct("log_id").alias("sessions"), F.count("*").alias("events"))
-    return per_cell.where("last_seen = latest and sessions >= 2").select("row", "col", "sessions", "events", F.lit(-1.0).alias("delta_deg"))
+    learned = per_cell.where("last_seen = latest and sessions >= 2").select("row", "col", "sessions", "events", F.lit(-1.0).alias("delta_deg"))
+    if ledger is None:
+        return learned
+    spent = ledger.where("kind = 'spark'").groupBy("cell").agg(F.sum("delta").alias("spent"))
+    joined = learned.withColumn("cell", F.concat_ws("/", "row", "col")).join(spent, "cell", "left")
+    return joined.where(F.abs(F.coalesce("spent", F.lit(0.0)) + F.col("delta_deg")) <= LEDGER_LIMITS["spark"]).drop("cell", "spent")
 
 
 def pe_suggestions(by_region: DataFrame) -> DataFrame:

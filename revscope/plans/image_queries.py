@@ -67,6 +67,18 @@ def read_sql(source: str, name: str) -> str:
 
 
 register("table_read", lambda spark, sf_dir: I.read_tables(three(spark), I.catalog(spark)), with_(IMAGES, CAT, read_sql("im", "tr"), "SELECT * FROM tr"))
+register(
+    "spark_lookup",
+    lambda spark, sf_dir: I.looked_up(telemetry(spark, sf_dir).where("rpm is not null").select("log_id", "row_idx", "rpm", "map"), I.read_tables(image(spark, "a"), I.catalog(spark).where("title = 'Spark Advance'")), I.RPM17, I.MAP17).select("log_id", "row_idx", I.S.half_up(F.col("value"), 4).alias("advance")),
+    with_(
+        B.T, IMAGES, CAT, read_sql("ia", "ta"),
+        "sa AS (SELECT \"row\" AS r, col AS c, value FROM ta WHERE title = 'Spark Advance')",
+        "q0 AS (SELECT *, greatest(0, least(15, floor(rpm / 400))) AS lr, greatest(0, least(15, floor((map - 20) / 5))) AS lc FROM t WHERE rpm IS NOT NULL)",
+        "q AS (SELECT log_id, row_idx, greatest(0e0, least(16e0, lr + (rpm - lr * 400) / 400)) AS y, greatest(0e0, least(16e0, lc + (map - (20 + lc * 5)) / 5)) AS x FROM q0)",
+        "w AS (SELECT *, floor(y) AS r0, floor(x) AS c0, y - floor(y) AS u, x - floor(x) AS v FROM q)",
+        f"SELECT log_id, row_idx, {hu('a.value * (1 - u) * (1 - v) + b.value * u * (1 - v) + d.value * (1 - u) * v + e.value * u * v', 4)} AS advance FROM w JOIN sa a ON a.r = r0 AND a.c = c0 JOIN sa b ON b.r = least(r0 + 1, 16) AND b.c = c0 JOIN sa d ON d.r = r0 AND d.c = least(c0 + 1, 16) JOIN sa e ON e.r = least(r0 + 1, 16) AND e.c = least(c0 + 1, 16)",
+    ),
+)
 register(
     "linear_decode",
     lambda spark, sf_dir: I.catalog(spark).select("title", "equation", F.explode(F.array(*map(F.lit, (0, 1, 100, 255)))).alias("raw")).select("title", "equation", "raw", I.S.half_up(I.S.decoded(F.col("raw"), F.col("equation")), 4).alias("value")),

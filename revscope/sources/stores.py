@@ -17,8 +17,12 @@ def change_lines(patches: DataFrame) -> DataFrame:
     return patches.select(F.format_string("%s 0x%04X: %d -> %d", "title", "address", "old_value", "new_value").alias("value"))
 
 
-def write_change_report(patches: DataFrame, path: str) -> None:
+def write_change_report(patches: DataFrame, path: str, before: str | None = None, after: str | None = None) -> None:
+    """The lines of all patches; digests of the images before and after, where given, stand in a file of their own."""
     change_lines(patches).write.mode("overwrite").text(path)
+    if before or after:
+        lines = [(f"sha256 before {before or 'unknown'}",), (f"sha256 after {after or 'unknown'}",)]
+        patches.sparkSession.createDataFrame(lines, "value string").coalesce(1).write.mode("overwrite").text(f"{path}-digests")
 
 
 def append_ledger(patches: DataFrame, path: str, at: str, minutes: int = 10) -> bool:
@@ -49,6 +53,12 @@ def read_ledger(spark: SparkSession, path: str, last: int = 20) -> DataFrame:
     return rows.join(ranked, "at").select("kind", "cell", "pass_no", "delta", "at")
 
 
+def ledger_history(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each download, the newest first: when, how many changes of which kinds, the largest of them."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy("at").agg(F.count("*").alias("changes"), F.array_sort(F.collect_set("kind")).alias("kinds"), F.max_by("delta", F.abs("delta")).alias("largest")).orderBy(F.desc("at"))
+
+
 def append_note(spark: SparkSession, path: str, at: str, note: str) -> None:
     """A journal entry; empty notes are refused."""
     if not note.strip():
@@ -56,6 +66,13 @@ def append_note(spark: SparkSession, path: str, at: str, note: str) -> None:
     spark.createDataFrame([(at, note.strip())], "at string, note string").write.mode("append").parquet(path)
 
 
+def remove_note(spark: SparkSession, path: str, kept_path: str, at: str) -> int:
+    """Write the journal without the entries of a moment to another folder; returns how many went. The first stays until it is replaced by the caller."""
+    entries = spark.read.parquet(path)
+    entries.where(F.col("at") != at).write.parquet(kept_path)
+    return entries.where(F.col("at") == at).count()
+
+
 def journal_text(entries: DataFrame, width: int = 100) -> DataFrame:
     """Entries as wrapped lines for a forum, the newest first."""
     words = F.split("note", r"\s+")

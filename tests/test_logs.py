@@ -114,6 +114,14 @@ def test_ledger_compounds_fuel_and_adds_spark(spark):
     assert got == {"fuel": (15.5, True), "spark": (-6.0, True)}
 
 
+def test_knock_learning_keeps_to_the_ledger(spark):
+    event = "log_id long, rpm double, map double, region string, suspect_noise boolean, tip_out boolean"
+    events = spark.createDataFrame([(k, rpm, 50.0, "cruise", False, False) for k in (0, 1) for rpm in (2000.0, 2400.0)], event)
+    ledger = spark.createDataFrame([("spark", "5/6", 0, -3.0), ("spark", "5/6", 1, -3.0), ("spark", "6/6", 0, -5.0), ("fuel", "6/6", 0, 9.0)], "kind string, cell string, pass_no int, delta double")
+    assert sorted((r.row, r.col) for r in U.knock_learning(events).collect()) == [(5, 6), (6, 6)]
+    assert [(r.row, r.col) for r in U.knock_learning(events, ledger).collect()] == [(6, 6)]
+
+
 def test_convergence_verdicts(spark):
     # sessions 2 and 5 follow one another, whatever lies between their numbers
     before = [(2, k, 0, 8.0, 50) for k in range(5)]

@@ -102,6 +102,7 @@ def test_ledger_knows_the_same_download(spark, tmp_path):
     assert stores.append_ledger(p, path, "2024-01-01 10:00:00") is True
     assert stores.append_ledger(p, path, "2024-01-01 10:05:00") is False
     assert stores.append_ledger(p, path, "2024-01-01 11:00:00") is True
+    assert [(r.changes, r.kinds, r.largest) for r in stores.ledger_history(spark, path).collect()] == [(1, ["fuel"], 5.0)] * 2
     assert [r.pass_no for r in stores.read_ledger(spark, path).orderBy("pass_no").collect()] == [0, 1]
 
 
@@ -111,5 +112,8 @@ def test_journal(spark, tmp_path):
     stores.append_note(spark, str(tmp_path / "j"), "2024-01-01", "word " * 40)
     lines = stores.journal_text(spark.read.parquet(str(tmp_path / "j"))).first().text.split("\n")
     assert len(lines) == 2 and max(map(len, lines)) <= 100
+    stores.append_note(spark, str(tmp_path / "j"), "2024-01-02", "second")
+    assert stores.remove_note(spark, str(tmp_path / "j"), str(tmp_path / "j2"), "2024-01-01") == 1
+    assert [r.note for r in spark.read.parquet(str(tmp_path / "j2")).collect()] == ["second"]
     stores.write_report({"a": spark.range(2).select(F.col("id"))}, str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report" / "a")).count() == 2
