@@ -34,8 +34,6 @@ LENGTH = 2048
 END_ID = 0
 SLICE = 2 << 20
 GROUP_ROWS = 20_000
-#: A bin with fewer free tokens than this part of its length is left closed between rounds.
-SLACK = 1 / 64
 #: Groupings in a row that may free no bin before the search ends.
 STALLS = 3
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -244,7 +242,7 @@ def pack(rows: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS) ->
 
 
 def _placed(pieces_: DataFrame, length: int, group_rows: int) -> DataFrame:
-    open_bins = F.col("fill") < length * (1 - SLACK)
+    open_bins = F.col("fill") < length
     todo, closed, kept, before, stalls = pieces_, [], None, None, 0
     for round_no in range(1, 64):
         n_groups = max(1, -(-todo.count() // group_rows))
