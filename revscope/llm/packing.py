@@ -34,6 +34,8 @@ LENGTH = 2048
 END_ID = 0
 SLICE = 2 << 20
 GROUP_ROWS = 20_000
+#: Free parts of a bin's length below which it is left closed between rounds: first nearly full ones, so that the others meet in few groups, then none.
+SLACKS = (1 / 64, 0.0)
 #: Groupings in a row that may free no bin before the search ends.
 STALLS = 3
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -242,35 +244,40 @@ def pack(rows: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS) ->
 
 
 def _placed(pieces_: DataFrame, length: int, group_rows: int) -> DataFrame:
-    open_bins = F.col("fill") < length
-    todo, closed, kept, before, stalls = pieces_, [], None, None, 0
-    for round_no in range(1, 64):
-        n_groups = max(1, -(-todo.count() // group_rows))
-        packed = staged(_pack_groups(todo, length, n_groups, round_no), "packed")
-        n_bins = packed.select("sequence_id").distinct().count()
-        if kept is not None and n_bins >= before:
-            # this grouping frees no bin: the bins stay as they were, and another grouping is tried
-            stalls += 1
-            if stalls == STALLS or n_groups == 1:
-                closed.append(kept)
-                break
-            continue
+    closed, kept, before, todo, round_no = [], None, None, pieces_, 0
+    for slack in SLACKS:
+        open_bins = F.col("fill") < length * (1 - slack)
+        if kept is not None:
+            # bins that stayed closed are opened as well, and the bins as they stand are the ones to beat
+            every = _union([*closed, kept])
+            closed, kept = [every.where(~open_bins)], every.where(open_bins)
+            before, todo = kept.select("sequence_id").distinct().count(), kept.select(PLACED)
         stalls = 0
-        if n_groups == 1:
-            closed.append(packed)
-            break
-        closed.append(packed.where(~open_bins))
-        kept = packed.where(open_bins)
-        before = kept.select("sequence_id").distinct().count()
-        if not before:
-            break
-        todo = kept.select(PLACED)
-    else:
-        closed.append(kept)
-    out = closed[0]
-    for more in closed[1:]:
+        while before is None or before:
+            round_no += 1
+            n_groups = max(1, -(-todo.count() // group_rows))
+            packed = staged(_pack_groups(todo, length, n_groups, round_no), "packed")
+            n_bins = packed.select("sequence_id").distinct().count()
+            if kept is not None and n_bins >= before:
+                # this grouping frees no bin: the bins stay as they were, and another grouping is tried
+                stalls += 1
+                if stalls == STALLS or n_groups == 1 or round_no == 127:
+                    break
+                continue
+            stalls = 0
+            closed.append(packed.where(~open_bins))
+            kept = packed.where(open_bins)
+            before, todo = kept.select("sequence_id").distinct().count(), kept.select(PLACED)
+            if n_groups == 1:
+                break
+    return _union([*closed, kept]).drop("fill")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
         out = out.unionByName(more)
-    return out.drop("fill")
+    return out
 
 
 def sequences(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
