@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from revscope.llm import bpe, byte_bpe, jaccard, language_id, lm_score, media, packing, sharding, suffix_dedup, token_files, topk
+from revscope.llm import bpe, byte_bpe, jaccard, language_id, lm_score, media, packing, prefix_trie, sharding, suffix_dedup, token_files, topk, whitening
 
-MODULES = [sharding, bpe, topk, token_files, jaccard, suffix_dedup, lm_score, media, language_id, packing, byte_bpe]
+MODULES = [sharding, bpe, topk, token_files, jaccard, suffix_dedup, lm_score, media, language_id, packing, byte_bpe, prefix_trie, whitening]
 
 
 def queries() -> dict:
