@@ -7,11 +7,16 @@ confirms at the start of a value corrects the declared type.
 
 Defined results: a null value has no type and embeds nothing; an empty value or
 one that no validator confirms is ``application/octet-stream``; equal values get
-equal results; extra columns are kept by ``sniff`` and dropped by ``encode_wav``.
+equal results; extra columns are kept by ``sniff`` and dropped by ``encode_wav``. Very long values are
+read whole. Validators of one value share what they find out, so that no position is walked
+from twice, and together read at most 64 times its bytes: where hostile values ask for
+more, the signatures behind stay unconfirmed.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import re
 import struct
@@ -32,57 +37,116 @@ RATE = 8000
 SLICE = 4 << 20
 
 
+#: A validator may read this many times a value's bytes (a step of its own counts as STEP bytes) before what is left of the
+#: value's signatures stays unconfirmed: honest media need one pass for each level of nesting.
+PASSES, STEP, LEAST_WORK = 64, 64, 1 << 20
+
+
+class Notes:
+    """What validators found out about a value: where walks from a position end, and how much work is left."""
+
+    def __init__(self, b: bytes):
+        self.left = PASSES * len(b) + LEAST_WORK
+        self.ends: dict[str, dict[int, int]] = {}
+        self.directories: list[int] | None = None
+        self.frames: Frames | None = None
+
+    def spend(self, work: int) -> bool:
+        self.left -= work
+        return self.left >= 0
+
+
+class Value(bytes):
+    """A value with notes, which all its validators share."""
+
+    notes: Notes
+
+
+def _notes(b: bytes) -> Notes:
+    return b.notes if isinstance(b, Value) else Notes(b)
+
+
+def _walk(b: bytes, notes: Notes, name: str, i: int, step: Callable[[int], tuple[int, int]]) -> int:
+    """Where the walk from ``i`` ends (0: nowhere). ``step`` gives the next position, or -1 and the end; no position is walked from twice."""
+    ends, path, end = notes.ends.setdefault(name, {}), [], 0
+    while True:
+        if i in ends:
+            end = ends[i]
+            break
+        path.append(i)
+        if not notes.spend(STEP):
+            break
+        i, end = step(i)
+        if i < 0:
+            break
+    ends.update(dict.fromkeys(path, end))
+    return end
+
+
+def _length(end: int, at: int) -> int:
+    return end - at if end else 0
+
+
 def _png(b: bytes, at: int) -> int:
-    i = at + 8
-    while i + 12 <= len(b):
-        size = int.from_bytes(b[i : i + 4], "big")
-        end = i + 12 + size
-        if end > len(b) or zlib.crc32(b[i + 4 : end - 4]) != int.from_bytes(b[end - 4 : end], "big"):
-            return 0
-        if b[i + 4 : i + 8] == b"IEND":
-            return end - at
-        i = end
-    return 0
+    notes = _notes(b)
+
+    def chunk(i: int) -> tuple[int, int]:
+        end = i + 12 + int.from_bytes(b[i : i + 4], "big")
+        if end > len(b) or not notes.spend(end - i) or zlib.crc32(b[i + 4 : end - 4]) != int.from_bytes(b[end - 4 : end], "big"):
+            return -1, 0
+        return (-1, end) if b[i + 4 : i + 8] == b"IEND" else (end, 0)
+
+    return _length(_walk(b, notes, "png", at + 8, chunk), at)
 
 
 def _gif(b: bytes, at: int) -> int:
-    i = at + 13
-    if i > len(b):
+    if at + 13 > len(b):
         return 0
-    i += 3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0
-    while i < len(b):
-        kind = b[i]
+    notes = _notes(b)
+
+    def data(i: int) -> tuple[int, int]:
+        return (-1, 0) if i >= len(b) else (i + b[i] + 1, 0) if b[i] else (-1, i)
+
+    def block(i: int) -> tuple[int, int]:
+        kind = b[i] if i < len(b) else 0
         if kind == 0x3B:
-            return i + 1 - at
+            return -1, i + 1
         if kind == 0x21:
             i += 2
         elif kind == 0x2C and i + 10 <= len(b):
             i += 11 + (3 << ((b[i + 9] & 7) + 1) if b[i + 9] & 0x80 else 0)
         else:
-            return 0
-        while i < len(b) and b[i]:
-            i += b[i] + 1
-        i += 1
-    return 0
+            return -1, 0
+        end = _walk(b, notes, "gif-data", i, data)
+        return (end + 1, 0) if end else (-1, 0)
+
+    table = 3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0
+    return _length(_walk(b, notes, "gif", at + 13 + table, block), at)
 
 
 def _jpeg(b: bytes, at: int) -> int:
-    i = at + 2
-    while i + 4 <= len(b) and b[i] == 0xFF:
-        kind, size = b[i + 1], int.from_bytes(b[i + 2 : i + 4], "big")
-        if size < 2:
-            return 0
-        i += 2 + size
-        if kind == 0xDA:
-            while (i := b.find(b"\xff", i)) >= 0 and i + 1 < len(b):
-                if b[i + 1] == 0xD9:
-                    return i + 2 - at
-                if b[i + 1] not in (0, 0xFF, *range(0xD0, 0xD8)):
-                    break
-                i += 2 if b[i + 1] != 0xFF else 1
-            else:
-                return 0
-    return 0
+    notes = _notes(b)
+
+    def scanned(i: int) -> tuple[int, int]:
+        """Coded data up to a marker that is neither stuffed nor a restart; its place as the end, or a negative end behind the last marker."""
+        j = b.find(b"\xff", i)
+        if j < 0 or j + 1 >= len(b):
+            return -1, 0
+        if b[j + 1] == 0xD9:
+            return -1, -(j + 2)
+        if b[j + 1] not in (0, 0xFF, *range(0xD0, 0xD8)):
+            return -1, j
+        return (j + 2 if b[j + 1] != 0xFF else j + 1), 0
+
+    def segment(i: int) -> tuple[int, int]:
+        if i + 4 > len(b) or b[i] != 0xFF or (size := int.from_bytes(b[i + 2 : i + 4], "big")) < 2:
+            return -1, 0
+        if b[i + 1] != 0xDA:
+            return i + 2 + size, 0
+        end = _walk(b, notes, "jpeg-data", i + 2 + size, scanned)
+        return (end, 0) if end > 0 else (-1, -end)
+
+    return _length(_walk(b, notes, "jpeg", at + 2, segment), at)
 
 
 def _riff(b: bytes, at: int, kind: bytes, first: bytes) -> int:
@@ -91,8 +155,8 @@ def _riff(b: bytes, at: int, kind: bytes, first: bytes) -> int:
     end = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little")
     if end > len(b):
         return 0
-    i = at + 12
-    while i + 8 <= end:
+    i, notes = at + 12, _notes(b)
+    while i + 8 <= end and notes.spend(STEP):
         i += 8 + (size := int.from_bytes(b[i + 4 : i + 8], "little")) + (size & 1)
     return end - at if i in (end, end + 1) else 0
 
@@ -129,24 +193,26 @@ def _gzip(b: bytes, at: int) -> int:
     """One member, inflated to its end: its own checksum and length are confirmed on the way."""
     if len(b) < at + 18 or b[at + 3] & 0xE0:
         return 0
-    inflate = zlib.decompressobj(31)
+    inflate, notes, read = zlib.decompressobj(31), _notes(b), at
     try:
-        for i in range(at, len(b), 1 << 16):
-            piece = inflate.decompress(b[i : i + (1 << 16)], 1 << 20)
-            while not inflate.eof and (inflate.unconsumed_tail or len(piece) == 1 << 20):
-                piece = inflate.decompress(inflate.unconsumed_tail, 1 << 20)
-                if not piece and not inflate.unconsumed_tail:
-                    break
-            if inflate.eof:
-                return min(i + (1 << 16), len(b)) - len(inflate.unused_data) - at
+        while not inflate.eof:
+            piece = inflate.unconsumed_tail or b[read : read + (1 << 14)]
+            read = read if inflate.unconsumed_tail else read + len(piece)
+            out = inflate.decompress(piece, 1 << 18)
+            if not notes.spend(STEP + len(out) + len(piece) - len(inflate.unconsumed_tail)) or not (piece or out):
+                return 0
+        return read - len(inflate.unused_data) - at
     except zlib.error:
-        pass
-    return 0
+        return 0
 
 
 def _zip(b: bytes, at: int) -> int:
     """The directory at the end must list its entries one after the other, and each must be where it says."""
-    end = b.find(b"PK\x05\x06", at)
+    notes = _notes(b)
+    if notes.directories is None:
+        notes.directories = [m.start() for m in re.finditer(rb"PK\x05\x06", b)]
+    nth = bisect.bisect_left(notes.directories, at)
+    end = notes.directories[nth] if nth < len(notes.directories) else -1
     if end < 0 or end + 22 > len(b):
         return 0
     entries, size, start, note = struct.unpack_from("<HIIH", b, end + 10)
@@ -154,7 +220,7 @@ def _zip(b: bytes, at: int) -> int:
         return 0
     i = at + start
     for _ in range(entries):
-        if b[i : i + 4] != b"PK\x01\x02" or i + 46 > end:
+        if b[i : i + 4] != b"PK\x01\x02" or i + 46 > end or not notes.spend(STEP):
             return 0
         name, extra, comment = struct.unpack_from("<HHH", b, i + 28)
         own = at + struct.unpack_from("<I", b, i + 42)[0]
@@ -164,13 +230,21 @@ def _zip(b: bytes, at: int) -> int:
     return end + 22 + note - at if i == end else 0
 
 
+@functools.cache
+def _crc_table(poly: int, bits: int) -> list[int]:
+    table = []
+    for byte in range(256):
+        out = byte << (bits - 8)
+        for _ in range(8):
+            out = ((out << 1) ^ (poly if out >> (bits - 1) else 0)) & ((1 << bits) - 1)
+        table.append(out)
+    return table
+
+
 def _crc(data: bytes, poly: int, bits: int) -> int:
-    out = 0
+    out, table, mask = 0, _crc_table(poly, bits), (1 << bits) - 1
     for byte in data:
-        out ^= byte << (bits - 8)
-        for _ in range(8):
-            out = (out << 1) ^ (poly if out >> (bits - 1) else 0)
-            out &= (1 << bits) - 1
+        out = (out << 8 & mask) ^ table[out >> (bits - 8) ^ byte]
     return out
 
 
@@ -187,42 +261,82 @@ def _flac_frame(b: bytes, i: int) -> int:
     return n + 1 if _crc(b[i : i + n], 7, 8) == b[i + n] else 0
 
 
+@functools.cache
+def _powers() -> np.ndarray:
+    """The powers of x modulo the polynomial of a frame's checksum, up to where they repeat."""
+    out, power = [], 1
+    while not out or power != 1:
+        out.append(power)
+        power = ((power << 1) ^ (0x18005 if power >> 15 else 0)) & 0xFFFF
+    return np.array(out, np.uint16)
+
+
+class Frames:
+    """Where the frames of a value can begin, and where the checksum of the bytes between two places is zero.
+
+    A checksum up to a place, divided by x to the power of the bits before it, differs between
+    two places by a multiple of the checksum of what lies between: it is 0 where the two are equal.
+    """
+
+    def __init__(self, b: bytes):
+        raw = np.frombuffer(b, np.uint8)
+        powers = _powers()
+        places = 16 - 8 * (np.arange(len(raw), dtype=np.int64) + 1)
+        steps = np.zeros(len(raw) + 1, np.uint16)
+        for bit in range(8):
+            steps[1:] ^= np.where(raw >> bit & 1, powers[(places + bit) % len(powers)], 0).astype(np.uint16)
+        self.sums = np.bitwise_xor.accumulate(steps)
+        self.size = len(b)
+        maybe = np.flatnonzero((raw[:-1] == 0xFF) & (raw[1:] & 0xFE == 0xF8)).tolist()
+        self.headers = {i: n for i in maybe if (n := _flac_frame(b, i))}
+        self.equal: dict[int, list[int]] = {}
+        for i in self.headers:
+            self.equal.setdefault(int(self.sums[i]), []).append(i)
+
+    def next(self, i: int) -> tuple[int, int]:
+        """The end of the frame at ``i``: the first later frame, or the value's end, up to which its checksum holds; without one, ``i`` itself ends the walk."""
+        if i not in self.headers:
+            return -1, i
+        later = self.equal[int(self.sums[i])]
+        nth = bisect.bisect_right(later, i + self.headers[i])
+        if nth < len(later):
+            return later[nth], 0
+        return -1, self.size if self.sums[self.size] == self.sums[i] else i
+
+
 def _flac(b: bytes, at: int) -> int:
     """Metadata blocks to the last one, then frames: a frame ends where its checksum holds before the next frame or the end of the value."""
-    i, last, first = at + 4, False, True
-    while not last:
-        if i + 4 > len(b):
-            return 0
-        last, kind, size = b[i] >> 7, b[i] & 0x7F, int.from_bytes(b[i + 1 : i + 4], "big")
-        if kind == 127 or first != (kind == 0) or (first and size != 34):
-            return 0
-        i, first = i + 4 + size, False
-    end = 0
-    while (header := _flac_frame(b, i)):
-        j = i + header
-        # the next frame begins behind two bytes of checksum over all bytes of this one
-        while True:
-            j = b.find(b"\xff", j + 1)
-            stop = len(b) if j < 0 else j
-            if (j < 0 or _flac_frame(b, j)) and _crc(b[i : stop - 2], 0x8005, 16) == int.from_bytes(b[stop - 2 : stop], "big"):
-                break
-            if j < 0:
-                return end and end - at
-        i = end = stop
-    return end and end - at
+    notes = _notes(b)
+
+    def metadata(i: int) -> tuple[int, int]:
+        if i + 4 > len(b) or b[i] & 0x7F in (0, 127):
+            return -1, 0
+        end = i + 4 + int.from_bytes(b[i + 1 : i + 4], "big")
+        return (-1, end) if b[i] >> 7 else (end, 0)
+
+    if b[at + 5 : at + 8] != b"\0\0\x22" or b[at + 4 : at + 5] not in (b"\0", b"\x80"):
+        return 0
+    first = at + 42
+    if not b[at + 4]:
+        first = _walk(b, notes, "flac-metadata", first, metadata)
+    if not first or first >= len(b):
+        return 0
+    notes.frames = notes.frames or Frames(b)
+    end = _walk(b, notes, "flac", first, notes.frames.next)
+    return end - at if end > first else 0
 
 
 def _ogg(b: bytes, at: int) -> int:
-    i = at
-    while b[i : i + 4] == b"OggS" and i + 27 <= len(b) and b[i + 4] == 0:
+    def page(i: int) -> tuple[int, int]:
+        if b[i : i + 4] != b"OggS" or i + 27 > len(b) or b[i + 4] != 0:
+            return -1, 0
         laced = b[i + 27 : i + 27 + b[i + 26]]
         end = i + 27 + b[i + 26] + sum(laced)
         if len(laced) < b[i + 26] or end > len(b):
-            return 0
-        last, i = b[i + 5] & 4, end
-        if last:
-            return i - at
-    return 0
+            return -1, 0
+        return (-1, end) if b[i + 5] & 4 else (end, 0)
+
+    return _length(_walk(b, _notes(b), "ogg", at, page), at)
 
 
 #: The signatures that the formats' public specifications name.
@@ -259,6 +373,8 @@ def inspect(value: bytes, automaton: ahocorasick.Automaton) -> tuple[str, list[t
     Embedded media never overlap one another: the match that starts first wins.
     """
     kind, inner, free = UNKNOWN, [], 0
+    value = Value(value)
+    value.notes = Notes(value)
     for last, (size, checks) in automaton.iter(value.decode("latin-1")):
         at = last - size + 1
         if at and at < free:
