@@ -4,12 +4,15 @@ Each language has a variable-order tree of byte contexts with escape
 probabilities, frozen after training; a text's language is the one whose tree
 codes its bytes shortest. Trees are fitted on a sample of about ``per_language``
 labelled texts of each language, chosen by a hash of the row; whole texts are used
-both there and in prediction, and a tree holds every string of its sample.
+both there and in prediction, very long ones too, and a tree holds every string of its
+sample. Where there are more than 16 languages, each gets its part of the sample that 16
+would have; where there are more than ``LANGUAGES``, the most common ones (ties: the smaller
+name) are learnt, and rarer labels, as dirty tables have them, teach nothing.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter,
 and every text when nothing could be learned; ties go to the smaller name; rows
-with a null text or lang teach nothing; repeated rows are predicted each; an
-empty table gives no rows. Extra columns are dropped by ``identify``.
+with a null text or lang teach nothing; rows with null or repeated ids are learnt from
+and predicted each; an empty table gives no rows. Extra columns are dropped by ``identify``.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ UNKNOWN = "und"
 ORDER = 3
 #: The bound of the sample that the trees are fitted on: about so many texts of each language.
 PER_LANGUAGE = 2000
+#: The bound of the number of trees, which tasks hold and every text is scored by.
+LANGUAGES = 256
 SLICE = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 
@@ -38,16 +43,16 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER) -> dict[str, Model]:
-    """A tree for each value of ``lang`` in rows (doc_id, text, lang)."""
+def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, order: int = ORDER, languages: int = LANGUAGES) -> dict[str, Model]:
+    """A tree for each of the ``languages`` most common values of ``lang`` in rows (doc_id, text, lang)."""
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").alias("model"))
-    sizes = rows.groupBy("model").count().collect()
+    sizes = rows.groupBy("model").count().orderBy(F.desc("count"), "model").limit(languages).collect()
     if not sizes:
         return {}
-    rate = F.lit(0.0)
-    for r in sizes:
-        rate = F.when(F.col("model") == r.model, F.lit(min(1.0, per_language / r["count"]))).otherwise(rate)
-    return model_of(staged(gram_counts(rows.where(share(F.struct("doc_id", "text"), 5) < rate), order), "language-grams"), order)
+    wanted = per_language * min(1.0, 16 / len(sizes))
+    rates = rows.sparkSession.createDataFrame([(r.model, min(1.0, wanted / r["count"])) for r in sizes], "model string, rate double")
+    drawn = rows.join(F.broadcast(rates), "model").where(share(F.struct("doc_id", "text"), 5) < F.col("rate")).drop("rate")
+    return model_of(staged(gram_counts(drawn, order), "language-grams"), order)
 
 
 def _guesser(docs: DataFrame, models: dict[str, Model]) -> Callable[[pa.RecordBatch], Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]]:
@@ -58,7 +63,7 @@ def _guesser(docs: DataFrame, models: dict[str, Model]) -> Callable[[pa.RecordBa
 
     def guess(whole: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
         if names and not scorers:
-            scorers.append(Scorer(shared.value, 1 << 19))
+            scorers.append(Scorer(shared.value, (1 << 19) >> max(0, (len(names) - 1).bit_length() - 4)))
         for batch in slices(whole, "text", SLICE):
             texts = batch.column(batch.schema.get_field_index("text"))
             lettered = [bool(t and _LETTER.search(t)) for t in texts.to_pylist()]

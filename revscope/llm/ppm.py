@@ -155,19 +155,13 @@ class Model:
 
 def model_of(counts: DataFrame, order: int) -> dict[str | None, Model]:
     """One model for each value of ``model`` in (model, gram, n). What reaches the driver is bounded by the texts counted, a bounded sample, or by the alphabet: 256^(order + 1) strings."""
-    names = [r.model for r in counts.select("model").distinct().collect()]
     levels = F.explode(F.array([F.struct(F.lit(k).alias("k"), (F.col("gram").bitwiseAND((1 << (8 * (k + 1))) - 1) if k < 7 else F.col("gram")).alias("g")) for k in range(order + 1)]))
     strings = counts.select("model", "n", levels.alias("x")).groupBy("model", "x.k", "x.g").agg(F.sum("n").alias("n"))
     parents = counts.select("model", "n", levels.alias("x")).groupBy("model", "x.k", F.shiftright("x.g", 8).alias("g")).agg(F.sum("n").alias("n"))
     held, above = strings.toPandas(), parents.toPandas()
-    out = {}
-    for m in names:
-        tables = []
-        for frame in (held, above):
-            own = frame[frame["model"].isna() if m is None else frame["model"] == m].sort_values(["k", "g"])
-            tables.append([(f["g"].to_numpy().astype(np.uint64), f["n"].to_numpy().astype(np.float64)) for k in range(order + 1) for f in [own[own["k"] == k]]])
-        out[m] = Model(order, *tables)
-    return out
+    own = [{None if m != m else m: f.sort_values(["k", "g"]) for m, f in frame.groupby("model", dropna=False)} for frame in (held, above)]
+    levels_of = lambda frame: [(f["g"].to_numpy().astype(np.uint64), f["n"].to_numpy().astype(np.float64)) for k in range(order + 1) for f in [frame[frame["k"] == k]]]
+    return {m: Model(order, *(levels_of(frames[m]) for frames in own)) for m in own[0]}
 
 
 class Scorer:
