@@ -176,7 +176,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id
     n_rows, n_asked = rows.count(), rows.where(queries).count()
     n_batches = max(1, -(-n_asked * width * 8 // batch_bytes))
     asked = staged(rows.where(queries).withColumn("batch", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_batches)).cast("int")), "queries")
-    some = rows.where(share(F.struct("vec_id", "v"), 9) < block / max(1, n_rows)).coalesce(1)
+    # about a block of rows, drawn where they stand and then read by one task for every batch
+    some = staged(rows.where(share(F.struct("vec_id", "v"), 9) < block / max(1, n_rows)), "sampled-vectors").coalesce(1)
     found = []
     for b in range(n_batches):
         table = asked.where(F.col("batch") == b).select("vec_id", "v").toArrow()
