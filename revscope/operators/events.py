@@ -101,7 +101,7 @@ def converter_cycles(events: DataFrame) -> DataFrame:
 
 def kickdowns(f: DataFrame, s: DataFrame) -> DataFrame:
     """Throttle stabs and the first downshift within 20 rows of each."""
-    stabs = f.join(X.vss_units(f).select("log_id", "to_mph"), "log_id").where((F.col("tps") - F.col("prev_tps") >= 20) & (F.col("tps") >= 40))
+    stabs = X.with_mph(f).where((F.col("tps") - F.col("prev_tps") >= 20) & (F.col("tps") >= 40))
     down = s.where("to_gear < from_gear").select("log_id", F.col("row_idx").alias("down_row"))
     # the window spans two neighbouring blocks of 20 rows, so the range becomes an equality
     block = F.floor(F.col("row_idx") / 20)

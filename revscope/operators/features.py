@@ -11,7 +11,6 @@ from pyspark.sql.window import WindowSpec
 from revscope.functions import scalars as S
 
 
-
 def LOG() -> WindowSpec:  # noqa: N802 - windows need a session, so they are made when asked for
     return Window.partitionBy("log_id")
 
@@ -33,12 +32,33 @@ def channel(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast("double")
 
 
-def vss_units(df: DataFrame) -> DataFrame:
-    """Per log the upper median of RPM over road speed in steady cruise, and the factor that makes the speed mph."""
+def with_upper_medians(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Add to every row the upper median of each value over the row's log; a window, so nothing is joined."""
+    marked = df.withColumns({f"_of_{name}": v for name, v in values.items()})
+    middles = {name: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY _of_{name} DESC) OVER (PARTITION BY log_id)") for name in values}
+    return marked.withColumns(middles).drop(*(f"_of_{name}" for name in values))
+
+
+def _steady_ratio(df: DataFrame) -> Column:
+    """Engine speed over road speed in steady cruise."""
     rpm, vss, tps = F.col("rpm"), F.col("vss"), channel(df, "tps")
     step = F.coalesce(F.abs(vss - F.lag("vss").over(ORDER())), F.lit(99.0))
     steady = (vss >= 5) & (tps.isNull() | tps.between(8, 35)) & (step < 1.5) & (rpm > 1200) & (rpm < 2800)
-    rows = df.select("log_id", F.when(steady, rpm / vss).alias("ratio"))
+    return F.when(steady, rpm / vss)
+
+
+def with_mph(df: DataFrame) -> DataFrame:
+    """Add cruise_ratio, to_mph and mph; a log's road speed is in km/h where its cruise ratio says so."""
+    if "to_mph" in df.columns:
+        return df
+    middle = with_upper_medians(df.withColumn("_steady", _steady_ratio(df)), {"cruise_ratio": F.col("_steady")}).drop("_steady")
+    scaled = middle.withColumn("to_mph", F.when(F.col("cruise_ratio") < 25, S.KPH_TO_MPH).otherwise(1.0))
+    return scaled.withColumn("mph", F.col("vss") * F.col("to_mph"))
+
+
+def vss_units(df: DataFrame) -> DataFrame:
+    """Per log the upper median of RPM over road speed in steady cruise, and the factor that makes the speed mph."""
+    rows = df.select("log_id", _steady_ratio(df).alias("ratio"))
     return (
         rows.groupBy("log_id")
         .agg(S.upper_median(F.collect_list("ratio")).alias("cruise_ratio"))
@@ -82,6 +102,16 @@ def trim_styles(rows: DataFrame, trims: Iterable[str] = TRIMS) -> DataFrame:
     return counted.groupBy("log_id").agg(*first).select("log_id", *(S.trim_style(F.col(t)).alias(f"{t}_style") for t in trims))
 
 
+def with_trim_styles(rows: DataFrame, inside: Column | None = None) -> DataFrame:
+    """Add the encoding of each trim channel to every row; only rows that are ``inside`` tell it."""
+    trims = [t for t in TRIMS if t in rows.columns]
+    told = {t: F.col(t) if inside is None else F.when(inside, F.col(t)) for t in trims}
+    head = ORDER().rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.withColumns({f"_{t}_n": F.count(v).over(head) for t, v in told.items()})
+    middles = with_upper_medians(counted, {f"_{t}_mid": F.when(F.col(f"_{t}_n") <= STYLE_SAMPLE, v) for t, v in told.items()})
+    return middles.withColumns({f"{t}_style": S.trim_style(F.col(f"_{t}_mid")) for t in trims}).drop(*(f"_{t}_{x}" for t in trims for x in ("n", "mid")))
+
+
 def with_generic_trims(rows: DataFrame) -> DataFrame:
     """Unbanked channels stft and ltft stand in for what banks lack: for missing sides of banks that report, or for bank 1 where none does."""
     generic = [k for k in ("stft", "ltft") if k in rows.columns]
@@ -89,10 +119,10 @@ def with_generic_trims(rows: DataFrame) -> DataFrame:
     return rows.withColumns({f"{k}_b{b}": F.col(k) for k in generic for b in banks if f"{k}_b{b}" not in rows.columns})
 
 
-def with_bank_trims(rows: DataFrame) -> DataFrame:
+def with_bank_trims(rows: DataFrame, inside: Column | None = None) -> DataFrame:
     """Add trim_b1, trim_b2 and trim, the mean of the banks that the table carries, in percent; a missing channel or value counts as 0."""
     rows = with_generic_trims(rows)
-    styled = rows.join(trim_styles(rows), "log_id")
+    styled = with_trim_styles(rows, inside)
     pct = {t: S.trim_percent(F.col(t), F.col(f"{t}_style")) if t in rows.columns else F.lit(0.0) for t in TRIMS}
     banks = [b for b in (1, 2) if any(f"{k}_b{b}" in rows.columns for k in ("stft", "ltft"))]
     styled = styled.withColumn("trim_b1", pct["stft_b1"] + pct["ltft_b1"]).withColumn("trim_b2", pct["stft_b2"] + pct["ltft_b2"])
@@ -120,6 +150,6 @@ def kr_scales(df: DataFrame) -> DataFrame:
 
 def with_gears(features: DataFrame) -> DataFrame:
     """Add mph, ratio and the nearest gear of each row (no debouncing)."""
-    scaled = features.join(vss_units(features).select("log_id", "to_mph"), "log_id").withColumn("mph", F.col("vss") * F.col("to_mph"))
+    scaled = with_mph(features)
     ratio = S.gear_ratio(F.col("rpm"), F.col("mph"), F.col("vss"))
     return scaled.withColumn("ratio", S.half_up(ratio)).withColumn("near_gear", S.nearest_gear(ratio))

@@ -36,7 +36,7 @@ def region_distribution(f: DataFrame) -> DataFrame:
 
 def segment_breakdown(f: DataFrame) -> DataFrame:
     """Share of each segment and the mean combined trim of each bank where both its channels report."""
-    styled = f.join(X.trim_styles(f), "log_id")
+    styled = X.with_trim_styles(f)
     bank = {b: S.trim_counts(F.col(f"stft_b{b}"), F.col(f"stft_b{b}_style")) + S.trim_counts(F.col(f"ltft_b{b}"), F.col(f"ltft_b{b}_style")) - 128 for b in (1, 2)}
     sums = styled.groupBy("log_id", "segment").agg(F.count("*").alias("n_rows"), *(S.half_up(F.avg(c), 1).alias(f"trim_b{b}") for b, c in bank.items()))
     full = domain(f, "segment", X.SEGMENTS).join(sums, ["log_id", "segment"], "left").fillna(0, ["n_rows"])
