@@ -327,3 +327,45 @@ def details(reports: DataFrame) -> DataFrame:
         one = reports.select("log_id", F.posexplode(path).alias("at", "x")).select("log_id", F.lit(name).alias("list"), (F.col("at") + 1).cast("long").alias("nth"), row.alias("row_idx"), label.alias("label"), value.cast("double").alias("value"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+#: What a log must hold (rows of a region, well-sampled cells), and the weight of each channel in the score.
+ENOUGH_ROWS = {"idle": 120, "cruise": 500, "wot": 30}
+REGION_WEIGHTS = {"idle": 8, "cruise": 12, "wot": 20}
+GOOD_CELL, ENOUGH_CELLS, CELL_WEIGHT = 20, 12, 30
+CHANNEL_WEIGHTS = {"rpm": 6, "map": 6, "tps": 6, "kr": 6, "o2": 4, "ect": 2}
+CHANNEL_GAPS = {"rpm": "critical", "map": "warn", "tps": "warn", "kr": "warn", "o2": "warn", "ect": "info"}
+#: What to do on the next drive about a gap; gaps without a step need none of their own.
+STEPS = {
+    "idle": "log three minutes of warm idle with accessories off",
+    "cruise": "drive twenty minutes of steady road and town traffic without hard pulls",
+    "wot": "log two or three full-throttle pulls through the rev range",
+    "kr": "add the knock retard channel before the next log",
+    "o2": "add the voltage of at least the first oxygen sensor",
+}
+
+
+def coverage_figures(f: DataFrame) -> DataFrame:
+    """(log_id, session, fuel) of prepared rows: all that coverage is judged by."""
+    return _together([_totals(f, 0.0).select("log_id", "session"), _cells(f).select("log_id", "fuel")])
+
+
+def coverage(figures: DataFrame) -> DataFrame:
+    """Score, verdict, gaps and prescribed steps of each log; gaps stand in the order in which they are looked for, a step in the place where it is first called for."""
+    has = lambda c: F.exists("session.channels", lambda x: F.coalesce(x.isin("o2_b1", "o2_b2") if c == "o2" else x == c, F.lit(False)))
+    rows = {r: F.col(f"session.regions.{r}") for r in ENOUGH_ROWS}
+    cells = F.coalesce("fuel.cells", F.array().cast(figures.schema["fuel"].dataType["cells"].dataType))
+    good = F.size(F.filter(cells, lambda c: c.samples >= GOOD_CELL))
+    gap = lambda when, area, severity, n: F.when(when, F.struct(F.lit(area).alias("area"), severity.alias("severity"), n.cast("long").alias("found")))
+    none = F.lit(None)
+    gaps = [gap(rows[r] < n, r, F.when(rows[r] == 0, F.lit({"idle": "warn", "cruise": "warn", "wot": "critical"}[r])).otherwise(F.lit({"idle": "info", "cruise": "warn", "wot": "warn"}[r])), rows[r]) for r, n in ENOUGH_ROWS.items()]
+    gaps.append(gap(F.col("fuel").isNull(), "cells", F.lit("warn"), none))
+    gaps.append(gap(F.col("fuel").isNotNull() & (good < ENOUGH_CELLS), "cells", F.when(good < 4, "warn").otherwise("info"), good))
+    gaps += [gap(~has(c), c, F.lit(severity), none) for c, severity in CHANNEL_GAPS.items()]
+    listed = figures.withColumn("gaps", F.array_compact(F.array(*gaps)))
+    steps = F.array_compact(F.transform("gaps", lambda g: F.element_at(F.create_map(*(F.lit(x) for kv in STEPS.items() for x in kv)), g.area)))
+    raw = sum((F.when(rows[r] >= n, REGION_WEIGHTS[r]).otherwise(0) for r, n in ENOUGH_ROWS.items()), F.lit(0)) + S.half_up_int(CELL_WEIGHT * F.least(F.lit(1.0), good / ENOUGH_CELLS)) + sum((F.when(has(c), w).otherwise(0) for c, w in CHANNEL_WEIGHTS.items()), F.lit(0))
+    verdict = F.when(F.col("raw") >= 85, "excellent").when(F.col("raw") >= 60, "good").when(F.col("raw") >= 35, "thin").otherwise("poor")
+    capped = F.exists("gaps", lambda g: g.severity == "critical") & (F.col("raw") >= 60)
+    scored = listed.withColumn("raw", raw).withColumn("steps", F.array_distinct(steps))
+    return scored.select("log_id", F.when(capped, 59).otherwise(F.col("raw")).alias("score"), F.when(capped, "thin").otherwise(verdict).alias("verdict"), "gaps", "steps")
