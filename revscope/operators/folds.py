@@ -17,33 +17,46 @@ from revscope.cluster import ship_package
 CONFIRM = 3
 
 
-def debounced_gears(valid: np.ndarray, near: np.ndarray) -> np.ndarray:
+OUTSIDE, UNKNOWN = -1, -2
+
+
+def gear_runs(valid: np.ndarray, near: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Begin, end and state of each run of rows of equal state."""
+    state = np.where(valid, np.where(near == 0, OUTSIDE, near), UNKNOWN)
+    heads = np.flatnonzero(np.concatenate([[True], state[1:] != state[:-1]])) if len(state) else np.zeros(0, np.int64)
+    return heads.tolist(), np.append(heads[1:], len(state))[: len(heads)].tolist(), state[heads].tolist()
+
+
+def gear_step(state: tuple[int, int, int], gear: int, rows: int) -> tuple[tuple[int, int, int], int]:
+    """The machine after a run of ``rows`` rows of one gear, and after how many of them the gear changes (``rows``: never)."""
+    current, pending, seen = state
+    if gear in (UNKNOWN, current):
+        return (current, OUTSIDE, 0), rows
+    first = seen + 1 if gear == pending else int(gear != OUTSIDE)
+    change = max(0, CONFIRM - first)
+    if change < rows:
+        return (gear, OUTSIDE, 0), change
+    return (current, gear, first + rows - 1), rows
+
+
+#: No gear confirmed, none pending.
+GEAR_START = (0, OUTSIDE, 0)
+
+
+def debounced_gears(valid: np.ndarray, near: np.ndarray, state: tuple[int, int, int] = GEAR_START) -> np.ndarray:
     """The confirmed gear at each row (0: none). ``near`` is the nearest gear, 0 outside every band.
 
     A change needs three rows in a row; a row without speed drops the pending
     change but keeps the gear. Being outside every band is a state like a gear:
     it clears after three rows, or four when a change was pending.
     """
-    n = len(valid)
-    out = np.zeros(n, dtype=np.int32)
-    outside, unknown = -1, -2
-    # rows of equal state form a run; within a run the state changes at most once
-    state = np.where(valid, np.where(near == 0, outside, near), unknown)
-    heads = np.flatnonzero(np.concatenate([[True], state[1:] != state[:-1]])) if n else np.zeros(0, np.int64)
-    ends = np.append(heads[1:], n)[: len(heads)]
-    current, pending, seen = 0, outside, 0
-    for begin, end, gear in zip(heads.tolist(), ends.tolist(), state[heads].tolist(), strict=True):
-        out[begin:end] = max(current, 0)
-        if gear in (unknown, current):
-            pending, seen = outside, 0
-            continue
-        first = seen + 1 if gear == pending else int(gear != outside)
-        change = begin + max(0, CONFIRM - first)
-        if change < end:
-            out[change:end] = max(gear, 0)
-            current, pending, seen = gear, outside, 0
-        else:
-            pending, seen = gear, first + end - begin - 1
+    out = np.zeros(len(valid), dtype=np.int32)
+    # within a run of equal state the gear changes at most once
+    for begin, end, gear in zip(*gear_runs(valid, near), strict=True):
+        before = state[0]
+        state, change = gear_step(state, gear, end - begin)
+        out[begin : begin + change] = max(before, 0)
+        out[begin + change : end] = max(state[0], 0)
     return out
 
 

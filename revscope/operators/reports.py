@@ -10,6 +10,7 @@ from pyspark.sql.window import WindowSpec
 
 from revscope.functions import scalars as S
 from revscope.operators import features as X
+from revscope.operators import order
 from revscope.operators.features import LOG, ORDER
 
 def domain(df: DataFrame, name: str, values: list[str]) -> DataFrame:
@@ -338,9 +339,8 @@ def coverage_score(f: DataFrame) -> DataFrame:
 
 
 def with_earlier(rows: DataFrame, f: DataFrame) -> DataFrame:
-    """Add to rows of logs the number of the log before, whatever gaps the numbers have; a log table is one row for each log."""
-    logs = f.select("log_id").distinct()
-    return rows.join(logs.select("log_id", F.lag("log_id").over(Window.orderBy("log_id")).alias("earlier")), "log_id")
+    """Add to rows of logs the number of the log before, whatever gaps the numbers have."""
+    return rows.join(order.with_previous(f.select("log_id").distinct(), ["log_id"], {"earlier": "log_id"}), "log_id")
 
 
 def compare_cells(f: DataFrame) -> DataFrame:
@@ -363,8 +363,7 @@ def session_metrics(f: DataFrame) -> DataFrame:
     fuel = _cells(f).groupBy("log_id").agg(S.half_up(F.avg(F.abs("trim"))).alias("abs_trim"))
     figures = knock_summary(f).select("log_id", "knock_pct", "max_kr").join(fuel, "log_id", "left").join(lambda_error(f).select("log_id", "mean_abs_error"), "log_id", "left").join(coverage_score(f).select("log_id", F.col("score").alias("coverage")), "log_id")
     names = ["knock_pct", "max_kr", "abs_trim", "mean_abs_error", "coverage"]
-    # one row for each session: their order is global by nature
-    return figures.select("*", *(F.lag(c).over(Window.orderBy("log_id")).alias(f"prev_{c}") for c in names))
+    return order.with_previous(figures, ["log_id"], {f"prev_{c}": c for c in names})
 
 
 def report_card(f: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revscope.operators import order
+
 SOURCE = "_srclog"
 
 
@@ -51,12 +53,9 @@ def merged(tables: list[DataFrame], partition_by_log: bool = False) -> DataFrame
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if partition_by_log:
         return out
-    # one small row for each log says how many rows stand before it; rows are numbered inside their logs
-    sizes = out.groupBy(SOURCE, "log_id").agg(F.count("*").alias("_size"))
-    before = sizes.select(SOURCE, "log_id", (F.sum("_size").over(Window.orderBy(SOURCE, "log_id")) - F.col("_size")).alias("_before"))
-    own = F.row_number().over(Window.partitionBy(SOURCE, "log_id").orderBy("row_idx")) - 1
-    numbered = out.withColumn("_own", own).join(before, [SOURCE, "log_id"])
-    return numbered.withColumns({"row_idx": F.col("_before") + F.col("_own"), "log_id": F.lit(0).cast("long")}).drop("_own", "_before")
+    # every row gets the number of rows before it; ranges of rows are counted, so neither a log nor all of them is one task
+    numbered = order.with_running_sums(out.withColumn("_one", F.lit(1).cast("long")), [SOURCE, "log_id", "row_idx"], {"_nth": "_one"})
+    return numbered.withColumns({"row_idx": F.col("_nth"), "log_id": F.lit(0).cast("long")}).drop("_nth", "_one")
 
 
 def repicked(logs: DataFrame, picked: DataFrame, name: str = "log_name") -> DataFrame:
