@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revscope.cluster import scratch_dir
 from revscope.operators import rules as U
 from revscope.plans import base_sql as B
 from revscope.plans.report_queries import with_
@@ -19,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 HEADERS = ["Time (s)", "Engine RPM", "MAP (kPa)", "TPS %", "ECT (F)", "Note"]
+PICKED = dict(zip(["time_s", "rpm", "map", "tps", "ect"], HEADERS, strict=False))
 
 
 def log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,13 +40,23 @@ def log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parsed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = D.data_rows(D.parse_texts(log_texts(spark, sf_dir)))
-    numbers = D.channels(rows, {"time_s": HEADERS[0], "rpm": HEADERS[1], "map": HEADERS[2], "tps": HEADERS[3], "ect": HEADERS[4]})
-    return numbers.join(D.text_channel(rows, "Note"), ["log_id", "row_idx"])
+    return D.channels(rows, PICKED, ["Note"])
+
+
+def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logs written as text files, a folder for each, and read back in byte ranges."""
+    path = f"{scratch_dir(spark)}/revscope/log-files-{uuid.uuid4().hex}"
+    log_texts(spark, sf_dir).select("log_id", F.col("text").alias("value")).repartition("log_id").write.partitionBy("log_id").text(path)
+    rows = D.numbered_rows(D.parse_lines(D.read_lines(spark, path)))
+    number = F.regexp_extract("log_id", r"log_id=(\d+)", 1).cast("long")
+    return D.channels(rows, PICKED, ["Note"]).withColumn("log_id", number)
 
 
 _f = lambda c: f"CAST(CAST(printf('%.4f', {c}) AS FLOAT) AS DOUBLE)"
 QUERIES["parsed_log"] = parsed_log
 ORACLES["parsed_log"] = with_(B.T, f"SELECT log_id, row_idx, {_f('time_s')} AS time_s, {_f('rpm')} AS rpm, {_f('map')} AS map, {_f('tps')} AS tps, {_f('ect')} AS ect, CASE WHEN log_id % 2 = 0 THEN 'a,b' ELSE 'a;b' END AS \"Note\" FROM t")
+QUERIES["split_files"] = split_files
+ORACLES["split_files"] = ORACLES["parsed_log"]
 QUERIES["parse_warnings"] = lambda spark, sf_dir: D.warnings(D.parse_texts(log_texts(spark, sf_dir)))
 ORACLES["parse_warnings"] = with_(B.T, "SELECT log_id, CAST(0 AS BIGINT) AS long_rows, CAST(1 AS BIGINT) AS unit_rows, count(*) AS data_rows FROM t GROUP BY log_id")
 QUERIES["channel_types"] = lambda spark, sf_dir: D.channel_types(D.data_rows(D.parse_texts(log_texts(spark, sf_dir))))

@@ -1,7 +1,8 @@
 """Delimited text logs of any number of files: delimiter, header, rows and channel types, found per file in one plan.
 
-A log is small, so a file is one row until it is split into lines; from there on
-everything is per line. Nothing is probed on the driver and files may differ in
+A table of texts holds a file as one row until it is split into lines; files under a
+path are read line by line in byte ranges, so that one file may be longer than any
+task could take. From there on everything is per line. Nothing is probed on the driver and files may differ in
 delimiter, header and columns: a row's cells stay in a map until channels are
 picked by name.
 """
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from revscope.cluster import ship_package
 from revscope.functions import scalars as S
+from revscope.operators import order
 
 DELIMITERS = [",", "\t", ";", "|"]
 _OUTSIDE_QUOTES = '(?=(?:[^"]*"[^"]*")*[^"]*$)'
@@ -65,8 +67,14 @@ def deduplicated(headers: list[str]) -> list[str]:
 
 def file_heads(texts: DataFrame) -> DataFrame:
     """(log_id, lines, delimiter, header_at, headers) of each file; only its first ten lines are looked at."""
-    ship_package(texts.sparkSession)
     lines = F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n", "\n"), "\n", -1), lambda line: ~F.trim(line).rlike("^([#;]|$)"))
+    files = texts.select("log_id", lines.alias("lines")).where(F.size("lines") > 0)
+    return _heads(files, F.slice("lines", 1, HEAD_LINES))
+
+
+def _heads(files: DataFrame, first: Column) -> DataFrame:
+    """Add delimiter, header_at and headers, from each file's first lines."""
+    ship_package(files.sparkSession)
 
     @F.pandas_udf("delimiter string, header_at int, headers array<string>")
     def head(first: pd.Series) -> pd.DataFrame:
@@ -79,8 +87,7 @@ def file_heads(texts: DataFrame) -> DataFrame:
             rows.append((d, at, deduplicated(split_fields(some[at], d)) if some else []))
         return pd.DataFrame(rows, columns=["delimiter", "header_at", "headers"])
 
-    files = texts.select("log_id", lines.alias("lines")).where(F.size("lines") > 0)
-    return files.withColumn("head", head(F.slice("lines", 1, 10))).select("log_id", "lines", "head.*")
+    return files.withColumn("head", head(first)).select(*files.columns, "head.*")
 
 
 def parse_texts(texts: DataFrame) -> DataFrame:
@@ -95,17 +102,63 @@ def parse_texts(texts: DataFrame) -> DataFrame:
     # dealt out by log: what was found per file is computed once, before its lines become rows
     files = files.select("log_id", "headers", "delimiter", "header_at", "lines").repartition("log_id")
     rows = files.select("log_id", "headers", "delimiter", "header_at", F.posexplode("lines").alias("line_no", "line"))
-    rows = rows.where(F.col("line_no") > F.col("header_at")).withColumn("fields", _fields(F.col("line"), F.col("delimiter")))
+    return _judged(rows.where(F.col("line_no") > F.col("header_at"))).select("log_id", "line_no", "status", "headers", "cells")
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """Lines behind the header with their status and cells."""
+    rows = rows.withColumn("fields", _fields(F.col("line"), F.col("delimiter")))
     missing = F.greatest(F.size("headers") - F.size("fields"), F.lit(0))
     filled = F.filter("fields", lambda f: f != "")
     numeric = F.filter(filled, lambda f: S.number(f).isNotNull())
     status = F.when(F.size("fields") > F.size("headers"), "long").when((F.size(filled) > 0) & (F.size(numeric) < F.size(filled) / 2), "units").otherwise("data")
     cells = F.when(status == "data", F.map_from_arrays("headers", F.concat("fields", F.array_repeat(F.lit(""), missing))))
-    return rows.select("log_id", "line_no", status.alias("status"), "headers", cells.alias("cells"))
+    return rows.withColumns({"status": status, "cells": cells}).drop("fields")
+
+
+#: Lines of a file that a header is looked for in.
+HEAD_LINES = 10
+PLACE = ["block", "at"]
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(log_id, block, at, line): the lines of all files under a path, read in byte ranges by as many tasks as there are.
+
+    ``block`` is where a range begins in its file and ``at`` rises inside it, so that the two
+    together put the lines of a file in order. Comments and blank lines are left out.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path)
+    lines = raw.select(F.col("_metadata.file_path").alias("log_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
+    return lines.where(~F.trim("line").rlike("^([#;]|$)"))
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """What ``parse_texts`` makes of whole texts, from lines that many tasks read: (log_id, block, at, status, headers, cells).
+
+    A file's header is looked for once, in its first lines, which are all that is gathered of
+    it. What is found goes to the file's byte ranges and from there to their lines, so that no
+    join or group holds more of a file than a range.
+    """
+    nth = F.row_number().over(Window.partitionBy("log_id").orderBy(*PLACE))
+    first = lines.withColumn("nth", nth).where(F.col("nth") <= HEAD_LINES)
+    listed = first.groupBy("log_id").agg(F.array_sort(F.collect_list(F.struct("nth", *PLACE, "line"))).alias("first"))
+    heads = _heads(listed, F.col("first.line")).select("log_id", "headers", "delimiter", F.struct(*(F.col("first")[F.col("header_at")].getField(c).alias(c) for c in PLACE)).alias("header"))
+    ranges = lines.select("log_id", "block").distinct().join(heads, "log_id")
+    rows = lines.join(ranges, ["log_id", "block"]).where(F.struct(*PLACE) > F.col("header"))
+    return _judged(rows).select("log_id", *PLACE, "status", "headers", "cells")
+
+
+def numbered_rows(parsed: DataFrame) -> DataFrame:
+    """Admitted rows of ``parse_lines``, numbered from 0 in each file, however long it is."""
+    rows = parsed.where("status = 'data'").select("log_id", *PLACE, "cells").withColumn("one", F.lit(1).cast("long"))
+    counted = order.with_running_sums(rows, ["log_id", *PLACE], {"nth": "one"})
+    begins = counted.groupBy("log_id", "block").agg(F.min("nth").alias("nth"))
+    firsts = begins.select("log_id", "block", F.min("nth").over(Window.partitionBy("log_id")).alias("first"))
+    return counted.join(firsts, ["log_id", "block"]).select("log_id", (F.col("nth") - F.col("first")).alias("row_idx"), "cells")
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """All log files under a path; the file's path is the log's id."""
+    """All log files under a path, each read whole; the file's path is the log's id. For files of any length see ``read_lines``."""
     return parse_texts(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("log_id"), F.col("value").alias("text")))
 
 
@@ -125,9 +178,10 @@ def channel_types(rows: DataFrame) -> DataFrame:
     return cells.groupBy("log_id", "channel").agg(F.bool_and((F.col("cell") == "") | S.number(F.col("cell")).isNotNull()).alias("is_numeric"), F.count_if(F.col("cell") != "").alias("used"))
 
 
-def channels(rows: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Pick channels by header: {canonical name: header}. Numbers are narrowed to float as they are logged."""
-    return rows.select("log_id", "row_idx", *(S.number(F.try_element_at("cells", F.lit(h))).cast("float").cast("double").alias(n) for n, h in names.items()))
+def channels(rows: DataFrame, names: dict[str, str], texts: list[str] | None = None) -> DataFrame:
+    """Pick channels by header: {canonical name: header}. Numbers are narrowed to float as they are logged; ``texts`` are kept as they are, under their headers."""
+    cell = lambda h: F.try_element_at("cells", F.lit(h))
+    return rows.select("log_id", "row_idx", *(S.number(cell(h)).cast("float").cast("double").alias(n) for n, h in names.items()), *(F.when(cell(h) != "", cell(h)).alias(h) for h in texts or []))
 
 
 def text_channel(rows: DataFrame, header: str) -> DataFrame:

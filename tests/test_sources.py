@@ -117,3 +117,23 @@ def test_journal(spark, tmp_path):
     assert [r.note for r in spark.read.parquet(str(tmp_path / "j2")).collect()] == ["second"]
     stores.write_report({"a": spark.range(2).select(F.col("id"))}, str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report" / "a")).count() == 2
+
+
+def test_a_long_file_is_read_by_many_tasks(spark, tmp_path):
+    long = "My drive\n# comment\nRPM,MAP,Note,TPS\nrpm,kPa,text,%\n" + "".join(f'{k},35,"a, ""{k}""",{k % 7}\r\n' + ("# c\n\n" if k % 50 == 0 else "") + ("1,2,3,4,5\n" if k % 97 == 50 else "") for k in range(20_000))
+    (tmp_path / "long.csv").write_text(long)
+    (tmp_path / "short.tsv").write_text("A\tB\n1\t2\n3\n")
+    (tmp_path / "none.csv").write_text("# nothing\n\n")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        lines = delimited.read_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 4
+        got = delimited.numbered_rows(delimited.parse_lines(lines))
+        rows = {(r.log_id[-8:], r.row_idx): r.cells for r in got.collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    whole = {(r.log_id[-8:], r.row_idx): r.cells for r in delimited.data_rows(delimited.read_logs(spark, str(tmp_path))).collect()}
+    assert rows == whole and len(rows) == 20_002
