@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from revscope.cluster import ship_package
 from revscope.functions import scalars as S
-from revscope.operators.folds import CONFIRM
+from revscope.operators import folds
 
 START = "2000-01-01 00:00:00"
 
@@ -35,29 +35,26 @@ def load_windows(stream: DataFrame, length: str = "10 seconds", step: str = "5 s
     return means.select("log_id", F.col("w.start").alias("start"), "samples", "map", "rpm")
 
 
-def gear_stream(stream: DataFrame, to_mph: float = 1.0) -> DataFrame:
-    """The confirmed gear of each row; the state of each log's automaton outlives the micro-batch."""
+def gear_stream(stream: DataFrame, to_mph: float = 1.0, late: str = "10 seconds", silence_s: float = 60.0) -> DataFrame:
+    """The confirmed gear of each row; the state of each log's automaton outlives the micro-batch, and ends when the log has been silent for ``silence_s`` of event time."""
     ship_package(stream.sparkSession)
     mph = F.col("vss") * to_mph
     ratio = S.gear_ratio(F.col("rpm"), mph, F.col("vss"))
-    rows = stream.select("log_id", "row_idx", F.coalesce(S.nearest_gear(ratio), F.lit(0)).alias("near"), ratio.isNotNull().alias("valid"))
+    rows = stream.withWatermark("at", late).select("log_id", "row_idx", "at", F.coalesce(S.nearest_gear(ratio), F.lit(0)).alias("near"), ratio.isNotNull().alias("valid"))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current, pending, seen = state.get if state.exists else (0, -1, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        machine = state.get if state.exists else folds.GEAR_START
         log = pd.concat(list(frames)).sort_values("row_idx")
-        out = []
-        for near, valid in zip(log["near"].tolist(), log["valid"].tolist(), strict=True):
-            gear = near or -1
-            if not valid or gear == current:
-                pending, seen = -1, 0
-            elif gear == pending:
-                seen += 1
-                if seen >= CONFIRM:
-                    current, pending, seen = gear, -1, 0
-            else:
-                pending, seen = gear, int(gear != -1)
-            out.append(max(current, 0))
-        state.update((current, pending, seen))
-        yield pd.DataFrame({"log_id": key[0], "row_idx": log["row_idx"], "gear": out})
-
-    return rows.groupBy("log_id").applyInPandasWithState(step, "log_id long, row_idx long, gear int", "current int, pending int, seen int", "append", GroupStateTimeout.NoTimeout)
+        valid, near = log["valid"].to_numpy(), log["near"].to_numpy()
+        gears = folds.debounced_gears(valid, near, machine)
+        for begin, end, gear in zip(*folds.gear_runs(valid, near), strict=True):
+            machine = folds.gear_step(machine, gear, end - begin)[0]
+        state.update(tuple(map(int, machine)))
+        end = int(log["at"].max().timestamp() * 1000) + int(silence_s * 1000)
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"log_id": key[0], "row_idx": log["row_idx"], "gear": gears})
+
+    return rows.groupBy("log_id").applyInPandasWithState(step, "log_id long, row_idx long, gear int", "current int, pending int, seen int", "append", GroupStateTimeout.EventTimeTimeout)
