@@ -1,4 +1,4 @@
-"""Images, and definitions of tables and data streams from XML."""
+"""Images, and definitions of tables from XML; data streams are in ``packets``."""
 
 from __future__ import annotations
 
@@ -49,17 +49,6 @@ def read_items(spark: SparkSession, path: str, tag: str = "XDFCONSTANT") -> Data
     return rows.select(F.col("_uniqueid").alias("id"), F.regexp_replace(F.trim("title"), r"\s+", " ").alias("title"), _address(F.col("EMBEDDEDDATA._mmedaddress")).alias("address"), F.coalesce("EMBEDDEDDATA._mmedelementsizebits", F.lit(8)).alias("bits"), "units", F.col("MATH._equation").alias("equation"))
 
 
-STREAM = "_id string, _idhash string, _parentcmdidhash string, packetoffset string, packetsizebits int, units string, MATH struct<_equation:string>"
-
-
-def read_stream_values(spark: SparkSession, path: str) -> DataFrame:
-    """Values of a data-stream definition: raw where a command carries them in its packet, computed otherwise."""
-    rows = spark.read.format("xml").schema(STREAM).option("rowTag", "ADXVALUE").load(path)
-    offset = F.coalesce(_address(F.col("packetoffset")), F.lit(0))
-    raw = F.col("_parentcmdidhash").isNotNull() & (offset != 0)
-    return rows.select(F.col("_id").alias("id"), "units", offset.alias("packet_offset"), F.coalesce("packetsizebits", F.lit(8)).alias("bits"), F.col("MATH._equation").alias("equation"), F.when(raw, "raw").otherwise("computed").alias("kind"))
-
-
 def linear_only(tables: DataFrame) -> DataFrame:
     """Tables whose equation can be turned round; the others are never patched."""
     return tables.where(S.raw_per_unit(F.col("equation")).isNotNull())
