@@ -184,26 +184,26 @@ def summary_lines(suggestions: DataFrame) -> DataFrame:
 LEDGER_LIMITS = {"fuel": 15.0, "spark": 6.0, "pe": 15.0, "trans": 20.0}
 
 
-def ledger_cumulative(patches: DataFrame) -> DataFrame:
-    """Changes of a cell add up over passes: percents compound, degrees add. Rows: kind, cell, pass_no, delta."""
+def ledger_cumulative(patches: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Changes of a cell add up over passes: percents compound, degrees add. Rows: kind, cell, pass_no, delta, and what ledgers are kept ``by``."""
     ordered = F.array_sort(F.collect_list(F.struct("pass_no", "delta")))
     product = F.aggregate(ordered, F.lit(1.0), lambda acc, x: acc * (1 + x["delta"] / 100))
-    sums = patches.groupBy("kind", "cell").agg(F.count("*").alias("passes"), F.sum("delta").alias("added"), product.alias("product"))
+    sums = patches.groupBy(*by, "kind", "cell").agg(F.count("*").alias("passes"), F.sum("delta").alias("added"), product.alias("product"))
     total = F.when(F.col("kind") == "spark", F.col("added")).otherwise((F.col("product") - 1) * 100)
     limit = F.lit(LEDGER_LIMITS["fuel"])
     for kind, value in LEDGER_LIMITS.items():
         limit = F.when(F.col("kind") == kind, value).otherwise(limit)
-    out = sums.select("kind", "cell", "passes", S.half_up(total).alias("cumulative"), limit.alias("max_change"))
+    out = sums.select(*by, "kind", "cell", "passes", S.half_up(total).alias("cumulative"), limit.alias("max_change"))
     return out.withColumn("blocked", F.abs("cumulative") >= F.col("max_change"))
 
 
-def patch_impact(patches: DataFrame) -> DataFrame:
+def patch_impact(patches: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """What a set of changes does to each kind's ledger: the largest change, the worst total, and its grade."""
-    sums = ledger_cumulative(patches)
-    latest = patches.groupBy("kind").agg(F.max(F.abs("delta")).alias("max_delta"), F.count("*").alias("patches"))
-    worst = sums.groupBy("kind").agg(F.max(F.abs("cumulative")).alias("worst"), F.max("max_change").alias("max_change"), F.min_by("cell", F.struct(-F.abs("cumulative"), F.col("cell"))).alias("worst_cell"))
+    sums = ledger_cumulative(patches, by)
+    latest = patches.groupBy(*by, "kind").agg(F.max(F.abs("delta")).alias("max_delta"), F.count("*").alias("patches"))
+    worst = sums.groupBy(*by, "kind").agg(F.max(F.abs("cumulative")).alias("worst"), F.max("max_change").alias("max_change"), F.min_by("cell", F.struct(-F.abs("cumulative"), F.col("cell"))).alias("worst_cell"))
     share = F.col("worst") / F.col("max_change")
-    return latest.join(worst, "kind").withColumn("grade", F.when(share >= 1, "blocked").when(share >= 0.8, "warn").otherwise("ok"))
+    return latest.join(worst, [*by, "kind"]).withColumn("grade", F.when(share >= 1, "blocked").when(share >= 0.8, "warn").otherwise("ok"))
 
 
 def cell_provenance(suggested: DataFrame, rpm_axis: list[float], map_axis: list[float], full: float = 100.0) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from revscope.plans import event_queries, image_queries, long_queries, packet_queries, report_queries, rule_queries, session_queries, source_queries
+from revscope.plans import card_queries, event_queries, image_queries, long_queries, packet_queries, report_queries, rule_queries, session_queries, source_queries
 
-MODULES = [report_queries, event_queries, rule_queries, image_queries, source_queries, session_queries, long_queries, packet_queries]
+MODULES = [report_queries, event_queries, rule_queries, image_queries, source_queries, session_queries, long_queries, packet_queries, card_queries]
 
 
 def queries() -> dict:
