@@ -22,7 +22,7 @@ def log(spark):
             rows[start + k] = {"tps": 40.0, "o2_b1": 200.0 if k == 2 else 450.0}
     rows[100] = {"kr": 4.0}
     rows[101] = {"kr": 3.0}
-    for i in range(200, 215):
+    for i in range(275, 290):
         rows[i] = {"ltft_b1": 160.0, "rpm": 3300.0, "stft_b2": None, "ltft_b2": None}
     return rows
 
