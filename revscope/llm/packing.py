@@ -5,7 +5,8 @@ first one. Every piece gets a number, pieces are dealt to groups by its hash and
 fit over decreasing sizes; then moves, one-for-one and two-for-one exchanges
 between underfull bins raise the sum of squared fills, which empties bins. The
 bins that stay underfull in their groups are opened again and their pieces meet
-in fewer groups, until one group holds them all or three groupings free no bin.
+in fewer groups, until one group holds them all or three groupings in a row free
+hardly any bin (``LEAST_FREED``). A sequence is named by the smallest number of its pieces.
 No group or task holds more than about ``group_rows`` pieces, whatever the input.
 
 Defined results: a null text is empty and holds the end id alone; repeated rows
@@ -36,7 +37,8 @@ SLICE = 2 << 20
 GROUP_ROWS = 20_000
 #: Free parts of a bin's length below which it is left closed between rounds: first nearly full ones, so that the others meet in few groups, then none.
 SLACKS = (1 / 64, 0.0)
-#: Groupings in a row that may free no bin before the search ends.
+#: A grouping stalls if it frees no more than this part of the bins that it opened; so many stalls in a row end a series.
+LEAST_FREED = 1e-4
 STALLS = 3
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
@@ -215,14 +217,14 @@ def _pack_groups(rows: DataFrame, length: int, n_groups: int, round_no: int) ->
 
     def run(table: pa.Table) -> pa.Table:
         sizes = table.column("length").to_numpy()
-        part = int(table.column("part")[0].as_py())
+        numbers = table.column("row").to_numpy()
         order = np.lexsort(tuple(table.column(c).fill_null(-1).to_numpy() for c in ("row", "ids_crc32", "start", "piece", "doc_id")))
         bins = local_search(best_fit(sizes[order], length), sizes[order], length)
         sequence, offset, fill = (np.zeros(len(sizes), np.int64) for _ in range(3))
-        for k, members in enumerate(bins):
+        for members in bins:
             at = order[members]
             ends = np.cumsum(sizes[at])
-            sequence[at], offset[at], fill[at] = (round_no << 56) | (part << 28) | k, ends - sizes[at], ends[-1]
+            sequence[at], offset[at], fill[at] = numbers[at].min(), ends - sizes[at], ends[-1]
         return table.drop_columns(["part"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).append_column("fill", pa.array(fill))
 
     keys = F.xxhash64("row", F.lit(round_no))
@@ -258,17 +260,13 @@ def _placed(pieces_: DataFrame, length: int, group_rows: int) -> DataFrame:
             n_groups = max(1, -(-todo.count() // group_rows))
             packed = staged(_pack_groups(todo, length, n_groups, round_no), "packed")
             n_bins = packed.select("sequence_id").distinct().count()
-            if kept is not None and n_bins >= before:
-                # this grouping frees no bin: the bins stay as they were, and another grouping is tried
-                stalls += 1
-                if stalls == STALLS or n_groups == 1 or round_no == 127:
-                    break
-                continue
-            stalls = 0
-            closed.append(packed.where(~open_bins))
-            kept = packed.where(open_bins)
-            before, todo = kept.select("sequence_id").distinct().count(), kept.select(PLACED)
-            if n_groups == 1:
+            stalls = stalls + 1 if kept is not None and before - n_bins <= LEAST_FREED * before else 0
+            if kept is None or n_bins < before:
+                closed.append(packed.where(~open_bins))
+                kept = packed.where(open_bins)
+                before, todo = kept.select("sequence_id").distinct().count(), kept.select(PLACED)
+            # a grouping that frees no bin leaves the bins as they were
+            if n_groups == 1 or stalls == STALLS:
                 break
     return _union([*closed, kept]).drop("fill")
 

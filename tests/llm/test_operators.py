@@ -445,11 +445,35 @@ class BrutePpm:
 
 def test_scores_equal_a_brute_force_model(docs, texts):
     model = BrutePpm([(t or "").encode() for i, t in texts.items() if fixtures.crc(i) % 10], lm_score.ORDER)
-    for chunk_bytes in (3000, 1 << 24):
-        for r in lm_score.score(docs, chunk_bytes=chunk_bytes).collect():
+    for chunk_bytes, fan in ((3000, 64), (3000, 2), (1 << 24, 64)):
+        for r in lm_score.score(docs, chunk_bytes=chunk_bytes, fan=fan).collect():
             assert math.isclose(r.score, model.log10((texts[r.doc_id] or "").encode()), rel_tol=1e-5), r.doc_id
 
 
+def test_one_common_context_meets_in_small_groups(spark, monkeypatch):
+    rng = random.Random(8)
+    # behind each " th" any letter: all chunks ask for the windows of one context
+    have = {i: " ".join("th" + rng.choice("aeiou") + rng.choice("abcdefgh") for _ in range(60)) for i in range(400)}
+    docs = spark.createDataFrame(list(have.items()), "doc_id long, text string")
+    levels = []
+
+    def recorded(df, name):
+        out = staged(df, name)
+        if name == "lm-questions":
+            levels.append(out)
+        return out
+
+    want = {r.doc_id: r for r in lm_score.score(docs, chunk_bytes=4000).collect()}
+    monkeypatch.setattr(lm_score, "staged", recorded)
+    n_chunks, fan = -(-sum(map(len, have.values())) // 4000), 4
+    assert lm_score._widths(n_chunks, fan) == [16, 4, 1]
+    got = {r.doc_id: r for r in lm_score.score(docs, chunk_bytes=4000, fan=fan).collect()}
+    assert got == want and len(levels) == 2
+    for level in levels:
+        met = level.groupBy(F.floor(F.col("chunk") / fan), "bucket").count().toPandas()["count"]
+        assert met.max() <= fan and met.sum() <= fan * n_chunks
+
+
 def test_languages_equal_a_brute_force_model(docs, texts):
     langs = {r[0]: r[2] for r in fixtures.rows()}
     names = sorted({x for x in langs.values() if x})
@@ -621,6 +645,42 @@ def test_local_search_ends_when_no_exchange_is_left():
                 assert not ((gain > max(0, fill[d] - fill[o])) & (gain <= 2048 - fill[o])).any()
 
 
+def test_best_fit_and_search_come_within_one_bin_of_the_optimum():
+    def optimum(sizes, length):
+        # fewest bins over all subsets: (bins, fill of the last one), filled in every order
+        best = {0: (0, length)}
+        for chosen in range(1, 1 << len(sizes)):
+            best[chosen] = min((b, f + s) if f + s <= length else (b + 1, s) for i, s in enumerate(sizes) if chosen >> i & 1 for b, f in [best[chosen ^ (1 << i)]])
+        return best[(1 << len(sizes)) - 1][0]
+
+    rng, met = np.random.default_rng(9), 0
+    for _ in range(150):
+        sizes = rng.integers(10, 70, rng.integers(1, 10))
+        bins = packing.local_search(packing.best_fit(sizes, 100), sizes, 100)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sizes[b].sum() <= 100 for b in bins)
+        least = optimum(sizes.tolist(), 100)
+        assert len(bins) <= least + 1
+        met += len(bins) == least
+    assert met >= 140
+
+
+def test_groupings_end_where_they_free_hardly_any_bin(spark, monkeypatch):
+    rng = random.Random(10)
+    sizes = [rng.randint(300, 799) for _ in range(1500)]
+    rows = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(sizes)], packing.PIECES)
+    rounds = []
+    monkeypatch.setattr(packing, "_pack_groups", lambda *args, of=packing._pack_groups: rounds.append(args[3]) or of(*args))
+    free = packing.pack(rows, group_rows=100).toPandas()
+    assert free["sequence_id"].nunique() <= -(-sum(sizes) // 2048) * 1.05
+    monkeypatch.setattr(packing, "LEAST_FREED", 1.0)
+    rounds.clear()
+    ended = packing.pack(rows, group_rows=100).toPandas()
+    # each series ends after its stalls; what they freed is kept
+    assert len(rounds) <= 1 + 2 * packing.STALLS
+    for out in (free, ended):
+        assert sorted(out["doc_id"]) == list(range(1500)) and out.groupby("sequence_id")["length"].sum().max() <= 2048
+
+
 def test_sequences_hold_the_tokens(docs):
     out = packing.sequences(docs).toPandas()
     assert all(len(r.ids) == 4 * r.n_tokens for r in out.itertuples()) and out["n_tokens"].max() <= 2048
