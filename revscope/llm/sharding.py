@@ -7,7 +7,8 @@ since doc_id is part of the key even one text that fills a third of the table is
 split. Exact byte totals of the ranges then place every record: a record belongs
 to the shard in which the middle of its bytes falls.
 
-Only ranges, never keys of all rows, reach the driver: their number is about
+The sample is sorted and thinned to boundaries in tasks. Only ranges, never keys of
+all rows or of the sample, reach the driver: their number is about
 ``n_rows / rows_per_range`` plus the subdivisions.
 
 Defined results: a null text has size 1 and the checksum of nothing; null ids
@@ -34,23 +35,6 @@ OVERFULL = 3.0
 LOWEST = -(2**63)
 
 
-def _key_sample(keys: DataFrame, per_byte: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys drawn in proportion to their sizes; a key larger than one draw weighs as many draws as it is long."""
-    weight = F.col("size") * F.lit(per_byte)
-    drawn = keys.where(share(F.struct("h", "doc_id", "size"), seed) < weight).select("h", "doc_id", F.greatest(weight, F.lit(1.0)).alias("w")).toPandas()
-    points = np.array(list(zip(drawn["h"], drawn["doc_id"], strict=True)), dtype=[("h", "i8"), ("d", "i8")])
-    order = np.argsort(points, order=("h", "d"))
-    return points[order], drawn["w"].to_numpy()[order]
-
-
-def _quantiles(points: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-    """Up to n - 1 boundaries that cut the sample into parts of equal weight."""
-    if not len(points) or n < 2:
-        return points[:0]
-    at = np.searchsorted(np.cumsum(weights), weights.sum() * np.arange(1, n) / n)
-    return np.unique(points[np.minimum(at, len(points) - 1)])
-
-
 def splitters(keys: DataFrame, n: int, seed: int = 21) -> np.ndarray:
     """About n - 1 boundaries (h, d), as the array's fields, that cut rows (h, d, size) into ranges of near-equal size.
 
@@ -108,18 +92,16 @@ def shard_plan(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text
     keys = staged(keys, "shard-keys")
     total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     n_ranges = max(min_ranges, -(-rows // rows_per_range))
-    sample = keys.select("h", F.col("doc_order").alias("doc_id"), "size")
-    boundaries = _quantiles(*_key_sample(sample, OVERSAMPLE * n_ranges / max(total, 1), 11), n_ranges)
+    by_key = ["h", F.col("doc_order").alias("d"), "size"]
+    boundaries = splitters(keys.select(by_key), n_ranges, 11)
     ranged = _ranged(keys, boundaries)
     fair = total / n_ranges
-    full = {r.part: r.bytes for r in ranged.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).where((F.col("bytes") > OVERFULL * fair) & (F.col("n") > 1)).collect()}
-    if full:
-        # sample the overfull ranges again, denser, and cut each into as many parts as it is too large
-        wide = ranged.where(F.col("part").isin(list(full))).select("h", F.col("doc_order").alias("doc_id"), "size")
-        points, weights = _key_sample(wide, 4 * OVERSAMPLE * n_ranges / max(total, 1), 12)
-        owner = range_of(boundaries, points["h"], points["d"])
-        extra = [_quantiles(points[owner == k], weights[owner == k], int(np.ceil(b / fair)) + 1) for k, b in full.items()]
-        boundaries = np.unique(np.concatenate([boundaries, *extra]))
+    full = ranged.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).where((F.col("bytes") > OVERFULL * fair) & (F.col("n") > 1))
+    too_many = full.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    if too_many:
+        # sample the overfull ranges again and cut them into parts of half a fair size
+        wide = ranged.join(full.select("part"), "part", "left_semi").select(by_key)
+        boundaries = np.unique(np.concatenate([boundaries, splitters(wide, int(np.ceil(2 * too_many / fair)), 12)]))
         ranged = _ranged(keys, boundaries)
     sums = ranged.groupBy("part").agg(F.sum("size").alias("bytes")).toPandas().sort_values("part")
     before = dict(zip(sums["part"].tolist(), (sums["bytes"].cumsum() - sums["bytes"]).tolist(), strict=True))
