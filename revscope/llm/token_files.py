@@ -35,6 +35,7 @@ from revscope.cluster import scratch_dir
 from revscope.llm._common import arrow_map, documents, keyed, slices
 from revscope.llm._tokens import byte_vocabulary, encoder
 from revscope.llm.sharding import range_of, splitters
+from revscope.operators.order import with_running_sums
 
 END_ID = 2
 SLICE = 2 << 20
@@ -219,12 +220,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     Every block is checked against its checksums; a damaged one is an error.
     """
     blocks = spark.read.parquet(path)
-    sizes = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
-    before, starts = 0, []
-    for row in sizes:
-        starts.append((row.part, before))
-        before += row.n
-    joined = blocks.join(spark.createDataFrame(starts or [(0, 0)], "part int, tokens_before long"), "part")
+    sizes = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    # one row a file, summed range by range: the driver sees one row a range
+    starts = with_running_sums(sizes, ["part"], {"tokens_before": "n"}).select("part", "tokens_before")
+    joined = blocks.join(starts, "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, table, slots = None, None, None
