@@ -208,7 +208,7 @@ def tip_ins(f: DataFrame) -> DataFrame:
 
 def tip_in_summary(f: DataFrame, events: DataFrame) -> DataFrame:
     share = lambda a, b: S.half_up(F.coalesce(F.try_divide(a, b), F.lit(0.0)))
-    sums = events.groupBy("log_id").agg(F.count("*").alias("events"), F.count_if(~F.col("cold")).alias("warm_events"), F.count_if("lean").alias("lean_events"), F.count_if(F.col("lean") & ~F.col("cold")).alias("warm_lean"), S.half_up_int(F.avg(F.when(F.col("lean"), F.col("min_o2")))).alias("avg_min_o2"), S.half_up_int(F.avg("dtps")).alias("avg_dtps"))
+    sums = events.groupBy("log_id").agg(F.count("*").alias("events"), F.count_if(~F.col("cold")).alias("warm_events"), F.count_if("lean").alias("lean_events"), F.count_if(F.col("lean") & ~F.col("cold")).alias("warm_lean"), S.half_up_int(F.avg(F.when(F.col("lean"), F.col("min_o2")))).alias("avg_min_o2"), S.half_up_int(S.mean_from_last(F.col("dtps"), F.col("row_idx"))).alias("avg_dtps"))
     full = f.select("log_id").distinct().join(sums, "log_id", "left").fillna(0, ["events", "warm_events", "lean_events", "warm_lean"])
     return full.withColumn("lean_fraction", share(F.col("lean_events"), F.col("events"))).withColumn("warm_lean_fraction", share(F.col("warm_lean"), F.col("warm_events"))).drop("warm_lean")
 

@@ -173,7 +173,7 @@ def _tip_in(f: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tips, tips.groupBy("log_id").agg(
         F.struct(
             F.count("*").alias("events"), F.count_if(warm).alias("warm_events"), F.count_if(lean).alias("lean_events"), _share(F.count_if(lean), F.count("*")).alias("lean_fraction"), _share(F.count_if(lean & warm), F.count_if(warm)).alias("warm_lean_fraction"),
-            S.half_up_int(F.avg(F.when(lean, F.col("min_o2")))).alias("avg_min_o2"), S.half_up_int(F.avg("dtps")).alias("avg_dtps"),
+            S.half_up_int(F.avg(F.when(lean, F.col("min_o2")))).alias("avg_min_o2"), S.half_up_int(S.mean_from_last(F.col("dtps"), F.col("row_idx"))).alias("avg_dtps"),
         ).alias("tip_in")
     )
 
