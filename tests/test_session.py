@@ -90,3 +90,12 @@ def test_coverage_gaps_and_steps(spark):
     good = [{"rpm": 900.0, "tps": 1.0, "map": 35.0, "vss": 0.0}] * 150 + [{"rpm": 1500.0 + 500 * (i // 60)} for i in range(600)] + [{"tps": 90.0, "map": 97.0, "rpm": 1500.0 + 500 * (i // 30)} for i in range(240)]
     fine = Z.coverage(Z.coverage_figures(Z.prepared(table(spark, good)))).first()
     assert fine.verdict == "excellent" and fine.steps == [] and fine.score >= 85
+
+
+def test_details_make_a_report_once(spark, log):
+    reports = Z.session_report(table(spark, log), 900.0)
+    rows = Z.details(reports)
+    assert [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema] == ["log_id bigint", "list string", "nth bigint", "row_idx bigint", "label string", "value double"]
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert 0 < scans(rows) <= scans(reports)
+    assert {r.list for r in rows.select("list").distinct().collect()} >= {"tip_in", "fuel", "o2"}
