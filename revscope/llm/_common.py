@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,11 +13,14 @@ from pyspark.sql.types import StructType
 
 from revscope.cluster import ship_package, staged
 
-__all__ = ["arrow_map", "bitmap_split", "bytes_of", "documents", "grouped", "hash_words", "keyed", "mix64", "share", "slices", "staged", "table_bytes"]
+__all__ = ["arrow_map", "bitmap_split", "bound_batches", "bytes_of", "documents", "grouped", "hash_words", "keyed", "mix64", "share", "slices", "small_batches", "staged", "table_bytes"]
 
 #: Multiplier of the polynomial hash of a word's bytes: any odd number serves, and it must stay fixed between tasks.
 _R = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
+#: Bytes of a batch of rows that a task hands to Python or takes from it: batches lie outside the heap on both sides, about twice over.
+BATCH_BYTES = 4 << 20
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +42,24 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on rows pass between Spark and Python in batches of ``BATCH_BYTES`` at most in this session."""
+    number = spark.conf.get(ARROW_BYTES).rstrip("bB")
+    if not number.isdigit() or int(number) > BATCH_BYTES:
+        spark.conf.set(ARROW_BYTES, f"{BATCH_BYTES}b")
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """``bound_batches`` for what is run inside; the session's own bound comes back."""
+    before = spark.conf.get(ARROW_BYTES)
+    bound_batches(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_BYTES, before)
+
+
 def bitmap_split(df: DataFrame, ids: DataFrame, key: str, bits: int = 1 << 23) -> tuple[DataFrame, DataFrame]:
     """Rows whose ``key`` may be in ``ids``, and rows whose key is certainly not.
 

@@ -43,11 +43,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revscope.llm._common import arrow_map, bitmap_split, documents, grouped, hash_words, keyed, mix64, slices, staged, table_bytes
+from revscope.llm._common import arrow_map, bitmap_split, documents, grouped, hash_words, keyed, mix64, slices, small_batches, staged, table_bytes
 from revscope.llm.suffix_dedup import run_hashes
 
 WORDS = 5
-SLICE = 1 << 20
+#: Bytes of text hashed at a time; numpy holds about 60 bytes for each.
+SLICE = 1 << 18
 #: Points of a tile of a block, and shingles of a tile of a candidate group.
 TILE_POINTS = 512
 TILE_SHINGLES = 100_000
@@ -64,7 +65,6 @@ UNMARKED = 7 / 8
 GATHER = 4 << 20
 LOWEST = -(2**63)
 
-
 def linked(overlap: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
     """100 * intersection >= 75 * union, for set sizes a and b."""
     return 7 * overlap >= 3 * (a + b)
@@ -200,6 +200,16 @@ def spanning_forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> li
     return edges
 
 
+def repeats(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values that stand more than once, and how often. Sorts ``values`` in place, so that next to them only a byte for each is held."""
+    values.sort()
+    edge = np.zeros(len(values) + 1, np.int8)
+    edge[1:-1] = values[1:] == values[:-1]
+    steps = np.diff(edge)
+    first, last = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+    return values[first], last - first + 1
+
+
 def _frequent(docs: DataFrame) -> np.ndarray:
     """A bitmap over the places of the shingles that repeat most, ``PLACES`` bits whatever the input.
 
@@ -208,19 +218,23 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        room, filled = np.empty(GATHER, np.uint64), 0
 
         def repeated() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys[counts > 1].view(np.int64)), pa.array(counts[counts > 1])], names=["key", "n"])
+            keys, counts = repeats(room[:filled])
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
 
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
-                held += shingle_sets(batch)
-                if sum(map(len, held)) > GATHER:
-                    yield repeated()
-        if held:
+                for s in shingle_sets(batch):
+                    if filled and filled + len(s) > len(room):
+                        yield repeated()
+                        filled = 0
+                    if len(s) > len(room):
+                        room = np.empty(len(s), np.uint64)
+                    room[filled : filled + len(s)] = s
+                    filled += len(s)
+        if filled:
             yield repeated()
 
     counts = staged(arrow_map(docs.select("doc_id", "text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "shingle-counts")
@@ -419,6 +433,12 @@ def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame
 
 
 def _components(docs: DataFrame) -> DataFrame:
+    """``_components_in_batches`` with little memory beside the heap. All that runs Python is staged, so nothing of it is left to run later."""
+    with small_batches(docs.sparkSession):
+        return _components_in_batches(docs)
+
+
+def _components_in_batches(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, doc_order, text_key, text): doc_id, text_key, row (its number), n, group, component (the smallest doc_id of the group), known (it has a copy or a link)."""
     sets = staged(_describe(docs, _frequent(docs)).withColumns({"doc_order": F.coalesce("doc_id", F.lit(LOWEST)), "row": F.monotonically_increasing_id()}), "shingle-sets")
     filled = sets.where("n > 0")
