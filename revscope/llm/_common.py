@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from revscope.cluster import ship_package, staged
 
-__all__ = ["arrow_map", "bitmap_split", "bound_batches", "bytes_of", "documents", "grouped", "hash_words", "keyed", "mix64", "share", "slices", "small_batches", "staged", "table_bytes"]
+__all__ = ["arrow_map", "bitmap_split", "bound_batches", "bytes_of", "documents", "grouped", "hash_words", "keyed", "mix64", "release", "released", "released_pair", "share", "slices", "small_batches", "staged", "table_bytes"]
 
 #: Multiplier of the polynomial hash of a word's bytes: any odd number serves, and it must stay fixed between tasks.
 _R = 0x9E3779B97F4A7C15
@@ -38,8 +39,45 @@ def share(column: Column, seed: int) -> Column:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Memory that a worker has freed goes back to the system: workers outlive their tasks, and what an idle one keeps counts beside the heap of its executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(fn: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function of groups that leaves no freed memory in its worker."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return fn(table)
+        finally:
+            release()
+
+    return run
+
+
+def released_pair(fn: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """``released`` for functions of two groups; Spark goes by the number of arguments."""
+
+    def run(table: pa.Table, other: pa.Table) -> pa.Table:
+        try:
+            return fn(table, other)
+        finally:
+            release()
+
+    return run
 
 
 def bound_batches(spark: SparkSession) -> None:

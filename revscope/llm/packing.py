@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revscope.cluster import ship_package
-from revscope.llm._common import arrow_map, documents, keyed, slices, staged
+from revscope.llm._common import arrow_map, documents, keyed, released, slices, staged
 from revscope.llm._tokens import byte_vocabulary, encoder
 
 LENGTH = 2048
@@ -228,7 +228,7 @@ def _pack_groups(rows: DataFrame, length: int, n_groups: int, round_no: int) ->
         return table.drop_columns(["part"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).append_column("fill", pa.array(fill))
 
     keys = F.xxhash64("row", F.lit(round_no))
-    return rows.withColumn("part", F.pmod(keys, F.lit(n_groups))).groupBy("part").applyInArrow(run, f"row long, {PIECES}, sequence_id long, offset long, fill long")
+    return rows.withColumn("part", F.pmod(keys, F.lit(n_groups))).groupBy("part").applyInArrow(released(run), f"row long, {PIECES}, sequence_id long, offset long, fill long")
 
 
 def pack(rows: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS) -> DataFrame:

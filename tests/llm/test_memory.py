@@ -38,3 +38,31 @@ def test_python_gets_small_batches_and_the_session_keeps_its_own(spark, monkeypa
     before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
     got = {r.doc_id: r.component_id for r in jaccard.components_of(docs).collect()}
     assert got == {k: k if k < 400 else k - 400 for k in range(450)} and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_workers_give_back_what_they_freed(spark):
+    def held(batches):
+        import re
+        from pathlib import Path
+
+        import pyarrow as pa
+
+        for _ in batches:
+            now = int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()).group(1))
+            yield pa.RecordBatch.from_arrays([pa.array([now])], names=["kb"])
+
+    def filled(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            # small pieces, each with its neighbour still in use, so that the allocator keeps them
+            pieces = [bytes(40_000) for _ in range(8000)]
+            last = pieces[-1]
+            del pieces
+            yield pa.RecordBatch.from_arrays([pa.array([len(last)])], names=["kb"])
+            del last
+
+    one = spark.range(1).coalesce(1)
+    before = _common.arrow_map(one, held, "kb long").first().kb
+    _common.arrow_map(one, filled, "kb long").collect()
+    assert _common.arrow_map(one, held, "kb long").first().kb < before + 60_000
