@@ -39,8 +39,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revscope.cluster import ship_package
-from revscope.llm._common import documents, hash_words, keyed, mix64, slices, staged, table_bytes
-from revscope.llm.ppm import Model, gram_counts, level_tables, merged, model_of, windows
+from revscope.llm._common import bound_batches, documents, hash_words, keyed, mix64, release, released, released_pair, slices, staged, table_bytes
+from revscope.llm.ppm import Model, gathered, gram_counts, joined, level_tables, merged, model_of, windows
 
 ORDER = 5
 #: Strings of up to so many bytes are broadcast, longer ones are asked for.
@@ -100,8 +100,8 @@ def _chunk_counts(table: pa.Table, order: int) -> tuple[tuple[np.ndarray, np.nda
         texts = batch.column(batch.schema.get_field_index("text"))
         trains = ~batch.column(batch.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False)
         for part, (keys, firsts) in zip(parts, (_words(texts), windows(*table_bytes(texts), order)), strict=True):
-            part.append(merged(keys, np.repeat(trains, np.diff(firsts)).astype(np.int64)))
-    words, grams = (merged(*(np.concatenate(x) for x in zip(*part, strict=True))) for part in parts)
+            gathered(part, merged(keys, np.repeat(trains, np.diff(firsts)).astype(np.int64)))
+    words, grams = map(joined, parts)
     return words, grams
 
 
@@ -135,6 +135,7 @@ def _asked(chunk: int, words: np.ndarray, word_counts: np.ndarray, grams: np.nda
 def questions(table: pa.Table, order: int, n_buckets: int, width: int) -> pa.Table:
     """What a chunk asks of each bucket."""
     words, grams = _chunk_counts(table, order)
+    release()
     return _asked(table.column("chunk")[0].as_py(), *words, *grams, n_buckets, width)
 
 
@@ -215,17 +216,19 @@ def _answers(asked: DataFrame, shared: Broadcast, order: int, n_chunks: int, fan
     for width in widths[1:]:
         levels[-1] = staged(levels[-1], "lm-questions")
         meet = levels[-1].withColumn("group", F.floor(F.col("chunk") / fan))
-        levels.append(meet.groupBy("group", "bucket").applyInArrow(sums_at(width), QUESTIONS))
-    last = answered = staged(levels[-1].groupBy("bucket").applyInArrow(lambda table: answers(table, shared.value, order), ANSWERS), "lm-answers")
+        levels.append(meet.groupBy("group", "bucket").applyInArrow(released(sums_at(width)), QUESTIONS))
+    last = answered = staged(levels[-1].groupBy("bucket").applyInArrow(released(lambda table: answers(table, shared.value, order)), ANSWERS), "lm-answers")
     for level, width in zip(levels[-2::-1], widths[:0:-1], strict=True):
         meet = level.withColumns({"group": F.floor(F.col("chunk") / fan), "wide": F.col("bucket").cast("long")})
         given = answered.withColumns({"group": F.col("chunk").cast("long"), "wide": F.floor(F.col("bucket") / fan)})
-        answered = meet.groupBy("group", "wide").cogroup(given.groupBy("group", "wide")).applyInArrow(answers_at(width), ANSWERS)
+        answered = meet.groupBy("group", "wide").cogroup(given.groupBy("group", "wide")).applyInArrow(released_pair(answers_at(width)), ANSWERS)
     return answered, last
 
 
 def score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, fan: int = FAN) -> DataFrame:
     ship_package(docs.sparkSession)
+    # what is returned runs later, so the bound stays in the session
+    bound_batches(docs.sparkSession)
     rows = keyed(docs, id_col, text_col).withColumn("held_out", held_out())
     n_bytes, n_train = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum((~F.col("held_out")).cast("long")), F.lit(0))).first()
     n_chunks = max(1, -(-n_bytes // chunk_bytes))
@@ -238,7 +241,7 @@ def score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col:
 
     # a bucket holds about as many windows as a chunk, so there are as many of them
     width = _widths(n_chunks, fan)[0]
-    asked = chunked.groupBy("chunk").applyInArrow(lambda table: questions(table, order, n_chunks, width), QUESTIONS)
+    asked = chunked.groupBy("chunk").applyInArrow(released(lambda table: questions(table, order, n_chunks, width)), QUESTIONS)
     answered, last = _answers(asked, shared, order, n_chunks, fan)
     known = last.agg(F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("n_types"), F.lit(0))).first()
     n_all, n_types = known[0] + n_train, known[1] + (1 if n_train else 0)
@@ -248,14 +251,15 @@ def score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col:
             return pa.table({n: pa.array([], t) for n, t in zip(["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()], strict=True)})
         # words are in the order of buckets as they are; windows are brought back from it
         counts, logs = _received(given)
-        parts = []
+        parts, asked_for = [], []
         for batch in _pieces(table):
             texts = batch.column(batch.schema.get_field_index("text"))
             packed, starts = windows(*table_bytes(texts), order)
             unique, at = np.unique(packed, return_inverse=True)
+            gathered(asked_for, (unique, np.zeros(len(unique), np.int8)))
             parts.append((batch, *_words(texts), unique, at.astype(np.int32), starts))
         keys = np.unique(np.concatenate([p[1] for p in parts]))
-        grams = np.unique(np.concatenate([p[3] for p in parts]))
+        grams = joined(asked_for)[0]
         values = np.zeros(len(grams))
         values[_by_bucket(grams, n_chunks, width)[0]] = logs
         base = np.log10((counts + 0.1) / (n_all + 0.1 * (n_types + 1)))
@@ -279,7 +283,7 @@ def score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col:
             )
         return pa.concat_tables(out)
 
-    return chunked.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(evaluate, SCORES)
+    return chunked.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(released_pair(evaluate), SCORES)
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,24 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return unique, np.bincount(at, weights=counts, minlength=len(unique)).astype(np.int64)
 
 
+def joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of all parts with their summed counts, as ``merged`` gives them, with less memory: the parts are sorted as they are and need only be merged."""
+    keys, counts = (np.concatenate([p[k] for p in parts]) for k in range(2))
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    del order
+    heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return keys[heads], np.add.reduceat(counts, heads) if len(heads) else counts
+
+
+def gathered(parts: list[tuple[np.ndarray, np.ndarray]], part: tuple[np.ndarray, np.ndarray]) -> None:
+    """Add a part to ``parts``, which are joined as they grow alike: so about twice the distinct keys are held and not those of each part."""
+    parts.append(part)
+    while len(parts) > 1 and 2 * len(parts[-1][0]) >= len(parts[-2][0]):
+        last = parts.pop()
+        parts[-1] = joined([parts[-1], last])
+
+
 def level_tables(grams: np.ndarray, counts: np.ndarray, k: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """The strings of k + 1 bytes that end windows with these counts, and their contexts of k bytes."""
     strings, n = merged(grams & np.uint64((1 << (8 * (k + 1))) - 1), counts)

@@ -40,6 +40,22 @@ def test_python_gets_small_batches_and_the_session_keeps_its_own(spark, monkeypa
     assert got == {k: k if k < 400 else k - 400 for k in range(450)} and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
 
 
+def test_parts_that_are_joined_as_they_come_hold_distinct_keys_only():
+    from revscope.llm import ppm
+
+    r = np.random.default_rng(2)
+    parts, given = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], []
+    for _ in range(40):
+        part = ppm.merged(r.integers(0, 5000, 20000).astype(np.uint64), r.integers(0, 2, 20000))
+        given.append(part)
+        ppm.gathered(parts, part)
+        assert sum(len(p[0]) for p in parts) <= 2 * 5000
+    want = ppm.merged(*(np.concatenate(x) for x in zip(*given, strict=True)))
+    got = ppm.joined(parts)
+    assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+    assert [len(x) for x in ppm.joined(parts[:0] + [(np.zeros(0, np.uint64), np.zeros(0, np.int64))])] == [0, 0]
+
+
 def test_workers_give_back_what_they_freed(spark):
     def held(batches):
         import re
