@@ -8,7 +8,8 @@ from; a patched image carries them too, so that one plan patches for all logs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -269,15 +270,38 @@ def smoothed(targets: DataFrame, n_rows: int, n_cols: int, rings: tuple[tuple[in
     return out.unionByName(free)
 
 
+class Layers(NamedTuple):
+    """Images of sessions: ``first`` (image_id, offset, byte) as all begin, and ``written`` (KEYS, offset, byte, rank), of which the highest rank of a byte holds."""
+
+    first: DataFrame
+    written: DataFrame | None
+
+
+def _session_cells(images: DataFrame | Layers, tables: DataFrame, changes: DataFrame, on: Sequence[str] = ()) -> DataFrame:
+    """Each cell for each change (KEYS and what it says) of its image, or of its place ``on`` too; of layers as the last writer left it."""
+    cells = read_tables(images.first if isinstance(images, Layers) else images, tables)
+    joined = cells.join(changes, [*(c for c in KEYS if c in cells.columns), *on])
+    if not isinstance(images, Layers) or images.written is None:
+        return joined
+    # only bytes of these tables are met; where no stage before wrote any, nothing is
+    last = within(images.written, tables).groupBy(*KEYS, "offset").agg(F.max_by("byte", "rank").alias("new"))
+    place, raw, wide = [*KEYS, "title", "row", "col"], F.col("raw"), F.col("size") == 2
+    high = wide & (F.col("k") == 0)
+    spread = joined.select(*place, "address", "size", "raw", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("k")).distinct()
+    met = spread.withColumn("offset", F.col("address") + F.col("k")).join(last, [*KEYS, "offset"])
+    step = (F.col("new") - F.when(high, F.floor(raw / 256)).when(wide, raw % 256).otherwise(raw)) * F.when(high, 256).otherwise(1)
+    moved = met.groupBy(*place).agg(F.sum(step).alias("_step"))
+    now = joined.join(moved, place, "left").withColumn("raw", raw + F.coalesce("_step", F.lit(0))).drop("_step")
+    return now.withColumn("value", S.half_up(S.decoded(F.col("raw"), F.col("equation")), 4))
+
+
 PATCH = [*KEYS, "title", "row", "col", "address", "size", "old_value", "new_value", "delta", "smoothed"]
 
 
-def _patches(cells: DataFrame, deltas: DataFrame, new: Column) -> DataFrame:
-    """Cells meet the deltas of their image; cells of patched images those of their log and mode too."""
+def _patches(joined: DataFrame, new: Column) -> DataFrame:
+    """Patches of cells that stand beside their deltas."""
     top = F.when(F.col("size") == 2, 65535).otherwise(255)
     value = F.greatest(F.lit(0), F.least(top, S.half_up_int(new)))
-    own = [c for c in KEYS if c in cells.columns]
-    joined = cells.join(deltas, [*own, "row", "col"])
     return joined.select(*KEYS, "title", "row", "col", "address", "size", F.col("raw").alias("old_value"), value.cast("long").alias("new_value"), S.half_up(F.col("delta")).alias("delta"), "smoothed").where("old_value <> new_value")
 
 
@@ -290,26 +314,20 @@ def fuel_targets(suggestions: DataFrame, rpm_axis: list[float], map_axis: list[f
     return hits.groupBy(*KEYS, "row", "col").agg(F.max_by("delta_pct", F.struct(F.abs("avg_trim"), -F.col("first_row"))).alias("delta"))
 
 
-def apply_fuel(images: DataFrame, tables: DataFrame, suggestions: DataFrame, title: str = "Main VE") -> DataFrame:
-    cells = read_tables(images, tables.where(F.col("title") == title))
-    return _patches(cells, smoothed(fuel_targets(suggestions.where(F.col("table_name") == title), RPM17, MAP13), 17, 13), F.col("raw") * (1 + F.col("delta") / 100))
+def apply_fuel(images: DataFrame | Layers, tables: DataFrame, suggestions: DataFrame, title: str = "Main VE") -> DataFrame:
+    deltas = smoothed(fuel_targets(suggestions.where(F.col("table_name") == title), RPM17, MAP13), 17, 13)
+    return _patches(_session_cells(images, tables.where(F.col("title") == title), deltas, ["row", "col"]), F.col("raw") * (1 + F.col("delta") / 100))
 
 
-def apply_spark(images: DataFrame, tables: DataFrame, suggestions: DataFrame) -> DataFrame:
-    cells = read_tables(images, tables.where("title = 'Spark Advance'"))
+def apply_spark(images: DataFrame | Layers, tables: DataFrame, suggestions: DataFrame) -> DataFrame:
     targets = suggestions.where("action <> 'none'").groupBy(*KEYS, "row", "col").agg(F.min("delta_deg").alias("delta"))
     step = S.half_up_int(F.col("delta") * S.raw_per_unit(F.col("equation")))
-    return _patches(cells, smoothed(targets, 17, 17, ((1, 0.5),)), F.col("raw") + step)
-
-
-def _for_sessions(cells: DataFrame, changes: DataFrame) -> DataFrame:
-    """Each cell for each change (KEYS and what it says) of its image."""
-    return cells.join(changes, [c for c in KEYS if c in cells.columns])
+    return _patches(_session_cells(images, tables.where("title = 'Spark Advance'"), smoothed(targets, 17, 17, ((1, 0.5),)), ["row", "col"]), F.col("raw") + step)
 
 
-def apply_scale(images: DataFrame, tables: DataFrame, titles: list[str], changes: DataFrame, floor: int = 0) -> DataFrame:
+def apply_scale(images: DataFrame | Layers, tables: DataFrame, titles: list[str], changes: DataFrame, floor: int = 0) -> DataFrame:
     """Scale whole tables by the percentages of ``changes`` (KEYS, percent), raw values not below a floor unless they were."""
-    cells = _for_sessions(read_tables(images, tables.where(F.col("title").isin(titles))), changes)
+    cells = _session_cells(images, tables.where(F.col("title").isin(titles)), changes)
     top = F.when(F.col("size") == 2, 65535).otherwise(255)
     value = F.least(top, F.greatest(F.least(F.col("raw"), F.lit(floor)), S.half_up_int(F.col("raw") * (1 + F.col("percent") / 100))))
     return cells.select(*KEYS, "title", "row", "col", "address", "size", F.col("raw").alias("old_value"), value.cast("long").alias("new_value"), S.half_up(F.col("percent")).alias("delta"), F.lit(False).alias("smoothed")).where("old_value <> new_value")
@@ -318,9 +336,9 @@ def apply_scale(images: DataFrame, tables: DataFrame, titles: list[str], changes
 TRANS_CHANGES = ["firm_pct", "firm_mph", "kick_pct", "kick_mph", "hunt_pct", "hunt_tps", "hunt_pair"]
 
 
-def apply_transmission(images: DataFrame, tables: DataFrame, changes: DataFrame) -> DataFrame:
+def apply_transmission(images: DataFrame | Layers, tables: DataFrame, changes: DataFrame) -> DataFrame:
     """``changes``: KEYS and percentages with the speeds, the throttle and the pair of gears (as '3-4') around which they hold; a NULL makes no patch."""
-    cells = _for_sessions(read_tables(images, tables.where("title like 'Line Pressure%' or title like 'Normal %'")), changes)
+    cells = _session_cells(images, tables.where("title like 'Line Pressure%' or title like 'Normal %'"), changes)
     old, parts = F.col("raw"), []
 
     def patch(rows: DataFrame, new: Column, percent: Column) -> None:
@@ -366,16 +384,17 @@ def within(images: DataFrame, tables: DataFrame) -> DataFrame:
     return images.join(F.broadcast(covered), "offset", "left_semi")
 
 
-def chained(images: DataFrame, tables: DataFrame, sessions: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
+def chained(images: DataFrame, tables: DataFrame, sessions: DataFrame, stages: list[tuple[str, Callable[[Layers], DataFrame]]]) -> DataFrame:
     """The patches of all stages (name, function of the images so far), each on top of the images that the stage before left.
 
-    The bytes that tables cover are staged between stages, one set for each session.
+    A session's image is the first one and the bytes that its patches wrote, so what is kept between stages is the patches alone.
     """
-    current, out = within(images, tables).join(sessions, "image_id").select(*KEYS, "offset", "byte"), None
-    for name, stage in stages:
-        current = staged(current, f"images-before-{name}")
-        patches = staged(stage(current).withColumn("stage", F.lit(name)), f"patches-{name}")
-        current = patched(current, patches)
+    sessions = staged(sessions.select(*KEYS).distinct(), "sessions")
+    current, out = Layers(within(images, tables), None), None
+    for nth, (name, stage) in enumerate(stages):
+        patches = staged(stage(current).withColumn("stage", F.lit(name)).join(sessions, KEYS, "left_semi"), f"patches-{name}")
+        bytes_ = patch_bytes(patches).select(*KEYS, "offset", "byte", F.struct(F.lit(nth).alias("nth"), "address").alias("rank"))
+        current = Layers(current.first, bytes_ if current.written is None else current.written.unionByName(bytes_))
         out = patches if out is None else out.unionByName(patches)
     return out
 

@@ -243,3 +243,17 @@ def test_query_equals_sql(spark, name):
 
 def test_every_query_has_sql_and_every_sql_a_query():
     assert catalog.queries().keys() == catalog.oracle_sql().keys()
+
+
+def test_stages_keep_patches_and_no_images_of_sessions(spark, monkeypatch):
+    tables = I.catalog(spark).where("title = 'Main VE'")
+    sessions = spark.createDataFrame([("a", k, "x") for k in range(20)], SESSION)
+    change = sessions.where("log_id = 0").withColumn("percent", F.lit(10.0))
+    rows, staged = [], I.staged
+    monkeypatch.setattr(I, "staged", lambda df, name: rows.append((out := staged(df, name)).count()) or out)
+    steps = [(n, lambda now: I.apply_scale(now, tables, ["Main VE"], change)) for n in ("first", "second")]
+    out = I.chained(I.formula_image(spark, "a"), tables, sessions, steps).collect()
+    first, second = ({r.address: r for r in out if r.stage == n} for n in ("first", "second"))
+    # words of two bytes are read as the stage before left them
+    assert len(first) > 100 and all(second[k].old_value == first[k].new_value for k in first.keys() & second.keys())
+    assert max(rows) <= 17 * 13
