@@ -68,15 +68,16 @@ def test_workers_give_back_what_they_freed(spark):
             yield pa.RecordBatch.from_arrays([pa.array([now])], names=["kb"])
 
     def filled(batches):
+        import builtins
+
         import pyarrow as pa
 
         for _ in batches:
-            # small pieces, each with its neighbour still in use, so that the allocator keeps them
-            pieces = [bytes(40_000) for _ in range(8000)]
-            last = pieces[-1]
+            # small pieces below one that stays, so that the allocator keeps them
+            pieces = [b"x" * 40_000 for _ in range(8000)]
+            builtins.kept_piece = pieces[-1]
             del pieces
-            yield pa.RecordBatch.from_arrays([pa.array([len(last)])], names=["kb"])
-            del last
+            yield pa.RecordBatch.from_arrays([pa.array([0])], names=["kb"])
 
     one = spark.range(1).coalesce(1)
     before = _common.arrow_map(one, held, "kb long").first().kb
