@@ -23,8 +23,8 @@ def gears(f: DataFrame) -> DataFrame:
     extra = ["tcc"] if "tcc" in f.columns else []
     rows = X.with_gears(f).select("log_id", "row_idx", "rpm", "tps", "vss", "mph", "ratio", *extra, F.coalesce("near_gear", F.lit(0)).alias("gear"), F.col("ratio").isNotNull().alias("valid"))
 
-    def fold(log: pd.DataFrame) -> pd.DataFrame:
-        return log.assign(gear=folds.debounced_gears(log["valid"].to_numpy(), log["gear"].to_numpy())).drop(columns="valid")
+    def fold(logs: pd.DataFrame) -> pd.DataFrame:
+        return logs.assign(gear=folds.each_log(logs, folds.debounced_gears, "valid", "gear")).drop(columns="valid")
 
     schema = ", ".join([GEAR_ROWS, *(f"{c} {f.schema[c].dataType.simpleString()}" for c in extra), "gear int"])
     return folds.per_log(rows, fold, schema)
@@ -41,24 +41,24 @@ def shifts(g: DataFrame) -> DataFrame:
     return folds.keep_spaced(named, 15)
 
 
-def _frame_median(first: int, last: int) -> tuple:
-    values = F.collect_list("ratio").over(ORDER().rowsBetween(first, last))
-    return S.upper_median(values), F.size(values)
+def _frame(first: int, last: int) -> Column:
+    """The ratios of a span of rows back from each, as an array; by offsets, as lists that slide are filled anew for every row."""
+    return F.array(*(F.lag("ratio", back).over(ORDER()) if back else F.col("ratio") for back in range(first, last - 1, -1)))
 
 
 def converter_events(g: DataFrame) -> DataFrame:
     """Lock and unlock of the converter: a step of the ratio inside a constant high gear."""
-    before, n_before = _frame_median(-16, -9)
-    after, n_after = _frame_median(-8, 0)
-    rows = g.withColumn("before", before).withColumn("n_before", n_before).withColumn("after", after).withColumn("n_after", n_after).withColumn("gear_before", F.lag("gear", 16).over(ORDER()))
-    step = (F.col("before") - F.col("after")) / F.col("before")
+    rows = g.withColumns({"before": _frame(16, 9), "after": _frame(8, 0), "gear_before": F.lag("gear", 16).over(ORDER())})
+    rows = rows.withColumns({f"n_{side}": F.size(F.array_compact(side)) for side in ("before", "after")})
+    before, after = (S.upper_median(F.array_compact(side)) for side in ("before", "after"))
+    step = (before - after) / before
     kind = F.when(step > 0.06, "apply").when(step < -0.06, "release")
     hits = rows.where(
         (F.col("gear") >= 3) & (F.col("gear") == F.col("gear_before")) & (F.col("tps").isNull() | (F.col("tps") <= 45)) & (F.col("mph") >= 30) & (F.col("n_before") >= 5) & (F.col("n_after") >= 5)
     ).select("log_id", "row_idx", kind.alias("type"), "gear")
 
-    def fold(log: pd.DataFrame) -> pd.DataFrame:
-        return log[folds.alternating(log["row_idx"].to_numpy(), log["type"].to_numpy(), 40)]
+    def fold(logs: pd.DataFrame) -> pd.DataFrame:
+        return logs[folds.each_log(logs, lambda at, kinds: folds.alternating(at, kinds, 40), "row_idx", "type")]
 
     return folds.per_log(hits.where("type is not null"), fold, "log_id long, row_idx long, type string, gear int")
 
@@ -85,12 +85,12 @@ def channel_converter_events(g: DataFrame, name: str = "tcc") -> DataFrame:
 
 def best_converter_events(g: DataFrame, name: str = "tcc") -> DataFrame:
     """The channel's events of logs that carry it, the inferred ones of all others; ``source`` says which."""
-    inferred = converter_events(g).withColumn("source", F.lit("inferred"))
     if name not in g.columns:
-        return inferred
+        return converter_events(g).withColumn("source", F.lit("inferred"))
     stated = channel_locked(g, name)
     believed = g.groupBy("log_id").agg(F.count(stated).alias("seen")).where(F.col("seen") >= CHANNEL_ROWS).select("log_id")
-    return inferred.join(believed, "log_id", "left_anti").unionByName(channel_converter_events(g, name).withColumn("source", F.lit("channel")))
+    inferred = converter_events(g.join(believed, "log_id", "left_anti")).withColumn("source", F.lit("inferred"))
+    return inferred.unionByName(channel_converter_events(g, name).withColumn("source", F.lit("channel")))
 
 
 def converter_cycles(events: DataFrame) -> DataFrame:
@@ -116,11 +116,12 @@ def kickdowns(f: DataFrame, s: DataFrame) -> DataFrame:
 def hunting(s: DataFrame) -> DataFrame:
     """Episodes of shuffling between one pair of gears."""
 
-    def fold(log: pd.DataFrame) -> pd.DataFrame:
-        a, b = log["from_gear"].to_numpy(), log["to_gear"].to_numpy()
-        found = folds.hunting_episodes(log["row_idx"].to_numpy(), np.minimum(a, b), np.maximum(a, b), b > a, log["tps"].to_numpy(dtype=float, na_value=np.nan))
+    def fold(logs: pd.DataFrame) -> pd.DataFrame:
+        a, b = logs["from_gear"].to_numpy(), logs["to_gear"].to_numpy()
+        arrays = (logs["row_idx"].to_numpy(), np.minimum(a, b), np.maximum(a, b), b > a, logs["tps"].to_numpy(dtype=float, na_value=np.nan))
+        found = [(begin + i, n) for begin, end in folds.log_spans(logs) for i, n in folds.hunting_episodes(*(x[begin:end] for x in arrays))]
         at = [i for i, _ in found]
-        return log.iloc[at][["log_id", "row_idx", "from_gear", "to_gear", "mph", "tps"]].assign(reversals=[n + 1 for _, n in found])
+        return logs.iloc[at][["log_id", "row_idx", "from_gear", "to_gear", "mph", "tps"]].assign(reversals=[n + 1 for _, n in found])
 
     return folds.per_log(s, fold, "log_id long, row_idx long, from_gear int, to_gear int, mph double, tps double, reversals int")
 

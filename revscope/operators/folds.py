@@ -1,12 +1,13 @@
 """State machines that no window expresses: their state depends on what they accepted before.
 
-Each is a plain function over the ordered arrays of one log, applied per log in
-Arrow batches. All but the gear machine see only candidate rows.
+Each is a plain function over the ordered arrays of one log, applied to batches of
+whole logs. All but the gear machine see only candidate rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -93,12 +94,53 @@ def hunting_episodes(rows: np.ndarray, low: np.ndarray, high: np.ndarray, up: np
     return out
 
 
+def log_spans(rows: pd.DataFrame) -> Iterator[tuple[int, int]]:
+    """Begin and end of each log in rows that stand log by log."""
+    ids = rows["log_id"].to_numpy()
+    new = (ids[1:] != ids[:-1]) & ~(pd.isna(ids[1:]) & pd.isna(ids[:-1]))
+    return pairwise([0, *(np.flatnonzero(new) + 1).tolist(), len(ids)]) if len(ids) else iter(())
+
+
+def each_log(rows: pd.DataFrame, fold: Callable[..., np.ndarray], *columns: str) -> np.ndarray:
+    """What a fold over arrays says of each row, every log on its own."""
+    arrays = [rows[c].to_numpy() for c in columns]
+    said = [fold(*(a[begin:end] for a in arrays)) for begin, end in log_spans(rows)]
+    return np.concatenate(said) if said else np.zeros(0, bool)
+
+
+def whole_logs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows that come log by log as frames of whole logs: the last log of a batch waits for the rest of it."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        *_, (last, _) = log_spans(batch)
+        before, first = held[-1]["log_id"].iat[-1] if held else None, batch["log_id"].iat[0]
+        if held and before != first and not (pd.isna(before) and pd.isna(first)):
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        if last:
+            yield pd.concat([*held, batch.iloc[:last]], ignore_index=True)
+            held = []
+        held.append(batch.iloc[last:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def per_log(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Apply a fold to each log's rows in order."""
+    """Apply a fold to the rows of whole logs in order.
+
+    ``fn`` gets many logs at a time, as a call for each log alone costs more than the fold of
+    its rows; it keeps them apart with ``each_log`` or ``log_spans``.
+    """
     ship_package(df.sparkSession)
-    return df.groupBy("log_id").applyInPandas(lambda rows: fn(rows.sort_values("row_idx", kind="stable")), schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return map(fn, whole_logs(batches))
+
+    return df.repartition("log_id").sortWithinPartitions("log_id", "row_idx").mapInPandas(run, schema)
 
 
 def keep_spaced(df: DataFrame, gap: int) -> DataFrame:
     schema = df.schema.simpleString()[7:-1].replace(":", " ")
-    return per_log(df, lambda rows: rows[spaced(rows["row_idx"].to_numpy(), gap)], schema)
+    return per_log(df, lambda rows: rows[each_log(rows, lambda at: spaced(at, gap), "row_idx")], schema)

@@ -32,37 +32,56 @@ STAGES = {"segments": 5, "features": 12, "fuel": 22, "knock": 32, "lambda": 40,
 #: How many rows of each list a report keeps.
 LIMITS = {"tip_in": 25, "shift": 30, "flared": 10, "converter": 20, "kickdown": 15, "hunting": 5, "shift_time": 10}
 BANKS = (1, 2)
+#: The rows after a throttle stab among which three must hold it.
+AHEAD = range(1, 6)
+
+
+def _valid_baro() -> Column:
+    return F.when((F.col("baro") > 20) & (F.col("baro") < 120), F.col("baro"))
 
 
 def prepared(rows: DataFrame) -> DataFrame:
-    """All row-level values that the sub-reports need; one shuffle by log."""
+    """All row-level values that the sub-reports need; one shuffle by log.
+
+    What rows take from others of their log comes in three windows, as each window moves every row:
+    from the channels, from the features made of these, and medians of a whole log.
+    """
     rows = X.with_generic_trims(rows)
     banks = [b for b in BANKS if any(f"{k}_b{b}" in rows.columns for k in ("stft", "ltft"))]
     rows = rows.withColumns({c: F.lit(None).cast("double") for c in CHANNELS if c not in rows.columns})
-    f = X.with_kr_scale(X.with_features(rows))
-    gated = (F.col("region") != "transient") & F.col("is_warm")
-    f = X.with_bank_trims(f.withColumn("gated", gated), F.col("gated"))
-    f = f.withColumn("trim", sum((F.col(f"trim_b{b}") for b in banks), F.lit(0.0)) / max(1, len(banks)))
-    f = X.with_gears(f).withColumn("deg", F.col("kr") * F.col("scale"))
-    f = f.withColumn("knocks", F.coalesce(F.col("deg") > 0.5, F.lit(False))).withColumn("open", F.coalesce(F.col("tps") >= 60, F.lit(False)))
+    rows = rows.withColumn("open", F.coalesce(F.col("tps") >= 60, F.lit(False)))
+    f = rows.withColumns(
+        {
+            **X.feature_windows(rows), "_kr_n": X.kr_counter(), "_opens": F.sum(F.col("open").cast("long")).over(ORDER()), "min_o2": F.min("o2_b1").over(ORDER().rowsBetween(0, 7)),
+            **{f"_prev_{c}": F.lag(c).over(ORDER()) for c in ("vss", "shift_t12", "shift_t23")}, **{f"_ahead_{k}": F.lead("tps", k).over(ORDER()) for k in AHEAD},
+        }
+    )
+    f = X.with_row_features(f).withColumn("_first", X.kr_head())
+    f = f.withColumn("gated", (F.col("region") != "transient") & F.col("is_warm"))
+    steady = F.col("gated") & F.col("region").isin("cruise", "idle")
+    f = f.withColumns({f"steady_mv_b{b}": F.when(steady, F.col(f"o2_b{b}")) for b in BANKS})
+    # the scale of knock is not known before the window that counts it, so both are counted
+    knocks = {name: F.coalesce(F.col("kr") * scale > 0.5, F.lit(False)) for name, scale in (("raw", S.KR_RAW_TO_DEG), ("deg", 1.0))}
     before = ORDER().rowsBetween(Window.unboundedPreceding, -1)
-    crossing = {}
-    for b in BANKS:
-        mv = F.when(F.col("gated") & F.col("region").isin("cruise", "idle"), F.col(f"o2_b{b}"))
-        f = f.withColumn(f"steady_mv_b{b}", mv)
-        crossing[f"cross_b{b}"] = F.coalesce((mv > 450) != F.last(mv > 450, ignorenulls=True).over(before), F.lit(False))
-    ahead = F.collect_list("tps").over(ORDER().rowsBetween(1, 5))
-    times = {f"changed_{p}": F.when((F.col(c) > 0) & (F.abs(F.col(c) - F.lag(c).over(ORDER())) > 0.005), S.half_up(F.col(c), 3)) for p, c in (("12", "shift_t12"), ("23", "shift_t23"))}
+    high = {b: F.col(f"steady_mv_b{b}") > 450 for b in BANKS}
+    f = f.withColumns(
+        {
+            **X.trim_counters(f, F.col("gated")), "raw_counts": X.kr_whole(), **{f"_knocks_{name}": F.sum(k.cast("long")).over(ORDER()) for name, k in knocks.items()},
+            **{f"cross_b{b}": F.coalesce(high[b] != F.last(high[b], ignorenulls=True).over(before), F.lit(False)) for b in BANKS},
+        }
+    )
+    f = X.with_upper_medians(f, {**X.trim_heads(f, F.col("gated")), "cruise_ratio": X.steady_ratio(f, F.col("_prev_vss")), "baro_mid": _valid_baro()})
+    f = X.with_percents(X.with_told_styles(f)).withColumn("trim", sum((F.col(f"trim_b{b}") for b in banks), F.lit(0.0)) / max(1, len(banks)))
+    f = X.with_gears(X.with_speed(f)).withColumn("deg", F.col("kr") * F.when(F.col("raw_counts"), S.KR_RAW_TO_DEG).otherwise(1.0))
+    held = sum((F.coalesce((F.col(f"_ahead_{k}") >= F.col("prev_tps") + 5).cast("int"), F.lit(0)) for k in AHEAD), F.lit(0)) >= 3
+    times = {f"changed_{p}": F.when((F.col(c) > 0) & (F.abs(F.col(c) - F.col(f"_prev_{c}")) > 0.005), S.half_up(F.col(c), 3)) for p, c in (("12", "shift_t12"), ("23", "shift_t23"))}
     f = f.withColumns(
         {
-            "knock_run": F.col("row_idx") - F.sum(F.col("knocks").cast("long")).over(ORDER()), "open_run": F.col("row_idx") - F.sum(F.col("open").cast("long")).over(ORDER()),
-            "min_o2": F.min("o2_b1").over(ORDER().rowsBetween(0, 7)), "_ahead": ahead, **crossing, **times,
+            "knocks": F.coalesce(F.col("deg") > 0.5, F.lit(False)), "knock_run": F.col("row_idx") - F.when(F.col("raw_counts"), F.col("_knocks_raw")).otherwise(F.col("_knocks_deg")), "open_run": F.col("row_idx") - F.col("_opens"),
+            "stab": F.coalesce((F.col("tps") - F.col("prev_tps") >= 10) & held, F.lit(False)), **times,
         }
     )
-    held = F.size(F.filter("_ahead", lambda t: t >= F.col("prev_tps") + 5)) >= 3
-    stab = F.coalesce((F.col("tps") - F.col("prev_tps") >= 10) & held, F.lit(False))
-    f = f.withColumn("stab", stab)
-    kept = ["log_id", "row_idx", *CHANNELS, "prev_tps", "region", "is_idle", "is_warm", "warm_at", "gated", "raw_counts", "trim", "trim_b1", "trim_b2", "cruise_ratio", "to_mph", "mph", "ratio", "near_gear", "deg", "knocks", "knock_run", "open", "open_run", "min_o2", "stab"]
+    kept = ["log_id", "row_idx", *CHANNELS, "prev_tps", "region", "is_idle", "is_warm", "warm_at", "gated", "raw_counts", "trim", "trim_b1", "trim_b2", "cruise_ratio", "to_mph", "mph", "ratio", "near_gear", "deg", "knocks", "knock_run", "open", "open_run", "min_o2", "stab", "baro_mid"]
     return f.select(*kept, *(f"{x}_b{b}" for b in BANKS for x in ("steady_mv", "cross")), *times)
 
 
@@ -73,8 +92,7 @@ def _share(part: Column, whole: Column, places: int = 2) -> Column:
 def _totals(f: DataFrame, altitude_ft: float) -> DataFrame:
     """What needs no key but the log: sizes, regions, lambda error, sensor crossings, full-load richness, barometer. One aggregate."""
     err = S.as_lambda(F.col("wb_afr")) - S.as_lambda(F.col("cmd_afr"))
-    valid = F.when((F.col("baro") > 20) & (F.col("baro") < 120), F.col("baro"))
-    f = f.withColumns({"err": err, "_baro": valid})
+    f = f.withColumns({"err": err, "_baro": _valid_baro()})
     full = (F.col("tps") >= 78) & F.col("map").isNotNull()
     moving, warm = F.col("region") == "transient", F.col("is_warm")
     in_region = {r: F.col("region") == r for r in X.REGIONS}
@@ -88,7 +106,7 @@ def _totals(f: DataFrame, altitude_ft: float) -> DataFrame:
         F.count("err").alias("err_n"), F.avg(F.abs("err")).alias("err"), F.count_if(F.abs("err") <= 0.03).alias("err_3"), *(F.count(F.when(c, F.col("err"))).alias(f"err_n_{r}") for r, c in in_region.items()), *(F.avg(F.when(c, F.abs("err"))).alias(f"err_{r}") for r, c in in_region.items()),
         *(x for b in BANKS for x in (F.count(f"steady_mv_b{b}").alias(f"mv_n_{b}"), F.count_if(f"cross_b{b}").alias(f"cross_{b}"), *(g(F.when(F.col(f"steady_mv_b{b}").isNotNull(), F.col("time_s"))).alias(f"t{k}_{b}") for k, g in ((0, F.min), (1, F.max))))),
         wot_n.alias("wot_n"), wot_sum.alias("wot_sum"), wot_rich.alias("wot_rich"),
-        F.count("_baro").alias("baro_n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _baro DESC)").alias("mid"), F.min("_baro").alias("low"), F.max("_baro").alias("high"), F.count_if(full).alias("full_n"), F.max(F.when(full, F.col("map"))).alias("full_peak"),
+        F.count("_baro").alias("baro_n"), F.first("baro_mid").alias("mid"), F.min("_baro").alias("low"), F.max("_baro").alias("high"), F.count_if(full).alias("full_n"), F.max(F.when(full, F.col("map"))).alias("full_peak"),
     )
     region = lambda r: F.struct(F.lit(r).alias("region"), F.col(f"err_n_{r}").alias("samples"), S.half_up(F.col(f"err_{r}"), 3).alias("avg_abs_error"))
 
